@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm._common import read, sha_of_joined
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.licenses import TEMPLATES, scan_licenses
+from tessella.llm.substring import drop_repeats
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(read(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
@@ -47,6 +53,17 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(hit.n, 0) AS B
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_SOLID.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, s, list_slice(w, s, s + 12) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+low AS (SELECT g, min(doc_id) AS lowest FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS k FROM win JOIN low USING (g) WHERE doc_id > lowest),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t
+         FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d) ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 _TEMPLATES = ", ".join(f"('{t.label}', string_split('{t.words}', ' '), string_split('{t.key}', ' '), {str(t.base).lower()})" for t in TEMPLATES)
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
@@ -67,5 +84,5 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op7_license_scan": op7_license_scan}
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op7_license_scan": OP7_SQL}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_license_scan": op7_license_scan}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_license_scan": OP7_SQL}
