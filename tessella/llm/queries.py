@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm._common import read, sha_of_joined
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.licenses import TEMPLATES, scan_licenses
+from tessella.llm.minhash import near_duplicates
 from tessella.llm.substring import drop_repeats
 
 
@@ -30,6 +31,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(joined)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all(" + _FOLD.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SOLID = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -64,6 +69,22 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(len(w) - coalesce(kept.
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_SHINGLES = _SOLID.format(_FOLD.format("coalesce(text, '')"))
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLES} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, list_slice(w, s, s + 4) AS g
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_sets AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_sets JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT a, b FROM edge UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other),
+comp AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY 1)
+SELECT d.doc_id, cast(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(comp.low, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(comp.low, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
 _TEMPLATES = ", ".join(f"('{t.label}', string_split('{t.words}', ' '), string_split('{t.key}', ' '), {str(t.base).lower()})" for t in TEMPLATES)
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
@@ -84,5 +105,5 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_license_scan": op7_license_scan}
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_license_scan": OP7_SQL}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_license_scan": op7_license_scan, "op10_near_duplicates": op10_near_duplicates}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_license_scan": OP7_SQL, "op10_near_duplicates": OP10_SQL}
