@@ -10,6 +10,7 @@ from tessella.llm.decontaminate import decontaminate
 from tessella.llm.licenses import TEMPLATES, scan_licenses
 from tessella.llm.minhash import near_duplicates
 from tessella.llm.substring import drop_repeats
+from tessella.llm.topk import top_k
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -58,6 +63,15 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(hit.n, 0) AS B
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, cast(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, {_SOLID.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT doc_id, s, list_slice(w, s, s + 12) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
@@ -105,5 +119,5 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_license_scan": op7_license_scan, "op10_near_duplicates": op10_near_duplicates}
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_license_scan": OP7_SQL, "op10_near_duplicates": OP10_SQL}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_top_k": op4_top_k, "op5_substring_dedup": op5_substring_dedup, "op7_license_scan": op7_license_scan, "op10_near_duplicates": op10_near_duplicates}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_license_scan": OP7_SQL, "op10_near_duplicates": OP10_SQL}
