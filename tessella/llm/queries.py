@@ -10,9 +10,15 @@ from tessella.llm.decontaminate import decontaminate
 from tessella.llm.licenses import TEMPLATES, scan_licenses
 from tessella.llm.minhash import near_duplicates
 from tessella.llm.substring import drop_repeats
+from tessella.llm.token_file import crc32_of, read_tokens, write_tokens
 from tessella.llm.topk import top_k
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(read(spark, sf_dir, "documents"))
+    return read_tokens(spark, path).mapInArrow(crc32_of, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -119,5 +125,5 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_top_k": op4_top_k, "op5_substring_dedup": op5_substring_dedup, "op7_license_scan": op7_license_scan, "op10_near_duplicates": op10_near_duplicates}
+QUERIES = {"op2_token_file": op2_token_file, "op3_decontaminate": op3_decontaminate, "op4_top_k": op4_top_k, "op5_substring_dedup": op5_substring_dedup, "op7_license_scan": op7_license_scan, "op10_near_duplicates": op10_near_duplicates}
 ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_license_scan": OP7_SQL, "op10_near_duplicates": OP10_SQL}
