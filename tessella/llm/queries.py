@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import read, sha_of_joined
+from tessella.llm._common import read, sha_of_joined, texts
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.licenses import TEMPLATES, scan_licenses
+from tessella.llm.lines import drop_lines
 from tessella.llm.minhash import near_duplicates
 from tessella.llm.substring import drop_repeats
 from tessella.llm.token_file import crc32_of, read_tokens, write_tokens
@@ -36,6 +37,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_lines(texts(read(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(read(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
@@ -89,6 +95,24 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(len(w) - coalesce(kept.
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP6_SQL = r"""
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(ls) AS t, unnest(range(len(ls))) AS line FROM l),
+y AS (SELECT doc_id, line, list_transform(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), lambda k: CASE WHEN regexp_matches(k, '[0-9]') THEN '<*>' ELSE k END) AS w FROM x),
+z AS (SELECT doc_id, line, len(w) AS n, w[1] AS t1, coalesce(w[2], '') AS t2, list_slice(w, 3, len(w)) AS tail FROM y WHERE len(w) > 0),
+b1 AS (SELECT n, t1 FROM z GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+z1 AS (SELECT z.*, CASE WHEN b1.n IS NULL THEN '<*>' ELSE z.t1 END AS g1 FROM z LEFT JOIN b1 ON z.n = b1.n AND z.t1 = b1.t1),
+b2 AS (SELECT n, g1, t2 FROM z1 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+z2 AS (SELECT z1.*, CASE WHEN b2.n IS NULL AND z1.t2 <> '' THEN '<*>' ELSE z1.t2 END AS g2 FROM z1 LEFT JOIN b2 ON z1.n = b2.n AND z1.g1 = b2.g1 AND z1.t2 = b2.t2),
+tm AS (SELECT n, g1, g2, tail, min(doc_id) AS first, cast(g1 <> '<*>' AS INT) + cast(g2 NOT IN ('<*>', '') AS INT) + len(list_filter(tail, lambda k: k <> '<*>')) AS c
+       FROM z2 GROUP BY n, g1, g2, tail HAVING count(DISTINCT doc_id) >= 3),
+gone AS (SELECT doc_id, line FROM z2 JOIN tm USING (n, g1, g2, tail) WHERE c >= 3 AND 2 * c >= n AND doc_id > first),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(t, chr(10) ORDER BY line) AS t FROM x ANTI JOIN gone USING (doc_id, line) GROUP BY 1)
+SELECT doc_id, cast(CASE WHEN text = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines,
+       cast(CASE WHEN text = '' THEN 0 ELSE len(ls) - coalesce(kept.n, 0) END AS BIGINT) AS n_dropped, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM l LEFT JOIN kept USING (doc_id)
+"""
+
 _SHINGLES = _SOLID.format(_FOLD.format("coalesce(text, '')"))
 OP10_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLES} AS w FROM documents),
@@ -125,5 +149,5 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op2_token_file": op2_token_file, "op3_decontaminate": op3_decontaminate, "op4_top_k": op4_top_k, "op5_substring_dedup": op5_substring_dedup, "op7_license_scan": op7_license_scan, "op10_near_duplicates": op10_near_duplicates}
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_license_scan": OP7_SQL, "op10_near_duplicates": OP10_SQL}
+QUERIES = {"op2_token_file": op2_token_file, "op3_decontaminate": op3_decontaminate, "op4_top_k": op4_top_k, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_license_scan": op7_license_scan, "op10_near_duplicates": op10_near_duplicates}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_license_scan": OP7_SQL, "op10_near_duplicates": OP10_SQL}
