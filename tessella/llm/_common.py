@@ -13,7 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from typing import NamedTuple
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +97,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Words(NamedTuple):
+@dataclass(frozen=True)
+class Words:
     """Words of some texts: ``data[start:end]`` are a word's bytes; ``first[i]:first[i+1]`` are the words of text ``i``."""
 
     data: np.ndarray

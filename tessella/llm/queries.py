@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import read, sha_of_joined, texts
+from tessella.llm import packing, quality, toxicity
+from tessella.llm._common import learnable, read, sha_of_joined, texts
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.licenses import TEMPLATES, scan_licenses
 from tessella.llm.lines import drop_lines
@@ -15,6 +16,14 @@ from tessella.llm.token_file import crc32_of, read_tokens, write_tokens
 from tessella.llm.topk import top_k
 
 
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")), 0.5)
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_tokens(read(spark, sf_dir, "documents"))
     return read_tokens(spark, path).mapInArrow(crc32_of, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -48,6 +57,14 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(joined)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")), 0.3)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -149,5 +166,24 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op2_token_file": op2_token_file, "op3_decontaminate": op3_decontaminate, "op4_top_k": op4_top_k, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_license_scan": op7_license_scan, "op10_near_duplicates": op10_near_duplicates}
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_license_scan": OP7_SQL, "op10_near_duplicates": OP10_SQL}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_token_file": op2_token_file,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_top_k": op4_top_k,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_license_scan": op7_license_scan,
+    "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
+    "op10_near_duplicates": op10_near_duplicates,
+}
+#: The classifiers, the token file and packing have no SQL form; tests hold them against held-out labels, a round trip and a plain version.
+ORACLE_SQL = {
+    "op3_decontaminate": OP3_SQL,
+    "op4_top_k": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op7_license_scan": OP7_SQL,
+    "op10_near_duplicates": OP10_SQL,
+}
