@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, lines, minhash, packing, quality
-from tessella.llm._common import cut, read, texts
+from tessella.llm._common import texts
+from tessella.tables import cut, read
 
 #: Documents with a lower quality score are rejected.
 QUALITY = 0.3

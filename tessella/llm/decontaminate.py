@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import ALNUM, chunks, cut, hash_words, lists, ranges, record, split_words, texts
+from tessella.llm._common import ALNUM, chunks, hash_words, lists, ranges, record, split_words, texts
+from tessella.tables import cut
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>"
 _CARRIED = "doc_id long, text string, spans array<int>, items array<long>"

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessella.llm._common import SOLID, chunks, cut, hash_of, hash_words, mix, odd_constants, raw_bytes, record, signed, split_words, texts
+from tessella.llm._common import SOLID, chunks, hash_of, hash_words, mix, odd_constants, raw_bytes, record, signed, split_words, texts
+from tessella.tables import cut
 
 WILD = np.uint64(hash_of("<*>"))
 _B = odd_constants(1, 61)[0]

@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, chunks, cut, gram_hashes, hash_words, mix, odd_constants, record, signed, split_words, texts
+from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, odd_constants, record, signed, split_words, texts
+from tessella.tables import cut
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 

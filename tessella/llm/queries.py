@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import packing, quality, toxicity
-from tessella.llm._common import learnable, read, sha_of_joined, texts
+from tessella.llm._common import learnable, sha_of_joined, texts
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.licenses import TEMPLATES, scan_licenses
 from tessella.llm.lines import drop_lines
@@ -14,6 +14,7 @@ from tessella.llm.minhash import near_duplicates
 from tessella.llm.substring import drop_repeats
 from tessella.llm.token_file import crc32_of, read_tokens, write_tokens
 from tessella.llm.topk import top_k
+from tessella.tables import read
 
 
 def _scored(scores: DataFrame, threshold: float) -> DataFrame:

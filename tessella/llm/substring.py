@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, chunks, cut, gram_hashes, hash_words, mix, ranges, record, signed, split_words, texts
+from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, ranges, record, signed, split_words, texts
+from tessella.tables import cut
 
 #: Occurrences that a task compares with each other before the shuffle.
 BUFFER = 1_500_000

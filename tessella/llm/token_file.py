@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, chunks, cut, hash_words, ranges, record, scratch, split_words, texts
+from tessella.llm._common import SOLID, chunks, hash_words, ranges, record, split_words, texts
+from tessella.tables import cut, scratch
 
 BLOCKS = "shard int, block int, before long, tokens long, doc_ids binary, missing binary, sizes binary, control binary, data binary"
 
