@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 OBO = "http://purl.obolibrary.org/obo/"
 CURIE_PREFIXES = ("CL", "PR", "NCBITaxon", "RO", "BFO")
 CD_TOKEN = r"\bCDw?\d+[A-Za-z0-9]{0,4}\b"
-QUOTE = r'>\s*"([^"]+)"'
+QUOTE = r'(?U)>\s*"([^"]+)"'
 ELLIPSIS = r"\.{3}|…|\.\s\.\s\."
 #: Cells that a CSV reader with the usual defaults takes as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
