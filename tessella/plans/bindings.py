@@ -39,7 +39,7 @@ def marker_cell(k: str) -> str:
         "'   '",
         f"'[CD' || {a} || '+(CD' || {b} || '-)]'",
         f"'[CD' || {d} || ' CD' || {b} || 'hi] CCR' || {c} || '+'",
-        f"'Cd' || {a} || 'hi-  CD' || {b} || ' stain it'",
+        f"'Cd' || {a} || 'hi-  cd' || {b} || '+ stain it now'",
     ]
     return f"CASE {k} % 12 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " END"
 
