@@ -32,15 +32,15 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 # ---------------------------------------------------------------- words
 
 
-def _byte_class(word: bytes | range | list[int]) -> np.ndarray:
+def byte_class(word: bytes | range | list[int]) -> np.ndarray:
     table = np.zeros(256, np.bool_)
     table[list(word)] = True
     return table
 
 
 #: Words are runs of these UTF-8 bytes. ALNUM: ASCII letters and digits and everything beyond ASCII. SOLID: all but ASCII white space.
-ALNUM = _byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
-SOLID = _byte_class([c for c in range(256) if c != 0x20 and not 0x09 <= c <= 0x0D])
+ALNUM = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
+SOLID = byte_class([c for c in range(256) if c != 0x20 and not 0x09 <= c <= 0x0D])
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20

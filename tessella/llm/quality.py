@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessella.llm._common import SOLID, _byte_class, chunks, hash_words, learnable, record, split_words, texts
+from tessella.llm._common import SOLID, byte_class, chunks, hash_words, learnable, record, split_words, texts
 
 BUCKETS = 1024
-_PUNCTUATION = _byte_class([c for c in range(0x21, 0x7F) if not chr(c).isalnum()])
-_CAPITALS = _byte_class(range(0x41, 0x5B))
-_DIGITS = _byte_class(range(0x30, 0x3A))
+_PUNCTUATION = byte_class([c for c in range(0x21, 0x7F) if not chr(c).isalnum()])
+_CAPITALS = byte_class(range(0x41, 0x5B))
+_DIGITS = byte_class(range(0x30, 0x3A))
 #: Terms that are not words: repeats, runs of capitals, of digits, of punctuation. Each has a bucket, and one for each
 #: power of two that its share of the text's words may have; a quarter of all buckets holds these and punctuation itself.
 _REPEAT, _CAPITAL, _DIGIT, _MARK, _LEVELS = 0, 1, 2, 3, 7

@@ -24,7 +24,6 @@ are written one after another, in the order of their ids' bytes.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, chunks, hash_words, ranges, record, split_words, texts
+from tessella.llm._common import SOLID, Words, byte_class, chunks, hash_words, ranges, record, split_words, texts
 from tessella.tables import cut, scratch
 
 BLOCKS = "shard int, block int, before long, tokens long, doc_ids binary, missing binary, sizes binary, control binary, data binary"
@@ -44,17 +43,52 @@ BLOCKS = "shard int, block int, before long, tokens long, doc_ids binary, missin
 # ---------------------------------------------------------------- text to ids
 
 
+#: Bytes of plain words: letters (with the lead byte of Latin-1 letters) and punctuation that is never part of a contraction or a special token.
+_LETTER = byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3])
+_MARK = byte_class([ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"])
+
+
+def pieces(column: pa.Array) -> tuple[Words, np.ndarray]:
+    """Parts of the texts whose ids, one after another, are the texts' ids; and which parts are whole words, not plain.
+
+    Plain words, of ASCII and Latin-1 letters and punctuation, fall into runs of either,
+    in lower case; any other word is left as it is.
+    """
+    words = split_words(column, SOLID)
+    data, n = words.data, len(words.data)
+    if not len(words):
+        return words, np.empty(0, np.bool_)
+    latin = np.zeros(n, np.bool_)  # second bytes of Latin-1 letters
+    latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    letter = _LETTER[data] | latin
+    bad = np.concatenate([[0], np.cumsum(~(letter | _MARK[data]), dtype=np.int32)])
+    plain = bad[words.end] == bad[words.start]
+    inside = np.zeros(n + 1, np.int8)
+    inside[words.start[plain]] += 1
+    inside[words.end[plain]] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(np.bool_)
+    capital = inside & ((data >= 0x41) & (data <= 0x5A) | latin & (data <= 0x9E))
+    low = data + (capital * np.uint8(0x20)).astype(np.uint8)
+    first = np.zeros(n, np.bool_)
+    first[1:] = (letter[1:] != letter[:-1]) & inside[1:] & inside[:-1]
+    first[words.start] = True
+    start = np.flatnonzero(first)
+    word = np.searchsorted(words.start, start, "right") - 1
+    end = np.minimum(np.append(start[1:], n), words.end[word])
+    at = np.searchsorted(start, np.append(words.start, n)[words.first])
+    return Words(low, start, end, at), ~plain[word]
+
+
 class WordEncoder:
-    """Encodes texts word by word with a memory of words seen.
+    """Encodes texts by parts (:func:`pieces`) with a memory of the parts seen.
 
-    Only for tokenizers that drop white space and never join across it, so that a
-    text's ids are its words' ids, one after another. Words of plain letters with
-    punctuation after them are encoded by parts, many at once: each part is one
-    pre-token, which ends with an end-of-word id.
+    Only for tokenizers that drop white space, never join across it, and split words
+    into runs of letters and of punctuation. New parts are encoded by the library, many
+    plain ones at once: each is one pre-token, which ends with an end-of-word id. The
+    memory is sorted arrays of 64-bit hashes, at most about ``LIMIT`` of them.
     """
 
-    LIMIT = 400_000
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$&%#]*)")
+    LIMIT = 1_500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -67,60 +101,60 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.parts: dict[str, list[int]] = {}
-        self.number: dict[bytes, int] = {}
-        self.start, self.size, self.ids = [], [], []
-        self.arrays = None
+        self.hashes, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids, self.used = np.empty(1 << 20, np.int32), 0
 
     def _encode(self, items: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)] if items else []
 
-    def learn(self, words: list[bytes]) -> None:
-        split, other, parts = [], [], {}
-        for word in words:
-            text = word.decode()
-            if plain := self.PLAIN.fullmatch(text):
-                own = (plain[1].lower(), plain[2])
-                parts.update(dict.fromkeys(x for x in own if x and x not in self.parts))
-                split.append((word, own))
-            else:
-                other.append((word, text))
-        new = list(parts)
-        for a in range(0, len(new), 512):
-            group = new[a : a + 512]
-            ids = np.array(self._encode([" ".join(group)])[0], np.int64)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(group):
-                self.parts.update((p, x.tolist()) for p, x in zip(group, np.split(ids, at[:-1]), strict=True))
-            else:
-                self.parts.update(zip(group, self._encode(group), strict=True))
-        found = [(w, self.parts[p] + (self.parts[q] if q else [])) for w, (p, q) in split]
-        found += zip((w for w, _ in other), self._encode([t for _, t in other]), strict=True)
-        for word, ids in found:
-            self.number[word] = len(self.size)
-            self.start.append(len(self.ids))
-            self.size.append(len(ids))
-            self.ids += ids
-        self.arrays = None
+    def _ids_of(self, plain: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after another, and how many each has."""
+        ids, sizes = [], []
+        for a in range(0, len(plain), 512):
+            group = plain[a : a + 512]
+            found = np.array(self._encode([" ".join(group)])[0], np.int32)
+            stop = np.flatnonzero(self.ends[found]) + 1
+            if len(stop) != len(group):  # not what this tokenizer promises: one by one
+                each = self._encode(group)
+                found, stop = np.array([i for e in each for i in e], np.int32), np.cumsum([len(e) for e in each])
+            ids.append(found)
+            sizes.append(np.diff(stop, prepend=0))
+        each = self._encode(other)
+        ids.append(np.array([i for e in each for i in e], np.int32))
+        sizes.append(np.array([len(e) for e in each], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
+
+    def learn(self, hashes: np.ndarray, texts_: list[str], whole: np.ndarray) -> None:
+        order = np.argsort(whole, kind="stable")
+        split = int((~whole).sum())
+        listed = [texts_[i] for i in order.tolist()]
+        ids, size = self._ids_of(listed[:split], listed[split:])
+        start = self.used + np.cumsum(size, dtype=np.int64) - size
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(ids)), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        merged = np.concatenate([self.hashes, hashes[order]])
+        by = np.argsort(merged, kind="stable")
+        self.hashes, self.start, self.size = merged[by], np.concatenate([self.start, start])[by], np.concatenate([self.size, size])[by]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number of ids of each."""
-        words = split_words(column, SOLID)
-        if not len(words):
-            return np.empty(0, np.int64), np.zeros(len(words.first) - 1, np.int64)
-        _, example, which = np.unique(hash_words(words), return_index=True, return_inverse=True)
-        if len(self.number) > self.LIMIT:
+        parts, whole = pieces(column)
+        if not len(parts):
+            return np.empty(0, np.int32), np.zeros(len(parts.first) - 1, np.int64)
+        distinct, example, which = np.unique(hash_words(parts) ^ whole, return_index=True, return_inverse=True)
+        if len(self.hashes) > self.LIMIT:
             self.forget()
-        distinct = [words.bytes_of(k) for k in example.tolist()]
-        if new := [w for w in distinct if w not in self.number]:
-            self.learn(new)
-        if self.arrays is None:
-            self.arrays = [np.array(x, np.int64) for x in (self.start, self.size, self.ids)]
-        start, size, ids = self.arrays
-        number = np.array([self.number[w] for w in distinct])[which]
-        out = ids[ranges(start[number], size[number])]
-        ends = np.concatenate([[0], np.cumsum(size[number])])
-        return out, np.diff(ends[words.first])
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            self.learn(distinct[new], [parts.bytes_of(k).decode() for k in example[new].tolist()], whole[example[new]])
+            at = np.searchsorted(self.hashes, distinct)
+        size = self.size[at][which].astype(np.int64)
+        out = self.ids[ranges(self.start[at][which], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return out, np.diff(ends[parts.first])
 
 
 _encoders: dict[str, WordEncoder] = {}
