@@ -92,7 +92,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """``report_id, md``: whole markdown files with their paths."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("report_id"), F.col("value").alias("md"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report_id"), F.col("value").alias("md"))
 
 
 def write_tsv(table: DataFrame, path: str) -> None:
