@@ -11,9 +11,11 @@ deviations of the threshold (or above) are confirmed on their full sets.
 No step lists all pairs of a bucket. Equal sets are one class from the start. Round
 one links each class of a bucket to the bucket's smallest, confirms these links and
 takes connected components. Only buckets that then still hold several components
-need more: round two estimates their pairs across components (in blocks of at most
-``block`` classes, so that a task is bounded whatever the bucket's size), confirms
-them and unites components. A pair inside one component cannot change the result.
+need more: in round two their classes meet with their full sets, in blocks of at most
+``block`` classes, so that a task is bounded whatever the bucket's size. Pairs across
+components (each in its first common band only) are estimated and confirmed there and
+then, and only links that unite two components leave the task, at most one for each
+class and block. A pair inside one component cannot change the result.
 
 With 32 bands of 4 registers, a pair at the threshold of 0.75 shares no band with
 probability (1 - 0.75^4)^32 = 5e-6.
@@ -116,7 +118,8 @@ def bands(batches: Iterator[pa.RecordBatch], band: int = BAND) -> Iterator[pa.Re
         key = np.zeros(table.shape[:2], np.uint64)
         for j in range(band):
             key = mix(key + table[:, :, j] + np.uint64(1))
-        key = mix(key + np.arange(key.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        number = np.arange(key.shape[1], dtype=np.uint64)
+        key = mix(key + number * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(0xFF) | number  # the last byte is the band
         yield record(key=signed(key.ravel()), doc=np.repeat(batch.column(0).to_numpy(), key.shape[1]))
 
 
@@ -153,41 +156,69 @@ def likely(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             yield record(a=batch.column("a").to_numpy()[fit], b=batch.column("b").to_numpy()[fit])
 
 
-def across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, x, y): likely pairs of different components within each group; of two blocks, across them."""
+def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(doc, n, registers, shingles) of each text."""
+    for batch in chunks(batches):
+        values, first = shingles(batch.column(1), k)
+        cells = [values[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+        registers = [row.tobytes() for row in signatures(values, first)]
+        yield record(doc=batch.column(0), n=np.diff(first).astype(np.int64), registers=pa.array(registers, pa.binary()), shingles=pa.array(cells, pa.binary()))
+
+
+def across(batches: Iterator[pa.RecordBatch], percent: int, band: int = BAND) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, x, y): links that unite components within each group; of two blocks, across them."""
     names = ("key", "x", "y", "part", "doc", "component", "n")
-    held, held_registers = None, None
+    held: dict = {}
 
-    def done(c: dict, registers: np.ndarray):
-        i, step = np.arange(len(c["key"])), 1
+    def group_links(c: dict, registers: np.ndarray, sets: list[bytes]):
+        parent: dict[tuple, int] = {}  # components as they unite within one group
+        group = np.cumsum(np.concatenate([[0], (np.diff(c["key"]) != 0) | (np.diff(c["x"]) != 0) | (np.diff(c["y"]) != 0)]))
+
+        def root(g: int, x: int) -> int:
+            while (above := parent.get((g, x), x)) != x:
+                x = above
+            return x
+
+        i, step, found = np.arange(len(c["key"])), 1, []
         while True:
-            i = i[i + step < len(c["key"])]
-            j = i + step
-            i = i[(c["key"][i] == c["key"][j]) & (c["x"][i] == c["x"][j]) & (c["y"][i] == c["y"][j])]
+            i = i[i + step < len(group)]
+            i = i[group[i] == group[i + step]]
             if not len(i):
-                return
+                break
             j = i + step
             use = (c["component"][i] != c["component"][j]) & ((c["x"][i] == c["y"][i]) | (c["part"][i] != c["part"][j]))
-            use &= np.minimum(c["n"][i], c["n"][j]) >= threshold * np.maximum(c["n"][i], c["n"][j])
+            use &= 100 * np.minimum(c["n"][i], c["n"][j]) >= percent * np.maximum(c["n"][i], c["n"][j])
             p, q = i[use], j[use]
             if len(p):
-                fit = estimate(registers[p], registers[q], c["n"][p], c["n"][q]) >= floor_of(threshold)
-                p, q = c["doc"][p[fit]], c["doc"][q[fit]]
-                yield record(a=np.minimum(p, q), b=np.maximum(p, q))
+                same = registers[p] == registers[q]
+                by_chance = chance(c["n"][p], c["n"][q])
+                fit = (same.mean(1) - by_chance) / (1 - by_chance) >= floor_of(percent / 100)
+                common = same[:, : same.shape[1] // band * band].reshape(len(p), -1, band).all(2)
+                fit &= common.argmax(1) == (c["key"][p] & 0xFF)  # a pair is looked at in its first common band
+                for a, b in zip(p[fit].tolist(), q[fit].tolist(), strict=True):
+                    ra, rb = root(group[a], c["component"][a]), root(group[a], c["component"][b])
+                    if ra != rb:
+                        both = len(np.intersect1d(np.frombuffer(sets[a], np.uint64), np.frombuffer(sets[b], np.uint64), assume_unique=True))
+                        if 100 * both >= percent * (c["n"][a] + c["n"][b] - both):
+                            parent[group[a], max(ra, rb)] = min(ra, rb)
+                            found.append((c["doc"][a], c["doc"][b]))
             step += 1
+        links = np.array(found, np.int64).reshape(-1, 2)
+        return record(a=links.min(1), b=links.max(1)) if len(links) else record(a=np.empty(0, np.int64), b=np.empty(0, np.int64))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        new, registers = {c: batch.column(c).to_numpy() for c in names}, registers_of(batch.column("registers"))
-        if held is not None:
-            new, registers = {c: np.concatenate([held[c], new[c]]) for c in names}, np.concatenate([held_registers, registers])
+        new = {c: batch.column(c).to_numpy() for c in names} | {"registers": registers_of(batch.column("registers")), "shingles": batch.column("shingles").to_pylist()}
+        if held:
+            new = {c: held[c] + new[c] if isinstance(new[c], list) else np.concatenate([held[c], new[c]]) for c in new}
         last = (new["key"] == new["key"][-1]) & (new["x"] == new["x"][-1]) & (new["y"] == new["y"][-1])
         at = int(np.argmax(last))
-        yield from done({c: new[c][:at] for c in names}, registers[:at])
-        held, held_registers = {c: new[c][at:] for c in names}, registers[at:]
-    if held is not None:
-        yield from done(held, held_registers)
+        if at:
+            yield group_links({c: new[c][:at] for c in names}, new["registers"][:at], new["shingles"][:at])
+        held = {c: new[c][at:] for c in new}
+    if held:
+        yield group_links(held, held["registers"], held["shingles"])
 
 
 # ---------------------------------------------------------------- confirmation
@@ -268,12 +299,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, block: in
         .withColumn("parts", parts)
         .withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
-        .join(reps.select(F.col("doc_id").alias("doc"), "n", "registers"), "doc")
-        .select("key", "x", "y", "part", "doc", "component", "n", "registers")
+        .select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "doc", "component")
     )
-    crossing = spread.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lambda it: across(it, threshold), "a long, b long").distinct()
-    more = cut(confirmed(cut(crossing, "pairs"), source, k, percent), "links")
+    spread = cut(spread, "mixed")
+    wanted = cut(spread.select("doc").distinct(), "mixed")
+    sets = source.join(wanted, source["doc_id"] == wanted["doc"]).select("doc_id", "text").dropDuplicates(["doc_id"])
+    sets = cut(sets.mapInArrow(lambda it: set_rows(it, k), "doc long, n long, registers binary, shingles binary"), "sets")
+    met = spread.join(sets, "doc").select("key", "x", "y", "part", "doc", "component", "n", "registers", "shingles")
+    crossing = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "doc")
+    more = cut(crossing.mapInArrow(lambda it: across(it, percent), "a long, b long").distinct(), "links")
     if not more.isEmpty():
         found = cut(components(links.unionByName(more)), "components")
 
