@@ -59,6 +59,11 @@ def yes_no(flag: Column | str) -> Column:
     return F.initcap(c(flag).cast("string"))
 
 
+def utc_seconds(moment: Column | None = None) -> Column:
+    """A moment, or now, as UTC text to the second; the session's time zone must be UTC."""
+    return F.date_format(F.current_timestamp() if moment is None else moment, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def cd_tokens(name: Column | str) -> Column:
     """All CD tokens of a name, in order; null gives an empty array."""
     return F.regexp_extract_all(F.coalesce(c(name), F.lit("")), F.lit(CD_TOKEN), 0)

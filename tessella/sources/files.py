@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import slug
+from tessella.operators.reports import cell_sections, marker_lines, sorted_edges
 from tessella.operators.sheets import clean_tab, is_empty, numbered
+from tessella.tables import cut
 
 QUADS = "graph string, s string, p string, o string"
 BINDINGS = "results struct<bindings: array<map<string, struct<type: string, value: string>>>>"
@@ -100,6 +102,13 @@ def write_tsv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
+def write_edge_reports(wide: DataFrame, folder: str) -> None:
+    """Both reports of one run, the export and the sections of each cell, from annotated edges that are worked out once."""
+    once = cut(wide, "annotated")
+    write_tsv(sorted_edges(once), f"{folder}/edges_tsv")
+    write_lines(cell_sections(marker_lines(once)), f"{folder}/edges_md", "section", ["cell"])
+
+
 def write_lines(lines: DataFrame, path: str, line: str, order: list[str]) -> None:
     """Lines of a report in their order, as text files."""
     lines.orderBy(*order).select(line).write.mode("overwrite").text(path)

@@ -40,6 +40,11 @@ def test_clean(spark):
     assert values(spark, text.strip, "  a b\t", "", None) == ["a b", "", None]
 
 
+def test_utc_seconds(spark):
+    assert values(spark, lambda c: text.utc_seconds(F.to_timestamp(c)), "2026-06-25 10:00:05.9") == ["2026-06-25T10:00:05+00:00"]
+    assert re.fullmatch(r"20\d\d-\d\d-\d\dT[\d:]{8}\+00:00", spark.range(1).select(text.utc_seconds()).first()[0])
+
+
 def test_cd_tokens(spark):
     assert values(spark, text.cd_tokens, "CD8a and CD45RA, CDw199", "ABCD4 CD", "αCD4", None) == [["CD8a", "CD45RA", "CDw199"], [], [], []]
 

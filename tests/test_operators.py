@@ -89,7 +89,7 @@ def test_species(spark):
     assert rows(annotate.merge_species(meta, annotate.species_table(ids)), "pr") == [("p1", ["UniProtKB:H", "UniProtKB:A"], ["UniProtKB:M"]), ("p4", [], [])]
 
 
-def test_report_of_two_edges(spark):
+def test_report_of_two_edges(spark, tmp_path):
     found = spark.createDataFrame([("c\t1", "cell one", MEMBRANE, "has", "positive", True, f"{OBO}PR_1"), ("c\t1", "cell one", f"{OBO}CL_4030046", "lacks", "negative", False, f"{OBO}PR_2")], "cell string, cell_label string, relation string, relation_label string, sense string, asserted boolean, pr string")
     meta = annotate.metadata(statements(spark, (f"{OBO}PR_1", "label", "CD4 molecule"), (f"{OBO}PR_1", "xref", "X:1")))
     species = spark.createDataFrame([(f"{OBO}PR_1", ["UniProtKB:H"], [])], "pr string, human array<string>, mouse array<string>")
@@ -104,6 +104,16 @@ def test_report_of_two_edges(spark):
     assert section.startswith("## c\t1 — cell one\n\n**Positive (marker present)**\n\n- `PR:1`") and section.endswith("**Negative (marker absent)**\n\n- `PR:2` PR:2 — _(inferred only)_\n")
 
 
+    files.write_edge_reports(wide, str(tmp_path))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "edges_tsv").glob("part-*"))).count("\n") >= 3
+    assert "".join(p.read_text() for p in (tmp_path / "edges_md").glob("part-*")) == section + "\n"
+
+
+def test_typed_edges(spark):
+    found = edges.typed(spark.createDataFrame([("c1", MEMBRANE, "p1"), ("c1", MEMBRANE, "p2"), ("c2", MEMBRANE, "p1")], EDGE), spark.createDataFrame([("c1",), ("c1",)], "cell string"), spark.createDataFrame([("p1",)], "pr string"))
+    assert rows(found.select("cell", "relation", "pr")) == [("c1", MEMBRANE, "p1")]
+
+
 # ---------------------------------------------------------------- sheets and markers
 
 
