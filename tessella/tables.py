@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []  # the folder of sessions that name none, as in tests
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='tessella-')}")
+    return _own[0]
 
 
 def cut(df: DataFrame, name: str = "step", codec: str = "zstd") -> DataFrame:
