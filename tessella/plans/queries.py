@@ -16,7 +16,7 @@ from tessella.sources.files import BINDINGS as RESULT_SCHEMA
 from tessella.sources.files import RECORDS, flatten_bindings
 from tessella.streaming import checks
 from tessella.streaming import snippets as streams
-from tessella.tables import scratch
+from tessella.tables import cut, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,8 +163,8 @@ def species(t: Tables) -> DataFrame:
     return annotate.species_ids(t.asserted, t.subclasses, t.taxa, t.xrefs, t.species)
 
 
-def merged(t: Tables) -> DataFrame:
-    return annotate.merge_species(annotate.metadata(t.statements), annotate.species_table(species(t)))
+def merged(t: Tables, meta: DataFrame) -> DataFrame:
+    return annotate.merge_species(meta, annotate.species_table(species(t)))
 
 
 @query("entity_metadata", f"WITH {_META} SELECT {', '.join(f'''coalesce({c}, '') AS {c}''' for c in _META_COLUMNS)} FROM m", "statements", "species")
@@ -184,7 +184,7 @@ def _(t):
 
 @query("species_merge", f"WITH {_MERGED} SELECT pr, coalesce(human, '') AS human, coalesce(mouse, '') AS mouse FROM mg", "asserted", "subclasses", "taxa", "xrefs", "species", "statements")
 def _(t):
-    return merged(t).select("pr", joined("human"), joined("mouse"))
+    return merged(t, annotate.metadata(t.statements)).select("pr", joined("human"), joined("mouse"))
 
 
 _ALL = (*_EDGE, "statements", "subclasses", "taxa", "xrefs", "species")
@@ -194,8 +194,8 @@ _WIDE = f"""{_REDUCED}, {_MERGED}, {_CD}, cdl AS (SELECT pr, string_agg(token ||
 
 
 def wide(t: Tables) -> DataFrame:
-    meta = annotate.metadata(t.statements)
-    return reports.annotated(reduced(t), meta, annotate.cd_lists(annotate.cd_names(annotate.names(meta))), merged(t))
+    meta = cut(annotate.metadata(t.statements), "metadata")  # three parts of the plan read it
+    return reports.annotated(reduced(t), meta, annotate.cd_lists(annotate.cd_names(annotate.names(meta))), merged(t, meta))
 
 
 @query(
@@ -205,7 +205,7 @@ def wide(t: Tables) -> DataFrame:
     *_ALL,
 )
 def _(t):
-    return reports.sorted_edges(wide(t))
+    return reports.sorted_edges(cut(wide(t), "annotated"))  # sorting samples its input first
 
 
 _LINES = f"""{_WIDE}, lines AS (SELECT cell, cell_label, sense, row_number() OVER (PARTITION BY cell ORDER BY {_ORDER}, coalesce(nullif(label, ''), pr), pr, relation) AS position,
