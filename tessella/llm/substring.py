@@ -11,9 +11,9 @@ anchor differ between documents (the ends of repeats), the few windows concerned
 compared one by one by a 128-bit hash. Overlapping repeated windows unite to maximal
 repeats of at least ``length`` words, and these are removed.
 
-Scale: a task compares what it holds before it shuffles, so that an anchor reaches
-the shuffle about once a task, however common it is; what is left is spread by
-anchor, sorted by Spark (which spills) and streamed. No step lists pairs of
+Scale: a task compares what it holds before it shuffles, so that an anchor, and a
+window, reaches the shuffle about once a task, however common it is; what is left is
+spread by its hash, sorted by Spark (which spills) and streamed. No step lists pairs of
 documents. Texts are shuffled once by ``doc_id``; both joins reuse that exchange.
 
 Defined cases: a null text has no words; rows without an id are returned whole and
@@ -23,7 +23,7 @@ different texts); texts shorter than ``length`` words are never touched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, ranges, record, signed, split_words, texts
 from tessella.tables import cut
 
-#: Occurrences that a task compares with each other before the shuffle.
+#: Occurrences, or windows, that a task compares with each other before the shuffle.
 BUFFER = 1_500_000
 ANNOUNCED, PROBE, REPEAT, EDGE = 0, 1, 2, 3
 _SPOT = "doc_id long, at long, edge boolean"
@@ -102,7 +102,7 @@ def compare(anchor: np.ndarray, extension: np.ndarray, doc: np.ndarray, at: np.n
     return anchor, extension, doc, at, repeat, several[group], first
 
 
-def seed(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def seed(batches: Iterator[pa.RecordBatch], length: int, gram: int, buffer: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush():
@@ -127,32 +127,20 @@ def seed(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[
         words = split_words(batch.column(1), SOLID)
         anchor, extension, of, first, count = occurrences(words, hash_words(words), length, gram)
         held.append((anchor, extension, batch.column(0).to_numpy()[of], first << 8 | count))
-        if sum(len(x[0]) for x in held) >= BUFFER:
+        if sum(len(x[0]) for x in held) >= buffer:
             yield from flush()
     yield from flush()
 
 
-def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key: what concerns one anchor comes together."""
+def by_key(batches: Iterator[pa.RecordBatch], done: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``done`` of the columns of rows sorted by their first column; equal keys come together."""
     held: list[np.ndarray] = []
-
-    def done(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, extension, doc, at, kind = rows
-        probe, known = kind == PROBE, kind >= REPEAT
-        announced = np.unique(key[kind == ANNOUNCED])
-        _, _, own, place, repeat, several, _ = compare(key[probe], extension[probe], doc[probe], at[probe], announced)
-        use = repeat | several
-        return record(
-            doc_id=np.concatenate([doc[known], own[use]]), at=np.concatenate([at[known], place[use]]),
-            edge=np.concatenate([kind[known] == EDGE, ~repeat[use]]),
-        )
-
     for batch in batches:
-        rows = [c.to_numpy() for c in batch.columns]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(rows[0]):
             continue
         held = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
-        cut_at = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on in the next batch
+        cut_at = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
         if cut_at:
             yield done([x[:cut_at] for x in held])
             held = [x[cut_at:] for x in held]
@@ -160,8 +148,44 @@ def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, doc_id, at) of the windows that are to be compared one by one; ``at``: as of one window."""
+def extend(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """Repeats and ends of repeats, of all rows that concern some anchors."""
+    key, extension, doc, at, kind = rows
+    probe, known = kind == PROBE, kind >= REPEAT
+    announced = np.unique(key[kind == ANNOUNCED])
+    _, _, own, place, repeat, several, _ = compare(key[probe], extension[probe], doc[probe], at[probe], announced)
+    use = repeat | several
+    return record(
+        doc_id=np.concatenate([doc[known], own[use]]), at=np.concatenate([at[known], place[use]]),
+        edge=np.concatenate([kind[known] == EDGE, ~repeat[use]]),
+    )
+
+
+def later(w1: np.ndarray, w2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted windows, and which of them a smaller document has too."""
+    order = np.lexsort((at, doc, w2, w1))
+    w1, w2, doc, at = w1[order], w2[order], doc[order], at[order]
+    new = runs(w1, w2)
+    return w1, w2, doc, at, doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def windows(batches: Iterator[pa.RecordBatch], length: int, buffer: int) -> Iterator[pa.RecordBatch]:
+    """(key, w2, doc_id, at, known) of the windows to be compared one by one; ``at``: as of one window.
+
+    Like anchors, windows are compared within the task first: of a window that many
+    documents have, one goes to the shuffle under its hash, the others are known.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush():
+        if held:
+            w1, w2, doc, at, known = later(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            held.clear()
+            key = np.where(known, mix(doc.astype(np.uint64) + at.astype(np.uint64)), w1)
+            for a in range(0, len(key), 500_000):
+                s = slice(a, a + 500_000)
+                yield record(key=signed(key[s]), w2=signed(w2[s]), doc_id=doc[s], at=at[s], known=known[s])
+
     for batch in chunks(batches):
         words = split_words(batch.column(1), SOLID)
         h, spots = hash_words(words), batch.column(2)
@@ -169,10 +193,18 @@ def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         spot = spots.flatten().to_numpy()
         start = ranges((spot >> 8) + words.first[of], spot & 255)
         of = np.repeat(of, spot & 255)
-        w1, w2 = (gram_hashes(h, length, by) for by in (13, 14))
-        for a in range(0, len(start), 500_000):
-            s = slice(a, a + 500_000)
-            yield record(w1=signed(w1[start[s]]), w2=signed(w2[start[s]]), doc_id=batch.column(0).to_numpy()[of[s]], at=(start[s] - words.first[of[s]]) << 8 | 1)
+        held.append((gram_hashes(h, length, 13)[start], gram_hashes(h, length, 14)[start], batch.column(0).to_numpy()[of], (start - words.first[of]) << 8 | 1))
+        if sum(len(x[0]) for x in held) >= buffer:
+            yield from flush()
+    yield from flush()
+
+
+def settle(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """Windows that a smaller document has too, of all rows under some keys."""
+    key, w2, doc, at, known = rows
+    open_ = ~known
+    _, _, own, place, repeat = later(key[open_], w2[open_], doc[open_], at[open_])
+    return record(doc_id=np.concatenate([doc[known], own[repeat]]), at=np.concatenate([at[known], place[repeat]]))
 
 
 def finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -195,16 +227,15 @@ def finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield record(doc_id=batch.column(0), n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()), kept=pa.array(kept, pa.binary()).cast(pa.string()))
 
 
-def drop_repeats(docs: DataFrame, *, length: int = 13, gram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, *, length: int = 13, gram: int = 5, buffer: int = BUFFER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: each text without the words of windows that a document with a smaller id has too."""
     source = texts(docs, id_col, text_col)
-    seeds = source.mapInArrow(lambda it: seed(it, length, gram), "key long, extension long, doc_id long, at long, kind int")
-    spots = cut(seeds.repartition("key").sortWithinPartitions("key").mapInArrow(extend, _SPOT), "spots")
+    seeds = source.mapInArrow(lambda it: seed(it, length, gram, buffer), "key long, extension long, doc_id long, at long, kind int")
+    spots = cut(seeds.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, extend), _SPOT), "spots")
 
     edges = spots.where("edge").groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
-    compared = source.join(edges, "doc_id").select("doc_id", "text", "spots").mapInArrow(lambda it: windows(it, length), "w1 long, w2 long, doc_id long, at long")
-    lowest = compared.groupBy("w1", "w2").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
-    repeats = compared.join(lowest.drop("highest"), ["w1", "w2"]).where("doc_id > lowest").select("doc_id", "at")
+    compared = source.join(edges, "doc_id").select("doc_id", "text", "spots").mapInArrow(lambda it: windows(it, length, buffer), "key long, w2 long, doc_id long, at long, known boolean")
+    repeats = compared.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, settle), "doc_id long, at long")
 
     removed = spots.where("not edge").select("doc_id", "at").unionByName(repeats).groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
     return source.join(removed, "doc_id", "left").select("doc_id", "text", "spots").mapInArrow(lambda it: finish(it, length), "doc_id long, n_words long, n_removed long, kept string")

@@ -240,9 +240,8 @@ def plain_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "buffer"), [(6, 2, 1_500_000), (13, 5, 50)])
-def test_substrings(spark, monkeypatch, length, gram, buffer):
-    monkeypatch.setattr(substring, "BUFFER", buffer)
+@pytest.mark.parametrize(("length", "gram", "buffer"), [(6, 2, 1_500_000), (6, 3, 40), (13, 5, 50)])
+def test_substrings(spark, length, gram, buffer):
     rng = random.Random(length)
     passages = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (length - 1, length, length + 1, 30, 60)]
     texts = {}
@@ -251,7 +250,7 @@ def test_substrings(spark, monkeypatch, length, gram, buffer):
         texts[i] = "  ".join(parts) + rng.choice(["", "\n"])
     texts |= {70: "w1 " * 50, 71: "w1 " * 40, 72: None, 73: "", 74: " ", 75: texts[3], 76: texts[3]}
     df = docs(spark, texts, extra=True).repartition(3)
-    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.drop_repeats(df, length=length, gram=gram).collect()}
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.drop_repeats(df, length=length, gram=gram, buffer=buffer).collect()}
     assert found == plain_repeats(texts, length)
 
 
