@@ -101,6 +101,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, min_constants: int =
     def generalise(rows: DataFrame, branch: list[str], token: str, into: str) -> DataFrame:
         passing = rows.select("doc_id", *branch, token).distinct().groupBy(*branch, token).agg(F.count("*").alias("docs"))
         stays = passing.where(F.col("docs") >= min_docs).select(*branch, token, F.lit(True).alias("stays"))
+        stays = cut(stays, "branches")  # a table of known size: Spark may broadcast it, or split a common branch of the lines
         out = rows.join(stays, [*branch, token], "left")
         return cut(out.withColumn(into, F.when(F.col("stays") | (F.col(token) == 0), F.col(token)).otherwise(wild)).drop(token, "stays"), "lines")
 
@@ -110,7 +111,8 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, min_constants: int =
     constant = F.max("constants") + F.when(F.col("g1") != wild, 1).otherwise(0) + F.when((F.col("g2") != wild) & (F.col("g2") != 0), 1).otherwise(0)
     found = rows.groupBy(*template).agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"), constant.alias("constant"))
     found = found.where((F.col("docs") >= min_docs) & (F.col("constant") >= min_constants) & (2 * F.col("constant") >= F.col("n")))
-    lines = rows.join(found.select(*template, "first"), template)
+    found = cut(found.select(*template, "first"), "templates")
+    lines = rows.join(found, template)
     lines = lines.where("doc_id > first") if keep_first else lines
     return lines.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
 
