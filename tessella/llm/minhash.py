@@ -272,7 +272,7 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: the smallest document that links of similarity ``percent``/100 or more reach."""
     source, threshold = texts(docs, id_col, text_col), percent / 100
     signed_docs = cut(source.mapInArrow(lambda it: sign(it, k), "doc_id long, n long, s1 long, s2 long, registers binary"), "signatures")
