@@ -8,6 +8,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy pass handles; a longer single text is one pass of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- tables
@@ -181,6 +184,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: an idle Python worker otherwise keeps its largest task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library is not glibc
+        if trim:
+            trim(0)
 
 
 def record(**columns) -> pa.RecordBatch:

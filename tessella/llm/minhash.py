@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, odd_constants, record, signed, split_words, texts
+from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, odd_constants, record, release, signed, split_words, texts
 from tessella.tables import cut
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -219,6 +219,8 @@ def across(batches: Iterator[pa.RecordBatch], percent: int, band: int = BAND) ->
         held = {c: new[c][at:] for c in new}
     if held:
         yield group_links(held, held["registers"], held["shingles"])
+    held.clear()
+    release()
 
 
 # ---------------------------------------------------------------- confirmation

@@ -34,6 +34,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tessella.llm._common import SOLID, byte_class, chunks, hash_words, learnable, record, split_words, texts
 
 BUCKETS = 1024
+#: Documents in one dense block of term counts.
+BLOCK = 256
 _PUNCTUATION = byte_class([c for c in range(0x21, 0x7F) if not chr(c).isalnum()])
 _CAPITALS = byte_class(range(0x41, 0x5B))
 _DIGITS = byte_class(range(0x30, 0x3A))
@@ -97,7 +99,8 @@ def statistics(docs: DataFrame, buckets: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(buckets, np.int64), 0
         for batch in chunks(batches):
-            df += (terms(batch.column(0), buckets) > 0).sum(0)
+            for a in range(0, batch.num_rows, BLOCK):
+                df += (terms(batch.column(0).slice(a, BLOCK), buckets) > 0).sum(0)
             n += batch.num_rows
         yield record(bucket=np.arange(buckets + 1), n=np.append(df, n))
 
@@ -132,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_label
     return Model(idf, axes.astype(np.float32), _unit(x @ axes).astype(np.float32), y, weights, float(sizes[1] / total) if total else 0.5, neighbours, sharpness)
 
 
-def vote(column: pa.Array, model: Model, block: int = 256) -> np.ndarray:
+def vote(column: pa.Array, model: Model, block: int = BLOCK) -> np.ndarray:
     out = np.full(len(column), model.prior)
     for a in range(0, len(column), block):
         x = weigh(terms(column.slice(a, block), len(model.idf)), model.idf).astype(np.float32)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, ranges, record, signed, split_words, texts
+from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, ranges, record, release, signed, split_words, texts
 from tessella.tables import cut
 
 #: Occurrences, or windows, that a task compares with each other before the shuffle.
@@ -146,6 +146,8 @@ def by_key(batches: Iterator[pa.RecordBatch], done: Callable[[list[np.ndarray]],
             held = [x[cut_at:] for x in held]
     if held:
         yield done(held)
+    held = []
+    release()
 
 
 def extend(rows: list[np.ndarray]) -> pa.RecordBatch:

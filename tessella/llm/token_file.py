@@ -88,7 +88,7 @@ class WordEncoder:
     memory is sorted arrays of 64-bit hashes, at most about ``LIMIT`` of them.
     """
 
-    LIMIT = 1_500_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
