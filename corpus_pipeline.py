@@ -28,7 +28,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of recurring templates (the first document keeps them); ``n_chars`` follows the text."""
-    kept = lines.drop_lines(docs)
+    kept = lines.drop_lines(docs, find=lines.repeated_lines)
     if "n_chars" in docs.columns:
         length = F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
         kept = kept.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))

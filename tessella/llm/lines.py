@@ -10,6 +10,14 @@ documents, and whose constant tokens are at least ``min_constants`` and at least
 of it, is boilerplate: its lines are dropped, except (``keep_first``) in the document
 with the smallest id, so that no content leaves the corpus altogether.
 
+:func:`repeated_lines` goes by the recurrence of whole templates alone, at any size of
+corpus. A line goes if its tokens (digits generalised) recur in at least ``min_docs``
+documents; or if, with any one
+token, or both leading ones, as a variable field, it is a template of ``FIELD_DOCS``
+(3) documents. Templates need the constants named above. It goes where any
+of its templates is in a document with a smaller id. Fields that differ in two tokens
+other than the leading two are found only through lines that differ in one of them.
+
 Scale: texts are read for hashes of lines, six numbers a line; branches and templates
 are counted by partial aggregates (a branch of a third of all lines reaches the
 shuffle once a task) and come back to the lines by joins that Spark may split. Texts
@@ -26,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessella.llm._common import SOLID, chunks, hash_of, hash_words, mix, odd_constants, raw_bytes, record, signed, split_words, texts
+from tessella.llm._common import SOLID, chunks, hash_of, hash_words, lists, mix, odd_constants, ranges, raw_bytes, record, signed, split_words, texts
 from tessella.tables import cut
 
 WILD = np.uint64(hash_of("<*>"))
@@ -44,8 +52,8 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, n, t1, t2, tail, constants) of every line with tokens; absent tokens are 0, constants: of the tail."""
+def _tokens(batches: Iterator[pa.RecordBatch]):
+    """Of each chunk with tokens: ids and numbers of its lines, each line's first token and end, token hashes, constants before each token, and a hash of any run of tokens."""
     for batch in chunks(batches):
         ids = batch.column(0)
         batch = batch.filter(ids.is_valid()) if ids.null_count else batch
@@ -63,18 +71,52 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.append(first[1:], len(h))
         doc, line = doc[first], line[first]
         line = line - breaks[raw_bytes(batch.column(1))[1][doc]]
-        n = end - first
         sums = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(len(h), _B), dtype=np.uint64)])
-        tail_at = np.minimum(first + 2, end)
-        tail = mix((sums[end] - sums[tail_at]) * np.append(_powers(len(h), _B_INVERSE), np.uint64(0))[tail_at])
+        inverse = np.append(_powers(len(h), _B_INVERSE), np.uint64(0))
         constant = np.concatenate([[0], np.cumsum(h != WILD)])
+        yield batch.column(0).to_numpy()[doc], line.astype(np.int64), first, end, h, constant, lambda a, b, sums=sums, inverse=inverse: mix((sums[b] - sums[a]) * inverse[a])
+
+
+def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, n, t1, t2, tail, constants) of every line with tokens; absent tokens are 0, constants: of the tail."""
+    for ids, line, first, end, h, constant, run in _tokens(batches):
+        n = end - first
+        tail_at = np.minimum(first + 2, end)
         second = np.where(n > 1, h[np.minimum(first + 1, len(h) - 1)], np.uint64(0))
         yield record(
-            doc_id=batch.column(0).to_numpy()[doc], line=line.astype(np.int64), n=n.astype(np.int64), t1=signed(h[first]), t2=signed(second),
-            tail=signed(tail), constants=(constant[end] - constant[tail_at]).astype(np.int64),
+            doc_id=ids, line=line, n=n.astype(np.int64), t1=signed(h[first]), t2=signed(second),
+            tail=signed(run(tail_at, end)), constants=(constant[end] - constant[tail_at]).astype(np.int64),
+        )
+
+
+def parse_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, n, whole, head, rest, tail, constants, tail_constants, tokens) of every line with tokens: hashes of all tokens, of the halves, and of all but two."""
+    for ids, line, first, end, h, constant, run in _tokens(batches):
+        n = end - first
+        tail_at, middle = np.minimum(first + 2, end), first + n // 2
+        yield record(
+            doc_id=ids, line=line, n=n.astype(np.int64), whole=signed(run(first, end)), head=signed(run(first, middle)), rest=signed(run(middle, end)), tail=signed(run(tail_at, end)),
+            constants=(constant[end] - constant[first]).astype(np.int64), tail_constants=(constant[end] - constant[tail_at]).astype(np.int64), tokens=lists(signed(h), n),
         )
 
 
+def mask_each(batches: Iterator[pa.RecordBatch], size: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """(n, whole, mask, first, last, docs): each line of (n, whole, first, last, docs, tokens) once for each constant token, with the hash that it has as a variable field."""
+    for batch in batches:
+        n = batch.column(0).to_numpy()
+        group = (np.cumsum(n) - n) // size
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(n)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if a == b:
+                continue
+            h = batch.column(5).slice(a, b - a).flatten().to_numpy().view(np.uint64)
+            own, at = np.repeat(np.arange(a, b), n[a:b]), np.cumsum(n[a:b]) - n[a:b]
+            power = _powers(int(n[a:b].max()), _B)[ranges(np.zeros(b - a, np.int64), n[a:b])]
+            mask = mix(np.repeat(np.add.reduceat(h * power, at), n[a:b]) + (WILD - h) * power)
+            use = np.flatnonzero(h != WILD)
+            yield record(n=n[own[use]], whole=batch.column(1).to_numpy()[own[use]], mask=signed(mask[use]), **{c: batch.column(i).to_numpy()[own[use]] for i, c in ((2, "first"), (3, "last"), (4, "docs"))})
+
+
 def rebuild(batches: Iterator[pa.RecordBatch], text: str, gone: str) -> Iterator[pa.RecordBatch]:
     """The input with the kept text, the number of lines and the number of dropped lines in place of ``gone``."""
     for batch in batches:
@@ -117,9 +159,51 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, min_constants: int =
     return lines.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """``docs`` with the kept lines as its text, and ``__n_lines`` and ``__n_dropped`` as further columns."""
-    gone = recurring_lines(texts(docs, id_col, text_col), **rules).select(F.col("doc_id").alias("__gone_id"), F.col("lines").alias("__gone"))
+#: Documents in which a template with a word for a variable field recurs.
+FIELD_DOCS = 3
+
+
+def repeated_lines(docs: DataFrame, *, min_docs: int = 3, min_constants: int = 3, keep_first: bool = True) -> DataFrame:
+    """``(doc_id, lines)`` by the recurrence of whole templates; see the module."""
+    rows = docs.mapInArrow(parse_fields, "doc_id long, line long, n long, whole long, head long, rest long, tail long, constants long, tail_constants long, tokens array<long>")
+    rows = cut(rows, "lines")
+    same = [F.max(c).alias(c) for c in ("head", "rest", "tail", "constants", "tail_constants")]
+    distinct = rows.groupBy("n", "whole").agg(*same, F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_distinct("doc_id").alias("docs"))
+    distinct = cut(distinct, "sequences")
+
+    def enough(constants: Column) -> Column:
+        return (constants >= min_constants) & (2 * constants >= F.col("n"))
+
+    def recurring(rows: DataFrame, key: str) -> DataFrame:
+        """Keys in FIELD_DOCS documents; sequences in fewer are in just the first and the last."""
+        rows = rows.select("n", key, "first", "docs", F.explode(F.array("first", "last")).alias("doc"))
+        found = rows.groupBy("n", key).agg(F.min("first").alias("start"), F.max("docs").alias("most"), F.count_distinct("doc").alias("n_docs"))
+        return cut(found.where((F.col("most") >= FIELD_DOCS) | (F.col("n_docs") >= FIELD_DOCS)).select("n", key, "start"), "templates")
+
+    literal = distinct.where((F.col("docs") >= min_docs) & enough(F.col("constants")))
+    found = literal.select("n", "whole", F.col("first").alias("start"))
+    led = distinct.where(enough(F.col("tail_constants")))
+    found = found.unionByName(led.join(recurring(led, "tail"), ["n", "tail"]).select("n", "whole", "start"))
+
+    fielded = distinct.where(enough(F.col("constants") - 1))
+    halves = fielded.select("n", "whole", F.posexplode(F.array("head", "rest")).alias("side", "half"))
+    shared = cut(halves.groupBy("n", "side", "half").agg(F.count("*").alias("sequences")).where("sequences > 1").drop("sequences"), "halves")
+    near = halves.join(shared, ["n", "side", "half"], "left_semi").select("n", "whole").distinct()  # lines that differ in one token share a half
+    near = cut(fielded.join(near, ["n", "whole"], "left_semi").select("n", "whole", "first", "last", "docs"), "near")
+    tokens = rows.where(enough(F.col("constants") - 1)).select("n", "whole", "doc_id", "tokens")
+    tokens = tokens.join(near, ["n", "whole"]).where("doc_id = first").select("n", "whole", "first", "last", "docs", "tokens")
+    masks = cut(tokens.mapInArrow(mask_each, "n long, whole long, mask long, first long, last long, docs long"), "masks")
+    found = found.unionByName(masks.join(recurring(masks, "mask"), ["n", "mask"]).select("n", "whole", "start"))
+
+    found = cut(found.groupBy("n", "whole").agg(F.min("start").alias("start")), "found")
+    lines = rows.select("doc_id", "line", "n", "whole").join(found, ["n", "whole"])
+    lines = lines.where("doc_id > start") if keep_first else lines
+    return lines.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+
+
+def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=recurring_lines, **rules) -> DataFrame:
+    """``docs`` with the kept lines as its text, and ``__n_lines`` and ``__n_dropped`` as further columns; ``find``: which lines go."""
+    gone = find(texts(docs, id_col, text_col), **rules).select(F.col("doc_id").alias("__gone_id"), F.col("lines").alias("__gone"))
     joined = docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left").select(*[docs[c] for c in docs.columns], "__gone")
     schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_dropped", LongType())])
     return joined.mapInArrow(lambda it: (b.select(schema.names) for b in rebuild(it, text_col, "__gone")), schema)

@@ -280,6 +280,50 @@ def test_lines(spark):
     assert lines.drop_lines(docs(spark, [])).count() == 0
 
 
+def plain_templates(texts):
+    """Documents' dropped line numbers by the recurrence of whole templates, in plain Python."""
+    seen = defaultdict(set)
+    rows = []
+    for d, t in texts.items():
+        for k, line in enumerate((t or "").split("\n")):
+            w = tuple("<*>" if any(c.isdigit() for c in x) else x for x in line.split())
+            if w and d is not None:
+                own = {(w, 3)} if plain_enough(w) else set()
+                masks = [w[:i] + ("<*>",) + w[i + 1 :] for i in range(len(w)) if w[i] != "<*>"] + [("<*>", "<*>") + w[2:]]
+                own |= {(m, 3) for m in masks if plain_enough(m)}
+                rows.append((d, k, own))
+                for m in own:
+                    seen[m].add(d)
+    gone = defaultdict(set)
+    for d, k, own in rows:
+        if any(len(seen[m]) >= m[1] and min(seen[m]) < d for m in own):
+            gone[d].add(k)
+    return gone
+
+
+def plain_enough(w):
+    constants = sum(x != "<*>" for x in w)
+    return constants >= 3 and 2 * constants >= len(w)
+
+
+@pytest.mark.parametrize("size", [4, 40])
+def test_word_fields_at_two_sizes(spark, size):
+    names, topics = ["Alice", "Bob", "Carol", "Dan"], ["Travel", "Sports"]
+    texts = {i: f"{names[i % 4]} commented on this post\nPosted by {names[i % 4]} in {topics[i // 2 % 2]} news\n{'own ' * (i + 1)}" for i in range(size)}
+    kept = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.drop_boilerplate(spark, docs(spark, texts), SF).collect()}
+    assert not [d for d in kept if d and any("commented" in x for x in kept[d])]
+    gone = plain_templates(texts)
+    assert all(kept[d] == [x for k, x in enumerate(t.split("\n")) if k not in gone[d]] for d, t in texts.items())
+
+
+def test_repeats_are_the_plain_ones(spark):
+    rng = random.Random(6)
+    texts = {i: "\n".join(" ".join(rng.choice(["x", "y", "z", "7"]) for _ in range(rng.randint(0, 8))) for _ in range(3)) for i in range(60)} | {100: "", 101: None, None: "x y z"}
+    want = plain_templates(texts)
+    got = {r.doc_id: set(r.lines) for r in lines.repeated_lines(docs(spark, texts)).collect()}
+    assert got == {d: k for d, k in want.items() if k}
+
+
 # ---------------------------------------------------------------- 7: licences
 
 
