@@ -12,9 +12,9 @@ with the smallest id, so that no content leaves the corpus altogether.
 
 :func:`repeated_lines` goes by the recurrence of whole templates alone, at any size of
 corpus. A line goes if its tokens (digits generalised) recur in at least ``min_docs``
-documents; or if, with any one
+(2) documents, whatever its length where it has no variable field; or if, with any one
 token, or both leading ones, as a variable field, it is a template of ``FIELD_DOCS``
-(3) documents. Templates need the constants named above. It goes where any
+(3) documents. Templates with fields need the constants named above. It goes where any
 of its templates is in a document with a smaller id. Fields that differ in two tokens
 other than the leading two are found only through lines that differ in one of them.
 
@@ -163,7 +163,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, min_constants: int =
 FIELD_DOCS = 3
 
 
-def repeated_lines(docs: DataFrame, *, min_docs: int = 3, min_constants: int = 3, keep_first: bool = True) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_constants: int = 3, keep_first: bool = True) -> DataFrame:
     """``(doc_id, lines)`` by the recurrence of whole templates; see the module."""
     rows = docs.mapInArrow(parse_fields, "doc_id long, line long, n long, whole long, head long, rest long, tail long, constants long, tail_constants long, tokens array<long>")
     rows = cut(rows, "lines")
@@ -180,7 +180,7 @@ def repeated_lines(docs: DataFrame, *, min_docs: int = 3, min_constants: int = 3
         found = rows.groupBy("n", key).agg(F.min("first").alias("start"), F.max("docs").alias("most"), F.count_distinct("doc").alias("n_docs"))
         return cut(found.where((F.col("most") >= FIELD_DOCS) | (F.col("n_docs") >= FIELD_DOCS)).select("n", key, "start"), "templates")
 
-    literal = distinct.where((F.col("docs") >= min_docs) & enough(F.col("constants")))
+    literal = distinct.where((F.col("docs") >= min_docs) & ((F.col("constants") == F.col("n")) | enough(F.col("constants"))))
     found = literal.select("n", "whole", F.col("first").alias("start"))
     led = distinct.where(enough(F.col("tail_constants")))
     found = found.unionByName(led.join(recurring(led, "tail"), ["n", "tail"]).select("n", "whole", "start"))

@@ -288,7 +288,7 @@ def plain_templates(texts):
         for k, line in enumerate((t or "").split("\n")):
             w = tuple("<*>" if any(c.isdigit() for c in x) else x for x in line.split())
             if w and d is not None:
-                own = {(w, 3)} if plain_enough(w) else set()
+                own = {(w, 2)} if "<*>" not in w or plain_enough(w) else set()
                 masks = [w[:i] + ("<*>",) + w[i + 1 :] for i in range(len(w)) if w[i] != "<*>"] + [("<*>", "<*>") + w[2:]]
                 own |= {(m, 3) for m in masks if plain_enough(m)}
                 rows.append((d, k, own))
@@ -306,6 +306,13 @@ def plain_enough(w):
     return constants >= 3 and 2 * constants >= len(w)
 
 
+def test_repeats_in_two_documents_and_of_short_lines(spark):
+    texts = {1: "a line that is in just two documents\nLes.\nown 1", 2: "a line that is in just two documents\nLes.\nown 2", 3: "Les.\nthe third", 4: None, None: "Les."}
+    df = docs(spark, texts, extra=True)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, df, SF).collect()}
+    assert kept == texts | {2: "own 2", 3: "the third"}
+
+
 @pytest.mark.parametrize("size", [4, 40])
 def test_word_fields_at_two_sizes(spark, size):
     names, topics = ["Alice", "Bob", "Carol", "Dan"], ["Travel", "Sports"]
