@@ -1,6 +1,6 @@
 """Exact top-k by inner product with a KD-tree in every shard.
 
-Candidates are spread over shards by a hash of their id (equal vectors spread too)
+Candidates are spread over shards by a hash of their row (equal vectors and ids spread too)
 and queries are dealt into blocks; every shard meets every query block once. A
 shard's tree is built by median splits on its widest dimension, and each node keeps
 the tight bounding box of its rows. A query visits nodes best-first: a node's bound
@@ -18,7 +18,8 @@ and shard are merged, with a k-row aggregate for each query.
 
 Defined cases: vectors that are null, hold null or non-finite components, or differ
 in length from a query, take no part (with that query); so do rows without an id;
-rows repeated under one id count once (the smallest vector); fewer than k candidates
+rows repeated under one id are queries and candidates each, ranked together under their
+id, and none is a candidate of its own id; fewer than k candidates
 give fewer rows; equal scores rank by smaller id; an empty table gives no rows.
 """
 
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from tessella.tables import cut
 
 _OUT = "query_id long, vec_id long, score long"
+#: The floor of a query without a k-th score; floors stay integers, since a double may round up past the score.
+_NONE = -(2**63)
 
 
 class KdTree:
@@ -117,25 +120,24 @@ def answer(key: tuple, queries: pd.DataFrame, shard: pd.DataFrame, k: int, leave
             if size and len(rows):
                 q, v = _matrix(own_queries["v"], size), _matrix(rows["c_v"], size)
                 if q.dtype != v.dtype:
-                    q, v = q.astype(object), v.astype(object)
+                    q, v = (x if x.dtype == object else x.astype(np.int64).astype(object) for x in (q, v))  # Python's integers, not its floats
                 tree = KdTree(v, rows["c_id"].to_numpy())
                 for i, (own, floor, bound) in enumerate(zip(own_queries["vec_id"].tolist(), own_queries["floor"].tolist(), tree.bounds(q), strict=True)):
-                    found += [(own, -x, int(s)) for s, x in tree.search(q[i], own, bound, k, -math.inf if floor is None or math.isnan(floor) else floor, leaves)]
+                    found += [(own, -x, int(s)) for s, x in tree.search(q[i], own, bound, k, floor, leaves)]
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
 def vectors_of(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """``(vec_id, v)``: quantised vectors of the rows that take part, one row for each id."""
+    """``(vec_id, v)``: quantised vectors of the rows that take part."""
     x = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null")
     rows = rows.where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
-    rows = rows.select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale))).cast("double")).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale))).cast("double")).alias("v"))
 
 
 def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, shard_rows: int = 8192, block_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best rows for each row whose id is divisible by ``every``."""
-    rows = cut(vectors_of(vectors, scale, id_col, vector_col), "vectors")
+    rows = cut(vectors_of(vectors, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_queries / block_rows))
@@ -144,11 +146,11 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
         own_part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(own)
         return df.select("*", own_part, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
-    candidates = rows.select(F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"))
-    candidates = spread(candidates, "c_id", "c_shard", shards, "c_block", blocks).groupBy("c_shard", "c_block")
+    candidates = rows.select(F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"), F.col("row").alias("c_row"))
+    candidates = spread(candidates, "c_row", "c_shard", shards, "c_block", blocks).groupBy("c_shard", "c_block")
 
     def round_of(queries: DataFrame, leaves: int) -> DataFrame:
-        grouped = spread(queries, "vec_id", "block", blocks, "shard", shards).groupBy("shard", "block")
+        grouped = spread(queries, "row", "block", blocks, "shard", shards).groupBy("shard", "block")
         return grouped.cogroup(candidates).applyInPandas(lambda key, q, s: answer(key, q, s, k, leaves), _OUT)
 
     def merged(found: DataFrame) -> DataFrame:
@@ -156,7 +158,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     queries = rows.where(is_query)
-    seeds = merged(round_of(queries.withColumn("floor", F.lit(None).cast("double")), 1)).where(F.col("rank") == k)
-    seeds = seeds.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    found = merged(round_of(queries.join(seeds, "vec_id", "left").select("vec_id", "v", "floor"), 0))
+    seeds = merged(round_of(queries.withColumn("floor", F.lit(_NONE)), 1)).where(F.col("rank") == k)
+    seeds = seeds.select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    found = merged(round_of(queries.join(seeds, "vec_id", "left").select("vec_id", "v", "row", F.coalesce("floor", F.lit(_NONE)).alias("floor")), 0))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -225,6 +225,25 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 40, rng.normal(size=4).round(1).tolist()) for i in range(120)]
+    q = [(i, np.floor(256 * np.array(v))) for i, v in rows]
+    want = []
+    for own in range(0, 40, 10):
+        found = sorted((-int(a @ b), j) for i, a in q for j, b in q if i == own != j)
+        want += [(own, n + 1, j, -s) for n, (s, j) in enumerate(found[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, every=10, shard_rows=30, block_rows=4).collect())) == want
+
+
+def test_top_k_beyond_doubles(spark):
+    rows = [(0, [1.0, 2.0**53])] + [(i, [float(-i), 512.0]) for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, every=10, scale=1, shard_rows=2).orderBy("rank").collect()]
+    assert got == [(0, i, i, 2**62 - i) for i in range(1, 6)]
+
+
 # ---------------------------------------------------------------- 5: substrings
 
 
