@@ -11,7 +11,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,6 +171,14 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """True where a row differs in any key from the row before."""
+    new = np.ones(len(keys[0]), np.bool_)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
 # ---------------------------------------------------------------- batches
 
 
@@ -197,6 +205,24 @@ def release() -> None:
             trim(0)
 
 
+def by_key(batches: Iterator[pa.RecordBatch], done: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``done`` of the columns of rows sorted by their first column; equal keys come together."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        held = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+        cut_at = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+        if cut_at:
+            yield done([x[:cut_at] for x in held])
+            held = [x[cut_at:] for x in held]
+    if held:
+        yield done(held)
+    held = []
+    release()
+
+
 def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 

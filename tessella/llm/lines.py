@@ -1,31 +1,33 @@
 """Line deduplication with a log-template tree.
 
-Every line is parsed down a tree of fixed depth: first by its number of tokens, then
-by its two leading tokens. Tokens with a digit are variable fields, ``<*>``, from the
-start. At each of the two levels a leading token stays if at least ``min_docs``
-documents pass through its branch, and is otherwise generalised to ``<*>``, so that
-names and the like share one branch. A leaf with the line's remaining tokens (digits
-generalised) is its template. A template that recurs in at least ``min_docs``
-documents, and whose constant tokens are at least ``min_constants`` and at least half
-of it, is boilerplate: its lines are dropped, except (``keep_first``) in the document
-with the smallest id, so that no content leaves the corpus altogether.
-
-:func:`repeated_lines` goes by the recurrence of whole templates alone, at any size of
-corpus. A line goes if its tokens (digits generalised) recur in at least ``min_docs``
-(2) documents, whatever its length where it has no variable field; or if, with any one
-token, or both leading ones, as a variable field, it is a template of ``FIELD_DOCS``
-(3) documents. Templates with fields need the constants named above. It goes where any
-of its templates is in a document with a smaller id. Fields that differ in two tokens
-other than the leading two are found only through lines that differ in one of them.
-
-Scale: texts are read for hashes of lines, six numbers a line; branches and templates
-are counted by partial aggregates (a branch of a third of all lines reaches the
-shuffle once a task) and come back to the lines by joins that Spark may split. Texts
-are shuffled once, to meet the numbers of their dropped lines.
+Every line is parsed down a tree of fixed depth: by its number of tokens, then by its
+two leading tokens, then by its tail. Tokens with a digit are variable fields, ``<*>``,
+from the start. Other fields are found by what recurs, not by how often a name does, so
+the rule is the same at every size of corpus. A line has these templates:
+
+* itself, which must recur in ``min_docs`` (2) documents, whatever its length where it
+  has no variable field;
+* with both leading tokens generalised;
+* with one of its (at most ``SEGMENTS``) equal segments generalised: in a line of up to
+  eight tokens one token, in a longer one up to an eighth of it;
+* with all its capitalised words but the first generalised (names, places, titles).
+
+The latter three must recur in ``FIELD_DOCS`` (3) documents. A template with variable
+fields needs ``min_constants`` constant tokens that make up half of it. A line goes if
+any of its templates recurs and is in a document with a smaller id (``keep_first``, so
+that no content leaves the corpus altogether; without it, the line goes everywhere).
+
+Scale: a line is at most eleven hashes, whatever its length. A task compares what it
+holds before it shuffles: of a template that recurs within the task, only the rows of its
+smallest document go on under its hash, all others are decided. So the commonest line
+reaches the shuffle about once a task; the rest is spread by hash, sorted by Spark (which
+spills) and streamed, and no join comes back. Texts are shuffled once, to meet the
+numbers of their dropped lines.
 
 Defined cases: null and empty texts have no lines; blank lines are kept and belong to
 no template; rows without an id come back unchanged and are not counted; rows
-repeated under one id are one document.
+repeated under one id are one document; of different texts under one id, a line number
+that goes in one goes in all.
 """
 
 from __future__ import annotations
@@ -34,16 +36,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessella.llm._common import SOLID, chunks, hash_of, hash_words, lists, mix, odd_constants, ranges, raw_bytes, record, signed, split_words, texts
-from tessella.tables import cut
+from tessella.llm._common import SOLID, by_key, chunks, hash_of, hash_words, mix, odd_constants, ranges, raw_bytes, record, runs, signed, split_words, texts
 
 WILD = np.uint64(hash_of("<*>"))
 _B = odd_constants(1, 61)[0]
 _B_INVERSE = np.uint64(pow(int(_B), -1, 2**64))
+#: Segments of a line, one of which may be a variable field.
+SEGMENTS = 8
+#: Documents in which a template with a word for a variable field recurs.
+FIELD_DOCS = 3
+#: Templates that a task compares with each other before the shuffle.
+BUFFER = 1_500_000
+#: What a row says: decided already; a template that needs min_docs or FIELD_DOCS documents; the same, known to recur.
+GONE, SAME, FIELD, SAME_RECURS, FIELD_RECURS = 0, 1, 2, 3, 4
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -52,8 +61,12 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]):
-    """Of each chunk with tokens: ids and numbers of its lines, each line's first token and end, token hashes, constants before each token, and a hash of any run of tokens."""
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
+
+
+def templates(batches: Iterator[pa.RecordBatch], min_constants: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, document, line, kind) of every template of every line with tokens, a chunk at a time."""
     for batch in chunks(batches):
         ids = batch.column(0)
         batch = batch.filter(ids.is_valid()) if ids.null_count else batch
@@ -61,60 +74,95 @@ def _tokens(batches: Iterator[pa.RecordBatch]):
         if not len(words):
             continue
         h = hash_words(words)
-        digits = np.concatenate([[0], np.cumsum((words.data >= 0x30) & (words.data <= 0x39))])
+        digits = _sums(((words.data >= 0x30) & (words.data <= 0x39)).astype(np.int64))
         h[digits[words.end] > digits[words.start]] = WILD
-        breaks = np.concatenate([[0], np.cumsum(words.data == 0x0A)])
+        breaks = _sums((words.data == 0x0A).astype(np.int64))
         doc, line = words.doc_of(), breaks[words.start]
-        new = np.ones(len(h), np.bool_)
-        new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(runs(doc, line))
         end = np.append(first[1:], len(h))
+        n = end - first
         doc, line = doc[first], line[first]
         line = line - breaks[raw_bytes(batch.column(1))[1][doc]]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(len(h), _B), dtype=np.uint64)])
-        inverse = np.append(_powers(len(h), _B_INVERSE), np.uint64(0))
-        constant = np.concatenate([[0], np.cumsum(h != WILD)])
-        yield batch.column(0).to_numpy()[doc], line.astype(np.int64), first, end, h, constant, lambda a, b, sums=sums, inverse=inverse: mix((sums[b] - sums[a]) * inverse[a])
 
-
-def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, n, t1, t2, tail, constants) of every line with tokens; absent tokens are 0, constants: of the tail."""
-    for ids, line, first, end, h, constant, run in _tokens(batches):
-        n = end - first
-        tail_at = np.minimum(first + 2, end)
-        second = np.where(n > 1, h[np.minimum(first + 1, len(h) - 1)], np.uint64(0))
-        yield record(
-            doc_id=ids, line=line, n=n.astype(np.int64), t1=signed(h[first]), t2=signed(second),
-            tail=signed(run(tail_at, end)), constants=(constant[end] - constant[tail_at]).astype(np.int64),
-        )
-
-
-def parse_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, n, whole, head, rest, tail, constants, tail_constants, tokens) of every line with tokens: hashes of all tokens, of the halves, and of all but two."""
-    for ids, line, first, end, h, constant, run in _tokens(batches):
-        n = end - first
-        tail_at, middle = np.minimum(first + 2, end), first + n // 2
-        yield record(
-            doc_id=ids, line=line, n=n.astype(np.int64), whole=signed(run(first, end)), head=signed(run(first, middle)), rest=signed(run(middle, end)), tail=signed(run(tail_at, end)),
-            constants=(constant[end] - constant[first]).astype(np.int64), tail_constants=(constant[end] - constant[tail_at]).astype(np.int64), tokens=lists(signed(h), n),
-        )
-
-
-def mask_each(batches: Iterator[pa.RecordBatch], size: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    """(n, whole, mask, first, last, docs): each line of (n, whole, first, last, docs, tokens) once for each constant token, with the hash that it has as a variable field."""
-    for batch in batches:
-        n = batch.column(0).to_numpy()
-        group = (np.cumsum(n) - n) // size
-        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(n)]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            if a == b:
-                continue
-            h = batch.column(5).slice(a, b - a).flatten().to_numpy().view(np.uint64)
-            own, at = np.repeat(np.arange(a, b), n[a:b]), np.cumsum(n[a:b]) - n[a:b]
-            power = _powers(int(n[a:b].max()), _B)[ranges(np.zeros(b - a, np.int64), n[a:b])]
-            mask = mix(np.repeat(np.add.reduceat(h * power, at), n[a:b]) + (WILD - h) * power)
-            use = np.flatnonzero(h != WILD)
-            yield record(n=n[own[use]], whole=batch.column(1).to_numpy()[own[use]], mask=signed(mask[use]), **{c: batch.column(i).to_numpy()[own[use]] for i, c in ((2, "first"), (3, "last"), (4, "docs"))})
+        power, inverse = _powers(len(h), _B), _powers(len(h), _B_INVERSE)
+        own, loss, constant = _sums(h * power), _sums((h - WILD) * power), _sums((h != WILD).astype(np.int64))
+        rows = []
+
+        def add(of: np.ndarray, total: np.ndarray, constants: np.ndarray, kind: int, use: np.ndarray, rows=rows, n=n, inverse=inverse, first=first):
+            """Templates of the lines ``of`` by the sum of their tokens; those that hold a field and too few constants are left out."""
+            enough = (constants >= min_constants) & (2 * constants >= n[of])
+            keep = use & (enough | (constants == n[of]) if kind == SAME else enough)
+            of, total = of[keep], total[keep]
+            rows.append((mix(total * inverse[first[of]] + n[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)), of, np.full(len(of), kind, np.int8)))
+
+        every, always = np.arange(len(first)), np.ones(len(first), np.bool_)
+        whole, constants = own[end] - own[first], constant[end] - constant[first]
+        add(every, whole, constants, SAME, always)
+        lead = np.minimum(first + 2, end)
+        add(every, whole - (loss[lead] - loss[first]), constants - (constant[lead] - constant[first]), FIELD, always)
+        capital = (words.data[words.start] >= 0x41) & (words.data[words.start] <= 0x5A) & (h != WILD)
+        capital[first] = False
+        names, shed = _sums(capital.astype(np.int64)), _sums(np.where(capital, (h - WILD) * power, np.uint64(0)))
+        add(every, whole - (shed[end] - shed[first]), constants - (names[end] - names[first]), FIELD, names[end] > names[first])
+        size = -(-n // SEGMENTS)
+        parts = -(-n // size)
+        of = np.repeat(every, parts)
+        a = first[of] + ranges(np.zeros(len(n), np.int64), parts) * size[of]
+        b = np.minimum(a + size[of], end[of])
+        inside = constant[b] - constant[a]
+        add(of, whole[of] - (loss[b] - loss[a]), constants[of] - inside, FIELD, inside > 0)
+
+        key, of, kind = (np.concatenate(x) for x in zip(*rows, strict=True))
+        yield key, batch.column(0).to_numpy()[doc[of]], line[of].astype(np.int64), kind
+
+
+def decide(key: np.ndarray, doc: np.ndarray, line: np.ndarray, kind: np.ndarray, min_docs: int, keep_first: bool) -> tuple[np.ndarray, ...]:
+    """Rows sorted by (key, doc): their columns, whether their template recurs among them, whether their line goes, whether they are of the template's first document."""
+    order = np.lexsort((line, doc, key))
+    key, doc, line, kind = key[order], doc[order], line[order], kind[order]
+    new = runs(key)
+    group, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    docs = np.add.reduceat(runs(key, doc).astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+    known = np.maximum.reduceat(kind, at) >= SAME_RECURS if len(at) else np.empty(0, np.bool_)
+    need = np.where((kind[at] == SAME) | (kind[at] == SAME_RECURS), min_docs, FIELD_DOCS)
+    recurs = ((docs >= need) | known)[group]
+    is_first = doc == doc[at][group]
+    return key, doc, line, kind, recurs, recurs & (~is_first if keep_first else np.ones(len(key), np.bool_)), is_first
+
+
+def seed(batches: Iterator[pa.RecordBatch], min_docs: int, min_constants: int, keep_first: bool, buffer: int) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, line, kind): what a task has decided, and what it must compare with other tasks."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush():
+        if not held:
+            return
+        joined = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        key, doc, line, kind, recurs, gone, is_first = decide(*joined, min_docs, keep_first)
+        open_ = ~recurs | is_first
+        key, to, at, kind = key[open_], doc[open_], line[open_], np.where(recurs & (kind <= FIELD), kind + 2, kind)[open_]
+        done = np.unique(np.stack([doc[gone], line[gone]], 1), axis=0) if gone.any() else np.empty((0, 2), np.int64)
+        spread = mix(done[:, 0].astype(np.uint64) + done[:, 1].astype(np.uint64))
+        rows = (np.concatenate([key, spread]), np.concatenate([to, done[:, 0]]), np.concatenate([at, done[:, 1]]), np.concatenate([kind, np.full(len(done), GONE, np.int8)]))
+        for a in range(0, len(rows[0]), 500_000):
+            k, d, n, how = (x[a : a + 500_000] for x in rows)
+            yield record(key=signed(k), doc_id=d, line=n, kind=how.astype(np.int32))
+
+    for found in templates(batches, min_constants):
+        held.append(found)
+        if sum(len(x[0]) for x in held) >= buffer:
+            yield from flush()
+    yield from flush()
+
+
+def settle(rows: list[np.ndarray], min_docs: int, keep_first: bool) -> pa.RecordBatch:
+    """(doc_id, line) of the lines that go, of all rows under some keys."""
+    key, doc, line, kind = rows
+    gone = kind == GONE
+    open_ = ~gone
+    _, own, at, _, _, goes, _ = decide(key[open_], doc[open_], line[open_], kind[open_], min_docs, keep_first)
+    return record(doc_id=np.concatenate([doc[gone], own[goes]]), line=np.concatenate([line[gone], at[goes]]))
 
 
 def rebuild(batches: Iterator[pa.RecordBatch], text: str, gone: str) -> Iterator[pa.RecordBatch]:
@@ -135,75 +183,16 @@ def rebuild(batches: Iterator[pa.RecordBatch], text: str, gone: str) -> Iterator
         yield record(**columns, __n_lines=pa.array(n_lines, pa.int64()), __n_dropped=pa.array(n_dropped, pa.int64()))
 
 
-def recurring_lines(docs: DataFrame, *, min_docs: int = 3, min_constants: int = 3, keep_first: bool = True) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_constants: int = 3, keep_first: bool = True, buffer: int = BUFFER) -> DataFrame:
     """``(doc_id, lines)``: numbers, from 0, of the lines to drop; ``docs``: (doc_id, text)."""
-    wild = F.lit(int(signed(np.array([WILD]))[0]))
-    rows = cut(docs.mapInArrow(parse, "doc_id long, line long, n long, t1 long, t2 long, tail long, constants long"), "lines")
-
-    def generalise(rows: DataFrame, branch: list[str], token: str, into: str) -> DataFrame:
-        passing = rows.select("doc_id", *branch, token).distinct().groupBy(*branch, token).agg(F.count("*").alias("docs"))
-        stays = passing.where(F.col("docs") >= min_docs).select(*branch, token, F.lit(True).alias("stays"))
-        stays = cut(stays, "branches")  # a table of known size: Spark may broadcast it, or split a common branch of the lines
-        out = rows.join(stays, [*branch, token], "left")
-        return cut(out.withColumn(into, F.when(F.col("stays") | (F.col(token) == 0), F.col(token)).otherwise(wild)).drop(token, "stays"), "lines")
-
-    rows = generalise(rows, ["n"], "t1", "g1")
-    rows = generalise(rows, ["n", "g1"], "t2", "g2")
-    template = ["n", "g1", "g2", "tail"]
-    constant = F.max("constants") + F.when(F.col("g1") != wild, 1).otherwise(0) + F.when((F.col("g2") != wild) & (F.col("g2") != 0), 1).otherwise(0)
-    found = rows.groupBy(*template).agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"), constant.alias("constant"))
-    found = found.where((F.col("docs") >= min_docs) & (F.col("constant") >= min_constants) & (2 * F.col("constant") >= F.col("n")))
-    found = cut(found.select(*template, "first"), "templates")
-    lines = rows.join(found, template)
-    lines = lines.where("doc_id > first") if keep_first else lines
-    return lines.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-
-
-#: Documents in which a template with a word for a variable field recurs.
-FIELD_DOCS = 3
+    rows = docs.mapInArrow(lambda it: seed(it, min_docs, min_constants, keep_first, buffer), "key long, doc_id long, line long, kind int")
+    gone = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda x: settle(x, min_docs, keep_first)), "doc_id long, line long")
+    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
-def repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_constants: int = 3, keep_first: bool = True) -> DataFrame:
-    """``(doc_id, lines)`` by the recurrence of whole templates; see the module."""
-    rows = docs.mapInArrow(parse_fields, "doc_id long, line long, n long, whole long, head long, rest long, tail long, constants long, tail_constants long, tokens array<long>")
-    rows = cut(rows, "lines")
-    same = [F.max(c).alias(c) for c in ("head", "rest", "tail", "constants", "tail_constants")]
-    distinct = rows.groupBy("n", "whole").agg(*same, F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_distinct("doc_id").alias("docs"))
-    distinct = cut(distinct, "sequences")
-
-    def enough(constants: Column) -> Column:
-        return (constants >= min_constants) & (2 * constants >= F.col("n"))
-
-    def recurring(rows: DataFrame, key: str) -> DataFrame:
-        """Keys in FIELD_DOCS documents; sequences in fewer are in just the first and the last."""
-        rows = rows.select("n", key, "first", "docs", F.explode(F.array("first", "last")).alias("doc"))
-        found = rows.groupBy("n", key).agg(F.min("first").alias("start"), F.max("docs").alias("most"), F.count_distinct("doc").alias("n_docs"))
-        return cut(found.where((F.col("most") >= FIELD_DOCS) | (F.col("n_docs") >= FIELD_DOCS)).select("n", key, "start"), "templates")
-
-    literal = distinct.where((F.col("docs") >= min_docs) & ((F.col("constants") == F.col("n")) | enough(F.col("constants"))))
-    found = literal.select("n", "whole", F.col("first").alias("start"))
-    led = distinct.where(enough(F.col("tail_constants")))
-    found = found.unionByName(led.join(recurring(led, "tail"), ["n", "tail"]).select("n", "whole", "start"))
-
-    fielded = distinct.where(enough(F.col("constants") - 1))
-    halves = fielded.select("n", "whole", F.posexplode(F.array("head", "rest")).alias("side", "half"))
-    shared = cut(halves.groupBy("n", "side", "half").agg(F.count("*").alias("sequences")).where("sequences > 1").drop("sequences"), "halves")
-    near = halves.join(shared, ["n", "side", "half"], "left_semi").select("n", "whole").distinct()  # lines that differ in one token share a half
-    near = cut(fielded.join(near, ["n", "whole"], "left_semi").select("n", "whole", "first", "last", "docs"), "near")
-    tokens = rows.where(enough(F.col("constants") - 1)).select("n", "whole", "doc_id", "tokens")
-    tokens = tokens.join(near, ["n", "whole"]).where("doc_id = first").select("n", "whole", "first", "last", "docs", "tokens")
-    masks = cut(tokens.mapInArrow(mask_each, "n long, whole long, mask long, first long, last long, docs long"), "masks")
-    found = found.unionByName(masks.join(recurring(masks, "mask"), ["n", "mask"]).select("n", "whole", "start"))
-
-    found = cut(found.groupBy("n", "whole").agg(F.min("start").alias("start")), "found")
-    lines = rows.select("doc_id", "line", "n", "whole").join(found, ["n", "whole"])
-    lines = lines.where("doc_id > start") if keep_first else lines
-    return lines.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-
-
-def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=recurring_lines, **rules) -> DataFrame:
-    """``docs`` with the kept lines as its text, and ``__n_lines`` and ``__n_dropped`` as further columns; ``find``: which lines go."""
-    gone = find(texts(docs, id_col, text_col), **rules).select(F.col("doc_id").alias("__gone_id"), F.col("lines").alias("__gone"))
+def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """``docs`` with the kept lines as its text, and ``__n_lines`` and ``__n_dropped`` as further columns; ``rules`` of :func:`repeated_lines`."""
+    gone = repeated_lines(texts(docs, id_col, text_col), **rules).select(F.col("doc_id").alias("__gone_id"), F.col("lines").alias("__gone"))
     joined = docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left").select(*[docs[c] for c in docs.columns], "__gone")
     schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_dropped", LongType())])
     return joined.mapInArrow(lambda it: (b.select(schema.names) for b in rebuild(it, text_col, "__gone")), schema)

@@ -117,14 +117,16 @@ OP6_SQL = r"""
 WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, unnest(ls) AS t, unnest(range(len(ls))) AS line FROM l),
 y AS (SELECT doc_id, line, list_transform(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), lambda k: CASE WHEN regexp_matches(k, '[0-9]') THEN '<*>' ELSE k END) AS w FROM x),
-z AS (SELECT doc_id, line, len(w) AS n, w[1] AS t1, coalesce(w[2], '') AS t2, list_slice(w, 3, len(w)) AS tail FROM y WHERE len(w) > 0),
-b1 AS (SELECT n, t1 FROM z GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
-z1 AS (SELECT z.*, CASE WHEN b1.n IS NULL THEN '<*>' ELSE z.t1 END AS g1 FROM z LEFT JOIN b1 ON z.n = b1.n AND z.t1 = b1.t1),
-b2 AS (SELECT n, g1, t2 FROM z1 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
-z2 AS (SELECT z1.*, CASE WHEN b2.n IS NULL AND z1.t2 <> '' THEN '<*>' ELSE z1.t2 END AS g2 FROM z1 LEFT JOIN b2 ON z1.n = b2.n AND z1.g1 = b2.g1 AND z1.t2 = b2.t2),
-tm AS (SELECT n, g1, g2, tail, min(doc_id) AS first, cast(g1 <> '<*>' AS INT) + cast(g2 NOT IN ('<*>', '') AS INT) + len(list_filter(tail, lambda k: k <> '<*>')) AS c
-       FROM z2 GROUP BY n, g1, g2, tail HAVING count(DISTINCT doc_id) >= 3),
-gone AS (SELECT doc_id, line FROM z2 JOIN tm USING (n, g1, g2, tail) WHERE c >= 3 AND 2 * c >= n AND doc_id > first),
+z AS (SELECT doc_id, line, w, len(w) AS n, cast(ceil(len(w) / 8) AS BIGINT) AS size FROM y WHERE len(w) > 0),
+seg AS (SELECT *, unnest(range(0, n, size)) AS a FROM z),
+v AS (
+  SELECT doc_id, line, 2 AS need, w AS m FROM z
+  UNION ALL SELECT doc_id, line, 3, list_transform(w, lambda k, i: CASE WHEN i <= 2 THEN '<*>' ELSE k END) FROM z
+  UNION ALL SELECT doc_id, line, 3, list_transform(w, lambda k, i: CASE WHEN i > 1 AND regexp_matches(k, '^[A-Z]') THEN '<*>' ELSE k END) FROM z WHERE len(list_filter(w[2:], lambda k: regexp_matches(k, '^[A-Z]'))) > 0
+  UNION ALL SELECT doc_id, line, 3, list_transform(w, lambda k, i: CASE WHEN i > a AND i <= a + size THEN '<*>' ELSE k END) FROM seg WHERE len(list_filter(w[a + 1 : a + size], lambda k: k <> '<*>')) > 0),
+c AS (SELECT *, len(list_filter(m, lambda k: k <> '<*>')) AS c FROM v),
+tm AS (SELECT need, m, min(doc_id) AS first FROM c WHERE (c >= 3 AND 2 * c >= len(m)) OR (need = 2 AND c = len(m)) GROUP BY need, m HAVING count(DISTINCT doc_id) >= need),
+gone AS (SELECT DISTINCT doc_id, line FROM v JOIN tm USING (need, m) WHERE doc_id > first),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(t, chr(10) ORDER BY line) AS t FROM x ANTI JOIN gone USING (doc_id, line) GROUP BY 1)
 SELECT doc_id, cast(CASE WHEN text = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines,
        cast(CASE WHEN text = '' THEN 0 ELSE len(ls) - coalesce(kept.n, 0) END AS BIGINT) AS n_dropped, sha256(coalesce(kept.t, '')) AS kept_sha256

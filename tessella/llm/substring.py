@@ -23,14 +23,14 @@ different texts); texts shorter than ``length`` words are never touched.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, ranges, record, release, signed, split_words, texts
+from tessella.llm._common import SOLID, by_key, chunks, gram_hashes, hash_words, mix, ranges, record, runs, signed, split_words, texts
 from tessella.tables import cut
 
 #: Occurrences, or windows, that a task compares with each other before the shuffle.
@@ -79,14 +79,6 @@ def occurrences(words, h: np.ndarray, length: int, gram: int) -> tuple[np.ndarra
     return g[place], extension, of, a - words.first[of], count
 
 
-def runs(*keys: np.ndarray) -> np.ndarray:
-    """True where a row differs in any key from the row before."""
-    new = np.ones(len(keys[0]), np.bool_)
-    if len(new):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return new
-
-
 def compare(anchor: np.ndarray, extension: np.ndarray, doc: np.ndarray, at: np.ndarray, announced: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted occurrences, which of them repeat a smaller document's, and whether their anchor's extensions differ between documents."""
     order = np.lexsort((doc, extension, anchor))
@@ -132,24 +124,6 @@ def seed(batches: Iterator[pa.RecordBatch], length: int, gram: int, buffer: int)
     yield from flush()
 
 
-def by_key(batches: Iterator[pa.RecordBatch], done: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``done`` of the columns of rows sorted by their first column; equal keys come together."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(rows[0]):
-            continue
-        held = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
-        cut_at = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
-        if cut_at:
-            yield done([x[:cut_at] for x in held])
-            held = [x[cut_at:] for x in held]
-    if held:
-        yield done(held)
-    held = []
-    release()
-
-
 def extend(rows: list[np.ndarray]) -> pa.RecordBatch:
     """Repeats and ends of repeats, of all rows that concern some anchors."""
     key, extension, doc, at, kind = rows
