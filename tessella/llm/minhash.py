@@ -1,33 +1,44 @@
 """Near-duplicate detection with HyperMinHash signatures.
 
-A document's set is its distinct five-word shingles. For each of ``registers``
-hash functions, the smallest hash of the set is compressed to its number of leading
-zeros and the ``mantissa`` bits after them. Registers are banded; documents with an
-equal band are candidates. For a candidate pair the share of equal registers, less
-the share expected from chance collisions of compressed registers at these set
-sizes, estimates the Jaccard similarity; pairs whose estimate is within six standard
-deviations of the threshold (or above) are confirmed on their full sets.
+A document's set is its distinct five-word shingles, each hashed once. The hash's first
+bits choose one of ``registers`` buckets; a bucket keeps the smallest of the remaining
+bits, compressed to its number of leading zeros and the ``mantissa`` bits after them. An
+empty bucket, of which a short text has many, takes over another bucket's register: the
+first filled one in an order that is fixed for each bucket, so that registers of two sets
+still agree as often as the sets do. Registers are banded; documents with an equal band
+are candidates. For a candidate pair the share of equal registers, less the share
+expected from chance collisions of compressed registers at these set sizes, estimates the
+Jaccard similarity; pairs whose estimate is within six standard deviations of the
+threshold (or above) are confirmed on their full sets.
 
 No step lists all pairs of a bucket. Equal sets are one class from the start. Round
 one links each class of a bucket to the bucket's smallest, confirms these links and
 takes connected components. Only buckets that then still hold several components
-need more: in round two their classes meet with their full sets, in blocks of at most
-``block`` classes, so that a task is bounded whatever the bucket's size. Pairs across
-components (each in its first common band only) are estimated and confirmed there and
-then, and only links that unite two components leave the task, at most one for each
+need more: in round two their classes meet with their full sets. Classes of buckets of
+more than ``block`` meet by rare shingles instead: two sets of similarity 0.75 share one
+of the rarest quarter of the shingles of either, so each class is sent to those of this
+quarter that another class has too. Texts with a passage in common, which fill a bucket,
+do not meet by that passage; what is sent grows with the classes, not with their pairs,
+and no link is lost by it. What is still larger than a block is compared in pairs of
+blocks, so that a task is bounded whatever the bucket's size. Pairs across components
+(of a band's bucket, in the first common band only) are estimated and confirmed there
+and then, and only links that unite two components leave the task, at most one for each
 class and block. A pair inside one component cannot change the result.
 
 With 32 bands of 4 registers, a pair at the threshold of 0.75 shares no band with
 probability (1 - 0.75^4)^32 = 5e-6.
 
-Scale: signatures are 2 bytes a register; band rows are two longs; texts move for
-confirmation only, where the pairs are not few enough to be broadcast by Spark's own
-size check. Components are found by alternating large-star and small-star joins on
-tables in the shared folder, in a number of rounds logarithmic in their diameter.
+Scale: a shingle costs one hash; signatures are 2 bytes a register; band rows are two
+longs; texts move for confirmation only, where the pairs are not few enough to be
+broadcast by Spark's own size check. Components are found by alternating large-star and
+small-star joins on tables in the shared folder, in a number of rounds logarithmic in
+their diameter.
 
 Defined cases: null, empty and wordless texts have 0 shingles and are linked with
 nothing; a text of one to four words is one shingle; rows without an id come back
-with component null and are kept; rows repeated under one id are one document.
+with component null and are kept; rows repeated under one id are one document; different
+texts under one id count their own shingles each, and one of them stands for the id in
+its links.
 """
 
 from __future__ import annotations
@@ -39,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, odd_constants, record, release, signed, split_words, texts
+from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, record, release, runs, signed, split_words, texts
 from tessella.tables import cut
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -82,14 +93,33 @@ def compress(smallest: np.ndarray, mantissa: int = MANTISSA) -> np.ndarray:
     return ((zeros << np.uint64(mantissa)) | (rest >> np.uint64(64 - mantissa))).astype(np.uint16)
 
 
+def _probes(registers: int) -> np.ndarray:
+    """For each bucket, the order in which it looks for a filled one when it is empty."""
+    return np.random.Generator(np.random.PCG64(128)).permuted(np.tile(np.arange(registers), (registers, 1)), axis=1)
+
+
+_PROBES = {REGISTERS: _probes(REGISTERS)}
+
+
 def signatures(values: np.ndarray, first: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """One row of registers for each text that has shingles."""
-    start = first[:-1][np.diff(first) > 0]
-    out = np.empty((len(start), registers), np.uint16)
-    for j, by in enumerate(odd_constants(registers, 128)):
-        if len(start):
-            out[:, j] = compress(np.minimum.reduceat(values * by, start))
-    return out
+    """One row of registers (a power of two) for each text that has shingles; ``values`` ascend within a text."""
+    count = np.diff(first)
+    count = count[count > 0]
+    bits = np.uint64(registers.bit_length() - 1)
+    cell = np.repeat(np.arange(len(count)) * registers, count) + (values >> (np.uint64(64) - bits)).astype(np.int64)
+    smallest = runs(cell)  # values ascend, so a bucket's first is its smallest
+    out, filled = np.zeros(len(count) * registers, np.uint16), np.zeros(len(count) * registers, np.bool_)
+    out[cell[smallest]] = compress(values[smallest] << bits)
+    filled[cell[smallest]] = True
+    probes = _PROBES[registers] if registers in _PROBES else _probes(registers)
+    empty, step = np.flatnonzero(~filled), 0
+    while len(empty):
+        own = empty % registers
+        at = empty - own + probes[own, step]
+        found = filled[at]
+        out[empty[found]] = out[at[found]]
+        empty, step = empty[~found], step + 1
+    return out.reshape(-1, registers)
 
 
 def sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -109,6 +139,10 @@ def sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- candidates
 
 
+#: The last byte of a bucket's key is its band; the byte before it is 0, or _RARE where classes meet by a shingle.
+_FREE, _RARE = ~np.uint64(0xFFFF), 0xFF
+
+
 def bands(batches: Iterator[pa.RecordBatch], band: int = BAND) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -119,27 +153,44 @@ def bands(batches: Iterator[pa.RecordBatch], band: int = BAND) -> Iterator[pa.Re
         for j in range(band):
             key = mix(key + table[:, :, j] + np.uint64(1))
         number = np.arange(key.shape[1], dtype=np.uint64)
-        key = mix(key + number * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(0xFF) | number  # the last byte is the band
+        key = mix(key + number * np.uint64(0x9E3779B97F4A7C15)) & _FREE | number
         yield record(key=signed(key.ravel()), doc=np.repeat(batch.column(0).to_numpy(), key.shape[1]))
 
 
+def spell(batches: Iterator[pa.RecordBatch], size: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """(doc, n, shingle) of each shingle of rows (doc, n, shingles)."""
+    for batch in batches:
+        doc, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        group = (np.cumsum(n) - n) // size
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(n)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            shingle = np.frombuffer(b"".join(batch.column(2).slice(a, b - a).to_pylist()), np.int64)
+            yield record(doc=np.repeat(doc[a:b], n[a:b]), n=np.repeat(n[a:b], n[a:b]), shingle=shingle)
+
+
 def registers_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def chance(a: np.ndarray, b: np.ndarray, mantissa: int = MANTISSA) -> np.ndarray:
-    """Expected share of registers that are equal by chance for disjoint sets of ``a`` and ``b`` elements."""
-    a, b, out = a.astype(np.float64), b.astype(np.float64), np.zeros(len(a))
+def chance(a: np.ndarray, b: np.ndarray, registers: int = REGISTERS, mantissa: int = MANTISSA) -> np.ndarray:
+    """Expected share of registers that are equal by chance for disjoint sets of ``a`` and ``b`` elements.
+
+    A filled bucket of a set of n elements holds the smallest of about n / registers uniform values.
+    """
+    rate, out = [np.asarray(n, np.float64) / registers for n in (a, b)], np.zeros(len(a))
+
+    def above(n: np.ndarray, x: float) -> np.ndarray:
+        return (np.exp(-n * x) - np.exp(-n)) / -np.expm1(-n)
+
     for zeros in range(40):
-        high, low = 2.0**-zeros, 2.0 ** -(zeros + 1)
-        cell = [np.exp(n * np.log1p(-low)) - (np.exp(n * np.log1p(-high)) if zeros else 0.0) for n in (a, b)]
+        cell = [above(n, 2.0 ** -(zeros + 1)) - above(n, 2.0**-zeros) for n in rate]
         out += cell[0] * cell[1]
     return out / 2**mantissa
 
 
 def estimate(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Collision-corrected Jaccard estimate of pairs of signatures of sets of ``a`` and ``b`` elements."""
-    by_chance = chance(a, b)
+    by_chance = chance(a, b, x.shape[1])
     return np.maximum(0.0, ((x == y).mean(1) - by_chance) / (1 - by_chance))
 
 
@@ -191,10 +242,10 @@ def across(batches: Iterator[pa.RecordBatch], percent: int, band: int = BAND) ->
             p, q = i[use], j[use]
             if len(p):
                 same = registers[p] == registers[q]
-                by_chance = chance(c["n"][p], c["n"][q])
+                by_chance = chance(c["n"][p], c["n"][q], same.shape[1])
                 fit = (same.mean(1) - by_chance) / (1 - by_chance) >= floor_of(percent / 100)
                 common = same[:, : same.shape[1] // band * band].reshape(len(p), -1, band).all(2)
-                fit &= common.argmax(1) == (c["key"][p] & 0xFF)  # a pair is looked at in its first common band
+                fit &= (c["key"][p] >> 8 & 0xFF == _RARE) | (common.argmax(1) == (c["key"][p] & 0xFF))  # a pair is looked at in its first common band
                 for a, b in zip(p[fit].tolist(), q[fit].tolist(), strict=True):
                     ra, rb = root(group[a], c["component"][a]), root(group[a], c["component"][b])
                     if ra != rb:
@@ -274,6 +325,43 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
+def meeting(placed: DataFrame, source: DataFrame, *, k: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """``key, x, y, part, doc, component``: where classes of buckets that hold several components meet; and the sets of these classes.
+
+    ``placed``: (key, doc, component). Groups (key, x, y) hold at most about two blocks.
+    """
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+
+    sizes = cut(mixed(placed), "buckets")
+    few = cut(placed.join(sizes.where(F.col("size") <= block), "key").select("key", "doc", "component", "size"), "few")
+    many = cut(placed.join(sizes.where(F.col("size") > block).select("key"), "key").select("doc", "component").distinct(), "many")
+    wanted = cut(few.select("doc").unionByName(many.select("doc")).distinct(), "wanted")
+    sets = source.join(wanted, source["doc_id"] == wanted["doc"]).select("doc_id", "text").dropDuplicates(["doc_id"])
+    sets = cut(sets.mapInArrow(lambda it: set_rows(it, k), "doc long, n long, registers binary, shingles binary"), "sets")
+
+    each = sets.join(many.select("doc"), "doc", "left_semi").select("doc", "n", "shingles").mapInArrow(spell, "doc long, n long, shingle long")
+    common = cut(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    own = each.join(common, "shingle").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    # n - size(own) shingles, which no other class has, come first in the order of rarity
+    prefix = F.greatest(F.lit(0), F.size("own") - F.expr(f"cast((n * {percent} + 99) div 100 AS INT)") + 1)
+    met = own.select("doc", F.explode(F.slice("own", F.lit(1), prefix)).alias("x"))
+    key = F.col("x.shingle").bitwiseAND(F.lit(-65536)).bitwiseOR(F.lit(_RARE << 8))
+    rare = cut(met.select(key.alias("key"), "doc").distinct().join(many, "doc"), "rare")
+    rare = rare.join(mixed(rare), "key").select("key", "doc", "component", "size")
+
+    n_parts = F.ceil(F.col("size") / block).cast("int")
+    spread = (
+        few.unionByName(rare)
+        .withColumn("parts", n_parts)
+        .withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "doc", "component")
+    )
+    return cut(spread, "mixed"), sets
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: the smallest document that links of similarity ``percent``/100 or more reach."""
     source, threshold = texts(docs, id_col, text_col), percent / 100
@@ -294,19 +382,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, block: in
 
     # round two: what is left in one bucket, but in different components
     placed = rows.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    parts = F.ceil(F.col("size") / block).cast("int")
-    spread = (
-        placed.join(mixed.select("key", "size"), "key")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "doc", "component")
-    )
-    spread = cut(spread, "mixed")
-    wanted = cut(spread.select("doc").distinct(), "mixed")
-    sets = source.join(wanted, source["doc_id"] == wanted["doc"]).select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = cut(sets.mapInArrow(lambda it: set_rows(it, k), "doc long, n long, registers binary, shingles binary"), "sets")
+    spread, sets = meeting(placed, source, k=k, percent=percent, block=block)
     met = spread.join(sets, "doc").select("key", "x", "y", "part", "doc", "component", "n", "registers", "shingles")
     crossing = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "doc")
     more = cut(crossing.mapInArrow(lambda it: across(it, percent), "a long, b long").distinct(), "links")

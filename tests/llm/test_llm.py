@@ -502,6 +502,57 @@ def test_estimates_are_near_the_truth():
         assert minhash.estimate(rows[0], rows[1], size, size)[0] == pytest.approx(j, abs=0.1)
 
 
+@pytest.mark.parametrize("n", [4, 12, 60, 800])
+def test_candidates_find_nearly_all_links(n):
+    """Of pairs at the threshold, the share that have a common band and pass the estimate."""
+    rng = np.random.default_rng(n)
+    both, pairs = -(-3 * n // 4), 400
+    found = 0
+    for _ in range(pairs):
+        values = np.unique(rng.integers(0, 2**64, 2 * n + 10, np.uint64))
+        rng.shuffle(values)
+        sets = [np.sort(values[:n]), np.sort(values[:both])]
+        rows = [minhash.signatures(s, np.array([0, len(s)])) for s in sets]
+        near = minhash.estimate(*rows, np.array([n]), np.array([both]))[0] >= minhash.floor_of(0.75)
+        found += bool(near and (rows[0] == rows[1]).reshape(-1, minhash.BAND).all(1).any())
+    assert found >= 0.99 * pairs
+
+
+def test_empty_buckets_take_a_filled_one():
+    values = np.sort(np.random.default_rng(1).integers(0, 2**64, 3, np.uint64))
+    one = minhash.signatures(values, np.array([0, 3]))[0]
+    own = {int(v >> np.uint64(57)): int(minhash.compress(np.array([v << np.uint64(7)]))[0]) for v in values[::-1]}
+    assert set(one.tolist()) == set(own.values()) and all(one[b] == v for b, v in own.items())
+    assert minhash.signatures(np.empty(0, np.uint64), np.array([0, 0])).shape == (0, 128)
+
+
+def test_a_hot_bucket_meets_by_rare_shingles(spark):
+    """Texts that share half their words but are no copies fill some buckets; what meets grows with them, not with their pairs."""
+    met = {}
+    for n in (1000, 4000):
+        rng = random.Random(11)
+        passage = " ".join(f"p{i}" for i in range(54))
+        texts = {2 * i: passage + " " + " ".join(f"q{rng.randrange(10**9)}" for _ in range(50)) for i in range(n)}
+        texts |= {2 * n + 1: texts[0] + " more", 2 * n + 3: texts[2 * n - 2] + " tail"}
+        df = docs(spark, texts)
+        sig = df.mapInArrow(lambda it: minhash.sign(it, 5), "doc_id long, n long, s1 long, s2 long, registers binary").select("doc_id", "registers")
+        placed = sig.mapInArrow(minhash.bands, "key long, doc long").withColumn("component", F.col("doc")).cache()
+        assert placed.groupBy("key").count().agg(F.max("count")).first()[0] > 300
+        met[n] = minhash.meeting(placed, df, k=5, percent=75, block=16)[0].count()
+    assert all(rows < 3 * n for n, rows in met.items())
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, block=64).collect()}
+    assert found == {d: {2 * n + 1: 0, 2 * n + 3: 2 * n - 2}.get(d, d) for d in texts}
+
+
+def test_near_duplicates_of_long_texts(spark):
+    rng = random.Random(12)
+    long = [rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(20_000)]
+    near = [w if rng.random() > 0.01 else "x" for w in long]
+    other = [w if rng.random() > 0.2 else "x" for w in long]
+    texts = {1: " ".join(long), 2: " ".join(near), 3: " ".join(other)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts)).collect()} == plain_groups(texts)
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)]
     found = {r.doc: r.component for r in minhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
