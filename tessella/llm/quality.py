@@ -11,11 +11,12 @@ share of all learnable labels over its share of the sample, so the score estimat
 probability although the sample is balanced.
 
 Scale: two scans of the texts (term statistics, scores), no shuffle of texts. The
-sample is ``per_label`` documents of each label, the first by a hash of the id; it is
-what is collected and broadcast, with ``buckets`` term statistics.
+sample is ``per_label`` documents of each label, the first by a hash of the id, whole
+texts (the bound is on documents, not on bytes); it is what is collected and broadcast,
+with ``buckets`` term statistics.
 
 Defined cases: a null text is empty; empty texts and texts without a known term score
-the share of label 1; documents labelled twice count with each label; labels of other
+the share of label 1; documents labelled both ways count with each label; labels of other
 values than 0 and 1, and labels without a document, are not used; without any label,
 all score 0.5; only one label known: its value.
 """
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessella.llm._common import SOLID, byte_class, chunks, hash_words, learnable, record, split_words, texts
+from tessella.tables import cut
 
 BUCKETS = 1024
 #: Documents in one dense block of term counts.
@@ -111,13 +113,18 @@ def statistics(docs: DataFrame, buckets: int) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts and labels of at most ``per_label`` learnable documents of each label, and the number of learnable documents of each."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learnable())
-    known = docs.join(marks, "doc_id")
+    """Texts and labels of at most ``per_label`` learnable documents of each label, and the number of learnable documents of each.
+
+    Documents are chosen among those that have a label and a row in ``docs``; of rows
+    repeated under one id one counts.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learnable()).distinct()
+    known = cut(marks.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")
     order = F.xxhash64("doc_id")
-    chosen = [marks.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_label) for y in (0, 1)]
-    rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.y, r.text or ""))
+    chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_label) for y in (0, 1)]
+    chosen = cut(chosen[0].unionByName(chosen[1]), "chosen")  # a table of known size, which Spark may broadcast
+    rows = docs.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.y))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     return [r.text or "" for r in rows], np.array([r.y for r in rows], np.int64), np.array([sizes.get(0, 0), sizes.get(1, 0)], np.float64)
 

@@ -1,18 +1,20 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
 Features are the words of a text and their five-byte beginnings, hashed, present or
-not. A logistic model with an L1 penalty is fitted by accelerated proximal gradient
-steps. For every labelled sentence that names an identity group, copies are made in
-which the identity term is replaced by each of the other terms of its list; the squared
-change of the score (before the logistic) between the sentence and its copies is
-penalised, and so is, for each list, the change when a neutral mention ("people") takes
-the term's place. A group's mere mention thus cannot carry weight that other mentions
-do not, and the neutral mention pulls that common weight towards none.
+not; a text's score (before the logistic) is the sum of its features' weights over the
+square root of their number, and a bias. A logistic model with an L1 penalty is fitted by
+accelerated proximal gradient steps. Every sentence of the labelled texts that names an
+identity group is rewritten: each of its identity terms is replaced by each other term of
+its list, and by a neutral mention ("people"). The sentence and each copy are scored by
+the model, and the mean square of the score's changes is penalised with weight
+``fairness``. A group's mere mention thus cannot carry weight that other mentions do not,
+and the neutral mention pulls that common weight towards none. Each term alone, against
+the neutral mention, is one more such sentence, so that no term is left out.
 
 Scale: one scan scores all texts; nothing is shuffled. The fit uses a bounded sample:
-``per_label`` documents of each label, the first by a hash of the id; labels' shares
-among all learnable documents weigh the two halves of the loss. The model, which is
-broadcast, has ``2^bits`` weights.
+``per_label`` documents of each label, the first by a hash of the id, whole texts (the
+bound is on documents, not on bytes); labels' shares among all learnable documents weigh
+the two halves of the loss. The model, which is broadcast, has ``2^bits`` weights.
 
 Defined cases: a null text is empty; an empty text has the score of no features; other
 label values than 0 and 1, and labels without a document, are not used; without both
@@ -21,6 +23,8 @@ labels, every text scores the share of label 1 (0 without any label).
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import replace
 from typing import NamedTuple
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessella.llm._common import ALNUM, chunks, hash_of, hash_words, split_words, texts
+from tessella.llm._common import ALNUM, chunks, hash_words, split_words, texts
 from tessella.llm.quality import labelled_sample
 
 BITS, BEGINNING, SCALE = 18, 5, 8.0
@@ -63,23 +67,22 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def term_features(word: str) -> list[int]:
-    return [int(_bucket(np.array([hash_of(w)], np.uint64), salt)[0]) for salt, w in enumerate((word, word.encode()[:BEGINNING]))]
+_TERMS = {t: group for group in IDENTITY for t in group}
+_NAMED = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])(?:" + "|".join(_TERMS) + r")(?![0-9a-z\x80-\U0010ffff])", re.IGNORECASE)
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 
-def counterfactuals(sample: list[str]) -> list[tuple[list[int], list[int], float]]:
-    """(features gained, features lost, weight) of each swap of identity terms in the sample's sentences, equal swaps united."""
-    terms = {t: group for group in IDENTITY for t in group}
-    found: dict[tuple[str, str], float] = {(t, NEUTRAL): 1.0 for t in terms}
-    by_hash = {hash_of(t): t for t in terms}
-    hashes = np.array(list(by_hash), np.uint64)
+def counterfactuals(sample: list[str]) -> Counter:
+    """(sentence, rewritten sentence) and how often it occurs: every swap of an identity term in the sample's sentences."""
+    found = Counter((t, NEUTRAL) for t in _TERMS)
     for text in sample:
-        h = hash_words(split_words(pa.array([text], pa.string()), ALNUM, lower=True))
-        for term in (by_hash[x] for x in np.unique(h[np.isin(h, hashes)]).tolist()):
-            for other in (*terms[term], NEUTRAL):
-                if other != term:
-                    found[term, other] = found.get((term, other), 0.0) + 1.0
-    return [(term_features(b), term_features(a), n) for (a, b), n in found.items()]
+        if _NAMED.search(text):
+            for sentence in _SENTENCE.split(text):
+                for term in sorted({m.lower() for m in _NAMED.findall(sentence)}):
+                    for other in (*_TERMS[term], NEUTRAL):
+                        if other != term:
+                            found[sentence, _NAMED.sub(lambda m, t=term, o=other: o if m.group().lower() == t else m.group(), sentence)] += 1
+    return found
 
 
 class Model(NamedTuple):
@@ -91,39 +94,67 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+class Sparse(NamedTuple):
+    """Rows of values at columns."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    n: int
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column] * self.value, minlength=self.n)
+
+    def back(self, x: np.ndarray, d: int) -> np.ndarray:
+        return np.bincount(self.column, x[self.row] * self.value, minlength=d)
+
+
+def scored_features(listed: list[str]) -> Sparse:
+    """Each text's features, each with its share of the score; long texts do not add up small weights."""
+    parts = [features(pa.array(listed[a : a + 500], pa.string())) for a in range(0, len(listed), 500)]
+    row = np.concatenate([p + a for a, (p, _) in zip(range(0, len(listed), 500), parts, strict=True)])
+    size = np.bincount(row, minlength=len(listed)).astype(np.float64)
+    return Sparse(row, np.concatenate([f for _, f in parts]), (SCALE / np.sqrt(np.maximum(size, 1)))[row], len(listed))
+
+
+def changes(swaps: Counter) -> Sparse:
+    """What the score of each rewritten sentence has more, or less, than the sentence's."""
+    before, after = (scored_features([x[i] for x in swaps]) for i in (0, 1))
+    place = np.concatenate([before.row, after.row]) << BITS | np.concatenate([before.column, after.column])
+    place, which = np.unique(place, return_inverse=True)
+    value = np.bincount(which, np.concatenate([-before.value, after.value]))
+    changed = value != 0  # what both sentences have in common cancels
+    return Sparse(place[changed] >> BITS, place[changed] & ((1 << BITS) - 1), value[changed], len(swaps))
+
+
 def train(sample: list[str], y: np.ndarray, sizes: np.ndarray, *, l1: float = 1e-4, fairness: float = 1.0, steps: int = 150) -> Model:
+    """Minimises the logistic loss (labels by their shares ``sizes``) + fairness * mean squared change of swapped sentences' scores + l1 * |weights|."""
     n = len(y)
     if not n or not y.any() or y.all():
         prior = float(sizes[1] / sizes.sum()) if sizes.sum() else 0.0
         return Model(np.zeros(1 << BITS), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
-    parts = [features(pa.array(sample[a : a + 500], pa.string())) for a in range(0, n, 500)]
-    row = np.concatenate([p + a for a, (p, _) in zip(range(0, n, 500), parts, strict=True)])
-    used, column = np.unique(np.concatenate([f for _, f in parts]), return_inverse=True)
-    size = np.bincount(row, minlength=n).astype(np.float64)
-    value = (1 / np.sqrt(np.maximum(size, 1)))[row] * SCALE  # long texts do not add up small weights
+    x, swaps = scored_features(sample), counterfactuals(sample)
+    swap, share = changes(swaps), np.array(list(swaps.values()), np.float64)
+    share *= 2 * fairness / share.sum()
+    used, column = np.unique(x.column, return_inverse=True)
     d = len(used)
+    at = np.minimum(np.searchsorted(used, swap.column), d - 1)
+    seen = used[at] == swap.column  # features that no labelled text has keep the weight 0: a swap must not give them any
+    x, swap = x._replace(column=column), Sparse(swap.row[seen], at[seen], swap.value[seen], swap.n)
     weight = (sizes / sizes.sum() / (np.bincount(y, minlength=2) / n))[y] / n
-    place = {int(f): i for i, f in enumerate(used)}
-    swaps = [([place[f] for f in a if f in place], [place[f] for f in b if f in place], w / n) for a, b, w in counterfactuals(sample)]
-    swaps = [s for s in swaps if s[0] or s[1]]
-    # a step for each weight: a quarter of the loss's row sums bounds its curvature in the diagonal metric
-    reach = SCALE * np.sqrt(size) + 1
-    curvature = 0.25 * np.bincount(column, (weight * reach)[row] * value, minlength=d) + 1e-6
-    for gained, lost, share in swaps:
-        curvature[gained + lost] += 2 * fairness * share * (len(gained) + len(lost))
+    # a step for each weight: row sums bound the curvature in the diagonal metric, of the loss by a quarter of them
+    reach = np.bincount(x.row, x.value, minlength=n) + 1
+    curvature = 0.25 * x.back(weight * reach, d) + 1e-6
+    size = swap._replace(value=np.abs(swap.value))
+    curvature += size.back(share * size.times(np.ones(d)), d)
     bias_curvature = 0.25 * float((weight * reach).sum())
     bias = bias_before = float(np.log(sizes[1] / sizes[0]))
     w, momentum, before = np.zeros(d), 1.0, np.zeros(d)
     for _ in range(steps):
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead, bias_ahead = w + (momentum - 1) / following * (w - before), bias + (momentum - 1) / following * (bias - bias_before)
-        score = np.bincount(row, ahead[column] * value, minlength=n) + bias_ahead
-        error = (_logistic(score) - y) * weight
-        slope = np.bincount(column, error[row] * value, minlength=d)
-        for gained, lost, share in swaps:
-            change = ahead[gained].sum() - ahead[lost].sum()
-            slope[gained] += 2 * fairness * share * change
-            slope[lost] -= 2 * fairness * share * change
+        error = (_logistic(x.times(ahead) + bias_ahead) - y) * weight
+        slope = x.back(error, d) + swap.back(share * swap.times(ahead), d)
         before, bias_before, momentum = w, bias, following
         w = ahead - slope / curvature
         w = np.sign(w) * np.maximum(np.abs(w) - l1 / curvature, 0)

@@ -104,20 +104,78 @@ def test_classifier_without_labels_or_rows(spark, module, kind):
     assert module.classify(docs(spark, []), one).count() == 0
 
 
-def test_counterfactual_penalty_lowers_the_weight_of_mentions():
-    rng = random.Random(3)
-    sample, y = [], []
-    for i in range(400):
+def test_swaps_rewrite_sentences():
+    found = toxicity.counterfactuals(["A Muslim came.\nNo girlfriend or boyish word; Women, women and men left!", "nothing here"])
+    of = defaultdict(set)
+    for (sentence, rewritten), n in found.items():
+        of[sentence].add(rewritten)
+        assert n == 1 and sentence != rewritten
+    assert of["A Muslim came"] == {f"A {t} came" for t in "christian jewish hindu buddhist sikh atheist people".split()}
+    assert {x for x in of if " " in x} == {"A Muslim came", "No girlfriend or boyish word; Women, women and men left"}
+    assert "No girlfriend or boyish word; people, people and men left" in of["No girlfriend or boyish word; Women, women and men left"]
+    assert all(of[t] == {toxicity.NEUTRAL} for group in toxicity.IDENTITY for t in group)
+
+
+def biased(n, seed):
+    """Texts with labels; toxic ones hold an insult, and name a group far oftener than others."""
+    rng, sample, y = random.Random(seed), [], []
+    for i in range(n):
         toxic = i % 2
-        body = [rng.choice(WORDS) for _ in range(30)] + (["vile"] if toxic and i % 4 == 1 else [])
-        if toxic and rng.random() < 0.8 or rng.random() < 0.1:
-            body.append("muslim")
+        body = [f"w{rng.randrange(300)}" for _ in range(30)] + (["insult" + rng.choice("abcdefghijklmnopqrstuvwxyz")] if toxic else [])
+        body += [rng.choice(["muslim", "gay", "black"])] if rng.random() < (0.8 if toxic else 0.1) else []
+        rng.shuffle(body)
         sample.append(" ".join(body))
         y.append(toxic)
-    sizes = np.array([200.0, 200.0])
-    mention = pa.array(["w1 w2 muslim w3 w4", "w1 w2 people w3 w4"])
-    gap = [float(np.diff(toxicity.score_texts(mention, toxicity.train(sample, np.array(y), sizes, fairness=f)))[0]) for f in (0.0, 5.0)]
-    assert abs(gap[1]) < 0.3 * abs(gap[0])
+    return sample, np.array(y)
+
+
+def test_the_default_penalty_spares_neutral_mentions_and_keeps_accuracy():
+    sample, y = biased(800, 3)
+    others, truth = biased(400, 4)
+    rng = random.Random(5)
+    mentions = pa.array([" ".join(["they", "met", rng.choice(["muslim", "gay", "black"]), "neighbours", *[f"w{rng.randrange(300)}" for _ in range(12)]]) for _ in range(200)])
+    alarms, right = [], []
+    for setting in ({"fairness": 0.0}, {}):
+        model = toxicity.train(sample, y, np.array([400.0, 400.0]), **setting)
+        alarms.append(float((toxicity.score_texts(mentions, model) >= 0.5).mean()))
+        right.append(float(((toxicity.score_texts(pa.array(others), model) >= 0.5) == truth).mean()))
+    assert alarms[0] > 0.5 and alarms[1] < 0.1 * alarms[0], alarms
+    assert right[1] > 0.97 and right[1] >= right[0] - 0.01, right
+
+
+def test_training_reaches_the_minimum_of_the_plain_loss():
+    sample, y = biased(60, 5)
+    sizes, l1, fairness = np.array([300.0, 100.0]), 1e-3, 1.0
+    swaps = toxicity.counterfactuals(sample)
+
+    def row(text):
+        own = sorted(set(toxicity.features(pa.array([text]))[1].tolist()))
+        return {f: toxicity.SCALE / np.sqrt(len(own)) for f in own}
+
+    columns = sorted({f for t in sample for f in row(t)})
+
+    def dense(listed):
+        return np.array([[row(t).get(f, 0.0) for f in columns] for t in listed])
+
+    x, change = dense(sample), dense([b for _, b in swaps]) - dense([a for a, _ in swaps])
+    weight = np.where(y, 0.25 / y.sum(), 0.75 / (1 - y).sum())
+    share = np.array(list(swaps.values())) / sum(swaps.values())
+
+    def loss(w, bias):
+        z = (x @ w + bias) * np.where(y, 1, -1)
+        return (weight * np.logaddexp(0, -z)).sum() + fairness * (share * (change @ w) ** 2).sum() + l1 * np.abs(w).sum()
+
+    def slopes(w, bias):
+        error = (1 / (1 + np.exp(-(x @ w + bias))) - y) * weight
+        return x.T @ error + 2 * fairness * change.T @ (share * (change @ w)), error.sum()
+
+    model = toxicity.train(sample, y, sizes, l1=l1, fairness=fairness, steps=3000)
+    w = model.weights[columns]
+    assert 5 < np.count_nonzero(w) == np.count_nonzero(model.weights)
+    slope, tilt = slopes(w, model.bias)  # at the minimum, the slope is l1 against each weight, at most l1 at 0, and none along the bias
+    assert np.abs(slope + l1 * np.sign(w))[w != 0].max() < 0.1 * l1 and np.abs(slope)[w == 0].max() < 1.1 * l1 and abs(tilt) < 0.1 * l1
+    rng = np.random.default_rng(6)
+    assert all(loss(w + rng.normal(scale=0.01, size=len(w)), model.bias) > loss(w, model.bias) for _ in range(20))
 
 
 def test_votes_are_the_plain_nearest_neighbours(spark):
