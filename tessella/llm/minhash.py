@@ -14,8 +14,10 @@ threshold (or above) are confirmed on their full sets.
 No step lists all pairs of a bucket. Equal sets are one class from the start. Round
 one links each class of a bucket to the bucket's smallest, confirms these links and
 takes connected components. Only buckets that then still hold several components
-need more: in round two their classes meet with their full sets. Classes of buckets of
-more than ``block`` meet by rare shingles instead: two sets of similarity 0.75 share one
+need more: in round two their classes meet with their full sets. A bucket of more than
+``block`` classes that is nearly all one component is dealt into that component's blocks,
+each of which meets the others, of which there are at most two blocks. Classes of other
+large buckets meet by rare shingles instead: two sets of similarity 0.75 share one
 of the rarest quarter of the shingles of either, so each class is sent to those of this
 quarter that another class has too. Texts with a passage in common, which fill a bucket,
 do not meet by that passage; what is sent grows with the classes, not with their pairs,
@@ -50,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, record, release, runs, signed, split_words, texts
+from tessella.llm._common import SOLID, chunks, gram_hashes, hash_words, mix, ranges, record, release, runs, signed, split_words, texts
 from tessella.tables import cut
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -223,37 +225,41 @@ def across(batches: Iterator[pa.RecordBatch], percent: int, band: int = BAND) ->
 
     def group_links(c: dict, registers: np.ndarray, sets: list[bytes]):
         parent: dict[tuple, int] = {}  # components as they unite within one group
-        group = np.cumsum(np.concatenate([[0], (np.diff(c["key"]) != 0) | (np.diff(c["x"]) != 0) | (np.diff(c["y"]) != 0)]))
+        group = np.cumsum(runs(c["key"], c["x"], c["y"]))
+        order = np.lexsort((c["component"], group))
+        c, group, registers = {x: c[x][order] for x in names}, group[order], registers[order]
 
         def root(g: int, x: int) -> int:
             while (above := parent.get((g, x), x)) != x:
                 x = above
             return x
 
-        i, step, found = np.arange(len(c["key"])), 1, []
-        while True:
-            i = i[i + step < len(group)]
-            i = i[group[i] == group[i + step]]
-            if not len(i):
-                break
-            j = i + step
-            use = (c["component"][i] != c["component"][j]) & ((c["x"][i] == c["y"][i]) | (c["part"][i] != c["part"][j]))
-            use &= 100 * np.minimum(c["n"][i], c["n"][j]) >= percent * np.maximum(c["n"][i], c["n"][j])
-            p, q = i[use], j[use]
-            if len(p):
-                same = registers[p] == registers[q]
-                by_chance = chance(c["n"][p], c["n"][q], same.shape[1])
-                fit = (same.mean(1) - by_chance) / (1 - by_chance) >= floor_of(percent / 100)
-                common = same[:, : same.shape[1] // band * band].reshape(len(p), -1, band).all(2)
-                fit &= (c["key"][p] >> 8 & 0xFF == _RARE) | (common.argmax(1) == (c["key"][p] & 0xFF))  # a pair is looked at in its first common band
-                for a, b in zip(p[fit].tolist(), q[fit].tolist(), strict=True):
-                    ra, rb = root(group[a], c["component"][a]), root(group[a], c["component"][b])
-                    if ra != rb:
-                        both = len(np.intersect1d(np.frombuffer(sets[a], np.uint64), np.frombuffer(sets[b], np.uint64), assume_unique=True))
-                        if 100 * both >= percent * (c["n"][a] + c["n"][b] - both):
-                            parent[group[a], max(ra, rb)] = min(ra, rb)
-                            found.append((c["doc"][a], c["doc"][b]))
-            step += 1
+        def ends(new: np.ndarray) -> np.ndarray:
+            return np.append(np.flatnonzero(new)[1:], len(new))[np.cumsum(new) - 1]
+
+        after = ends(runs(group, c["component"]))  # each row meets the rows of the components after its own
+        count = ends(runs(group)) - after
+        chunk, found = np.cumsum(count) // 500_000, []
+        bounds = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(group)]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            p, q = np.repeat(np.arange(lo, hi), count[lo:hi]), ranges(after[lo:hi], count[lo:hi])
+            use = (c["x"][p] == c["y"][p]) | (c["part"][p] != c["part"][q])
+            use &= 100 * np.minimum(c["n"][p], c["n"][q]) >= percent * np.maximum(c["n"][p], c["n"][q])
+            p, q = p[use], q[use]
+            if not len(p):
+                continue
+            same = registers[p] == registers[q]
+            by_chance = chance(c["n"][p], c["n"][q], same.shape[1])
+            fit = (same.mean(1) - by_chance) / (1 - by_chance) >= floor_of(percent / 100)
+            common = same[:, : same.shape[1] // band * band].reshape(len(p), -1, band).all(2)
+            fit &= (c["key"][p] >> 8 & 0xFF == _RARE) | (common.argmax(1) == (c["key"][p] & 0xFF))  # a pair is looked at in its first common band
+            for a, b in zip(p[fit].tolist(), q[fit].tolist(), strict=True):
+                ra, rb = root(group[a], c["component"][a]), root(group[a], c["component"][b])
+                if ra != rb:
+                    both = len(np.intersect1d(np.frombuffer(sets[order[a]], np.uint64), np.frombuffer(sets[order[b]], np.uint64), assume_unique=True))
+                    if 100 * both >= percent * (c["n"][a] + c["n"][b] - both):
+                        parent[group[a], max(ra, rb)] = min(ra, rb)
+                        found.append((c["doc"][a], c["doc"][b]))
         links = np.array(found, np.int64).reshape(-1, 2)
         return record(a=links.min(1), b=links.max(1)) if len(links) else record(a=np.empty(0, np.int64), b=np.empty(0, np.int64))
 
@@ -325,19 +331,32 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``rows (key, doc, component)`` of buckets that hold several components, with the bucket's ``size``."""
+    sizes = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    return rows.join(cut(sizes.select("key", "size"), "buckets"), "key").select("key", "doc", "component", "size")
+
+
+def _around_one(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets of which all but two blocks are one component, as groups in which that component's blocks meet the others; and the rows of other buckets."""
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    kinds = each.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total")).where(F.col("total") - F.col("top.n") <= 2 * block)
+    kinds = cut(kinds.select("key", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / block).cast("int").alias("parts")), "kinds")
+    placed = rows.join(kinds, "key").withColumn("part", F.when(F.col("component") == F.col("main"), 1 + F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).otherwise(0))
+    met = placed.withColumn("other", F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts"))).otherwise(F.array(F.lit(0)))))
+    return met.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "doc", "component"), rows.join(kinds.select("key"), "key", "left_anti")
+
+
 def meeting(placed: DataFrame, source: DataFrame, *, k: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """``key, x, y, part, doc, component``: where classes of buckets that hold several components meet; and the sets of these classes.
 
-    ``placed``: (key, doc, component). Groups (key, x, y) hold at most about two blocks.
+    ``placed``: (key, doc, component). Groups (key, x, y) hold at most about three blocks.
     """
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-
-    sizes = cut(mixed(placed), "buckets")
-    few = cut(placed.join(sizes.where(F.col("size") <= block), "key").select("key", "doc", "component", "size"), "few")
-    many = cut(placed.join(sizes.where(F.col("size") > block).select("key"), "key").select("doc", "component").distinct(), "many")
-    wanted = cut(few.select("doc").unionByName(many.select("doc")).distinct(), "wanted")
+    buckets = cut(_mixed(placed), "mixed")
+    few, large = buckets.where(F.col("size") <= block), buckets.where(F.col("size") > block)
+    around, rest = _around_one(large, block)
+    many = cut(rest.select("doc", "component").distinct(), "many")
+    wanted = cut(buckets.select("doc").distinct(), "wanted")
     sets = source.join(wanted, source["doc_id"] == wanted["doc"]).select("doc_id", "text").dropDuplicates(["doc_id"])
     sets = cut(sets.mapInArrow(lambda it: set_rows(it, k), "doc long, n long, registers binary, shingles binary"), "sets")
 
@@ -348,18 +367,14 @@ def meeting(placed: DataFrame, source: DataFrame, *, k: int, percent: int, block
     prefix = F.greatest(F.lit(0), F.size("own") - F.expr(f"cast((n * {percent} + 99) div 100 AS INT)") + 1)
     met = own.select("doc", F.explode(F.slice("own", F.lit(1), prefix)).alias("x"))
     key = F.col("x.shingle").bitwiseAND(F.lit(-65536)).bitwiseOR(F.lit(_RARE << 8))
-    rare = cut(met.select(key.alias("key"), "doc").distinct().join(many, "doc"), "rare")
-    rare = rare.join(mixed(rare), "key").select("key", "doc", "component", "size")
-
-    n_parts = F.ceil(F.col("size") / block).cast("int")
-    spread = (
-        few.unionByName(rare)
-        .withColumn("parts", n_parts)
-        .withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "doc", "component")
-    )
-    return cut(spread, "mixed"), sets
+    rare = cut(_mixed(cut(met.select(key.alias("key"), "doc").distinct().join(many, "doc"), "rare")), "mixed")
+    rare_around, rare_rest = _around_one(rare.where(F.col("size") > block), block)
+
+    parts = F.ceil(F.col("size") / block).cast("int")  # one of the buckets of at most a block, and of rare shingles' all that is left
+    blocks = few.unionByName(rare.where(F.col("size") <= block)).unionByName(rare_rest).withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    blocks = blocks.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "doc", "component")
+    return cut(blocks.unionByName(around).unionByName(rare_around), "meeting"), sets
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
