@@ -1,13 +1,14 @@
 """License scan with a positional index of rare words.
 
-Templates are short licence statements. Each has one mandatory key phrase; of the
-phrase's words, the ``keys`` with the highest inverse document frequency over all
-documents (ties: the earlier word) form the index, with their positions in the
-template. A document's occurrences of these words are looked up, the postings of a
-template are intersected by relative position (occurrence minus template position),
-and at each common alignment the whole key phrase must stand word for word. The
-template's remaining words only add to the score: the share of its words that match
-at the alignment.
+Templates are licence statements. Each has one mandatory key phrase; of the phrase's
+words, the two with the highest inverse document frequency over all documents (ties: the
+earlier word) stand for the template. The index has, for each word, postings (template,
+position in it) of the templates for which it is the rarest. A file's licence words are
+looked up there, so the work follows the file's rare words, not the number of templates;
+each posting gives an alignment (the word's place less the template's position), at which
+the template's second rare word must stand too, and then the whole key phrase, word for
+word. The template's remaining words only add to the score: the share of its words that
+match at the alignment.
 
 Scale: two scans (word statistics of the index vocabulary, then the look-up), no
 shuffle of texts; what is collected is one count for each word of the templates.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import ALNUM, chunks, hash_of, hash_words, record, split_words, texts
+from tessella.llm._common import ALNUM, chunks, hash_of, hash_words, ranges, record, split_words, texts
 
 
 class Template(NamedTuple):
@@ -59,6 +60,20 @@ EXTRA = [
     Template("bsd", "released under the bsd license", "bsd license"),
     Template("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    Template("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc by nc sa"),
+    Template("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc by nc nd"),
+    Template("cc", "this work is licensed under a creative commons attribution license", "creative commons attribution"),
+    Template("gfdl", "under the terms of the gnu free documentation license", "gnu free documentation license"),
+    Template("epl", "available under the terms of the eclipse public license", "eclipse public license"),
+    Template("cddl", "subject to the terms of the common development and distribution license", "common development and distribution license"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    Template("zlib", "this software is provided as is without any express or implied warranty", "provided as is without any express or implied warranty"),
+    Template("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    Template("artistic", "under the terms of the artistic license", "artistic license"),
+    Template("ofl", "this font software is licensed under the sil open font license", "open font license"),
+    Template("odbl", "made available under the open database license", "open database license"),
+    Template("eupl", "licensed under the european union public license", "european union public license"),
+    Template("public-domain", "dedicated to the public domain", "dedicated to the public domain"),
     Template("all-rights-reserved", "all rights reserved", "all rights reserved"),
 ]
 TEMPLATES = BASE + EXTRA
@@ -104,76 +119,96 @@ def inverse_document_frequency(docs: DataFrame, templates: list[Template], text_
 
 
 class Index(NamedTuple):
-    """postings: for each template the numbers of its rare words with their positions; words: all its words' numbers."""
+    """``first[w]:first[w + 1]`` are the postings of word number w; the other arrays have a row for each template."""
 
     vocab: list[str]
     templates: list[Template]
-    postings: list[list[tuple[int, int]]]
-    words: list[list[int]]
-    key: list[tuple[int, int]]
+    first: np.ndarray
+    template: np.ndarray
+    second: np.ndarray  # (word, position) of the second rare word
+    rare: np.ndarray  # position of the rarest
+    words: np.ndarray  # numbers of all words, padded with -1
+    size: np.ndarray
+    key: np.ndarray  # (position, length) of the key phrase
 
 
-def build_index(templates: list[Template], idf: dict[str, float], keys: int = 2) -> Index:
+def build_index(templates: list[Template], idf: dict[str, float]) -> Index:
     vocab = vocabulary(templates)
     number = {w: i + 1 for i, w in enumerate(vocab)}
-    postings, all_words, spans = [], [], []
-    for t in templates:
-        words, key = t.words.split(), t.key.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        rare = sorted(range(len(key)), key=lambda j: (-idf.get(key[j], 0.0), j))[:keys]
-        postings.append([(number[key[j]], at + j) for j in rare])
-        all_words.append([number[w] for w in words])
+    split = [(t.words.split(), t.key.split()) for t in templates]
+    table = np.full((len(templates), max((len(w) for w, _ in split), default=1)), -1, np.int64)
+    rarest, rare, second, spans = [], [], [], []
+    for i, (words, key) in enumerate(split):
+        at = next(j for j in range(len(words)) if words[j : j + len(key)] == key)
+        order = sorted(range(len(key)), key=lambda j, key=key: (-idf.get(key[j], 0.0), j))
+        table[i, : len(words)] = [number[w] for w in words]
+        rarest.append(number[key[order[0]]])
+        rare.append(at + order[0])
+        second.append((number[key[order[min(1, len(key) - 1)]]], at + order[min(1, len(key) - 1)]))
         spans.append((at, len(key)))
-    return Index(vocab, templates, postings, all_words, spans)
+    template = np.argsort(rarest, kind="stable")
+    first = np.searchsorted(np.sort(rarest), np.arange(len(vocab) + 2))
+    return Index(vocab, templates, first, template, np.array(second, np.int64).reshape(-1, 2), np.array(rare, np.int64), table, np.array([len(w) for w, _ in split], np.int64), np.array(spans, np.int64).reshape(-1, 2))
+
+
+def alignments(number: np.ndarray, n: int, doc: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(template, place of its first word) wherever a template's key phrase stands within one text; ``number`` has a 0 more than the ``n`` words."""
+    known = np.flatnonzero(number)
+    count = (index.first[1:] - index.first[:-1])[number[known]]
+    t = index.template[ranges(index.first[number[known]], count)]
+    at = np.repeat(known, count) - index.rare[t]
+
+    def keep(t: np.ndarray, at: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return t[use], at[use]
+
+    start = at + index.key[t, 0]
+    t, at = keep(t, at, (start >= 0) & (start + index.key[t, 1] <= n))
+    t, at = keep(t, at, number[at + index.second[t, 1]] == index.second[t, 0])
+    for j in range(int(index.key[t, 1].max(initial=0))):
+        place = index.key[t, 0] + j
+        inside = j < index.key[t, 1]
+        t, at = keep(t, at, ~inside | (number[np.where(inside, at + place, n)] == index.words[t, np.where(inside, place, 0)]))
+    start = at + index.key[t, 0]
+    return keep(t, at, doc[start] == doc[start + index.key[t, 1] - 1])
 
 
 def scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     lookup = _Lookup(index.vocab)
+    base = np.array([t.base for t in index.templates], np.bool_)
     for batch in chunks(batches, "text"):
         words = split_words(batch.column(1), ALNUM, lower=True)
         n, n_docs, doc = len(words), batch.num_rows, words.doc_of()
         number = np.concatenate([lookup(hash_words(words)), [0]])
-        known = np.flatnonzero(number)  # the occurrences of licence words, and nothing else, are looked at below
-        n_base, first, last, score = np.zeros(n_docs, np.int64), np.full(n_docs, -1, np.int64), np.full(n_docs, -1, np.int64), np.zeros(n_docs)
+        t, at = alignments(number, n, doc, index)
+        place = at + index.key[t, 0]
+        of = doc[place]
+        match = np.zeros(len(t))
+        for j in range(int(index.size[t].max(initial=0))):
+            spot = at + j
+            inside = (j < index.size[t]) & (spot >= words.first[of]) & (spot < words.first[of + 1])
+            match += inside & (number[np.where(inside, spot, n)] == index.words[t, j])
+        score = np.zeros(n_docs)
+        np.maximum.at(score, of, match / index.size[t])
         labels: list[list[set[str]]] = [[set() for _ in range(n_docs)] for _ in range(2)]
-        for t, postings, own, (key, long) in zip(index.templates, index.postings, index.words, index.key, strict=True):
-            align = None
-            for w, at in postings:  # intersect by relative position
-                places = known[number[known] == w] - at
-                align = places if align is None else np.intersect1d(align, places, assume_unique=True)
-            align = align[(align + key >= 0) & (align + key + long <= n)]
-            for j in range(long):  # the mandatory phrase
-                align = align[number[align + key + j] == own[key + j]]
-            align = align[doc[align + key] == doc[align + key + long - 1]]
-            if not len(align):
-                continue
-            of, place = doc[align + key], align + key
-            match = np.zeros(len(align))
-            for j, w in enumerate(own):
-                at = align + j
-                inside = (at >= words.first[of]) & (at < words.first[of + 1])
-                match += inside & (number[np.where(inside, at, n)] == w)
-            np.maximum.at(score, of, match / len(own))
-            for i in set(of.tolist()):
-                labels[1][i].add(t.label)
-                if t.base:
-                    labels[0][i].add(t.label)
-            if t.base:
-                place = place - words.first[of]
-                n_base += np.bincount(of, minlength=n_docs)
-                np.maximum.at(last, of, place)
-                first[of] = np.where(first[of] < 0, np.iinfo(np.int64).max, first[of])
-                np.minimum.at(first, of, place)
+        for i, k in set(zip(of.tolist(), t.tolist(), strict=True)):
+            labels[1][i].add(index.templates[k].label)
+            if index.templates[k].base:
+                labels[0][i].add(index.templates[k].label)
+        own, spot = of[base[t]], place[base[t]]
+        spot = spot - words.first[own]
+        first, last = np.full(n_docs, np.iinfo(np.int64).max), np.full(n_docs, -1, np.int64)
+        np.minimum.at(first, own, spot)
+        np.maximum.at(last, own, spot)
         cells = [[sorted(x) for x in part] for part in labels]
         yield record(
-            doc_id=batch.column(0), n_words=words.counts.astype(np.int64), n_base=n_base,
-            first_word=pa.array(first, mask=first < 0), last_word=pa.array(last, mask=last < 0),
+            doc_id=batch.column(0), n_words=words.counts.astype(np.int64), n_base=np.bincount(own, minlength=n_docs).astype(np.int64),
+            first_word=pa.array(first, mask=last < 0), last_word=pa.array(last, mask=last < 0),
             base_labels=pa.array(cells[0], pa.list_(pa.string())), labels=pa.array(cells[1], pa.list_(pa.string())), score=score,
         )
 
 
-def scan_licenses(docs: DataFrame, *, templates: list[Template] = TEMPLATES, keys: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: list[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every document; labels are sorted arrays."""
     source = texts(docs, id_col, text_col)
-    index = build_index(templates, inverse_document_frequency(source, templates), keys)
+    index = build_index(templates, inverse_document_frequency(source, templates))
     return source.mapInArrow(lambda it: scan(it, index), SCHEMA)
