@@ -6,21 +6,24 @@ pieces are placed longest first. Open bins are kept ordered by their residual ro
 carry two bitmaps: the sources and the duplicate clusters that are in them. A piece's
 search starts at the successor of its length, the tightest bin that can hold it, and
 goes on to the next larger residual until a bin shares neither its source nor its
-duplicate cluster; if there is none, it opens a bin. So no sequence repeats a source
+duplicate cluster (bins are indexed by the sources they hold, so those with the piece's
+source are not visited one by one); if there is none, it opens a bin. So no sequence repeats a source
 or holds two copies of one text.
 
 A duplicate cluster is a set of documents with equal words, letter case aside.
 
-Scale: a scan counts tokens; then only five numbers a piece move, spread by a hash of
-the document's id into shards of about ``shard_docs`` documents, which are packed
+Scale: a scan counts tokens; then only five numbers a document move, spread by a hash of
+its id and its row into shards of about ``shard_docs`` rows, which are packed
 independently: a shard is one group, and the search in it is bounded by its size,
-whatever the sizes of sources and clusters. The loss is at most the few half-empty
-bins of each shard.
+whatever the sizes of sources and clusters, and however often an id or a text repeats.
+Shards are dealt to as many tasks as there are shards, since their rows are so few bytes
+that joining small tasks would put hundreds of shards in one. The loss is at most the few
+half-empty bins of each shard.
 
 Defined cases: null and empty texts are their end token alone; a null source
 conflicts with none; wordless texts are no duplicates; ties go to the smaller id and
-the older bin; rows repeated under one id are packed as separate copies; rows without
-an id are packed in the shard of their text's hash.
+the older bin; rows repeated under one id, and rows without an id, are packed as separate
+copies, spread over the shards.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm._common import SOLID, chunks, hash_words, mix, odd_constants, record, signed, split_words
 from tessella.llm.token_file import encoder, vocabulary_path
+from tessella.tables import cut
 
 OUT = "shard int, bin int, doc_id long, piece int, n_tokens long, bin_start long"
 
@@ -59,34 +63,48 @@ def measure(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
 
 
 def best_fit(n_tokens: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[tuple[int, int]]:
-    """(bin, start) of each piece, in the order given; bitmaps: bit -1 is none."""
+    """(bin, start) of each piece, in the order given; bitmaps: bit -1 is none.
+
+    Open bins are kept in one ordered list for each set of sources that they hold, so
+    that a search looks at the lists without its own source only, in each of which the
+    successor of its length comes first; the tightest of their answers is the bin. Only
+    a bin with the piece's duplicate cluster makes a search go on within a list.
+    """
     bins, placed = 0, []
-    room: list[tuple[int, int]] = []  # (residual, bin), ascending
-    has_source: list[int] = []
+    room: dict[int, list[tuple[int, int]]] = {}  # bitmap of sources: (residual, bin), ascending
     has_cluster: list[int] = []
     for n, source, cluster in zip(n_tokens, sources, clusters, strict=True):
         s, c = (1 << source if source >= 0 else 0), (1 << cluster if cluster >= 0 else 0)
-        i = bisect_left(room, (n, -1))
-        while i < len(room) and (has_source[room[i][1]] & s or has_cluster[room[i][1]] & c):
-            i += 1
-        if i < len(room):
-            left, b = room.pop(i)
+        best: tuple[tuple[int, int], int] | None = None
+        for held, listed in room.items():
+            if held & s:
+                continue
+            i = bisect_left(listed, (n, -1))
+            while i < len(listed) and (best is None or listed[i] < best[0]):
+                if not has_cluster[listed[i][1]] & c:
+                    best = (listed[i], held)
+                    break
+                i += 1
+        if best:
+            (left, b), held = best
+            listed = room[held]
+            listed.pop(bisect_left(listed, (left, b)))
+            if not listed:
+                del room[held]
         else:
-            left, b = capacity, bins
+            left, b, held = capacity, bins, 0
             bins += 1
-            has_source.append(0)
             has_cluster.append(0)
-        has_source[b] |= s
         has_cluster[b] |= c
         placed.append((b, capacity - left))
         if left > n:
-            insort(room, (left - n, b))
+            insort(room.setdefault(held | s, []), (left - n, b))
     return placed
 
 
 def pack_shard(key: tuple, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Every piece of a shard's documents with its bin and its place there."""
-    rows = rows.sort_values(["n_tokens", "doc_id", "cluster"], ascending=[False, True, True], na_position="first", kind="stable")
+    rows = rows.sort_values(["n_tokens", "doc_id", "cluster", "row"], ascending=[False, True, True, True], na_position="first", kind="stable")
     full = (rows["n_tokens"] // capacity).to_numpy()
     rest = (rows["n_tokens"] % capacity).to_numpy()
     again = Counter(rows["cluster"].tolist())
@@ -110,7 +128,8 @@ def pack_shard(key: tuple, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, *, capacity: int = 4096, shard_docs: int = 8192, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``shard, bin, doc_id, piece, n_tokens, bin_start``: where each piece of each document goes."""
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[source_col].cast("string").alias("source"))
-    shards = max(1, math.ceil(source.count() / shard_docs))
     sized = source.mapInArrow(lambda it: measure(it, vocabulary), "doc_id long, source string, n_tokens long, cluster long")
-    sharded = sized.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", "cluster")), F.lit(shards)).cast("int"))
+    sized = cut(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")  # written once, so that a row keeps its number if a task runs again
+    shards = max(1, math.ceil(sized.count() / shard_docs))
+    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")).repartition(shards, "shard")
     return sharded.groupBy("shard").applyInPandas(lambda key, rows: pack_shard(key, rows, capacity), OUT)
