@@ -278,7 +278,7 @@ def test_top_k(spark):
     rows += [(2000, None), (2001, [None] * 6), (2010, [float("nan")] * 6), (2020, [float("inf")] * 6), (None, [1.0] * 6), (2030, []), (2040, [1.0, 2.0]), (2045, [3.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     want = plain_top([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 5, 10)
-    for sizes in ({}, {"shard_rows": 60, "block_rows": 16}):
+    for sizes in ({}, {"shard_rows": 60}, {"shard_rows": 7}):
         assert sorted(map(tuple, topk.top_k(df, every=10, **sizes).collect())) == want
     assert topk.top_k(df.where("false")).count() == 0
 
@@ -292,7 +292,7 @@ def test_top_k_of_repeated_ids(spark):
         found = sorted((-int(a @ b), j) for i, a in q for j, b in q if i == own != j)
         want += [(own, n + 1, j, -s) for n, (s, j) in enumerate(found[:5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, topk.top_k(df, every=10, shard_rows=30, block_rows=4).collect())) == want
+    assert sorted(map(tuple, topk.top_k(df, every=10, shard_rows=30).collect())) == want
 
 
 def test_top_k_beyond_doubles(spark):
@@ -302,6 +302,13 @@ def test_top_k_beyond_doubles(spark):
     assert got == [(0, i, i, 2**62 - i) for i in range(1, 6)]
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [9.3e18, 1.0]), (1, [9.3e18, 1.0]), (2, [1.0, 1.0]), (3, [-9.3e18, 0.0]), (4, [9.2e18, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, every=10, scale=1, shard_rows=2).orderBy("rank").collect()]
+    assert [(i, s) for _, _, i, s in got] == [(1, 2**63 - 1), (2, 2**63 - 1), (4, 2**63 - 1), (3, -(2**63))]
+
+
 # ---------------------------------------------------------------- 5: substrings
 
 
