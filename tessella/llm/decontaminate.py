@@ -7,14 +7,18 @@ before any pattern can end; where it says 0, the same block hash selects a bucke
 patterns that end in that block, and a direct comparison of bytes confirms an
 occurrence.
 
-Scale: documents are scanned once and never shuffled. Patterns are broadcast in
-blocks of at most about ``block_words`` words; a benchmark beyond that is searched
-block after block, the hits found so far travelling with their document, with the
-lineage cut between the blocks.
+Scale: documents are scanned once and never shuffled. Benchmark texts are cut into pieces
+of at most ``PIECE`` words, which overlap by a window less one word; each distinct piece
+counts once, with the ids of its items, at most ``IDS`` of them in one entry. Entries are
+broadcast in blocks of about ``block_words`` words and ids, so that neither a huge text nor
+one that many items repeat makes a large block, and tables have room for their patterns.
+A benchmark beyond one block is searched block after block, the hits found so far
+travelling with their document, with the lineage cut between the blocks.
 
 Defined cases: a null text has no words; a null, empty or wordless benchmark text
 is no pattern; an item without an id still marks words but is never listed; repeated
-document rows give repeated result rows; an empty benchmark leaves all clean.
+document rows give repeated result rows, repeated items count once; an empty benchmark
+leaves all clean.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from tessella.llm._common import ALNUM, chunks, hash_words, lists, ranges, record, split_words, texts
 from tessella.tables import cut
 
+#: Words of one piece of a benchmark text, and item ids of one entry.
+PIECE, IDS = 2_000, 10_000
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>"
 _CARRIED = "doc_id long, text string, spans array<int>, items array<long>"
 
@@ -38,12 +44,12 @@ _CARRIED = "doc_id long, text string, spans array<int>, items array<long>"
 class WuManber:
     """Patterns of exactly ``m`` words, as byte strings of space-joined words; ``search`` gives the places where they occur."""
 
-    BITS = 18
-
     def __init__(self, m: int, patterns: list[tuple[bytes, np.ndarray]]):
-        """patterns: the joined words and the words' hashes."""
+        """patterns: the joined words and the words' hashes. The table has sixteen places for each word of theirs, 2^26 at most."""
         self.m, self.block = m, min(2, m)
-        self.shift = np.full(1 << self.BITS, min(m - self.block + 1, 255), np.uint8)
+        words = len(np.unique(np.concatenate([h for _, h in patterns]))) + len(patterns)
+        self.bits = min(max(10, (16 * words - 1).bit_length()), 26)
+        self.shift = np.full(1 << self.bits, min(m - self.block + 1, 255), np.uint8)
         self.buckets: dict[int, dict[bytes, int]] = defaultdict(dict)
         for k, (joined, hashes) in enumerate(patterns):
             at = self._blocks(hashes)
@@ -53,7 +59,7 @@ class WuManber:
 
     def _blocks(self, h: np.ndarray) -> np.ndarray:
         mixed = h if self.block == 1 else h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
-        return (mixed >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def search(self, words, h: np.ndarray) -> list[tuple[int, int]]:
         """(first word, pattern) of every occurrence within the words of one text or of several; ``words`` gives bytes."""
@@ -78,22 +84,45 @@ class WuManber:
         return found
 
 
-def patterns_of(items: list[tuple[int | None, str]], width: int) -> list[tuple[WuManber, list[list[int | None]]]]:
-    """One searcher for each pattern length, with the items of each of its patterns."""
+def patterns_of(pieces: list[str], width: int) -> list[tuple[WuManber, list[list[int]]]]:
+    """One searcher for each pattern length, with the numbers of the pieces that have each of its patterns."""
     by_length: dict[int, dict[bytes, tuple[np.ndarray, list]]] = defaultdict(dict)
-    for item, text in items:
+    for number, text in enumerate(pieces):
         words = split_words(pa.array([text], pa.string()), ALNUM, lower=True)
         h = hash_words(words)
         if n := len(words):
             m, all_words = min(n, width), [words.bytes_of(k) for k in range(n)]
             for k in range(n - m + 1):
                 of = by_length[m].setdefault(b" ".join(all_words[k : k + m]), (h[k : k + m], []))[1]
-                if item not in of:
-                    of.append(item)
+                if not of or of[-1] != number:
+                    of.append(number)
     return [(WuManber(m, [(p, h) for p, (h, _) in found.items()]), [of for _, of in found.values()]) for m, found in sorted(by_length.items())]
 
 
-def scan(batches: Iterator[pa.RecordBatch], searchers, last: bool) -> Iterator[pa.RecordBatch]:
+def cut_pieces(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[pa.RecordBatch]:
+    """(item_id, piece, n_words) of each piece of each text: its words, folded and joined by spaces."""
+    for batch in chunks(batches):
+        words = split_words(batch.column(1), ALNUM, lower=True)
+        items, pieces, sizes = [], [], []
+        for item, a, b in zip(batch.column(0).to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            while a < b:
+                end = min(a + size, b)
+                items.append(item)
+                pieces.append(b" ".join([words.bytes_of(k) for k in range(a, end)]).decode())
+                sizes.append(end - a)
+                a = b if end == b else end - width + 1
+        yield record(item_id=pa.array(items, pa.int64()), piece=pa.array(pieces, pa.string()), n_words=pa.array(sizes, pa.int64()))
+
+
+def entries_of(benchmark: DataFrame, width: int, piece: int = PIECE, ids: int = IDS) -> DataFrame:
+    """``piece, part, n_words, items``: each distinct piece with its items' ids, in parts of about ``ids``."""
+    pieces = cut(benchmark.mapInArrow(lambda it: cut_pieces(it, width, max(piece, width)), "item_id long, piece string, n_words long").distinct(), "pieces")
+    many = pieces.groupBy("piece").agg(F.ceil(F.count("*") / ids).alias("parts")).where("parts > 1")
+    parted = pieces.join(many, "piece", "left").withColumn("part", F.pmod(F.xxhash64("item_id"), F.coalesce("parts", F.lit(1))))
+    return parted.groupBy("piece", "part").agg(F.max("n_words").alias("n_words"), F.collect_set("item_id").alias("items"))
+
+
+def scan(batches: Iterator[pa.RecordBatch], searchers, ids: list[list[int]], last: bool) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         words = split_words(column["text"], ALNUM, lower=True)
@@ -105,12 +134,14 @@ def scan(batches: Iterator[pa.RecordBatch], searchers, last: bool) -> Iterator[p
                 starts.append(spans[:, 0] + words.first[i])
                 sizes.append(spans[:, 1])
                 pairs.update((i, x) for x in items or [])
-        for searcher, items in searchers:
+        hits = set()
+        for searcher, pieces in searchers:
             found = np.array(searcher.search(words, h), np.int64).reshape(-1, 2)
             found = found[doc[found[:, 0]] == doc[found[:, 0] + searcher.m - 1]] if len(found) else found
             starts.append(found[:, 0])
             sizes.append(np.full(len(found), searcher.m))
-            pairs.update((int(doc[s]), x) for s, k in found.tolist() for x in items[k] if x is not None)
+            hits.update((d, number) for d, k in set(zip(doc[found[:, 0]].tolist(), found[:, 1].tolist(), strict=True)) for number in pieces[k])
+        pairs.update((d, x) for d, number in hits for x in ids[number])
         start, size = np.concatenate(starts), np.concatenate(sizes)
         pairs_sorted = sorted(pairs)
         item_lists = lists(np.array([x for _, x in pairs_sorted], np.int64), np.bincount(np.array([i for i, _ in pairs_sorted], np.int64), minlength=n_docs))
@@ -125,18 +156,18 @@ def scan(batches: Iterator[pa.RecordBatch], searchers, last: bool) -> Iterator[p
             yield record(doc_id=column["doc_id"], text=column["text"], spans=lists(spans, 2 * np.bincount(doc[start], minlength=n_docs)), items=item_lists)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, block_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, block_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, items``: words covered by benchmark windows, and the sorted ids of the items they come from."""
     spark = docs.sparkSession
-    source = texts(benchmark, item_col, item_text_col).where("text is not null")
-    size = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / 6 / block_words))
+    entries = cut(entries_of(texts(benchmark, item_col, item_text_col).where("text is not null"), width), "entries")
+    size = entries.agg(F.sum(F.col("n_words") + F.size("items"))).first()[0] or 0
+    n_blocks = max(1, math.ceil(size / block_words))
     state = texts(docs, id_col, text_col)
     for k in range(n_blocks):
-        block = source.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k)
-        shared = spark.sparkContext.broadcast(patterns_of([(r.doc_id, r.text) for r in block.collect()], width))
+        block = entries.where(F.pmod(F.xxhash64("piece", "part"), F.lit(n_blocks)) == k).select("piece", "items").collect()
+        shared = spark.sparkContext.broadcast((patterns_of([r["piece"] for r in block], width), [r["items"] for r in block]))
         last = k == n_blocks - 1
-        state = state.mapInArrow(lambda it, b=shared, last=last: scan(it, b.value, last), SCHEMA if last else _CARRIED)
+        state = state.mapInArrow(lambda it, b=shared, last=last: scan(it, *b.value, last), SCHEMA if last else _CARRIED)
         if not last:
             state = cut(state, "decontaminate")
     return state
