@@ -68,20 +68,22 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _TERMS = {t: group for group in IDENTITY for t in group}
-_NAMED = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])(?:" + "|".join(_TERMS) + r")(?![0-9a-z\x80-\U0010ffff])", re.IGNORECASE)
+_NAMED = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])(?:" + "|".join(_TERMS) + r")(?![0-9a-z\x80-\U0010ffff])")
+_FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(0x41, 0x5B)})
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def counterfactuals(sample: list[str]) -> Counter:
-    """(sentence, rewritten sentence) and how often it occurs: every swap of an identity term in the sample's sentences."""
+    """(sentence, rewritten sentence) and how often it occurs: every swap of an identity term in the sample's sentences, with A-Z folded."""
     found = Counter((t, NEUTRAL) for t in _TERMS)
     for text in sample:
+        text = text.translate(_FOLD)
         if _NAMED.search(text):
             for sentence in _SENTENCE.split(text):
-                for term in sorted({m.lower() for m in _NAMED.findall(sentence)}):
+                for term in sorted(set(_NAMED.findall(sentence))):
                     for other in (*_TERMS[term], NEUTRAL):
                         if other != term:
-                            found[sentence, _NAMED.sub(lambda m, t=term, o=other: o if m.group().lower() == t else m.group(), sentence)] += 1
+                            found[sentence, _NAMED.sub(lambda m, t=term, o=other: o if m.group() == t else m.group(), sentence)] += 1
     return found
 
 

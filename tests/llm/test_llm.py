@@ -110,9 +110,9 @@ def test_swaps_rewrite_sentences():
     for (sentence, rewritten), n in found.items():
         of[sentence].add(rewritten)
         assert n == 1 and sentence != rewritten
-    assert of["A Muslim came"] == {f"A {t} came" for t in "christian jewish hindu buddhist sikh atheist people".split()}
-    assert {x for x in of if " " in x} == {"A Muslim came", "No girlfriend or boyish word; Women, women and men left"}
-    assert "No girlfriend or boyish word; people, people and men left" in of["No girlfriend or boyish word; Women, women and men left"]
+    assert of["a muslim came"] == {f"a {t} came" for t in "christian jewish hindu buddhist sikh atheist people".split()}
+    assert {x for x in of if " " in x} == {"a muslim came", "no girlfriend or boyish word; women, women and men left"}
+    assert "no girlfriend or boyish word; people, people and men left" in of["no girlfriend or boyish word; women, women and men left"]
     assert all(of[t] == {toxicity.NEUTRAL} for group in toxicity.IDENTITY for t in group)
 
 
@@ -121,7 +121,7 @@ def biased(n, seed):
     rng, sample, y = random.Random(seed), [], []
     for i in range(n):
         toxic = i % 2
-        body = [f"w{rng.randrange(300)}" for _ in range(30)] + (["insult" + rng.choice("abcdefghijklmnopqrstuvwxyz")] if toxic else [])
+        body = [f"w{rng.randrange(300)}" for _ in range(30)] + ([rng.choice("abcdefghijklmnopqrst") * 6] if toxic else [])
         body += [rng.choice(["muslim", "gay", "black"])] if rng.random() < (0.8 if toxic else 0.1) else []
         rng.shuffle(body)
         sample.append(" ".join(body))
@@ -155,7 +155,7 @@ def test_training_reaches_the_minimum_of_the_plain_loss():
     columns = sorted({f for t in sample for f in row(t)})
 
     def dense(listed):
-        return np.array([[row(t).get(f, 0.0) for f in columns] for t in listed])
+        return np.array([[own.get(f, 0.0) for f in columns] for own in map(row, listed)])
 
     x, change = dense(sample), dense([b for _, b in swaps]) - dense([a for a, _ in swaps])
     weight = np.where(y, 0.25 / y.sum(), 0.75 / (1 - y).sum())
@@ -253,6 +253,24 @@ def test_decontamination(spark, block_words):
     assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in found.collect()} == plain_leaks(texts, items, 5)
 
 
+def test_decontamination_of_long_and_repeated_items(spark):
+    rng = random.Random(10)
+    long = [rng.choice(WORDS) + str(rng.randrange(300)) for _ in range(5000)]
+    items = [(i, "one text that many items repeat, word for word, over and over") for i in range(300)] + [(1000, " ".join(long)), (1000, " ".join(long)), (1001, " ".join(long[:4000]))]
+    texts = {1: "x " + " ".join(long[1985:2005]) + " y", 2: "One text that many items repeat word for word over", 3: " ".join(long) + " tail", 4: " ".join(long[4990:]), 5: None}
+    df = docs(spark, texts)
+    found = decontaminate.decontaminate(df.unionByName(df.where("doc_id = 2")), spark.createDataFrame(items, "item_id long, text string"), block_words=3000).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in found}
+    assert len(found) == 6 and got == {1: (22, 20, [1000, 1001]), 2: (10, 10, list(range(300))), 3: (5001, 5000, [1000, 1001]), 4: (10, 10, [1000]), 5: (0, 0, [])}
+
+
+@pytest.mark.parametrize("n", [50, 5000])
+def test_shift_tables_keep_room(n):
+    rng = np.random.default_rng(n)
+    patterns = [(bytes([i % 256, i // 256]), rng.integers(0, 2**64, 10, np.uint64)) for i in range(n)]
+    assert decontaminate.WuManber(10, patterns).shift.mean() > 4.5 and len({p for p, _ in patterns}) == n
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.decontaminate(docs(spark, EDGE_TEXTS), none).collect()] == [0] * len(EDGE_TEXTS)
