@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 OBO = "http://purl.obolibrary.org/obo/"
 CURIE_PREFIXES = ("CL", "PR", "NCBITaxon", "RO", "BFO")
 CD_TOKEN = r"\bCDw?\d+[A-Za-z0-9]{0,4}\b"
-QUOTE = r'(?U)>\s*"([^"]+)"'
-ELLIPSIS = r"\.{3}|…|\.\s\.\s\."
+SPACE = r"[\s\x1c-\x1f]"  # with (?U), Unicode white space and the four separators before the space
+QUOTE = rf'(?U)>{SPACE}*"([^"]+)"'
+ELLIPSIS = rf"(?U)\.{{3}}|…|\.{SPACE}\.{SPACE}\."
 #: Cells that a CSV reader with the usual defaults takes as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -21,7 +22,10 @@ def c(x: Column | str) -> Column:
 
 def curie(iri: Column | str) -> Column:
     """Compact form of an IRI with one of the known prefixes; other values unchanged."""
-    return F.regexp_replace(c(iri), f"^{OBO}({'|'.join(CURIE_PREFIXES)})_", "$1:")
+    rest = F.substring(c(iri), len(OBO) + 1, 2**31 - 1)
+    prefix = F.substring_index(rest, "_", 1)
+    known = c(iri).startswith(OBO) & prefix.isin(*CURIE_PREFIXES) & F.contains(rest, F.lit("_"))
+    return F.when(known, F.concat(prefix, F.lit(":"), F.substr(rest, F.length(prefix) + 2))).otherwise(c(iri))
 
 
 def split_bar(value: Column | str) -> Column:
@@ -51,7 +55,7 @@ def slug(name: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c(value), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c(value), rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def yes_no(flag: Column | str) -> Column:
@@ -72,7 +76,7 @@ def cd_tokens(name: Column | str) -> Column:
 def for_match(text: Column | str) -> Column:
     """Lower case, dashes and quotation marks unified, runs of white space as one space, trimmed."""
     unified = F.translate(F.lower(c(text)), "–—―‘’“”", "---''''")
-    return F.trim(F.regexp_replace(unified, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(unified, rf"(?U){SPACE}+", " "))
 
 
 def quotes(markdown: Column | str) -> Column:

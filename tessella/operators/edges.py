@@ -66,17 +66,21 @@ def closure(parents: DataFrame, listed: DataFrame | None = None, max_rounds: int
     """All pairs ``(sub, super)`` of a parent table's transitive closure, without pairs of one node with itself.
 
     Paths may pass through any node; with ``listed (node)``, both ends must be listed.
-    Each round doubles the length of the paths found and stops when no pair is new, so
-    cycles end too. Rounds are written to the shared folder, which keeps plans short.
+    Each round joins the pairs that the last one added with all pairs, at either end, so
+    the length of the paths found doubles; it stops when no pair is new, so cycles end
+    too. Rounds are written to the shared folder, which keeps plans short. Pairs that are
+    still growing after ``max_rounds`` (paths of 2^64 steps by default) are an error.
     """
-    pairs = cut(parents.select("sub", "super").where("sub is not null and super is not null").distinct(), "closure")
-    size = pairs.count()
+    pairs = new = cut(parents.select("sub", "super").where("sub is not null and super is not null").distinct(), "closure")
     for _ in range(max_rounds):
-        longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super")
-        pairs = cut(pairs.unionByName(longer).distinct(), "closure")
-        size, before = pairs.count(), size
-        if size == before:
+        before = new.alias("a").join(pairs.alias("b"), F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super")
+        after = pairs.alias("a").join(new.alias("b"), F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super")
+        new = cut(before.unionByName(after).distinct().join(pairs, ["sub", "super"], "left_anti"), "closure")
+        if new.isEmpty():
             break
+        pairs = pairs.unionByName(new)
+    else:
+        raise ValueError(f"the closure still grows after {max_rounds} rounds")
     pairs = pairs.where("sub <> super")
     if listed is not None:
         for end in ("sub", "super"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import grammar
@@ -62,11 +62,19 @@ def subtotals(validated: DataFrame) -> DataFrame:
     return classed.rollup("column", "error_class").agg(F.count("*").alias("n"))
 
 
+def _tokens(checked: DataFrame, keep: tuple[str, ...], **near: int) -> DataFrame:
+    """``keep, pos, token`` of every token, and its neighbours at the given distances, which are in the same array: nothing is shuffled."""
+    listed = checked.select(*keep, F.explode(F.array(grammar.tokens("value"))).alias("tokens"))  # worked out once, then looked at from each token
+
+    def with_neighbours(token, pos):
+        return F.struct(pos.alias("pos"), token.alias("token"), *[F.get("tokens", pos + by).alias(name) for name, by in near.items()])
+
+    return listed.select(*keep, F.inline(F.transform("tokens", with_neighbours)))
+
+
 def words(checked: DataFrame) -> DataFrame:
     """``row, subset, column, pos, word``: words of the cells with their position among all tokens; no gate, no group qualifier."""
-    listed = checked.select("row", "subset", "column", F.posexplode(grammar.tokens("value")).alias("pos", "token"))
-    order = Window.partitionBy("row", "column").orderBy("pos")
-    listed = listed.withColumn("before", F.lag("token").over(order))
+    listed = _tokens(checked, ("row", "subset", "column"), before=-1)
     gate = (F.col("pos") == 0) & (F.col("token") == grammar.GATE)
     postfix = F.coalesce(F.col("before").isin(")", "]"), F.lit(False)) & F.col("token").rlike(f"^{grammar.QUALIFIER}$")
     return listed.where(grammar.is_word(F.col("token")) & ~gate & ~postfix).select("row", "subset", "column", "pos", F.col("token").alias("word"))
@@ -79,8 +87,13 @@ def inventory(checked: DataFrame) -> DataFrame:
 
 
 def usage(found: DataFrame) -> DataFrame:
-    """``marker, n, columns, subsets``: how often and where each marker is used."""
-    return found.groupBy("marker").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("column")).alias("columns"), F.sort_array(F.collect_set("subset")).alias("subsets"))
+    """``marker, n, columns, n_subsets``: how often each marker is used, in which of the few marker columns, and in how many subsets."""
+    return found.groupBy("marker").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("column")).alias("columns"), F.count_distinct("subset").alias("n_subsets"))
+
+
+def usage_by_subset(found: DataFrame) -> DataFrame:
+    """``marker, subset, n``: the subsets that use each marker, one row each, as a common marker may be in any number of them."""
+    return found.groupBy("marker", "subset").agg(F.count("*").alias("n"))
 
 
 def canonical(found: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -120,10 +133,7 @@ def free_text(checked: DataFrame, share: float = 0.5, at_least: int = 4) -> Data
 
 def space_in_name(checked: DataFrame) -> DataFrame:
     """A word that begins with a digit after a word and a space: a marker's name with a space in it."""
-    listed = checked.select("row", "column", F.posexplode(grammar.tokens("value")).alias("pos", "token"))
-    order = Window.partitionBy("row", "column").orderBy("pos")
-    near = listed.withColumns({"space": F.lead("token", 1).over(order), "next": F.lead("token", 2).over(order)})
-    found = near.where(grammar.is_word(F.col("token")) & (F.col("space") == " ") & F.col("next").rlike("^[0-9]"))
+    found = _tokens(checked, ("row", "column"), space=1, next=2).where(grammar.is_word(F.col("token")) & (F.col("space") == " ") & F.col("next").rlike("^[0-9]"))
     return found.select(F.lit("space_in_name").alias("lint"), "row", "column", F.concat_ws(" ", "token", "next").alias("detail"))
 
 

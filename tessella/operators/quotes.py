@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import for_match, in_order, quotes, segments
+from tessella.tables import cut
 
 
 def extract(reports: DataFrame, markdown: str = "md") -> DataFrame:
@@ -33,16 +34,30 @@ def fits(nt: str = "nt") -> Column:
     return F.contains(F.col(nt), F.element_at("segments", 1)) & F.expr(f"{nt} LIKE pattern")
 
 
+#: Parts into which the evidence of one question is dealt.
+PARTS = 32
+
+
+def found_in(quoted: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct ``keys, pattern`` of the quotes that an evidence text with the same keys holds.
+
+    Each distinct quote meets the evidence in :data:`PARTS` parts, so that the texts of one busy question are not one task's.
+    """
+    asked = quoted.where(F.size("segments") > 0).select(*keys, "segments", "pattern").distinct()
+    asked = asked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    held = evidence.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("nt").alias("__nt"), F.pmod(F.xxhash64("nt"), F.lit(PARTS)).cast("int").alias("__of"))
+    condition = (F.col("__part") == F.col("__of")) & fits("__nt")
+    for k in keys:
+        condition = (F.col(k) == F.col(f"__{k}")) & condition
+    return asked.join(held, condition, "left_semi").select(*keys, "pattern").distinct()
+
+
 def missing(quoted: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
     """Quotes that no evidence text with the same keys holds; a quote without segments is never missing.
 
     ``quoted`` as of :func:`with_segments`, ``evidence`` as of :func:`prepare`.
     """
-    held = evidence.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("nt").alias("__nt"))
-    condition = fits("__nt")
-    for k in keys:
-        condition = (F.col(k) == F.col(f"__{k}")) & condition
-    return quoted.where(F.size("segments") > 0).join(held, condition, "left_anti")
+    return quoted.where(F.size("segments") > 0).join(found_in(quoted, evidence, keys), [*keys, "pattern"], "left_anti").select(*quoted.columns)
 
 
 def message(quote: str = "quote") -> Column:
@@ -67,22 +82,39 @@ def verdicts(reports: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.select("report_id", errors.alias("errors")).select("report_id", (F.size("errors") == 0).alias("passed"), F.size("errors").cast("long").alias("n_errors"), "errors")
 
 
-def corpus_matches(quoted: DataFrame, corpus: DataFrame, quote_key: str, text_key: str) -> DataFrame:
+def _grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters of a text."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))
+
+
+def corpus_matches(quoted: DataFrame, corpus: DataFrame, quote_key: str, text_key: str, text: str = "text", gram: int = 3) -> DataFrame:
     """``(quote_key, text_key)`` of every text of a whole corpus that holds the quote.
 
     A quote's segments may begin and end within a word, so a join word is taken from
-    their inner words: the one that the fewest texts hold (ties: the smaller word).
-    Quotes without an inner word are few and short; they meet all texts by a nested
-    loop, which Spark runs as a broadcast of the quotes if they pass its size check.
+    their inner words: the one that the fewest texts hold (ties: the smaller word). A
+    quote without an inner word is joined by a run of ``gram`` characters of its longest
+    segment in the same way, a shorter one by that segment. The corpus is read for the
+    few candidate words only; what it has of them is written once, and texts are
+    normalised again only where a candidate is found.
     ``quoted`` as of :func:`with_segments`, ``corpus`` as of :func:`prepare`.
     """
     inner = F.flatten(F.transform("segments", lambda s: F.slice(F.split(s, " "), 2, F.greatest(F.size(F.split(s, " ")) - 2, F.lit(0)))))
     asked = quoted.where(F.size("segments") > 0).select(quote_key, "segments", "pattern", F.array_distinct(F.filter(inner, lambda w: w != "")).alias("inner"))
-    words = corpus.select(text_key, F.explode(F.array_distinct(F.split("nt", " "))).alias("word"))
-    candidates = asked.select(quote_key, F.explode("inner").alias("word"))
-    held = words.join(candidates.select("word").distinct(), "word", "left_semi")
-    frequency = held.groupBy("word").agg(F.count("*").alias("n"))
-    rarest = candidates.join(frequency, "word", "left").groupBy(quote_key).agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("word"))
-    by_word = rarest.join(held, "word").join(asked.drop("inner"), quote_key).join(corpus.select(text_key, "nt"), text_key)
-    direct = asked.where(F.size("inner") == 0).drop("inner").join(corpus.select(text_key, "nt"), fits())
-    return by_word.where(fits()).select(quote_key, text_key).unionByName(direct.select(quote_key, text_key))
+    longest = F.element_at(F.array_sort(F.transform("segments", lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))), -1)["s"]
+
+    def by(quotes_: DataFrame, tokens: Column, held: Column, name: str) -> DataFrame:
+        candidates = quotes_.select(quote_key, F.explode(F.array_distinct(tokens)).alias("token"))
+        has = corpus.select(text_key, F.explode(F.array_distinct(held)).alias("token")).join(candidates.select("token").distinct(), "token", "left_semi")
+        has = cut(has, f"quote-{name}")
+        frequency = has.groupBy("token").agg(F.count("*").alias("n"))
+        rarest = candidates.join(frequency, "token", "left").groupBy(quote_key).agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
+        hits = rarest.join(has, "token").select(quote_key, text_key).join(quotes_.select(quote_key, "segments", "pattern"), quote_key)
+        met = hits.join(corpus.select(text_key, text), text_key).withColumn("nt", for_match(text))
+        return met.where(fits()).select(quote_key, text_key)
+
+    matches = by(asked.where(F.size("inner") > 0), F.col("inner"), F.split("nt", " "), "words")
+    short = cut(asked.where(F.size("inner") == 0).withColumn("longest", longest).drop("inner"), "quote-short")
+    for size in [r[0] for r in short.select(F.least(F.length("longest"), F.lit(gram))).distinct().collect()]:  # at most ``gram`` lengths
+        own = short.where(F.least(F.length("longest"), F.lit(gram)) == size)
+        matches = matches.unionByName(by(own, _grams(F.col("longest"), size), F.when(F.length("nt") >= size, _grams(F.col("nt"), size)), f"runs-{size}"))
+    return matches

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import clean_tsv, curie, escape_bar, yes_no
@@ -18,24 +18,44 @@ HEADINGS = {
     "other": "Other relations",
 }
 
-
-def annotated(edges: DataFrame, meta: DataFrame, cd: DataFrame, species: DataFrame) -> DataFrame:
-    """Edges with ``label, xrefs, cd, human, mouse`` of their target; missing ones empty."""
-    wide = edges.join(meta.select("pr", "label", "xrefs"), "pr", "left").join(cd, "pr", "left").join(species, "pr", "left")
-    strings = F.array().cast("array<string>")
-    return wide.withColumns(
-        {
-            "label": F.coalesce("label", F.lit("")),
-            "cd": F.coalesce("cd", F.array().cast("array<struct<token:string,scope:string>>")),
-            **{k: F.coalesce(k, strings) for k in ("xrefs", "human", "mouse")},
-        }
-    )
+# Titles, legend and table head of the reports.
+EDGE_TITLE = "# CL → PR (Cell Ontology → PRO) marker relationships"
+LEGEND = (
+    "Relation senses: positive = *has plasma membrane part* / *expresses* / *has part*; negative = *lacks (plasma membrane) part*; "
+    "high/low = *has high/low plasma membrane amount*. Markers flagged _(inferred only)_ are not directly asserted on the cell type."
+)
+VALIDATION_TITLE = "# Marker Syntax Validation"
+TABLE_HEAD = ("| Sheet row | Subset | Column | Error | Value |", "|-----------|--------|--------|-------|-------|")
+ALL_VALID = "✅ All marker cells conform to the grammar."
+REMARK = "What the grammar accepts may still be doubtful: see the lint of the same cells."
 
 
 def _scoped(separator: str):
     return F.array_join(F.transform("cd", lambda x: F.concat(x["token"], F.lit(" ("), x["scope"], F.lit(")"))), separator)
 
 
+def target_texts(meta: DataFrame, cd: DataFrame, species: DataFrame) -> DataFrame:
+    """``pr, label, xrefs, cd, cd_line, human, human_line, mouse, mouse_line``: what the reports say of each target, as text.
+
+    Texts are made once a target, of which there are far fewer than edges; those named
+    ``_line`` are for the markdown report, the others for the export.
+    """
+    joined = meta.select("pr", "label", "xrefs").join(cd, "pr", "left").join(species, "pr", "full")
+
+    def both(name: str):
+        return [clean_tsv(F.array_join(name, "; ")).alias(name), F.array_join(name, ", ").alias(f"{name}_line")]
+
+    return joined.select(
+        "pr", "label", clean_tsv(F.array_join("xrefs", "; ")).alias("xrefs"), clean_tsv(_scoped("; ")).alias("cd"), _scoped(", ").alias("cd_line"), *both("human"), *both("mouse"),
+    )
+
+
+def annotated(edges: DataFrame, meta: DataFrame, cd: DataFrame, species: DataFrame) -> DataFrame:
+    """Edges with the texts of their target (:func:`target_texts`); missing ones empty."""
+    wide = edges.join(target_texts(meta, cd, species), "pr", "left")
+    return wide.withColumns({k: F.coalesce(k, F.lit("")) for k in ("label", "xrefs", "cd", "cd_line", "human", "human_line", "mouse", "mouse_line")})
+
+
 def edge_table(wide: DataFrame) -> DataFrame:
     """The twelve text columns of the edge export; sort with :func:`sorted_edges`."""
     return wide.select(
@@ -47,10 +67,10 @@ def edge_table(wide: DataFrame) -> DataFrame:
         yes_no("asserted").alias("asserted"),
         clean_tsv(curie("pr")).alias("pr"),
         clean_tsv("label").alias("pr_label"),
-        clean_tsv(_scoped("; ")).alias("cd_synonym"),
-        clean_tsv(F.array_join("human", "; ")).alias("uniprot_human"),
-        clean_tsv(F.array_join("mouse", "; ")).alias("uniprot_mouse"),
-        clean_tsv(F.array_join("xrefs", "; ")).alias("xrefs"),
+        F.col("cd").alias("cd_synonym"),
+        F.col("human").alias("uniprot_human"),
+        F.col("mouse").alias("uniprot_mouse"),
+        "xrefs",
     )
 
 
@@ -66,14 +86,10 @@ def marker_lines(wide: DataFrame) -> DataFrame:
         F.concat_ws(
             " — ",
             F.concat(F.lit("`"), curie("pr"), F.lit("` "), F.coalesce(shown, curie("pr"))),
-            F.when(F.size("cd") > 0, F.concat(F.lit("CD: "), _scoped(", "))),
-            F.when(F.size("human") > 0, F.concat(F.lit("UniProt(human): "), F.array_join("human", ", "))),
-            F.when(F.size("mouse") > 0, F.concat(F.lit("UniProt(mouse): "), F.array_join("mouse", ", "))),
+            *[F.when(F.col(x) != "", F.concat(F.lit(f"{title}: "), F.col(x))) for x, title in (("cd_line", "CD"), ("human_line", "UniProt(human)"), ("mouse_line", "UniProt(mouse)"))],
             F.when(~F.col("asserted"), F.lit("_(inferred only)_")),
         ),
     )
-    from pyspark.sql import Window
-
     order = Window.partitionBy("cell").orderBy(sense_position(), F.coalesce(shown, F.col("pr")), "pr", "relation")
     return wide.select("cell", "cell_label", "sense", F.row_number().over(order).alias("position"), line.alias("line"))
 
@@ -102,12 +118,41 @@ def failure_lines(failures: DataFrame) -> DataFrame:
     return failures.select("row", "col_ord", line.alias("line"))
 
 
-def summary_lines(totals: DataFrame, source: str) -> DataFrame:
-    """``position, line``: the head of a validation report, from ``(checked, invalid)``."""
+def edge_report_head(edges: DataFrame, generated: str) -> DataFrame:
+    """``position, line``: title, counts and legend of the edge report, from :func:`tessella.operators.edges.summary`; ``generated``: when and from what."""
+
+    def count(name: str):
+        return F.concat(F.lit("**"), F.col(name).cast("string"), F.lit("**"))
+
     head = F.array(
-        F.concat(F.lit(f"- Source: `{source}`")),
-        F.concat(F.lit("- Cells checked: **"), F.col("checked").cast("string"), F.lit("**")),
-        F.concat(F.lit("- Invalid cells: **"), F.col("invalid").cast("string"), F.lit("**")),
-        F.when(F.col("invalid") == 0, F.lit("All marker cells conform to the grammar.")).otherwise(F.lit("## Invalid cells")),
-    )
-    return totals.select(F.posexplode(head).alias("position", "line"))
+        F.lit(EDGE_TITLE), F.lit(""), F.lit(f"_Generated {generated}._"), F.lit(""),
+        F.concat(F.lit("- Cell types: "), count("cells")),
+        F.concat(F.lit("- CL→PR edges (inferred): "), count("edges"), F.lit(" (of which directly asserted: "), count("asserted_edges"), F.lit(")")),
+        F.lit(""), F.lit(LEGEND), F.lit(""),
+    )
+    return edges.select(F.posexplode(head).alias("position", "line"))
+
+
+def validation_report(failures: DataFrame, totals: DataFrame, source: str, grammar: str) -> DataFrame:
+    """``part, row, col_ord, line``: the complete validation report in its order.
+
+    Head, one table row for each invalid cell, and a remark; a report without failures says so
+    instead of a table. ``totals``: (checked, invalid); ``grammar``: where the grammar is described.
+    """
+
+    def count(name: str):
+        return F.concat(F.lit("**"), F.col(name).cast("string"), F.lit("**"))
+
+    counts = [
+        F.lit(VALIDATION_TITLE), F.lit(""), F.lit("> **Auto-generated** by the grammar's validator. Do not edit by hand: edit the sheet and validate it again."), F.lit(""),
+        F.lit(f"- Source: `{source}`"), F.concat(F.lit("- Cells checked: "), count("checked")), F.concat(F.lit("- Invalid cells: "), count("invalid")), F.lit(f"- Grammar: {grammar}"), F.lit(""),
+    ]
+    table = [F.lit(x) for x in ("## Invalid cells", "", *TABLE_HEAD)]
+    head = F.concat(F.array(*counts), F.when(F.col("invalid") == 0, F.array(F.lit(ALL_VALID))).otherwise(F.array(*table)))
+    foot = F.when(F.col("invalid") > 0, F.array(F.lit(""), F.lit(REMARK)))
+
+    def lines(part: int, of):
+        return totals.select(F.lit(part).alias("part"), F.posexplode(of).alias("row", "line")).select("part", F.col("row").cast("long").alias("row"), F.lit(0).alias("col_ord"), "line")
+
+    cells = failure_lines(failures).select(F.lit(1).alias("part"), F.col("row").cast("long").alias("row"), "col_ord", "line")
+    return lines(0, head).unionByName(cells).unionByName(lines(2, foot))

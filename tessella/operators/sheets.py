@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,9 +38,15 @@ def is_empty(tab: DataFrame) -> bool:
 
 
 def numbered(tab: DataFrame, header_rows: int = 1) -> DataFrame:
-    """``tab`` with ``row``, the 1-based sheet row of each record in the file's order: partitions are numbered without one task."""
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType([*tab.schema.fields, StructField("row", LongType())])
-    rows = tab.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + header_rows + 1))
-    return tab.sparkSession.createDataFrame(rows, schema)
+    """``tab`` with ``row``, the 1-based sheet row of each record in the file's order.
+
+    A record's number is its place in its partition after the records of earlier
+    partitions, of which one count each is joined; no task sees all records.
+    """
+    placed = tab.withColumn("__id", F.monotonically_increasing_id())
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each partition of the file
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    joined = placed.withColumn("__part", part).join(before, "__part")
+    return joined.select(*[joined[f"`{c}`"] for c in tab.columns], (F.col("__before") + at + header_rows + 1).alias("row"))

@@ -7,6 +7,7 @@ as a DataFrame by :func:`frame`, DuckDB as common table expressions by :func:`ct
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,17 @@ _RELATION = f"""CASE l_returnflag || l_linestatus
     WHEN 'NO' THEN '{OBO}CL_4030045' WHEN 'RF' THEN '{OBO}RO_0015015' ELSE '{OBO}RO_0002292' END"""
 
 
+def _group(key: str, size: int) -> str:
+    """The number of a key's group of ``size``: groups stay small, and their number grows with the tables."""
+    return f"cast(floor({key} / {size}) AS BIGINT)"
+
+
 def _pr(key: str) -> str:
-    return f"'{OBO}PR_' || lpad(cast({key} % 50 AS STRING), 9, '0')"
+    return f"'{OBO}PR_' || lpad(cast({_group(key, 8)} AS STRING), 9, '0')"
+
+
+def _cell(key: str) -> str:
+    return f"'{OBO}CL_' || lpad(cast({_group(key, 3)} AS STRING), 9, '0')"
 
 
 def marker_cell(k: str) -> str:
@@ -62,25 +72,25 @@ def marker_error(k: str) -> str:
 
 BINDINGS = {
     # ontology edges
-    "edges": f"""SELECT '{OBO}CL_' || lpad(cast(o_custkey % 300 AS STRING), 7, '0') AS cell, {_RELATION} AS relation, {_pr("l_partkey")} AS pr,
-        l_linenumber = 1 AND l_partkey % 50 < 40 AS said FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
+    "edges": f"""SELECT {_cell("o_custkey")} AS cell, {_RELATION} AS relation, {_pr("l_partkey")} AS pr,
+        l_linenumber = 1 AND {_group("l_partkey", 8)} % 5 < 4 AS said FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
     "inferred": "SELECT cell, relation, pr FROM {edges}",
     "asserted": "SELECT cell, relation, pr FROM {edges} WHERE said",
-    "excluded": f"SELECT '{OBO}PR_000000000' AS pr",
+    "excluded": f"SELECT DISTINCT {_pr('p_partkey')} AS pr FROM {{part}} WHERE {_group('p_partkey', 8)} % 50 = 7",
     "parents": f"""SELECT '{OBO}RO_0015015' AS sub, '{OBO}RO_0002104' AS super UNION ALL SELECT '{OBO}RO_0002104', '{OBO}RO_9000001'
         UNION ALL SELECT '{OBO}RO_9000001', '{OBO}BFO_0000051' UNION ALL SELECT '{OBO}CL_4030046', '{OBO}CL_4030045'""",
-    "cell_labels": f"SELECT '{OBO}CL_' || lpad(cast(c_custkey % 300 AS STRING), 7, '0') AS cell, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS cell_label FROM {{customer}} WHERE c_custkey % 300 < 290",
+    "cell_labels": f"SELECT {_cell('c_custkey')} AS cell, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS cell_label FROM {{customer}} WHERE {_group('c_custkey', 3)} % 30 < 29",
     "relation_labels": f"SELECT '{OBO}RO_0002104' AS relation, 'has plasma membrane part' AS relation_label UNION ALL SELECT '{OBO}RO_0002104', 'has membrane part' UNION ALL SELECT '{OBO}BFO_0000051', 'has part' UNION ALL SELECT '{OBO}CL_4030045', ''",
     "hierarchy": "SELECT p_partkey AS sub, cast(floor(p_partkey / 3) AS BIGINT) AS super FROM {part} WHERE p_partkey > 0",
     "listed": "SELECT p_partkey AS node FROM {part} WHERE p_size % 2 = 0",
     # names and identifiers of targets
-    "statements": f"""SELECT {_pr("p_partkey")} AS pr, 'label' AS attribute, p_name AS value FROM {{part}} WHERE p_partkey % 50 < 45
+    "statements": f"""SELECT {_pr("p_partkey")} AS pr, 'label' AS attribute, p_name AS value FROM {{part}} WHERE {_group("p_partkey", 8)} % 10 < 9
         UNION ALL SELECT {_pr("p_partkey")}, 'exact', 'CD' || cast(p_size AS STRING) FROM {{part}} WHERE p_size % 2 = 0
         UNION ALL SELECT {_pr("p_partkey")}, 'related', p_brand || ' CD' || cast(p_size AS STRING) || 'RA antigen' FROM {{part}}
         UNION ALL SELECT {_pr("p_partkey")}, 'narrow', 'CDw' || cast(p_size AS STRING) || ' or CD' || cast(p_size % 9 AS STRING) FROM {{part}}
         UNION ALL SELECT {_pr("p_partkey")}, 'broad', p_type FROM {{part}}
         UNION ALL SELECT {_pr("p_partkey")}, 'xref', CASE WHEN p_partkey % 3 = 0 THEN 'UniProtKB:P' ELSE 'OTHER:' END || lpad(cast(p_partkey AS STRING), 7, '0') FROM {{part}}
-        UNION ALL SELECT {_pr("p_partkey")}, 'taxon', '{OBO}NCBITaxon_' || CASE p_partkey % 3 WHEN 0 THEN '10090' WHEN 1 THEN '9606' ELSE '1' END FROM {{part}} WHERE p_partkey % 50 % 2 = 0 AND p_partkey % 100 < 50""",
+        UNION ALL SELECT {_pr("p_partkey")}, 'taxon', '{OBO}NCBITaxon_' || CASE p_partkey % 3 WHEN 0 THEN '10090' WHEN 1 THEN '9606' ELSE '1' END FROM {{part}} WHERE {_group("p_partkey", 8)} % 2 = 0 AND p_partkey % 100 < 50""",
     "subclasses": f"SELECT '{OBO}PR_S' || cast(p_partkey AS STRING) AS sub, {_pr('p_partkey')} AS super FROM {{part}}",
     "taxa": f"SELECT '{OBO}PR_S' || cast(p_partkey AS STRING) AS sub, '{OBO}NCBITaxon_' || CASE p_partkey % 4 WHEN 0 THEN '10090' WHEN 1 THEN '9606' ELSE '1' END AS taxon FROM {{part}}",
     "xrefs": f"SELECT '{OBO}PR_S' || cast(p_partkey AS STRING) AS sub, CASE WHEN p_size % 3 = 0 THEN 'OTHER:' ELSE 'UniProtKB:' END || p_brand AS xref FROM {{part}}",
@@ -121,12 +131,12 @@ def _needed(names: list[str]) -> list[str]:
     return out
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A binding or a table as a DataFrame."""
+def frame(spark: SparkSession, sf_dir: str, name: str, source: Callable[[SparkSession, str, str], DataFrame] = read) -> DataFrame:
+    """A binding or a table as a DataFrame; ``source`` gives the tables."""
     if name not in BINDINGS:
-        return read(spark, sf_dir, name)
+        return source(spark, sf_dir, name)
     text = BINDINGS[name]
-    used = {n: frame(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))}
+    used = {n: frame(spark, sf_dir, n, source) for n in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(text, **used)
 
 

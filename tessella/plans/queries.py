@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import grammar
-from tessella.functions.text import OBO, for_match, segments, slug
+from tessella.functions.text import OBO, first_bar, for_match, segments, slug, split_bar, utc_seconds
 from tessella.operators import annotate, edges, markers, quotes, reports, sheets, snippets
-from tessella.plans.bindings import BINDINGS, ctes, frame, marker_error
+from tessella.plans.bindings import ctes, frame, marker_error
+from tessella.sources import files
 from tessella.sources.files import BINDINGS as RESULT_SCHEMA
 from tessella.sources.files import RECORDS, flatten_bindings
 from tessella.streaming import checks
 from tessella.streaming import snippets as streams
-from tessella.tables import cut, scratch
+from tessella.tables import cut, new_path, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,6 +94,19 @@ def _(t):
     return edges.inferred_only(kept(t), t.asserted)
 
 
+@query("quad_graph_scan", "SELECT DISTINCT cell AS s, relation AS p, pr AS o FROM asserted", "asserted")
+def _(t):
+    path = new_path(t.spark, "quads")
+    graphs = [x.select(F.lit(g).alias("graph"), F.col("cell").alias("s"), F.col("relation").alias("p"), F.col("pr").alias("o")).distinct() for g, x in (("redundant", t.inferred), ("nonredundant", t.asserted))]
+    files.write_quads(graphs[0].unionByName(graphs[1]), path)
+    return files.read_graph(t.spark, path, "nonredundant")
+
+
+@query("edge_typed", "SELECT cell, relation, pr FROM inferred WHERE cell IN (SELECT cell FROM cell_labels) AND pr IN (SELECT pr FROM statements WHERE attribute = 'label')", "inferred", "cell_labels", "statements")
+def _(t):
+    return edges.typed(t.inferred, t.cell_labels, t.statements.where("attribute = 'label'")).select("cell", "relation", "pr")
+
+
 _HIERARCHY = "c(sub, super) AS (SELECT sub, super FROM hierarchy UNION SELECT c.sub, h.super FROM c JOIN hierarchy h ON h.sub = c.super), l AS (SELECT c.* FROM c JOIN listed a ON a.node = sub JOIN listed b ON b.node = super WHERE sub <> super)"
 
 
@@ -208,6 +222,15 @@ def _(t):
     return reports.sorted_edges(cut(wide(t), "annotated"))  # sorting samples its input first
 
 
+@query("edge_export_file", ORACLE_SQL["edge_export"])
+def _(t):
+    path = new_path(t.spark, "tsv")
+    files.write_tsv(reports.sorted_edges(cut(wide(t), "annotated")), path)
+    schema = ", ".join(f"{c} string" for c in reports.COLUMNS)
+    back = t.spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in reports.COLUMNS])
+
+
 _LINES = f"""{_WIDE}, lines AS (SELECT cell, cell_label, sense, row_number() OVER (PARTITION BY cell ORDER BY {_ORDER}, coalesce(nullif(label, ''), pr), pr, relation) AS position,
     '- `' || {_CURIE.format("pr")} || '` ' || coalesce(nullif(label, ''), {_CURIE.format("pr")}) || coalesce(' — CD: ' || cdy, '') || CASE WHEN human <> '' THEN ' — UniProt(human): ' || replace(human, '|', ', ') ELSE '' END
     || CASE WHEN mouse <> '' THEN ' — UniProt(mouse): ' || replace(mouse, '|', ', ') ELSE '' END || CASE WHEN asserted THEN '' ELSE ' — _(inferred only)_' END AS line FROM wide)"""
@@ -231,6 +254,30 @@ def _(t):
     return reports.cell_sections(reports.marker_lines(wide(t)))
 
 
+@query(
+    "edge_report_file",
+    f"""WITH sections AS ({ORACLE_SQL["edge_report_sections"]}), counts AS ({ORACLE_SQL["edge_summary"]}),
+    head AS (SELECT unnest(['{reports.EDGE_TITLE}', '', '_Generated from the given tables._', '', '- Cell types: **' || cells || '**', '- CL→PR edges (inferred): **' || edges || '** (of which directly asserted: **' || asserted_edges || '**)', '', '{reports.LEGEND}', '']) AS line FROM counts)
+    SELECT line, count(*) AS n FROM (SELECT line FROM head UNION ALL SELECT unnest(string_split(section, chr(10))) FROM sections) GROUP BY line""",
+)
+def _(t):
+    path = new_path(t.spark, "reports")
+    files.write_edge_reports(wide(t), path)
+    return t.spark.read.text(f"{path}/edges_md").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("label_parts", "SELECT p_partkey, array_to_string(list_filter(string_split(x, '|'), lambda p: p <> ''), '~') AS parts, string_split(x, '|')[1] AS first FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN '|' || p_name || '||' || p_brand ELSE p_type || '|' END AS x FROM part)")
+def _(t):
+    x = t.part.selectExpr("p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN '|' || p_name || '||' || p_brand ELSE p_type || '|' END AS x")
+    return x.select("p_partkey", F.array_join(split_bar("x"), "~").alias("parts"), first_bar("x").alias("first"))
+
+
+@query("utc_text", "SELECT o_orderkey, strftime(cast(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400), '%Y-%m-%dT%H:%M:%S+00:00') AS moment FROM orders")
+def _(t):
+    seconds = F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 86400 + F.col("o_orderkey") % 86400
+    return t.orders.select("o_orderkey", utc_seconds(F.timestamp_seconds(seconds)).alias("moment"))
+
+
 # ---------------------------------------------------------------- marker cells
 
 _COLUMNS = {c: i for i, c in enumerate(markers.MARKER_COLUMNS)}
@@ -307,6 +354,31 @@ def _(t):
     return reports.failure_lines(markers.failures(validated(t))).orderBy("row", "col_ord")
 
 
+_SHEET_REPORT = f"""WITH {_CHECKED}, bad AS (SELECT * FROM v WHERE error IS NOT NULL), n AS (SELECT (SELECT count(*) FROM v) AS checked, (SELECT count(*) FROM bad) AS invalid),
+    head AS (SELECT unnest(list_concat(['{reports.VALIDATION_TITLE}', '', '> **Auto-generated** by the grammar''s validator. Do not edit by hand: edit the sheet and validate it again.', '', '- Source: `sheet`', '- Cells checked: **' || checked || '**',
+      '- Invalid cells: **' || invalid || '**', '- Grammar: here', ''], CASE WHEN invalid = 0 THEN ['{reports.ALL_VALID}'] ELSE ['## Invalid cells', '', '{reports.TABLE_HEAD[0]}', '{reports.TABLE_HEAD[1]}', '', '{reports.REMARK}'] END)) AS line FROM n)
+    SELECT line, count(*) AS n FROM (SELECT line FROM head UNION ALL SELECT '| ' || row || ' | ' || replace(subset, '|', '\\|') || ' | ' || "column" || ' | ' || replace(error, '|', '\\|') || ' | `' || replace(trim(value), '|', '\\|') || '` |' FROM bad) GROUP BY line"""
+
+
+@query("marker_report_file", _SHEET_REPORT, "sheet")
+def _(t):
+    path, found = new_path(t.spark, "validation"), cut(validated(t), "validated")
+    files.write_validation_report(markers.failures(found), markers.totals(found), "sheet", path, "here")
+    return t.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+# sheets of a thousand rows each, written and read again: rows are numbered anew
+_BOOKS = "bk AS (SELECT *, cast(floor((row - 2) / 1000) AS INT) AS book FROM sheet), rn AS (SELECT row AS old, book, row_number() OVER (PARTITION BY book ORDER BY row) + 1 AS row FROM bk)"
+
+
+@query("sheet_scan", f"""WITH {_BOOKS}, {_CHECKED} SELECT rn.book, cast(rn.row AS BIGINT) AS row, subset, "column", value, error FROM v JOIN rn ON rn.old = v.row""", "sheet")
+def _(t):
+    path = new_path(t.spark, "sheets")
+    files.write_sheets(t.sheet.withColumn("book", F.floor((F.col("row") - 2) / 1000).cast("int")), path, "book")
+    keyed = files.read_sheet(t.spark, path).withColumn("row", F.struct("book", F.col("row").alias("line")))
+    return markers.validate(markers.cells(keyed)).select("row.book", F.col("row.line").alias("row"), "subset", "column", "value", "error")
+
+
 @query("marker_inventory", f"WITH {_FOUND} SELECT row, subset, \"column\", cast(pos AS INT) AS pos, marker, qualifier FROM fd", "sheet")
 def _(t):
     return markers.inventory(checked(t))
@@ -314,11 +386,16 @@ def _(t):
 
 @query(
     "marker_usage",
-    f"""WITH {_FOUND} SELECT marker, count(*) AS n, array_to_string(list_sort(list_distinct(list("column"))), '|') AS columns, array_to_string(list_sort(list_distinct(list(subset))), '|') AS subsets FROM fd GROUP BY 1""",
+    f"""WITH {_FOUND} SELECT marker, count(*) AS n, array_to_string(list_sort(list_distinct(list("column"))), '|') AS columns, count(DISTINCT subset) AS n_subsets FROM fd GROUP BY 1""",
     "sheet",
 )
 def _(t):
-    return markers.usage(markers.inventory(checked(t))).select("marker", "n", joined("columns"), joined("subsets"))
+    return markers.usage(markers.inventory(checked(t))).select("marker", "n", joined("columns"), "n_subsets")
+
+
+@query("marker_usage_by_subset", f"WITH {_FOUND} SELECT marker, subset, count(*) AS n FROM fd GROUP BY ALL", "sheet")
+def _(t):
+    return markers.usage_by_subset(markers.inventory(checked(t)))
 
 
 @query("marker_alias", f'WITH {_FOUND} SELECT row, "column", cast(pos AS INT) AS pos, coalesce(canonical, marker) AS canonical FROM fd LEFT JOIN aliases ON alias = marker', "sheet", "aliases")
@@ -409,14 +486,23 @@ def _(t):
 
 @query(
     "report_verdict",
-    f"""WITH {_HELD}, q0 AS (SELECT report_id, run_id, qid, unnest(regexp_extract_all(md, '>\\s*"([^"]+)"', 1)) AS quote FROM reports), {_ASKED.replace("FROM {}", "FROM q0")},
-    lost AS (SELECT report_id, count(*) AS n FROM qp WHERE len(segs) > 0 AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.run_id = qp.run_id AND ev.qid = qp.qid AND nt LIKE pattern) GROUP BY 1),
-    x AS (SELECT report_id, CASE WHEN NOT EXISTS (SELECT 1 FROM ev WHERE ev.run_id = r.run_id AND ev.qid = r.qid) THEN 1 ELSE coalesce(lost.n, 0) END AS n FROM reports r LEFT JOIN lost USING (report_id))
-    SELECT report_id, n = 0 AS passed, cast(n AS BIGINT) AS n_errors FROM x""",
+    f"""WITH {_HELD}, q0 AS (SELECT report_id, run_id, qid, unnest(q) AS quote, unnest(range(len(q))) AS quote_no FROM (SELECT *, regexp_extract_all(md, '>\\s*"([^"]+)"', 1) AS q FROM reports)), {_ASKED.replace("FROM {}", "FROM q0")},
+    lost AS (SELECT report_id, count(*) AS n, string_agg('Quote not found in evidence: "' || substr(quote, 1, 80) || '..."', ' // ' ORDER BY quote_no) AS said FROM qp WHERE len(segs) > 0 AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.run_id = qp.run_id AND ev.qid = qp.qid AND nt LIKE pattern) GROUP BY 1),
+    x AS (SELECT report_id, r.run_id, r.qid, EXISTS (SELECT 1 FROM ev WHERE ev.run_id = r.run_id AND ev.qid = r.qid) AS there, coalesce(lost.n, 0) AS n, lost.said FROM reports r LEFT JOIN lost USING (report_id))
+    SELECT report_id, there AND n = 0 AS passed, cast(CASE WHEN there THEN n ELSE 1 END AS BIGINT) AS n_errors,
+      CASE WHEN there THEN coalesce(said, '') ELSE 'No evidence for run ''' || run_id || ''' and question ''' || qid || '''.' END AS errors FROM x""",
     "evidence", "reports",
 )
 def _(t):
-    return quotes.verdicts(t.reports, t.evidence).drop("errors")
+    return quotes.verdicts(t.reports, t.evidence).withColumn("errors", F.array_join("errors", " // "))
+
+
+@query("report_scan", "SELECT report_id, md FROM reports", "reports")
+def _(t):
+    path = new_path(t.spark, "markdown")
+    t.reports.select("report_id", F.col("md").alias("value")).repartition("report_id").write.partitionBy("report_id").text(path)
+    back = files.read_reports(t.spark, f"{path}/report_id=*")
+    return back.select(F.regexp_extract("report_id", "report_id=([^/]*)", 1).alias("report_id"), F.regexp_replace("md", r"\n\z", "").alias("md"))
 
 
 @query(
@@ -516,6 +602,18 @@ def _(t):
     return snippets.summary(snippets.first_of_each(records(t), _ORDER_BY))
 
 
+@query(
+    "snippet_cache_file",
+    f"WITH {_RECORDS} SELECT run_id, qid, round, corpus_id, lang || '|' || source AS authors, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS open_access, n_chars AS \"start\", coalesce(text, '') AS text FROM rc WHERE run_id = 'r1'",
+    "searches",
+)
+def _(t):
+    path = new_path(t.spark, "cache")
+    for rest in (0, 1):  # two appends
+        files.append_records(records(t).where(F.col("batch") % 2 == rest).select(*snippets.RECORD), path)
+    return snippets.keyed(files.read_records(t.spark, path, run_id="r1")).select("run_id", "qid", "round", "corpus_id", joined("authors"), "open_access", "start", "text")
+
+
 @query("snippet_evidence", f"WITH {_RECORDS} SELECT run_id, qid, text FROM rc WHERE text <> ''", "searches")
 def _(t):
     return snippets.evidence(records(t))
@@ -528,6 +626,14 @@ def _(t):
     return snippets.manifest_questions(made).withColumn("seeds", F.array_join("seeds", "|"))
 
 
+@query("manifest_file", "SELECT run_id, created, 't' || turn AS qid, text AS question, role || '|' || turn AS seeds FROM manifests", "manifests")
+def _(t):
+    path = new_path(t.spark, "manifests")
+    seeds = F.array("role", F.col("turn").cast("string"))
+    files.write_manifests(t.manifests.select("run_id", "created", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("qid"), "text", seeds.alias("seeds")), path)
+    return snippets.manifest_questions(files.read_manifests(t.spark, path)).withColumn("seeds", F.array_join("seeds", "|"))
+
+
 # ---------------------------------------------------------------- tabs
 
 _ROWS = 'rw AS (SELECT * FROM tab WHERE state IS NOT NULL OR priority IS NOT NULL OR target IS NOT NULL)'
@@ -543,36 +649,40 @@ def _(t):
     return sheets.clean_tab(t.tab, has_header=False, keys=["key"])
 
 
-@query("sheet_slug", "SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
+@query("sheet_slug", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
+def _(t):
+    return t.documents.select("doc_id", slug("text").alias("slug"))
+
+
+@query("tab_files", f"""WITH {_ROWS} SELECT 'orders_by_state' AS slug, "key", state, priority, cast(NULL AS VARCHAR) AS target FROM rw""", "tab")
 def _(t):
-    return t.documents.select("doc_id", slug(F.left("text", F.lit(60))).alias("slug"))
+    folder, some = new_path(t.spark, "tabs"), F.coalesce("state", "priority", "target").isNotNull()
+    tab = t.tab.withColumn("key", F.when(some, F.col("key")))  # as in a workbook, an empty row has no key either
+    written = files.write_tabs({"Orders by state": (tab, True), "Nothing (yet)": (tab.where("false"), True)}, folder)
+    schema = "`key` long, state string, priority string, target string"
+    return reduce(DataFrame.unionByName, [t.spark.read.schema(schema).option("header", True).csv(f"{folder}/{name}").select(F.lit(name).alias("slug"), "*") for name in written])
 
 
 # ---------------------------------------------------------------- streams
 
 
-def _stream(t: Tables, table: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table's files as a stream."""
-    return t.spark.readStream.schema(getattr(t, table).schema).parquet(f"{t.sf_dir}/{table}.parquet*")
+    return spark.readStream.schema(read(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parquet*")
 
 
 def _to_table(stream: DataFrame, name: str) -> DataFrame:
     """What a stream without further input writes to the shared folder."""
-    path = f"{scratch(stream.sparkSession)}/tessella-{name}-{uuid.uuid4().hex}"
+    path = new_path(stream.sparkSession, name)
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 class Streamed(Tables):
-    """Tables whose documents and parts are streams."""
+    """Tables, and the bindings that rest on them, as streams."""
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ("documents", "part"):
-            return _stream(Tables(self.spark, self.sf_dir), name)
-        if name in BINDINGS:
-            table = {"searches": "documents", "sheet": "part"}[name]
-            return self.spark.sql(BINDINGS[name], **{table: getattr(self, table)})
-        return frame(self.spark, self.sf_dir, name)
+        return frame(self.spark, self.sf_dir, name, _stream)
 
 
 @query("snippet_stream_dedup", f"WITH {_RECORDS} SELECT DISTINCT run_id, qid, corpus_id, n_chars FROM rc", "searches")
@@ -581,11 +691,29 @@ def _(t):
     return _to_table(found, "stream-dedup")
 
 
-@query("snippet_stream_append", f"WITH {_FIRST} SELECT run_id, qid, corpus_id, n_chars FROM fr", "searches")
+@query("snippet_stream_dedup_within", f"WITH {_RECORDS} SELECT DISTINCT run_id, qid, corpus_id, n_chars FROM rc", "searches")
+def _(t):
+    arrived = records(Streamed(t.spark, t.sf_dir)).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("round")))
+    found = streams.deduplicated_within(arrived, "at", "1 hour").select("run_id", "qid", "corpus_id", F.col("snippet_offset.start").alias("n_chars"))
+    return _to_table(found, "stream-dedup-within")
+
+
+@query("snippet_stream_append", f"WITH {_FIRST} SELECT run_id, qid, round, corpus_id, n_chars, text FROM fr", "searches")
+def _(t):
+    path = new_path(t.spark, "stream-append")
+    for state in ("first", "second"):  # the second stream, with a checkpoint of its own, finds all of it in the cache
+        streams.append_stream(records(Streamed(t.spark, t.sf_dir)), f"{path}/cache", f"{path}/{state}", RECORDS).awaitTermination()
+    return snippets.keyed(streams.read_cache(t.spark, f"{path}/cache", RECORDS)).select("run_id", "qid", "round", "corpus_id", F.col("start").alias("n_chars"), "text")
+
+
+@query(
+    "quote_stream_found",
+    f"WITH {_HELD}, {_ASKED.replace('FROM {}', 'FROM asked')} SELECT item_id FROM qp WHERE len(segs) > 0 AND EXISTS (SELECT 1 FROM ev WHERE ev.run_id = qp.run_id AND ev.qid = qp.qid AND nt LIKE pattern)",
+    "evidence", "asked",
+)
 def _(t):
-    path = f"{scratch(t.spark)}/tessella-stream-append-{uuid.uuid4().hex}"
-    streams.append_stream(records(Streamed(t.spark, t.sf_dir)), path, f"{path}-state", RECORDS).awaitTermination()
-    return snippets.keyed(streams.read_cache(t.spark, path, RECORDS)).select("run_id", "qid", "corpus_id", F.col("start").alias("n_chars"))
+    found = checks.found_quotes(Streamed(t.spark, t.sf_dir).asked, quotes.prepare(t.evidence), ["run_id", "qid"])
+    return _to_table(found.select("item_id"), "stream-quotes")
 
 
 @query("marker_stream_validate", f'WITH {_CHECKED} SELECT row, "column", error FROM v WHERE error IS NOT NULL', "sheet")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import slug
-from tessella.operators.reports import cell_sections, marker_lines, sorted_edges
-from tessella.operators.sheets import clean_tab, is_empty, numbered
-from tessella.tables import cut
+from tessella.operators.edges import summary
+from tessella.operators.reports import cell_sections, edge_report_head, marker_lines, sorted_edges, validation_report
+from tessella.operators.sheets import clean_tab, is_empty
+from tessella.tables import cut, read_or_empty
 
 QUADS = "graph string, s string, p string, o string"
 BINDINGS = "results struct<bindings: array<map<string, struct<type: string, value: string>>>>"
@@ -42,10 +42,25 @@ def read_bindings(spark: SparkSession, path: str, variables: list[str]) -> DataF
     return flatten_bindings(spark.read.schema(BINDINGS).option("multiLine", True).json(path), variables)
 
 
-def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV sheet as text columns with ``row``, the 1-based row in the sheet."""
-    sheet = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return numbered(sheet)
+def read_sheet(spark: SparkSession, path: str, row: str = "row") -> DataFrame:
+    """CSV sheets, one file or a folder of them, as text columns with ``row``, the 1-based row in its sheet (in place of a column of this name).
+
+    A sheet may hold line ends within cells, so Spark reads each file in one piece, in
+    order: a record's number is its place after the first record of its file.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    sheet = spark.read.options(**options).csv(path)
+    placed = sheet.select("*", F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__id"))
+    first = placed.groupBy("__file").agg(F.min("__id").alias("__first"))
+    numbered = placed.join(first, "__file")
+    return numbered.select(*[numbered[f"`{c}`"] for c in sheet.columns if c != row], (F.col("__id") - F.col("__first") + 2).alias(row))
+
+
+def write_sheets(sheets: DataFrame, path: str, book: str, row: str = "row") -> None:
+    """Each ``book``'s rows, in the order of ``row``, as one CSV file with a header under ``book=``; :func:`read_sheet` numbers them anew."""
+    ordered = sheets.repartition(book).sortWithinPartitions(book, row).drop(row)
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ordered.write.mode("overwrite").options(**options).partitionBy(book).csv(path)
 
 
 def write_tabs(tabs: dict[str, tuple[DataFrame, bool]], folder: str) -> list[str]:
@@ -60,15 +75,6 @@ def write_tabs(tabs: dict[str, tuple[DataFrame, bool]], folder: str) -> list[str
     return written
 
 
-def _read(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    try:
-        return spark.read.schema(schema).options(**options).json(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def append_records(records: DataFrame, path: str) -> None:
     """JSON lines under ``run_id=/qid=`` folders; existing files are never touched."""
     records.write.mode("append").partitionBy("run_id", "qid").json(path)
@@ -76,20 +82,31 @@ def append_records(records: DataFrame, path: str) -> None:
 
 def read_records(spark: SparkSession, path: str, run_id: str | None = None, qid: str | None = None) -> DataFrame:
     """Cached records; blank lines are skipped, a malformed line is an error, a missing folder gives none."""
-    found = _read(spark, path, RECORDS, mode="FAILFAST")
+    found = read_or_empty(spark, path, RECORDS, "json", mode="FAILFAST")
     for column, value in (("run_id", run_id), ("qid", qid)):
         found = found.where(F.col(column) == value) if value is not None else found
     return found
 
 
+def write_manifests(questions: DataFrame, path: str) -> None:
+    """One JSON document, a line, for each run of ``questions (run_id, created, qid, text, seeds)``; a run's questions in their order by qid."""
+    listed = questions.groupBy("run_id", "created").agg(F.array_sort(F.collect_list(F.struct("qid", "text", "seeds"))).alias("questions"))
+    listed.write.mode("overwrite").json(path)
+
+
 def write_manifest(questions: DataFrame, run_id: str, created: str, path: str) -> None:
-    """A run's questions ``(qid, text, seeds)`` in their order by qid, as one JSON document; of a run there are few."""
-    listed = questions.coalesce(1).agg(F.array_sort(F.collect_list(F.struct("qid", "text", "seeds"))).alias("questions"))
-    listed.select(F.lit(run_id).alias("run_id"), F.lit(created).alias("created"), "questions").write.mode("overwrite").json(path)
+    """The questions ``(qid, text, seeds)`` of one run."""
+    write_manifests(questions.select(F.lit(run_id).alias("run_id"), F.lit(created).alias("created"), "qid", "text", "seeds"), path)
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Manifests of any number of runs, one a line; none where nothing has been written."""
+    return read_or_empty(spark, path, MANIFEST, "json")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, MANIFEST, multiLine=True)
+    """A manifest whose document may go over several lines."""
+    return read_or_empty(spark, path, MANIFEST, "json", multiLine=True)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -102,11 +119,18 @@ def write_tsv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
-def write_edge_reports(wide: DataFrame, folder: str) -> None:
-    """Both reports of one run, the export and the sections of each cell, from annotated edges that are worked out once."""
+def write_edge_reports(wide: DataFrame, folder: str, generated: str = "from the given tables") -> None:
+    """Both reports of one run, the export and the markdown with its head, from annotated edges that are worked out once."""
     once = cut(wide, "annotated")
     write_tsv(sorted_edges(once), f"{folder}/edges_tsv")
-    write_lines(cell_sections(marker_lines(once)), f"{folder}/edges_md", "section", ["cell"])
+    head = edge_report_head(summary(once), generated).select(F.lit("").alias("cell"), "position", F.col("line").alias("section"))
+    sections = cell_sections(marker_lines(once)).select("cell", F.lit(0).alias("position"), "section")
+    write_lines(head.unionByName(sections), f"{folder}/edges_md", "section", ["cell", "position"])
+
+
+def write_validation_report(failures: DataFrame, totals: DataFrame, source: str, path: str, grammar: str = "see `tessella.functions.grammar`") -> None:
+    """The complete validation report as text files in their order."""
+    write_lines(validation_report(failures, totals, source, grammar), path, "line", ["part", "row", "col_ord"])
 
 
 def write_lines(lines: DataFrame, path: str, line: str, order: list[str]) -> None:

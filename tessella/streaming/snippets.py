@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessella.operators.snippets import KEY, RECORD, first_of_each, flatten, fresh, items, keyed
+from tessella.tables import read_or_empty
 
 ORDER = ["round", "batch", "pos"]
 
@@ -35,31 +36,52 @@ def deduplicated_within(stream: DataFrame, arrival: str, delay: str) -> DataFram
     return keyed(stream.withWatermark(arrival, delay)).dropDuplicatesWithinWatermark(KEY).drop("start", "end")
 
 
-def appender(path: str, schema: str) -> Callable[[DataFrame, int], None]:
+#: Parts of a cache by question; a batch reads only those that its own questions are in.
+PARTS = 64
+_LAYOUT = "writer string, batch_no long, part int"
+
+
+def _part(run_id: str = "run_id", qid: str = "qid"):
+    return F.pmod(F.xxhash64(run_id, qid), F.lit(PARTS)).cast("int")
+
+
+def appender(path: str, schema: str, writer: str | Callable[[SparkSession], str]) -> Callable[[DataFrame, int], None]:
     """A batch function that appends the records that the cache at ``path`` does not have yet.
 
-    A batch is written under its own number, so that running it again after a failure
-    replaces what it had written and nothing else.
+    A batch is written under its writer and its own number, so that running it again after
+    a failure replaces what it had written and nothing else; numbers start again with each
+    writer, which is the stream's id (or a function that gives it).
     """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = _cache(spark, path, schema).where(F.col("batch_no") != number)
-        added = fresh(first_of_each(batch, ORDER), known).select(*RECORD)
-        added.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+        own = writer if isinstance(writer, str) else writer(spark)
+        first = first_of_each(batch, ORDER).withColumn("part", _part()).persist()
+        parts = [r.part for r in first.select("part").distinct().collect()]  # at most PARTS numbers
+        known = _cache(spark, path, schema).where(F.col("part").isin(parts)) if parts else _cache(spark, path, schema).where("false")
+        known = known.where((F.col("writer") != own) | (F.col("batch_no") != number))
+        added = fresh(first, known).select(*RECORD, "part")
+        added.write.mode("overwrite").partitionBy("part").parquet(f"{path}/writer={own}/batch_no={number}")
+        first.unpersist()
 
     return add
 
 
 def _cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch_no=-1")
-    return spark.read.schema(f"{schema}, batch_no long").parquet(path)
+    return read_or_empty(spark, path, f"{schema}, {_LAYOUT}", "parquet")
 
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All records of a cache; none where nothing has been written. Reading writes nothing."""
     return _cache(spark, path, schema).select(*RECORD)
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps across restarts, from its checkpoint."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
 def append_stream(stream: DataFrame, path: str, checkpoint: str, schema: str) -> StreamingQuery:
-    """Appends all that is available, exactly once, first writer first."""
-    return stream.writeStream.foreachBatch(appender(path, schema)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends all that is available, exactly once, first writer first; streams with other checkpoints may append to the same cache in turn."""
+    add = appender(path, schema, lambda spark: stream_id(spark, checkpoint))
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -19,8 +19,8 @@ def values(spark, column, *inputs):
 
 
 def test_curie(spark):
-    assert values(spark, text.curie, f"{OBO}CL_0000084", f"{OBO}PR_000001004", f"{OBO}NCBITaxon_9606", f"{OBO}RO_0002104", f"{OBO}BFO_0000051", "http://else/X_1", None) == [
-        "CL:0000084", "PR:000001004", "NCBITaxon:9606", "RO:0002104", "BFO:0000051", "http://else/X_1", None,
+    assert values(spark, text.curie, f"{OBO}CL_0000084", f"{OBO}PR_000001004", f"{OBO}NCBITaxon_9606", f"{OBO}RO_0002104", f"{OBO}BFO_0000051", "http://else/X_1", f"{OBO}CL", f"{OBO}XX_1", f"{OBO}CL_1_2", None) == [
+        "CL:0000084", "PR:000001004", "NCBITaxon:9606", "RO:0002104", "BFO:0000051", "http://else/X_1", f"{OBO}CL", f"{OBO}XX_1", "CL:1_2", None,
     ]
 
 
@@ -55,6 +55,13 @@ def test_match_form(spark):
     assert values(spark, lambda c: text.in_order(text.segments(c)), "50%_\\ ... b") == ["%50\\%\\_\\\\%b%"]
 
 
+def test_white_space_is_that_of_unicode(spark):
+    """No-break spaces, and the separators before the space, count as they do elsewhere."""
+    assert values(spark, text.segments, "alpha beta .\u00a0.\u00a0. gamma delta", "a .\x1c.\x1f. b") == [["alpha beta", "gamma delta"], ["a", "b"]]
+    assert values(spark, text.for_match, "\x1d A\u00a0\u2003b\x85") == ["a b"] and values(spark, text.strip, "\x1e\u00a0a b\u2028") == ["a b"]
+    assert values(spark, text.quotes, '>\u00a0\x1c"said"') == [["said"]]
+
+
 def test_quotes(spark):
     assert values(spark, text.quotes, 'x\n> "one\ntwo"\ntext >"three" "four"', "none", None) == [["one\ntwo", "three"], [], []]
 
@@ -93,23 +100,40 @@ INVALID = {
     "[A+]- - B": "invalid marker token '-'",
     "A\tB": "invalid marker token 'A\\tB'",
 }
-# Published failures, as stated: (value, error).
+# All published failures, as stated: (value, error).
+MIXED, TOP = "mixed '|' and space in a group", "top-level '|' must be inside a group"
 PUBLISHED = [
     ("Confirm that ILC don't bind to CD14/CD19/CD56/CD11c/CD123", 'invalid marker token "don\'t"'),
-    ("live/ CD45+ CD33+|CD123+) (CD193+|FceR1a+|HLA-DR-|CD303-)", "top-level '|' must be inside a group"),
-    ("CD64+/-|CD33+/-)", "top-level '|' must be inside a group"),
+    ("live/ CD45+ CD33+|CD123+) (CD193+|FceR1a+|HLA-DR-|CD303-)", TOP),
+    ("CD64+/-|CD33+/-)", TOP),
+    ("CD64+/-|CD33+/-)", TOP),
     ("live/ CD45+ (CD20+|CD19+)CD27- (CD38lo/-|CD10-) CD24- IgD+", "missing space before 'CD27-'"),
-    ("CD45+ CD3+ (TCRab+|TCRgd-) (TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+) TCR VB11+", "mixed '|' and space in a group"),
-    ("CD45+ CD3+ (TCRab+|TCRgd-)  (TCRVa24-Ja18|TCRva24|CD1d-a-GalCer Tetramer) TCRVB11 (TCRVa7.2|MR1 Tetramer) CD161 CD4 CD8 CD45RA CD197", "mixed '|' and space in a group"),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) (TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+) TCR VB11+", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) [(TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+) TCRVB11+]- [(TCRVa7.2+|MR1 Tetramer+) CD161+]- CD4+", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) [(TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+) TCRVB11+]- [(TCRVa7.2+|MR1 Tetramer+) CD161+]- CD8+", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) (TCRVa7.2+|MR1 Tetramer+) CD161+", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-)  (TCRVa24-Ja18|TCRva24|CD1d-a-GalCer Tetramer) TCRVB11 (TCRVa7.2|MR1 Tetramer) CD161 CD4 CD8 CD45RA CD197", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-)  (TCRVa24-Ja18|TCRva24|CD1d-a-GalCer Tetramer) TCRVB11 (TCRVa7.2|MR1 Tetramer) CD161 CD4 CD8 (CD183|CXCR3) (CD185|CXCR5) (CD194|CCR4) (CD196|CCR6)", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) [(TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+) TCRVB11+]- [(TCRVa7.2+|MR1 Tetramer+) CD161+]- CD4+ CD25+ CD127lo/-", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) [(TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+)+ TCRVB11+]- [(TCRVa7.2+|MR1 Tetramer+) CD161+]- CD4+ [CD25+ CD127lo/-]- CD185+", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) [(TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+)+ TCRVB11+]- [(TCRVa7.2+|MR1 Tetramer+) CD161+]- CD4+ [CD25+ CD127lo/-]- CD185- CD183+ CD196- CD194-", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) [(TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+)+ TCRVB11+]- [(TCRVa7.2+|MR1 Tetramer+) CD161+]- CD4+ [CD25+ CD127lo/-]- CD185- CD183- CD196- CD194+ CD294+", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) [(TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+)+ TCRVB11+]- [(TCRVa7.2+|MR1 Tetramer+) CD161+]- CD4+ [CD25+ CD127lo/-]- CD185- CD183- CD196- CD194+", MIXED),
+    ("CD45+ CD3+ (TCRab+|TCRgd-) [(TCRVa24-Ja18+|TCRva24+|CD1d-a-GalCer Tetramer+)+ TCRVB11+]- [(TCRVa7.2+|MR1 Tetramer+) CD161+]- CD4+ [CD25+ CD127lo/-]- CD185- CD183- CD196+ CD194+/-", MIXED),
     ("CD45+ CD3+ (TCRab-|TCRgd+) TCR V delta 2+ TCR V gamma 9-", "invalid marker token '2+'"),
+    ("CD45+ CD3+ (TCRab-|TCRgd+) TCR V delta 1- TCR V delta 2-", "invalid marker token '1-'"),
     ("TCR V gamma 9+/-", "invalid marker token '9+/-'"),
+    ("CD45+ CD3+ (TCRab-|TCRgd+) TCR V delta 1+", "invalid marker token '1+'"),
+    ("TCR V delta 2- TCR V gamma 9+/-", "invalid marker token '2-'"),
+    ("CD45+ CD3+ (TCRab-|TCRgd+) TCR V gamma 9+", "invalid marker token '9+'"),
+    ("TCR V delta 1- TCR V delta 2-", "invalid marker token '1-'"),
 ]
 
 
 def test_grammar(spark):
     assert values(spark, grammar.error, *VALID) == [None] * len(VALID)
     assert dict(zip(INVALID, values(spark, grammar.error, *INVALID), strict=True)) == INVALID
-    assert values(spark, grammar.error, *[v for v, _ in PUBLISHED]) == [e for _, e in PUBLISHED]
+    assert len(PUBLISHED) == 24 and values(spark, grammar.error, *[v for v, _ in PUBLISHED]) == [e for _, e in PUBLISHED]
     assert values(spark, grammar.error, None) == [None]
 
 
@@ -129,6 +153,6 @@ def test_tokens(spark):
     assert values(spark, lambda c: F.array_join(grammar.tokens(c), "~"), "A+  (B|C)-", "") == ["A+~ ~(~B~|~C~)~-", ""]
 
 
-@pytest.mark.parametrize("name", [text.CD_TOKEN, text.ELLIPSIS, grammar.WORD])
+@pytest.mark.parametrize("name", [text.CD_TOKEN, text.ELLIPSIS, text.QUOTE, grammar.WORD])
 def test_patterns_are_also_python_patterns(name):
-    re.compile(name)
+    re.compile(name.removeprefix("(?U)"))  # a flag of Java only; Python counts Unicode white space anyway

@@ -59,6 +59,10 @@ def test_closure_ends_on_cycles(spark):
     assert rows(pairs, "sub", "super") == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]
     assert rows(edges.ancestor_sets(pairs), "sub")[0] == ("a", ["b", "c"])
     assert edges.closure(spark.createDataFrame([], "sub string, super string")).count() == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "sub int, super int")
+    assert edges.closure(chain).count() == 20 * 21 // 2
+    with pytest.raises(ValueError, match="2 rounds"):
+        edges.closure(chain, max_rounds=2)
 
 
 # ---------------------------------------------------------------- annotation and reports
@@ -102,11 +106,11 @@ def test_report_of_two_edges(spark, tmp_path):
     assert [r.line for r in lines.orderBy("position").collect()] == ["- `PR:1` CD4 molecule — CD: CD4 (label) — UniProt(human): UniProtKB:H", "- `PR:2` PR:2 — _(inferred only)_"]
     section = reports.cell_sections(lines).first().section
     assert section.startswith("## c\t1 — cell one\n\n**Positive (marker present)**\n\n- `PR:1`") and section.endswith("**Negative (marker absent)**\n\n- `PR:2` PR:2 — _(inferred only)_\n")
-
-
-    files.write_edge_reports(wide, str(tmp_path))
+    files.write_edge_reports(wide, str(tmp_path), "today")
     assert "".join(p.read_text() for p in sorted((tmp_path / "edges_tsv").glob("part-*"))).count("\n") >= 3
-    assert "".join(p.read_text() for p in (tmp_path / "edges_md").glob("part-*")) == section + "\n"
+    report = "".join(p.read_text() for p in sorted((tmp_path / "edges_md").glob("part-*")))
+    head, legend = report.removesuffix(section + "\n"), reports.LEGEND
+    assert head == f"{reports.EDGE_TITLE}\n\n_Generated today._\n\n- Cell types: **1**\n- CL→PR edges (inferred): **2** (of which directly asserted: **1**)\n\n{legend}\n\n"
 
 
 def test_typed_edges(spark):
@@ -135,8 +139,27 @@ def test_sheet_scan(spark, sheet):
     assert rows(markers.totals(validated)) == [(4, 3)]
     line = rows(reports.failure_lines(markers.failures(validated)), "row", "col_ord")[1][2]
     assert line == "| 4 | nan | Required exclusion | top-level '\\|' must be inside a group | `CD3+\\|CD4+` |"
-    head = [r.line for r in reports.summary_lines(markers.totals(validated), "s.csv").orderBy("position").collect()]
-    assert head == ["- Source: `s.csv`", "- Cells checked: **4**", "- Invalid cells: **3**", "## Invalid cells"]
+    report = reports.validation_report(markers.failures(validated), markers.totals(validated), "s.csv", "there")
+    found = [r.line for r in report.orderBy("part", "row", "col_ord").collect()]
+    assert found[0] == "# Marker Syntax Validation" and found[4:9] == ["- Source: `s.csv`", "- Cells checked: **4**", "- Invalid cells: **3**", "- Grammar: there", ""]
+    assert found[9:13] == ["## Invalid cells", "", *reports.TABLE_HEAD] and found[13].startswith("| 3 | B | ") and found[14] == line and len(found) == 18
+    none = validated.where("error is null")
+    good = reports.validation_report(markers.failures(none), markers.totals(none), "s.csv", "there").orderBy("part", "row").collect()
+    assert good[-1].line == "✅ All marker cells conform to the grammar." and len(good) == 10
+
+
+def test_validation_report_file(spark, sheet, tmp_path):
+    validated = markers.validate(markers.cells(sheet))
+    files.write_validation_report(markers.failures(validated), markers.totals(validated), "s.csv", f"{tmp_path}/report")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    assert text.startswith("# Marker Syntax Validation\n\n> ") and text.count("\n| ") == 4 and text.endswith(f"` |\n\n{reports.REMARK}\n")
+
+
+def test_sheets_are_numbered_one_by_one(spark, tmp_path):
+    rows_ = spark.createDataFrame([(b, i, f"{b}\n{i}", " x ") for b in (1, 2, 3) for i in range(5)], "book int, row int, `Subset name` string, note string")
+    files.write_sheets(rows_.repartition(4), f"{tmp_path}/books", "book")
+    back = files.read_sheet(spark, f"{tmp_path}/books").select("book", "row", "Subset name", "note")
+    assert rows(back, "book", "row") == [(b, i + 2, f"{b}\n{i}", " x ") for b in (1, 2, 3) for i in range(5)]
 
 
 def test_sheet_without_marker_columns(spark):
@@ -154,7 +177,10 @@ def test_inventory_and_lint(spark):
     assert [r.marker + r.qualifier for r in found.where("row = 0").orderBy("pos").collect()] == ["CD4+", "cd8", "CD4hi"]
     lints = {r.lint: r.n for r in markers.lint_summary(checked, spark.createDataFrame([("A", "X")], "alias string, canonical string")).collect()}
     assert lints == {"unbalanced": 1, "free_text": 1, "space_in_name": 1, "no_delimiter": 1, "stray_space": 1, "stacked": 1, "bare": 6, "several_names": 1, "negated_and_not": 1}
-    assert rows(markers.most_common(found, 2)) == [("CD4", 3), ("A", 3)][::1] or rows(markers.most_common(found, 2)) == [("A", 3), ("CD4", 3)]
+    assert rows(markers.most_common(found, 2)) == [("A", 3), ("CD4", 3)]
+    assert rows(markers.usage(found).where("marker = 'A'")) == [("A", 3, ["c"], 1)] and rows(markers.usage_by_subset(found).where("marker = 'A'")) == [("A", "s", 3)]
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan  # a token's neighbours are in its own array
 
 
 def test_tabs(spark, tmp_path):
@@ -208,6 +234,15 @@ def test_like_is_the_plain_loop(spark, pairs):
     assert got == [plain_match(q, t) for q, t in pairs]
 
 
+def test_matching_of_many_short_quotes_has_no_nested_loop(spark):
+    quoted = quotes.with_segments(spark.createDataFrame([(0, "ive"), (1, "e"), (2, "na ... ls"), (3, "no such")], "q int, quote string"))
+    evidence = quotes.prepare(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "t int, text string"))
+    found = quotes.corpus_matches(quoted, evidence, "q", "t")
+    assert sorted(rows(found)) == [(0, 1), (1, 0), (1, 1), (2, 1)]
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_verdicts(spark):
     reports_ = spark.createDataFrame(
         [("a", "r", "q", '> "cells - express"'), ("b", "r", "q", 'x > "never said" > "never said"'), ("c", "r", "q", "no quotes"), ("d", "r", "none", "no quotes"), ("e", "r", "q", None)], "report_id string, run_id string, qid string, md string"
@@ -277,6 +312,19 @@ def test_quads_and_bindings(spark, tmp_path):
     assert rows(files.read_bindings(spark, f"{tmp_path}/r.json", ["x", "y"]), "x") == [("1", "2"), ("3", None)]
 
 
+def test_intermediate_tables(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tessella import tables
+
+    kept = tables.cut(spark.range(3), "kept")
+    assert kept.count() == 3 and tables.discard(spark) >= 1 and tables.discard(spark) == 0
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.scratch(unset)
+    assert tables.scratch(SimpleNamespace(conf=unset.conf, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:")
+
+
 def test_sinks(spark, tmp_path):
     files.write_tsv(spark.createDataFrame([("a b", "")], "x string, y string").coalesce(1), f"{tmp_path}/tsv")
     text = "".join(p.read_text() for p in (tmp_path / "tsv").glob("part-*"))
@@ -299,10 +347,25 @@ def test_stream_append_is_exact(spark, tmp_path):
         streams.append_stream(streams.records(stream_of(spark, path, *batches)), f"{tmp_path}/out", f"{tmp_path}/state", files.RECORDS).awaitTermination()
         assert streams.read_cache(spark, f"{tmp_path}/out", files.RECORDS).count() == n + 1
     again = streams.records(spark.read.schema(CALL).parquet(path))
-    streams.appender(f"{tmp_path}/out", files.RECORDS)(again, 1)
+    own = streams.stream_id(spark, f"{tmp_path}/state")
+    streams.appender(f"{tmp_path}/out", files.RECORDS, own)(again, 1)  # a batch that runs again
     assert streams.read_cache(spark, f"{tmp_path}/out", files.RECORDS).count() == 2
 
 
+def test_streams_with_other_checkpoints_add_to_the_cache(spark, tmp_path):
+    """Batch numbers start again with a new checkpoint; what an earlier stream wrote stays, and its records come first."""
+    calls = [call('{"data":[%s]}' % ITEM), call('{"data":[%s,%s]}' % (ITEM.replace('"T"', '"later"'), ITEM.replace('"p1"', '"p2"')), round_=2, batch=1), call('{"data":[{}]}', qid="other", round_=3, batch=2)]
+    for n, one in enumerate(calls):
+        streams.append_stream(streams.records(stream_of(spark, f"{tmp_path}/in{n}", one)), f"{tmp_path}/out", f"{tmp_path}/state{n}", files.RECORDS).awaitTermination()
+    found = streams.read_cache(spark, f"{tmp_path}/out", files.RECORDS)
+    assert sorted((r.qid, r.corpus_id, r.title, r.round) for r in found.collect()) == [("other", "", "", 3), ("q", "p1", "T", 1), ("q", "p2", "T", 2)]
+
+
+def test_reading_a_cache_writes_nothing(spark, tmp_path):
+    assert streams.read_cache(spark, f"{tmp_path}/none", files.RECORDS).count() == 0
+    assert not (tmp_path / "none").exists()
+
+
 def test_stream_deduplication(spark, tmp_path):
     found = streams.records(stream_of(spark, f"{tmp_path}/in", call('{"data":[%s,%s]}' % (ITEM, ITEM)), call('{"data":[%s]}' % ITEM, qid="b")))
     for name, deduplicated in (("all", streams.deduplicated(found)), ("within", streams.deduplicated_within(found.withColumn("at", F.current_timestamp()), "at", "1 hour"))):
