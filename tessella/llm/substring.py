@@ -3,22 +3,28 @@
 Anchors: of the ``length - gram + 1`` word grams in every window of ``length``
 words, the one with the smallest hash (the rightmost of equals) is selected
 (winnowing), so two documents that share a window share its anchor at the same
-place in it. Occurrences of an anchor meet in one join on the anchor's hash and are
-extended both ways: an occurrence carries a hash of all words of the windows that
-selected it. If a document with a smaller id extends the anchor equally, all these
-windows are repeats at once (the inside of a long repeat). Where extensions of one
-anchor differ between documents (the ends of repeats), the few windows concerned are
-compared one by one by a 128-bit hash. Overlapping repeated windows unite to maximal
-repeats of at least ``length`` words, and these are removed.
-
-Scale: a task compares what it holds before it shuffles, so that an anchor, and a
-window, reaches the shuffle about once a task, however common it is; what is left is
-spread by its hash, sorted by Spark (which spills) and streamed. No step lists pairs of
-documents. Texts are shuffled once by ``doc_id``; both joins reuse that exchange.
+place in it. Occurrences of an anchor meet in one join on the anchor's hash. Each
+carries a hash of all words of the windows that selected it, its block: where a
+document with a smaller id has an equal block, the match covers all of it at once (the
+inside of a long repeat). Where blocks of one anchor differ between documents (the ends
+of repeats), the words around the occurrences meet under their anchor and are extended
+both ways, word by word to the first mismatch, against the anchor's first occurrence, and
+what is not covered then against the first one left, and so on; matches of at least
+``length`` words are kept. Matches of one document that overlap unite to maximal
+repeats, and these are removed.
+
+Scale: a task compares what it holds before it shuffles, so that an anchor reaches the
+shuffle about once a task, however common it is; what is left is spread by its hash,
+sorted by Spark (which spills) and streamed. No step lists pairs of documents: after
+``ROUNDS`` first occurrences, and for anchors of more than ``CROWD`` occurrences, windows
+are compared by a 128-bit hash instead, which is spread and pre-compared like the
+anchors. Texts are shuffled by ``doc_id`` twice: to meet the ends of repeats, and their
+removed words.
 
 Defined cases: a null text has no words; rows without an id are returned whole and
-take no part; rows repeated under one id are one document (an id must not stand for
-different texts); texts shorter than ``length`` words are never touched.
+take no part; rows repeated under one id are one document; of different texts under one
+id, what is removed from one place goes in all of them; texts shorter than ``length``
+words are never touched.
 """
 
 from __future__ import annotations
@@ -30,13 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import SOLID, by_key, chunks, gram_hashes, hash_words, mix, ranges, record, runs, signed, split_words, texts
+from tessella.llm._common import SOLID, by_key, chunks, gram_hashes, hash_words, mix, odd_constants, ranges, record, runs, signed, split_words, texts
 from tessella.tables import cut
 
 #: Occurrences, or windows, that a task compares with each other before the shuffle.
 BUFFER = 1_500_000
+#: First occurrences of one anchor against which the others are extended, and occurrences from which on an anchor's windows are spread instead.
+ROUNDS, CROWD = 24, 10_000
 ANNOUNCED, PROBE, REPEAT, EDGE = 0, 1, 2, 3
-_SPOT = "doc_id long, at long, edge boolean"
+_SPOT = "doc_id long, at long, edge boolean, anchor long"
+_MET = "key long, w2 long, doc_id long, at long, known boolean, around binary"
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -106,7 +115,7 @@ def seed(batches: Iterator[pa.RecordBatch], length: int, gram: int, buffer: int)
         kind = np.where(repeat, REPEAT, np.where(several, EDGE, PROBE)).astype(np.int32)
         said = first[several[first]]  # one row stands for all that a task has seen of an anchor with several extensions
         spread = mix(doc.astype(np.uint64) + at.astype(np.uint64))
-        key = np.where(kind == PROBE, anchor, spread)
+        key, extension = np.where(kind == PROBE, anchor, spread), np.where(kind == EDGE, anchor, extension)
         for a in range(0, len(key), 500_000):
             s = slice(a, a + 500_000)
             yield record(key=signed(key[s]), extension=signed(extension[s]), doc_id=doc[s], at=at[s], kind=kind[s])
@@ -129,11 +138,11 @@ def extend(rows: list[np.ndarray]) -> pa.RecordBatch:
     key, extension, doc, at, kind = rows
     probe, known = kind == PROBE, kind >= REPEAT
     announced = np.unique(key[kind == ANNOUNCED])
-    _, _, own, place, repeat, several, _ = compare(key[probe], extension[probe], doc[probe], at[probe], announced)
+    of, _, own, place, repeat, several, _ = compare(key[probe], extension[probe], doc[probe], at[probe], announced)
     use = repeat | several
     return record(
         doc_id=np.concatenate([doc[known], own[use]]), at=np.concatenate([at[known], place[use]]),
-        edge=np.concatenate([kind[known] == EDGE, ~repeat[use]]),
+        edge=np.concatenate([kind[known] == EDGE, ~repeat[use]]), anchor=np.concatenate([extension[known], of[use]]),
     )
 
 
@@ -145,13 +154,14 @@ def later(w1: np.ndarray, w2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tu
     return w1, w2, doc, at, doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-def windows(batches: Iterator[pa.RecordBatch], length: int, buffer: int) -> Iterator[pa.RecordBatch]:
-    """(key, w2, doc_id, at, known) of the windows to be compared one by one; ``at``: as of one window.
+def around(batches: Iterator[pa.RecordBatch], length: int, gram: int, buffer: int) -> Iterator[pa.RecordBatch]:
+    """Of texts with the ends of repeats in them, the words around each anchor, under the anchor; of crowded anchors the windows, ``at`` as of one window.
 
-    Like anchors, windows are compared within the task first: of a window that many
+    Windows are compared within the task first, as anchors are: of a window that many
     documents have, one goes to the shuffle under its hash, the others are known.
     """
     held: list[tuple[np.ndarray, ...]] = []
+    per = length - gram + 1
 
     def flush():
         if held:
@@ -160,27 +170,87 @@ def windows(batches: Iterator[pa.RecordBatch], length: int, buffer: int) -> Iter
             key = np.where(known, mix(doc.astype(np.uint64) + at.astype(np.uint64)), w1)
             for a in range(0, len(key), 500_000):
                 s = slice(a, a + 500_000)
-                yield record(key=signed(key[s]), w2=signed(w2[s]), doc_id=doc[s], at=at[s], known=known[s])
+                yield record(key=signed(key[s]), w2=signed(w2[s]), doc_id=doc[s], at=at[s], known=known[s], around=pa.nulls(len(key[s]), pa.binary()))
 
     for batch in chunks(batches):
         words = split_words(batch.column(1), SOLID)
         h, spots = hash_words(words), batch.column(2)
         of = np.repeat(np.arange(batch.num_rows), np.diff(spots.offsets.to_numpy()))
-        spot = spots.flatten().to_numpy()
-        start = ranges((spot >> 8) + words.first[of], spot & 255)
-        of = np.repeat(of, spot & 255)
-        held.append((gram_hashes(h, length, 13)[start], gram_hashes(h, length, 14)[start], batch.column(0).to_numpy()[of], (start - words.first[of]) << 8 | 1))
+        at, anchor, crowded = (spots.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("at", "anchor", "crowded"))
+        ids = batch.column(0).to_numpy()
+
+        few = np.flatnonzero(~crowded)
+        first, count = (at[few] >> 8) + words.first[of[few]], at[few] & 255
+        g, place = signed(gram_hashes(h, gram, 5)), first.copy()
+        for j in range(per):  # the rightmost gram of the first window that is the anchor
+            place = np.where(g[first + j] == anchor[few], first + j, place)
+        spot = place[:, None] + np.arange(1 - per, length)
+        inside = (spot >= first[:, None]) & (spot < (first + count + length - 1)[:, None])
+        table = np.where(inside, h[np.where(inside, spot, 0)], np.uint64(0)) if len(few) else np.empty((0, per - 1 + length), np.uint64)
+        for a in range(0, len(few), 50_000):
+            s = slice(a, a + 50_000)
+            cells = pa.Array.from_buffers(pa.binary(), len(table[s]), [None, pa.py_buffer((np.arange(len(table[s]) + 1) * table.shape[1] * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(table[s]))])
+            yield record(key=anchor[few][s], w2=(place - first)[s], doc_id=ids[of[few]][s], at=at[few][s], known=np.zeros(len(table[s]), np.bool_), around=cells)
+
+        many = np.flatnonzero(crowded)
+        start = ranges((at[many] >> 8) + words.first[of[many]], at[many] & 255)
+        own = np.repeat(of[many], at[many] & 255)
+        held.append((gram_hashes(h, length, 13)[start], gram_hashes(h, length, 14)[start], ids[own], (start - words.first[own]) << 8 | 1))
         if sum(len(x[0]) for x in held) >= buffer:
             yield from flush()
     yield from flush()
 
 
-def settle(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Windows that a smaller document has too, of all rows under some keys."""
-    key, w2, doc, at, known = rows
-    open_ = ~known
+def matches(key: np.ndarray, off: np.ndarray, doc: np.ndarray, at: np.ndarray, table: np.ndarray, length: int, gram: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, at) of the matches of occurrences with documents that have a smaller id; ``off``: words of the first window before the anchor, ``table``: words around it."""
+    order = np.lexsort((at, doc, key))
+    key, off, doc, at, table = key[order], off[order], doc[order], at[order], table[order]
+    per, group = length - gram + 1, np.cumsum(runs(key)) - 1
+    place, count, row = (at >> 8) + off, at & 255, np.arange(len(key))
+    before = np.arange(per)  # words of a window before the anchor
+    need = (before > (off - count)[:, None]) & (before <= off[:, None])
+    led, docs, found = np.zeros(len(key), np.bool_), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def add(of: np.ndarray, low: np.ndarray, high: np.ndarray):
+        docs.append(doc[of])
+        found.append((place[of] - high) << 8 | (high - low + 1))
+
+    for _ in range(rounds):
+        open_ = np.flatnonzero(need.any(1) & ~led)
+        if not len(open_):
+            break
+        leaders = open_[runs(group[open_])]  # the first occurrence of each anchor that is not all covered
+        led[leaders] = True
+        lead = np.full(group[-1] + 1, -1)
+        lead[group[leaders]] = leaders
+        of = open_[doc[open_] > doc[lead[group[open_]]]]
+        same = table[of] == table[lead[group[of]]]
+        left = np.logical_and.accumulate(same[:, per - 2 :: -1] if per > 1 else same[:, :0], axis=1).sum(1)
+        right = np.logical_and.accumulate(same[:, per - 1 + gram :], axis=1).sum(1)
+        low, high = np.maximum(off[of] - count[of] + 1, per - 1 - right), np.minimum(off[of], left)
+        covered = need[of] & (before >= low[:, None]) & (before <= high[:, None]) & same[:, per - 1 : per - 1 + gram].all(1)[:, None]
+        new = covered.any(1)
+        add(of[new], low[new], high[new])
+        need[of] &= ~covered
+    rest, ahead = np.nonzero(need & ~led[:, None])  # windows that no leader has: compared by hash
+    if len(rest):
+        words = table[rest[:, None], (per - 1 - ahead)[:, None] + np.arange(length)]
+        w1, w2 = (mix((words * odd_constants(length, seed)).sum(1)) for seed in (13, 14))
+        _, _, _, which, again = later(w1 + group[rest].astype(np.uint64), w2, doc[rest], np.arange(len(rest)))
+        which = which[again]
+        add(rest[which], ahead[which], ahead[which])
+    return np.concatenate(docs), np.concatenate(found)
+
+
+def settle(rows: list[np.ndarray], length: int, gram: int, rounds: int) -> pa.RecordBatch:
+    """(doc_id, at) of the matches, and of the windows that a smaller document has too, of all rows under some keys."""
+    key, w2, doc, at, known, words = rows
+    some = np.array([x is not None for x in words], np.bool_)
+    open_ = ~known & ~some
     _, _, own, place, repeat = later(key[open_], w2[open_], doc[open_], at[open_])
-    return record(doc_id=np.concatenate([doc[known], own[repeat]]), at=np.concatenate([at[known], place[repeat]]))
+    table = np.frombuffer(b"".join(words[some].tolist()), np.uint64).reshape(-1, 2 * length - gram)
+    of, spot = matches(key[some], w2[some], doc[some], at[some], table, length, gram, rounds) if some.any() else (np.empty(0, np.int64),) * 2
+    return record(doc_id=np.concatenate([doc[known], own[repeat], of]), at=np.concatenate([at[known], place[repeat], spot]))
 
 
 def finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -203,15 +273,17 @@ def finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield record(doc_id=batch.column(0), n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()), kept=pa.array(kept, pa.binary()).cast(pa.string()))
 
 
-def drop_repeats(docs: DataFrame, *, length: int = 13, gram: int = 5, buffer: int = BUFFER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, *, length: int = 13, gram: int = 5, buffer: int = BUFFER, rounds: int = ROUNDS, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: each text without the words of windows that a document with a smaller id has too."""
     source = texts(docs, id_col, text_col)
     seeds = source.mapInArrow(lambda it: seed(it, length, gram, buffer), "key long, extension long, doc_id long, at long, kind int")
     spots = cut(seeds.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, extend), _SPOT), "spots")
 
-    edges = spots.where("edge").groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
-    compared = source.join(edges, "doc_id").select("doc_id", "text", "spots").mapInArrow(lambda it: windows(it, length, buffer), "key long, w2 long, doc_id long, at long, known boolean")
-    repeats = compared.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, settle), "doc_id long, at long")
+    edges = spots.where("edge").select("doc_id", "at", "anchor")
+    crowded = cut(edges.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor", F.lit(True).alias("crowded")), "crowded")
+    ends = edges.join(crowded, "anchor", "left").groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("spots"))
+    met = source.join(ends, "doc_id").select("doc_id", "text", "spots").mapInArrow(lambda it: around(it, length, gram, buffer), _MET)
+    repeats = met.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda x: settle(x, length, gram, rounds)), "doc_id long, at long")
 
-    removed = spots.where("not edge").select("doc_id", "at").unionByName(repeats).groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
+    removed = spots.where("not edge").select("doc_id", "at").unionByName(repeats).groupBy("doc_id").agg(F.collect_set("at").alias("spots"))
     return source.join(removed, "doc_id", "left").select("doc_id", "text", "spots").mapInArrow(lambda it: finish(it, length), "doc_id long, n_words long, n_removed long, kept string")

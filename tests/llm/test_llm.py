@@ -342,8 +342,8 @@ def plain_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "buffer"), [(6, 2, 1_500_000), (6, 3, 40), (13, 5, 50)])
-def test_substrings(spark, length, gram, buffer):
+@pytest.mark.parametrize(("length", "gram", "buffer", "rounds", "crowd"), [(6, 2, 1_500_000, 24, 10_000), (6, 3, 40, 2, 10_000), (13, 5, 50, 1, 4), (6, 2, 40, 0, 10_000), (6, 2, 1_500_000, 24, 0)])
+def test_substrings(spark, length, gram, buffer, rounds, crowd):
     rng = random.Random(length)
     passages = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (length - 1, length, length + 1, 30, 60)]
     texts = {}
@@ -352,10 +352,18 @@ def test_substrings(spark, length, gram, buffer):
         texts[i] = "  ".join(parts) + rng.choice(["", "\n"])
     texts |= {70: "w1 " * 50, 71: "w1 " * 40, 72: None, 73: "", 74: " ", 75: texts[3], 76: texts[3]}
     df = docs(spark, texts, extra=True).repartition(3)
-    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.drop_repeats(df, length=length, gram=gram, buffer=buffer).collect()}
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.drop_repeats(df, length=length, gram=gram, buffer=buffer, rounds=rounds, crowd=crowd).collect()}
     assert found == plain_repeats(texts, length)
 
 
+def test_substrings_of_long_texts(spark):
+    rng = random.Random(7)
+    long = [rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(30_000)]
+    texts = {1: " ".join(long), 2: " ".join(long[:15_000]) + " other " + " ".join(long[15_001:]), 3: " ".join(long[100:112]) + " x", 4: "y " + " ".join(long[29_980:]) + " z", 5: "same " * 20_000}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.drop_repeats(docs(spark, texts)).collect()}
+    assert got == plain_repeats(texts, 13) and got[2][2] == "other" and got[3][1] == 0 and got[4][1] == 20
+
+
 def test_substrings_without_ids_or_rows(spark):
     same = " ".join(WORDS * 2)
     df = spark.createDataFrame([(None, same), (1, same), (2, same), (2, same)], DOC)
