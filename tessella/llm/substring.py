@@ -281,7 +281,7 @@ def drop_repeats(docs: DataFrame, *, length: int = 13, gram: int = 5, buffer: in
 
     edges = spots.where("edge").select("doc_id", "at", "anchor")
     crowded = cut(edges.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor", F.lit(True).alias("crowded")), "crowded")
-    ends = edges.join(crowded, "anchor", "left").groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("spots"))
+    ends = edges.join(crowded, "anchor", "left").groupBy("doc_id").agg(F.collect_set(F.struct("at", "anchor", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("spots"))
     met = source.join(ends, "doc_id").select("doc_id", "text", "spots").mapInArrow(lambda it: around(it, length, gram, buffer), _MET)
     repeats = met.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda x: settle(x, length, gram, rounds)), "doc_id long, at long")
 

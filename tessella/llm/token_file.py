@@ -24,7 +24,6 @@ are written one after another, in the order of their ids' bytes.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._common import SOLID, Words, byte_class, chunks, hash_words, ranges, record, split_words, texts
-from tessella.tables import cut, scratch
+from tessella.tables import cut, new_path
 
 BLOCKS = "shard int, block int, before long, tokens long, doc_ids binary, missing binary, sizes binary, control binary, data binary"
 
@@ -277,7 +276,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch], id_of: np.ndarray, offset: di
 def write_tokens(docs: DataFrame, path: str | None = None, *, vocabulary: str = "word_bpe_49k.json", end: int = 1, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every text and write the file; returns its path (by default in the shared folder)."""
     spark = docs.sparkSession
-    path = path or f"{scratch(spark)}/tessella-tokens-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "tokens")
     encoded = cut(texts(docs, id_col, text_col).mapInArrow(lambda it: tokenize(it, vocabulary, end), "doc_id long, ids binary"), "ids")
     n_ids = max(encoder(vocabulary_path(vocabulary)).n_ids, end + 1)
     width = 2 if n_ids <= 1 << 16 else 4
