@@ -527,8 +527,9 @@ def responses(t: Tables) -> DataFrame:
         F.struct(
             "text",
             F.lit("body").alias("snippetKind"),
+            F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("section"),
             F.struct(F.col("n_chars").alias("start")).alias("snippetOffset"),
-            F.struct(F.array(F.struct(F.col("doc_id").alias("start"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 3).cast("string")).otherwise("").alias("matchedPaperCorpusId"))).alias("refMentions")).alias("annotations"),
+            F.struct(F.array(F.struct(F.col("doc_id").alias("start"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 3).cast("string")).otherwise("").alias("matchedPaperCorpusId"))).alias("refMentions"), F.when(F.col("doc_id") % 4 > 0, F.array(F.struct("doc_id", F.col("n_chars").alias("end")))).alias("sentences")).alias("annotations"),
         )
     )
     data = F.concat(F.lit('{"data":[null,{"paper":'), paper, F.lit(',"snippet":'), snippet, F.lit('},"stray",3]}'))
@@ -557,7 +558,7 @@ def cached(t: Tables) -> DataFrame:
 @query(
     "snippet_flatten",
     f"""WITH {_RECORDS} SELECT run_id, qid, round, query, source_seed, corpus_id, lang AS title, lang || '|' || source AS authors, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS open_access,
-    '' AS section, 'body' AS snippet_kind, n_chars AS "start", cast(NULL AS BIGINT) AS "end", coalesce(text, '') AS text, doc_id || ':' || CASE WHEN doc_id % 3 > 0 THEN cast(doc_id % 3 AS VARCHAR) ELSE '-' END AS mentions, cast(0 AS INT) AS n_sentences,
+    CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS section, 'body' AS snippet_kind, n_chars AS "start", cast(NULL AS BIGINT) AS "end", coalesce(text, '') AS text, doc_id || ':' || CASE WHEN doc_id % 3 > 0 THEN cast(doc_id % 3 AS VARCHAR) ELSE '-' END AS mentions, CASE WHEN doc_id % 4 > 0 THEN '-:' || n_chars ELSE '' END AS sentences,
     CASE corpus_id WHEN 'src1' THEN '13' WHEN '3' THEN '4|5=6' ELSE '' END AS followed FROM rc""",
     "searches",
 )
@@ -565,7 +566,7 @@ def _(t):
     mention = F.transform("ref_mentions", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), F.coalesce(m["matched_corpus_id"], F.lit("-"))))
     return snippets.keyed(records(t)).select(
         "run_id", "qid", "round", "query", "source_seed", "corpus_id", "title", joined("authors"), "open_access", "section", "snippet_kind", "start", "end", "text",
-        F.array_join(mention, "|").alias("mentions"), F.size("sentences").alias("n_sentences"), F.array_join("followed_corpus_ids", "|").alias("followed"),
+        F.array_join(mention, "|").alias("mentions"), F.array_join(F.transform("sentences", lambda x: F.concat(F.coalesce(x["start"].cast("string"), F.lit("-")), F.lit(":"), x["end"].cast("string"))), "|").alias("sentences"), F.array_join("followed_corpus_ids", "|").alias("followed"),
     )
 
 
