@@ -27,8 +27,11 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of recurring templates (the first document keeps them); ``n_chars`` follows the text."""
-    kept = lines.drop_lines(docs)
+    """Documents without the lines of recurring templates (the first document keeps them); ``n_chars`` follows the text.
+
+    A document of which no word is left, all its lines being in earlier ones, goes; one that had none before stays.
+    """
+    kept = lines.drop_lines(docs).where((F.col("__n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         length = F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
         kept = kept.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
