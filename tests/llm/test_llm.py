@@ -760,8 +760,9 @@ def test_pipeline(spark):
             wrong = [d for d in was if d in truth and (d in now) != bool(truth[d])]
             assert len(wrong) <= 0.1 * len(truth)
         elif name == "line_dedup":
-            gone = plain_templates(was)  # a text of which every line goes is empty
-            assert now == {d: t if d not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in was.items()}
+            gone = plain_templates(was)
+            left = {d: t if d not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in was.items()}
+            assert now == {d: t for d, t in left.items() if d not in gone or words_of(t)}  # a text of which nothing is left goes
         elif name == "near_dedup":
             assert set(now) == {d for d, (_, low) in plain_groups(was).items() if d == low}
         else:
