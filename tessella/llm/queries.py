@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import packing, quality, toxicity
+from tessella.llm import packing, quality, spelling, toxicity
 from tessella.llm._common import learnable, sha_of_joined, texts
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.licenses import TEMPLATES, scan_licenses
 from tessella.llm.lines import drop_lines
 from tessella.llm.minhash import near_duplicates
+from tessella.llm.negatives import hard_negatives
+from tessella.llm.simhash import near_copies
 from tessella.llm.substring import drop_repeats
 from tessella.llm.token_file import crc32_of, read_tokens, write_tokens
 from tessella.llm.topk import top_k
@@ -70,6 +72,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.misspelt(spelling.word_runs(read(spark, sf_dir, "documents")))
+    return spelling.group_variants(spelling.vocabulary(words))
+
+
+def op12_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all(" + _FOLD.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SOLID = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -149,6 +165,44 @@ SELECT d.doc_id, cast(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
+# the checksum of each byte value, then of each word after its document's id; near words share a word with one letter less, or lack the same place
+OP11_SQL = r"""
+WITH RECURSIVE bit(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
+run AS (SELECT doc_id, w, count(*) AS m
+        FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY 1, 2),
+byte AS (SELECT w, m, flatten(list_transform(string_split(doc_id || ':' || w, ''),
+           lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS b FROM run),
+crc AS (SELECT w, m, xor(list_reduce(list_prepend(4294967295, list_transform(b, lambda x: cast(x AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM byte, tab),
+vocab AS (SELECT word, cast(sum(m) AS BIGINT) AS n
+          FROM (SELECT m, CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM crc)
+          WHERE length(word) >= 6 GROUP BY 1 HAVING sum(m) >= 5),
+less AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM vocab)),
+pair AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM vocab) UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM vocab)),
+near AS (SELECT p.word, count(*) AS n_near, min({'n': -o.n, 'w': o.word}) AS top FROM pair p JOIN vocab o ON o.word = p.other GROUP BY 1),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 5 * v.n THEN -top.n END AS form_n, CASE WHEN -top.n >= 5 * v.n THEN top.w END AS form
+         FROM vocab v LEFT JOIN near USING (word)),
+walk(word, place) AS (SELECT word, word FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.place WHERE form.form IS NOT NULL)
+SELECT f.word, f.form, w.place AS root, f.n, f.n_near, f.form_n
+FROM form f JOIN walk w ON w.word = f.word JOIN form l ON l.word = w.place AND l.form IS NULL
+"""
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, cast(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS rank,
+        s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, cast(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 _TEMPLATES = ", ".join(f"('{t.label}', string_split('{t.words}', ' '), string_split('{t.key}', ' '), {str(t.base).lower()})" for t in TEMPLATES)
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
@@ -180,8 +234,11 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash_copies": op12_simhash_copies,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-#: The classifiers, the token file and packing have no SQL form; tests hold them against held-out labels, a round trip and a plain version.
+#: The classifiers, the token file, packing and XXH64 fingerprints have no SQL form; tests hold them against held-out labels, a round trip and plain versions.
 ORACLE_SQL = {
     "op3_decontaminate": OP3_SQL,
     "op4_top_k": OP4_SQL,
@@ -189,4 +246,6 @@ ORACLE_SQL = {
     "op6_line_dedup": OP6_SQL,
     "op7_license_scan": OP7_SQL,
     "op10_near_duplicates": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
