@@ -91,7 +91,7 @@ class KdTree:
         heap = [(-bound[0], 0)]
         while heap:
             most, node = heapq.heappop(heap)
-            most = min(-most, _LARGEST) if exact else -most
+            most = min(max(-most, _NONE), _LARGEST) if exact else -most  # scores are cut off at both ends, and so are bounds
             if most < floor or (len(best) == k and most < best[0][0]):
                 break
             if self.left[node] >= 0:

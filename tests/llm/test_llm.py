@@ -327,6 +327,14 @@ def test_top_k_of_huge_components(spark):
     assert [(i, s) for _, _, i, s in got] == [(1, 2**63 - 1), (2, 2**63 - 1), (4, 2**63 - 1), (3, -(2**63))]
 
 
+@pytest.mark.parametrize("shard_rows", [1, 16, 1000])
+def test_top_k_of_scores_below_64_bits(spark, shard_rows):
+    rows = [(0, [3.6e16])] + [(i, [-3.6e16]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, shard_rows=shard_rows).orderBy("rank").collect()]
+    assert got == [(0, i, i, -(2**63)) for i in range(1, 6)]
+
+
 # ---------------------------------------------------------------- 5: substrings
 
 
