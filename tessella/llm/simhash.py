@@ -15,10 +15,10 @@ of its variants, sorted and coded as the bits in which they differ (about 2 byte
 variant), and nothing of their owners; where a hash came twice, the blocks that sent it are
 told. In the second, each block emits the variants of these hashes again, with their
 fingerprints; whole variants are shuffled and compared, so that hashes which are equal by
-chance cost work, never results. The hash has as many bytes as keep such meetings to a few
-in a hundred variants.
+chance cost work, never results. The hash has as many bits as keep such meetings to one in
+2,048 variants.
 
-Scale: texts are read once and never shuffled; a fingerprint costs about 4.5 KB of shuffle
+Scale: texts are read once and never shuffled; a fingerprint costs about 5 KB of shuffle
 (a row for each variant would be 50 KB); a task holds the variants of one block, or one part
 of the hashes, which has those of about ``part`` fingerprints. Documents with equal
 fingerprints are one from the start. Components are found by star-joins on tables in the
@@ -91,8 +91,10 @@ class Hashes:
     def __init__(self, n: int, half: int, block: int = BLOCK, part: int = PART):
         variants = len(ball(half))
         self.part = max(0, math.ceil(math.log2(max(n, 1) / part)))
-        top = max(self.part, math.floor(math.log2(block * variants)) - 3)  # about 8 of a block's variants have equal top bits
-        self.low = max(1, math.ceil((math.log2(max(n, 1) * variants) + 6 - top) / 8))
+        wanted = math.ceil(math.log2(max(n, 1) * variants)) + 11  # equal by chance: one variant in 2,048 at most, at any size
+        bits = {low: max(self.part, wanted - 8 * low) for low in range(1, 8)}
+        self.low = min(bits, key=lambda low: 8 * low + 2 ** bits[low] / (block * variants))  # bits for a variant: low bytes, and a share of the places
+        top = bits[self.low]
         self.bits = top + 8 * self.low
         self.slots = 1 << (top - self.part)
 
