@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import grammar
 from tessella.functions.text import MISSING, strip
+from tessella.tables import cut
 
 # The marker columns of a sheet, in the order in which cells are reported.
 MARKER_COLUMNS = ("Required exclusion", "Ideal exclusion", "Required phenotypic markers", "Ideal phenotypic markers")
@@ -62,6 +63,18 @@ def subtotals(validated: DataFrame) -> DataFrame:
     return classed.rollup("column", "error_class").agg(F.count("*").alias("n"))
 
 
+def cube(validated: DataFrame) -> DataFrame:
+    """``column, subset, error_class, level, n``: failures in every combination of the three dimensions.
+
+    ``level`` is the grouping id: its bits 4, 2 and 1 are set where column, subset and error
+    class are totals, so that a total is told from a value that is null. Failures are counted by
+    all three dimensions first; the eight combinations are then made of these counts.
+    """
+    dimensions = ("column", "subset", "error_class")
+    counted = validated.where("error is not null").select("column", "subset", error_class().alias("error_class")).groupBy(*dimensions).agg(F.count("*").alias("n"))
+    return counted.cube(*dimensions).agg(F.grouping_id().cast("int").alias("level"), F.sum("n").alias("n"))
+
+
 def _tokens(checked: DataFrame, keep: tuple[str, ...], **near: int) -> DataFrame:
     """``keep, pos, token`` of every token, and its neighbours at the given distances, which are in the same array: nothing is shuffled."""
     listed = checked.select(*keep, F.explode(F.array(grammar.tokens("value"))).alias("tokens"))  # worked out once, then looked at from each token
@@ -107,53 +120,131 @@ def most_common(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("marker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "marker").limit(k)
 
 
-# ---------------------------------------------------------------- lint: each gives (lint, row, column, detail)
+# ---------------------------------------------------------------- lint
 
+# The severity of each class of issue.
+SEVERITY = {
+    "unbalanced": "High",
+    "free_text": "High",
+    "space_in_name": "High",
+    "no_delimiter": "Medium",
+    "stacked": "Medium",
+    "bare": "Medium",
+    "several_names": "Medium",
+    "casing": "Low",
+    "stray_space": "Low",
+    "negated_and_not": "Review",
+}
 
-def _of_cells(checked: DataFrame, lint: str, condition, detail="value") -> DataFrame:
-    return checked.where(condition).select(F.lit(lint).alias("lint"), "row", "column", F.col(detail).alias("detail"))
 
+def _parsed(checked: DataFrame) -> DataFrame:
+    """Cells with ``tokens`` and ``words (pos, word, marker, qualifier)``, each worked out once and then looked at by any number of lints."""
+    listed = checked.select("row", "subset", "column", "value", F.explode(F.array(grammar.tokens("value"))).alias("tokens"))
+
+    def word(token, pos):
+        before = F.get("tokens", pos - 1)
+        gate = (pos == 0) & (token == grammar.GATE)
+        postfix = F.coalesce(before.isin(")", "]"), F.lit(False)) & token.rlike(f"^{grammar.QUALIFIER}$")
+        return F.when(grammar.is_word(token) & ~gate & ~postfix, F.struct(pos.alias("pos"), token.alias("word"), grammar.marker(token).alias("marker"), grammar.qualifier(token).alias("qualifier")))
+
+    found = F.filter(F.transform("tokens", word), lambda w: w.isNotNull())
+    return listed.select("*", F.explode(F.array(found)).alias("words"))
+
+
+def _valid(condition):
+    """``marker`` with its qualifier of the valid words that meet a condition."""
+    return F.transform(F.filter("words", lambda w: (w["marker"] != "") & condition(w)), lambda w: F.concat(w["marker"], w["qualifier"]))
 
-def unbalanced(checked: DataFrame) -> DataFrame:
-    """More of one bracket than of its counterpart."""
 
+def _value_if(condition):
+    return F.when(condition, F.array("value")).otherwise(F.array().cast("array<string>"))
+
+
+def _unbalanced():
     def count(ch: str):
         return F.length("value") - F.length(F.replace(F.col("value"), F.lit(ch), F.lit("")))
 
-    return _of_cells(checked, "unbalanced", (count("(") != count(")")) | (count("[") != count("]")))
+    return _value_if((count("(") != count(")")) | (count("[") != count("]")))
+
+
+def _free_text(share: float = 0.5, at_least: int = 4):
+    n, bare_words = F.size("words"), F.size(F.filter("words", lambda w: w["qualifier"] == ""))
+    told = F.array(F.concat_ws("/", bare_words.cast("string"), n.cast("string")))
+    return F.when((n >= at_least) & (bare_words > share * n), told).otherwise(F.array().cast("array<string>"))
+
+
+def _space_in_name():
+    near = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.get("tokens", i + 1).alias("space"), F.get("tokens", i + 2).alias("next")))
+    split = F.filter(near, lambda x: F.coalesce(grammar.is_word(x["token"]) & (x["space"] == " ") & x["next"].rlike("^[0-9]"), F.lit(False)))
+    return F.transform(split, lambda x: F.concat_ws(" ", x["token"], x["next"]))
+
+
+#: Lints of single cells: the details of their findings, as an array over the columns of :func:`_parsed`.
+_OF_CELL = {
+    "unbalanced": _unbalanced,
+    "free_text": _free_text,
+    "space_in_name": _space_in_name,
+    "no_delimiter": lambda: _value_if(F.col("value").rlike(r"[)\]][A-Za-z]")),
+    "stray_space": lambda: _value_if((F.col("value") != F.trim("value")) | F.contains("value", F.lit("  "))),
+    "stacked": lambda: _valid(lambda w: w["marker"].rlike("(hi|lo|int)$") & (w["qualifier"] != "")),
+    "bare": lambda: _valid(lambda w: w["qualifier"] == ""),
+}
+
 
+def _found(checked: DataFrame, more: dict | None = None, only: str | None = None) -> DataFrame:
+    """``row, subset, column, lint, detail`` of all lints of single cells (or one), and of ``more``, in one pass over the cells."""
 
-def free_text(checked: DataFrame, share: float = 0.5, at_least: int = 4) -> DataFrame:
-    """Cells of at least so many words of which more than a share has no qualifier."""
-    marked = words(checked).withColumn("bare", (grammar.qualifier("word") == "").cast("int"))
-    counted = marked.groupBy("row", "column").agg(F.count("*").alias("n"), F.sum("bare").alias("bare"))
-    found = counted.where((F.col("n") >= at_least) & (F.col("bare") > share * F.col("n")))
-    return found.select(F.lit("free_text").alias("lint"), "row", "column", F.concat_ws("/", F.col("bare").cast("string"), F.col("n").cast("string")).alias("detail"))
+    def named(lint: str, details):
+        return F.transform(details, lambda d: F.struct(F.lit(lint).alias("lint"), d.alias("detail")))
+
+    lints = {k: f for k, f in _OF_CELL.items() if only in (None, k)} | (more or {})
+    told = [named(k, f()) for k, f in lints.items()]
+    return _parsed(checked).select("row", "subset", "column", F.inline(F.concat(*told)))
+
+
+def cell_issues(checked: DataFrame) -> DataFrame:
+    """``row, subset, column, lint, severity, detail`` of every finding in a single cell: one scan, and no shuffle."""
+    severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    return _found(checked).select("row", "subset", "column", "lint", F.element_at(severity, F.col("lint")).alias("severity"), "detail")
+
+
+def _one(checked: DataFrame, lint: str) -> DataFrame:
+    return _found(checked, only=lint).select("lint", "row", "column", "detail")
+
+
+def unbalanced(checked: DataFrame) -> DataFrame:
+    """``lint, row, column, detail``, as for all lints of single cells: more of one bracket than of its counterpart."""
+    return _one(checked, "unbalanced")
+
+
+def free_text(checked: DataFrame) -> DataFrame:
+    """Cells of at least four words of which more than half have no qualifier."""
+    return _one(checked, "free_text")
 
 
 def space_in_name(checked: DataFrame) -> DataFrame:
     """A word that begins with a digit after a word and a space: a marker's name with a space in it."""
-    found = _tokens(checked, ("row", "column"), space=1, next=2).where(grammar.is_word(F.col("token")) & (F.col("space") == " ") & F.col("next").rlike("^[0-9]"))
-    return found.select(F.lit("space_in_name").alias("lint"), "row", "column", F.concat_ws(" ", "token", "next").alias("detail"))
+    return _one(checked, "space_in_name")
 
 
 def no_delimiter(checked: DataFrame) -> DataFrame:
     """A letter right after a closing bracket."""
-    return _of_cells(checked, "no_delimiter", F.col("value").rlike(r"[)\]][A-Za-z]"))
+    return _one(checked, "no_delimiter")
 
 
-def _of_inventory(found: DataFrame, lint: str, condition) -> DataFrame:
-    return found.where(condition).select(F.lit(lint).alias("lint"), "row", "column", F.concat("marker", "qualifier").alias("detail"))
+def stray_space(checked: DataFrame) -> DataFrame:
+    """Spaces at an end, or two in a row."""
+    return _one(checked, "stray_space")
 
 
-def stacked(found: DataFrame) -> DataFrame:
+def stacked(checked: DataFrame) -> DataFrame:
     """A qualifier on a marker that already ends in one."""
-    return _of_inventory(found, "stacked", F.col("marker").rlike("(hi|lo|int)$") & (F.col("qualifier") != ""))
+    return _one(checked, "stacked")
 
 
-def bare(found: DataFrame) -> DataFrame:
+def bare(checked: DataFrame) -> DataFrame:
     """A marker without a qualifier."""
-    return _of_inventory(found, "bare", F.col("qualifier") == "")
+    return _one(checked, "bare")
 
 
 def several_names(found: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -168,26 +259,42 @@ def casing(found: DataFrame) -> DataFrame:
     return grouped.where(F.size("names") > 1)
 
 
-def stray_space(checked: DataFrame) -> DataFrame:
-    """Spaces at an end, or two in a row."""
-    return _of_cells(checked, "stray_space", (F.col("value") != F.trim("value")) | F.contains("value", F.lit("  ")))
+#: An innermost group with the negation after it, if it has one.
+_GROUP = r"([(\[][^()\[\]]*[)\]]-?)"
+
+
+def _both_ways(groups: DataFrame) -> DataFrame:
+    """``group`` of ``groups (detail)`` that occur both with and without a negation."""
+    split = groups.select(F.regexp_replace("detail", "-$", "").alias("group"), F.col("detail").endswith("-").cast("int").alias("negated"))
+    return split.groupBy("group").agg(F.min("negated").alias("low"), F.max("negated").alias("high")).where("low < high").select("group")
 
 
 def negated_and_not(checked: DataFrame) -> DataFrame:
     """``group``: innermost groups that occur both with and without a negation after them."""
-    pattern = r"([(\[][^()\[\]]*[)\]]-?)"
-    found = checked.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), 1)).alias("g"))
-    found = found.select(F.regexp_replace("g", "-$", "").alias("group"), F.col("g").endswith("-").cast("int").alias("negated"))
-    return found.groupBy("group").agg(F.min("negated").alias("low"), F.max("negated").alias("high")).where("low < high").select("group")
+    return _both_ways(checked.select(F.explode(F.regexp_extract_all("value", F.lit(_GROUP), 1)).alias("detail")))
 
 
 def lint_summary(checked: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``lint, n``: findings of each class, of all classes that have any."""
-    found = inventory(checked)
-    cells_of = [unbalanced(checked), free_text(checked), space_in_name(checked), no_delimiter(checked), stray_space(checked), stacked(found), bare(found)]
-    rows = [x.select("lint") for x in cells_of]
-    rows += [several_names(found, aliases).select(F.lit("several_names").alias("lint")), casing(found).select(F.lit("casing").alias("lint")), negated_and_not(checked).select(F.lit("negated_and_not").alias("lint"))]
-    union = rows[0]
-    for x in rows[1:]:
-        union = union.unionByName(x)
-    return union.groupBy("lint").agg(F.count("*").alias("n"))
+    """``lint, severity, n, cells``: findings of each class that has any, and the distinct cells that they affect.
+
+    The cells are read and parsed once. What the lints over the whole sheet compare, the names
+    of markers and the groups, comes out of the same pass; it is written, and each of the
+    three looks for its few names or groups and then for the cells that have one of them.
+    """
+    more = {"marker": lambda: F.transform(F.filter("words", lambda w: w["marker"] != ""), lambda w: w["marker"]), "group": lambda: F.regexp_extract_all("value", F.lit(_GROUP), 1)}
+    found = cut(_found(checked, more).select("row", "column", "lint", "detail"), "issues")
+    cell = F.struct("row", "column")
+    single = found.where(~F.col("lint").isin(*more)).groupBy("lint").agg(F.count("*").alias("n"), F.count_distinct(cell).alias("cells"))
+
+    named = found.where(F.col("lint") == "marker").select("row", "column", F.col("detail").alias("marker"))
+    names = canonical(named.select("marker").distinct(), aliases).select("marker", "canonical", F.lower("marker").alias("folded"))
+    out = single
+    for lint, key in (("several_names", "canonical"), ("casing", "folded")):
+        several = names.groupBy(key).agg(F.count_distinct("marker").alias("k")).where("k > 1").select(key)
+        affected = named.join(names.join(several, key, "left_semi").select("marker", F.col(key).alias("of")), "marker")
+        out = out.unionByName(affected.agg(F.count_distinct("of").alias("n"), F.count_distinct(cell).alias("cells")).select(F.lit(lint).alias("lint"), "n", "cells"))
+    groups = found.where(F.col("lint") == "group").withColumn("group", F.regexp_replace("detail", "-$", ""))
+    affected = groups.join(_both_ways(groups), "group", "left_semi")
+    out = out.unionByName(affected.agg(F.count_distinct("group").alias("n"), F.count_distinct(cell).alias("cells")).select(F.lit("negated_and_not").alias("lint"), "n", "cells"))
+    severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    return out.where("n > 0").select("lint", F.element_at(severity, F.col("lint")).alias("severity"), "n", "cells")

@@ -112,8 +112,13 @@ def growth(records: DataFrame, existing: DataFrame, order: list[str]) -> DataFra
 
 
 def summary(records: DataFrame) -> DataFrame:
-    """``run_id, qid, n, rounds, titled``: records of each question, its rounds, and records with a title."""
-    return records.groupBy("run_id", "qid").agg(F.count("*").alias("n"), F.count_distinct("round").alias("rounds"), F.count_if(F.col("title") != "").alias("titled"))
+    """``run_id, qid, n, rounds, titled, by_round``: records of each question, its rounds, records with a title, and a map from each round to its records.
+
+    Records are counted by round first, so a busy question is a few rows when it is put together.
+    """
+    each = records.groupBy("run_id", "qid", "round").agg(F.count("*").alias("n"), F.count_if(F.col("title") != "").alias("titled"))
+    rounds = F.map_from_entries(F.collect_list(F.when(F.col("round").isNotNull(), F.struct("round", "n"))))
+    return each.groupBy("run_id", "qid").agg(F.sum("n").alias("n"), F.count("round").alias("rounds"), F.sum("titled").alias("titled"), rounds.alias("by_round"))
 
 
 def running_total(counts: DataFrame, n: str = "added") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.functions.text import OBO
+from tessella.operators import graph
 from tessella.tables import read
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -95,6 +96,15 @@ BINDINGS = {
     "taxa": f"SELECT '{OBO}PR_S' || cast(p_partkey AS STRING) AS sub, '{OBO}NCBITaxon_' || CASE p_partkey % 4 WHEN 0 THEN '10090' WHEN 1 THEN '9606' ELSE '1' END AS taxon FROM {{part}}",
     "xrefs": f"SELECT '{OBO}PR_S' || cast(p_partkey AS STRING) AS sub, CASE WHEN p_size % 3 = 0 THEN 'OTHER:' ELSE 'UniProtKB:' END || p_brand AS xref FROM {{part}}",
     "species": f"SELECT '{OBO}NCBITaxon_10090' AS taxon, 'mouse' AS species UNION ALL SELECT '{OBO}NCBITaxon_9606', 'human'",
+    # all of the above as quads, with statements of other predicates and of entities that are neither cells nor targets
+    "quads": f"""SELECT 'redundant' AS graph, cell AS s, relation AS p, pr AS o FROM {{inferred}} UNION ALL SELECT 'redundant', cell, '{OBO}RO_0000000', pr FROM {{inferred}}
+        UNION ALL SELECT 'redundant', sub, '{graph.IN_TAXON}', taxon FROM {{taxa}} UNION ALL SELECT 'redundant', sub, '{graph.SUBCLASS}', super FROM {{subclasses}}
+        UNION ALL SELECT 'nonredundant', cell, relation, pr FROM {{asserted}} UNION ALL SELECT 'nonredundant', sub, '{graph.SUBCLASS}', super FROM {{subclasses}}
+        UNION ALL SELECT 'ontology', cell, '{graph.DEFINED_BY}', '{graph.CELLS}' FROM {{cell_labels}} UNION ALL SELECT 'ontology', cell, '{graph.LABEL}', cell_label FROM {{cell_labels}}
+        UNION ALL SELECT 'ontology', pr, '{graph.DEFINED_BY}', '{graph.TARGETS}' FROM {{statements}} WHERE attribute = 'related'
+        UNION ALL SELECT 'ontology', pr, CASE attribute {" ".join(f"WHEN '{a}' THEN '{p}'" for p, a in graph.ATTRIBUTES.items())} END, value FROM {{statements}}
+        UNION ALL SELECT 'ontology', relation, '{graph.LABEL}', relation_label FROM {{relation_labels}} UNION ALL SELECT 'ontology', sub, '{graph.SUBPROPERTY}', super FROM {{parents}}
+        UNION ALL SELECT 'ontology', sub, '{graph.XREF}', xref FROM {{xrefs}} UNION ALL SELECT 'ontology', pr, 'comment', value FROM {{statements}}""",
     # marker cells
     "sheet": f"""SELECT p_partkey + 2 AS row, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE ' ' || p_name END AS `Subset name`,
         {marker_cell("p_partkey")} AS `Required exclusion`, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE {marker_cell("(p_partkey + 1)")} END AS `Ideal exclusion`,

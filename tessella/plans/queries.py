@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import grammar
 from tessella.functions.text import OBO, first_bar, for_match, segments, slug, split_bar, utc_seconds
-from tessella.operators import annotate, edges, markers, quotes, reports, sheets, snippets
+from tessella.operators import annotate, edges, graph, markers, quotes, reports, sheets, snippets
 from tessella.plans.bindings import ctes, frame, marker_error
 from tessella.sources import files
 from tessella.sources.files import BINDINGS as RESULT_SCHEMA
@@ -266,6 +266,57 @@ def _(t):
     return t.spark.read.text(f"{path}/edges_md").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- the same from written quads
+
+# the patterns as joins of quads; the tables take the names of the bindings that the other queries start from
+_PATTERNS = f"""cells AS (SELECT DISTINCT s AS cell FROM quads WHERE graph = 'ontology' AND p = '{graph.DEFINED_BY}' AND o = '{graph.CELLS}'),
+  targets AS (SELECT DISTINCT s AS pr FROM quads WHERE graph = 'ontology' AND p = '{graph.DEFINED_BY}' AND o = '{graph.TARGETS}'),
+  inferred AS (SELECT DISTINCT s AS cell, p AS relation, o AS pr FROM quads JOIN cells ON cell = s JOIN targets ON pr = o WHERE graph = 'redundant' AND p IN ({_MARKERS})),
+  asserted AS (SELECT DISTINCT s AS cell, p AS relation, o AS pr FROM quads JOIN cells ON cell = s JOIN targets ON pr = o WHERE graph = 'nonredundant'),
+  parents AS (SELECT DISTINCT s AS sub, o AS super FROM quads WHERE graph = 'ontology' AND p = '{graph.SUBPROPERTY}'),
+  cell_labels AS (SELECT s AS cell, o AS cell_label FROM quads JOIN cells ON cell = s WHERE graph = 'ontology' AND p = '{graph.LABEL}'),
+  relation_labels AS (SELECT s AS relation, o AS relation_label FROM quads WHERE graph = 'ontology' AND p = '{graph.LABEL}' AND s IN ({_MARKERS})),
+  statements AS (SELECT DISTINCT s AS pr, CASE p {" ".join(f"WHEN '{p}' THEN '{a}'" for p, a in graph.ATTRIBUTES.items())} END AS attribute, o AS value FROM quads
+    WHERE graph = 'ontology' AND s IN (SELECT pr FROM asserted) AND p IN ({", ".join(f"'{p}'" for p in graph.ATTRIBUTES)})),
+  subclasses AS (SELECT DISTINCT s AS sub, o AS super FROM quads WHERE graph = 'nonredundant' AND p = '{graph.SUBCLASS}'),
+  taxa AS (SELECT DISTINCT s AS sub, o AS taxon FROM quads WHERE graph = 'redundant' AND p = '{graph.IN_TAXON}'),
+  xrefs AS (SELECT DISTINCT s AS sub, o AS xref FROM quads WHERE graph = 'ontology' AND p = '{graph.XREF}')"""
+
+
+def _of_quads(sql: str) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE {_PATTERNS}, {sql})"
+
+
+def read_quads(t: Tables) -> graph.Ontology:
+    path = new_path(t.spark, "quads")
+    files.write_quads(t.quads, path)
+    return graph.read_ontology(t.spark, path)
+
+
+@query("quad_edges", _of_quads(f"{_KEPT} SELECT * FROM k"), "quads", "excluded")
+def _(t):
+    found = read_quads(t)
+    return edges.kept_edges(found.inferred, found.asserted, t.excluded)
+
+
+@query("quad_reduce", _of_quads(f"{_REDUCED} SELECT * FROM r"), "quads", "excluded")
+def _(t):
+    found = read_quads(t)
+    return edges.reduce_edges(found.inferred, found.asserted, edges.closure(found.parents), found.cell_labels, found.relation_labels, t.excluded)
+
+
+@query("quad_metadata", _of_quads(f"{_META} SELECT {', '.join(f"coalesce({c}, '') AS {c}" for c in _META_COLUMNS)} FROM m"), "quads", "species")
+def _(t):
+    return annotate.metadata(read_quads(t).statements).select("pr", "label", *[joined(c) for c in _META_COLUMNS[2:]])
+
+
+@query("quad_species", _of_quads(f"{_MERGED} SELECT pr, coalesce(human, '') AS human, coalesce(mouse, '') AS mouse FROM mg"), "quads", "species")
+def _(t):
+    found = read_quads(t)
+    meta, ids = annotate.metadata(found.statements), annotate.species_ids(found.asserted, found.subclasses, found.taxa, found.xrefs, t.species)
+    return annotate.merge_species(meta, annotate.species_table(ids)).select("pr", joined("human"), joined("mouse"))
+
+
 @query("label_parts", "SELECT p_partkey, array_to_string(list_filter(string_split(x, '|'), lambda p: p <> ''), '~') AS parts, string_split(x, '|')[1] AS first FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN '|' || p_name || '||' || p_brand ELSE p_type || '|' END AS x FROM part)")
 def _(t):
     x = t.part.selectExpr("p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN '|' || p_name || '||' || p_brand ELSE p_type || '|' END AS x")
@@ -345,6 +396,16 @@ def _(t):
     return markers.subtotals(validated(t))
 
 
+@query(
+    "marker_error_cube",
+    f"""WITH {_CHECKED} SELECT "column", subset, error_class, cast(grouping_id("column", subset, error_class) AS INT) AS level, count(*) AS n
+    FROM (SELECT "column", nullif(subset, 'nan') AS subset, {_CLASS} AS error_class FROM v WHERE error IS NOT NULL) GROUP BY CUBE ("column", subset, error_class)""",
+    "sheet",
+)
+def _(t):
+    return markers.cube(validated(t).withColumn("subset", F.nullif("subset", F.lit("nan"))))  # here a missing subset is null
+
+
 @query(
     "marker_report_lines",
     f"""WITH {_CHECKED} SELECT row, col_ord, '| ' || row || ' | ' || replace(subset, '|', '\\|') || ' | ' || "column" || ' | ' || replace(error, '|', '\\|') || ' | `' || replace(trim(value), '|', '\\|') || '` |' AS line FROM v WHERE error IS NOT NULL""",
@@ -426,7 +487,12 @@ _LINT_SETS = {
     "casing": "SELECT lower(marker) AS folded, array_to_string(list_sort(list_distinct(list(marker))), '|') AS names FROM fd GROUP BY 1 HAVING count(DISTINCT marker) > 1",
     "negated_and_not": """SELECT "group" FROM (SELECT regexp_replace(g, '-$', '') AS "group", g LIKE '%-' AS neg FROM (SELECT unnest(regexp_extract_all(value, '[(\\[][^()\\[\\]]*[)\\]]-?')) AS g FROM cells)) GROUP BY 1 HAVING count(DISTINCT neg) > 1""",
 }
-_OF_FOUND = {"stacked", "bare", "several_names", "casing"}
+# the cells that have one of the names or groups
+_LINT_CELLS = {
+    "several_names": """SELECT DISTINCT row, "column" FROM fd LEFT JOIN aliases ON alias = marker WHERE coalesce(canonical, marker) IN (SELECT canonical FROM ({}))""",
+    "casing": """SELECT DISTINCT row, "column" FROM fd WHERE lower(marker) IN (SELECT folded FROM ({}))""",
+    "negated_and_not": """SELECT DISTINCT row, "column" FROM (SELECT row, "column", unnest(regexp_extract_all(value, '[(\\[][^()\\[\\]]*[)\\]]-?')) AS g FROM cells) WHERE regexp_replace(g, '-$', '') IN (SELECT "group" FROM ({}))""",
+}
 
 
 def _lint(name: str, build) -> None:
@@ -436,19 +502,25 @@ def _lint(name: str, build) -> None:
 
 
 for _name in _LINT:
-    _lint(_name, lambda t, f=getattr(markers, _name), own=_name in _OF_FOUND: f(markers.inventory(checked(t)) if own else checked(t)).select("row", "column", "detail"))
+    _lint(_name, lambda t, f=getattr(markers, _name): f(checked(t)).select("row", "column", "detail"))
 _lint("several_names", lambda t: markers.several_names(markers.inventory(checked(t)), t.aliases).select("canonical", joined("names")))
 _lint("casing", lambda t: markers.casing(markers.inventory(checked(t))).select("folded", joined("names")))
 _lint("negated_and_not", lambda t: markers.negated_and_not(checked(t)))
 
 
-@query(
-    "lint_summary",
-    f"WITH {_FOUND} SELECT lint, sum(n) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS lint, count(*) AS n FROM ({s})" for k, s in (_LINT | _LINT_SETS).items()) + ") GROUP BY 1 HAVING sum(n) > 0",
-    "sheet", "aliases",
-)
+_SEVERITY = "CASE lint " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in markers.SEVERITY.items()) + " END"
+_COUNTS = [f"""SELECT '{k}' AS lint, count(*) AS n, count(DISTINCT (row, "column")) AS cells FROM ({x})""" for k, x in _LINT.items()]
+_COUNTS += [f"SELECT '{k}', (SELECT count(*) FROM ({x})), (SELECT count(*) FROM ({_LINT_CELLS[k].replace('{}', x)}))" for k, x in _LINT_SETS.items()]
+
+
+@query("lint_summary", f"WITH {_FOUND} SELECT lint, {_SEVERITY} AS severity, n, cells FROM ({' UNION ALL '.join(_COUNTS)}) WHERE n > 0", "sheet", "aliases")
 def _(t):
-    return markers.lint_summary(checked(t), t.aliases).withColumn("n", F.col("n").cast("decimal(38,0)"))
+    return markers.lint_summary(checked(t), t.aliases)
+
+
+@query("lint_issues", f"WITH {_FOUND} " + "SELECT row, \"column\", lint, " + _SEVERITY + " AS severity, detail FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS lint, * FROM ({x})" for k, x in _LINT.items()) + ")", "sheet")
+def _(t):
+    return markers.cell_issues(checked(t)).drop("subset")
 
 
 # ---------------------------------------------------------------- quotes
@@ -598,9 +670,16 @@ def _(t):
     return records(t).groupBy("corpus_id", F.array_join("followed_corpus_ids", "|").alias("followed")).agg(F.count("*").alias("n"))
 
 
-@query("snippet_summary", f"WITH {_FIRST} SELECT run_id, qid, count(*) AS n, count(DISTINCT round) AS rounds, count(*) FILTER (lang <> '') AS titled FROM fr GROUP BY ALL", "searches")
+@query(
+    "snippet_summary",
+    f"""WITH {_FIRST}, pr AS (SELECT run_id, qid, round, count(*) AS n, count(*) FILTER (lang <> '') AS titled FROM fr GROUP BY ALL)
+    SELECT run_id, qid, cast(sum(n) AS BIGINT) AS n, count(*) AS rounds, cast(sum(titled) AS BIGINT) AS titled, string_agg(round || ':' || n, ' ' ORDER BY round) AS by_round FROM pr GROUP BY 1, 2""",
+    "searches",
+)
 def _(t):
-    return snippets.summary(snippets.first_of_each(records(t), _ORDER_BY))
+    found = snippets.summary(snippets.first_of_each(records(t), _ORDER_BY))
+    told = F.transform(F.array_sort(F.map_entries("by_round")), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+    return found.withColumn("by_round", F.array_join(told, " "))
 
 
 @query(

@@ -26,9 +26,10 @@ def write_quads(quads: DataFrame, path: str) -> None:
     quads.write.mode("overwrite").partitionBy("graph").parquet(path)
 
 
-def read_graph(spark: SparkSession, path: str, graph: str) -> DataFrame:
-    """``s, p, o`` of one named graph."""
-    return spark.read.schema(QUADS).parquet(path).where(F.col("graph") == graph).select("s", "p", "o")
+def read_graph(spark: SparkSession, path: str, graph: str, predicates: list[str] | None = None) -> DataFrame:
+    """``s, p, o`` of one named graph, of any predicate or of those listed; both filters reach the files."""
+    quads = spark.read.schema(QUADS).parquet(path).where(F.col("graph") == graph)
+    return (quads.where(F.col("p").isin(*predicates)) if predicates is not None else quads).select("s", "p", "o")
 
 
 def flatten_bindings(results: DataFrame, variables: list[str]) -> DataFrame:
