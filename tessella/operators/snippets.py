@@ -8,7 +8,7 @@ corpus_id, start, end)``, where null equals null; the first writer wins, in the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import followed
@@ -93,8 +93,7 @@ def fresh(records: DataFrame, existing: DataFrame) -> DataFrame:
     known = keyed(existing).select(*[F.col(k).alias(f"__{k}") for k in KEY]).distinct()
     condition = F.lit(True)
     for k in KEY:
-        same = F.col(k) == F.col(f"__{k}") if k in ("run_id", "qid") else F.col(k).eqNullSafe(F.col(f"__{k}"))
-        condition = same & condition
+        condition = F.col(k).eqNullSafe(F.col(f"__{k}")) & condition
     return keyed(records).join(known, condition, "left_anti").drop("start", "end")
 
 
@@ -104,6 +103,12 @@ def append(existing: DataFrame, records: DataFrame, order: list[str]) -> DataFra
     return existing.unionByName(added.select(*existing.columns))
 
 
+def counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """``rows``, and the number of them, which the very job that reads them will have counted."""
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
 def growth(records: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
     """``run_id, qid, round, offered, added``: records offered and newly added in each round."""
     added = fresh(first_of_each(records, order), existing).groupBy("run_id", "qid", "round").agg(F.count("*").alias("added"))

@@ -694,6 +694,17 @@ def _(t):
     return snippets.keyed(files.read_records(t.spark, path, run_id="r1")).select("run_id", "qid", "round", "corpus_id", joined("authors"), "open_access", "start", "text")
 
 
+_OFFERS = f"""{_RECORDS}, f1 AS (SELECT DISTINCT run_id, qid, corpus_id, n_chars FROM rc WHERE doc_id % 3 = 0), f2 AS (SELECT DISTINCT run_id, qid, corpus_id, n_chars FROM rc),
+  ct AS (SELECT (SELECT count(*) FROM rc WHERE doc_id % 3 = 0) AS a, (SELECT count(*) FROM f1) AS b, (SELECT count(*) FROM rc) AS c, (SELECT count(*) FROM f2) AS d)"""
+
+
+@query("snippet_append_counts", f"WITH {_OFFERS} SELECT 1 AS call, a AS offered, b AS added FROM ct UNION ALL SELECT 2, c, d - b FROM ct UNION ALL SELECT 3, c, 0 FROM ct", "searches")
+def _(t):
+    path, found = new_path(t.spark, "counts"), cut(records(t), "records")
+    calls = [files.append_new(x, path, _ORDER_BY) for x in (found.where(F.col("batch") % 3 == 0), found, found)]  # the last one has nothing new
+    return t.spark.createDataFrame([(i, c["offered"], c["added"]) for i, c in enumerate(calls, 1)], "call int, offered long, added long")
+
+
 @query("snippet_evidence", f"WITH {_RECORDS} SELECT run_id, qid, text FROM rc WHERE text <> ''", "searches")
 def _(t):
     return snippets.evidence(records(t))
@@ -743,6 +754,17 @@ def _(t):
     return reduce(DataFrame.unionByName, [t.spark.read.schema(schema).option("header", True).csv(f"{folder}/{name}").select(F.lit(name).alias("slug"), "*") for name in written])
 
 
+@query("tab_layout_file", f"""WITH {_ROWS} SELECT cast("key" AS VARCHAR) AS c0, state AS c1, CASE WHEN state IS NOT NULL THEN ' a, "b"' || chr(10) || state END AS c3, priority AS c4 FROM rw""", "tab")
+def _(t):
+    """A layout tab: no header, an empty column, quoted cells with separators and line ends, and rows that end with their last value."""
+    path, quoted = new_path(t.spark, "layout"), F.concat(F.lit('" a, ""b""\n'), F.col("state"), F.lit('"'))
+    cells = [F.col("key").cast("string"), F.col("state"), F.lit(""), quoted, F.col("priority")]
+    line = F.concat_ws(",", *[F.coalesce(x, F.lit("")) for x in cells])
+    some = t.tab.where(F.coalesce("state", "priority", "target").isNotNull())
+    some.select(F.regexp_replace(line, ",+$", "").alias("line")).write.text(path)
+    return sheets.clean_tab(files.read_tab(t.spark, path, has_header=False).drop("row"), has_header=False)
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -786,6 +808,45 @@ def _(t):
     return snippets.keyed(streams.read_cache(t.spark, f"{path}/cache", RECORDS)).select("run_id", "qid", "round", "corpus_id", F.col("start").alias("n_chars"), "text")
 
 
+@query("snippet_stream_counts", f"WITH {_OFFERS} SELECT 1 AS call, c AS offered, d AS added FROM ct UNION ALL SELECT 2, c, 0 FROM ct", "searches")
+def _(t):
+    path, counts = new_path(t.spark, "stream-counts"), {}
+    for call in (1, 2):
+        report = lambda _, n, call=call: counts.setdefault(call, []).append(n)
+        streams.append_stream(records(Streamed(t.spark, t.sf_dir)), f"{path}/cache", f"{path}/{call}", RECORDS, report).awaitTermination()
+    rows = [(call, sum(n["offered"] for n in batches), sum(n["added"] for n in batches)) for call, batches in counts.items()]
+    return t.spark.createDataFrame(rows, "call int, offered long, added long")
+
+
+def _ingested(t: Tables) -> str:
+    """Responses, and lines and payloads that are no JSON, in files that come in two batches, with a restart between."""
+    folder, path, found = new_path(t.spark, "incoming"), new_path(t.spark, "ingested"), responses(t)
+    line = F.to_json(F.struct(*[c for c in found.columns]))
+    broken = F.concat(F.lit('{"run_id": "broken '), F.col("batch").cast("string"))
+    payload = F.to_json(F.struct("run_id", "qid", F.concat(F.lit("[no JSON "), F.col("batch").cast("string")).alias("response")))
+    for rest in (0, 1):
+        now = found.where(F.col("batch") % 2 == rest)
+        lines = now.select(F.explode(F.array(line, F.when(F.col("batch") % 10 < 2, broken), F.when(F.col("batch") % 15 < 2, payload))).alias("line")).where("line is not null")
+        lines.write.mode("append").text(folder)
+        streams.ingest_files(t.spark, folder, path)
+    return path
+
+
+@query("snippet_stream_files", f"WITH {_RECORDS} SELECT DISTINCT run_id, qid, corpus_id, n_chars FROM rc", "searches")
+def _(t):
+    found = t.spark.read.schema(RECORDS).parquet(f"{_ingested(t)}/records")
+    return found.select("run_id", "qid", "corpus_id", F.col("snippet_offset.start").alias("n_chars"))
+
+
+@query(
+    "snippet_stream_malformed",
+    """SELECT cast(NULL AS VARCHAR) AS run_id, '{"run_id": "broken ' || doc_id AS payload FROM searches WHERE doc_id % 10 < 2 UNION ALL SELECT run_id, '[no JSON ' || doc_id FROM searches WHERE doc_id % 15 < 2""",
+    "searches",
+)
+def _(t):
+    return t.spark.read.schema("run_id string, qid string, payload string").parquet(f"{_ingested(t)}/malformed").select("run_id", "payload")
+
+
 @query(
     "quote_stream_found",
     f"WITH {_HELD}, {_ASKED.replace('FROM {}', 'FROM asked')} SELECT item_id FROM qp WHERE len(segs) > 0 AND EXISTS (SELECT 1 FROM ev WHERE ev.run_id = qp.run_id AND ev.qid = qp.qid AND nt LIKE pattern)",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import slug
 from tessella.operators.edges import summary
 from tessella.operators.reports import cell_sections, edge_report_head, marker_lines, sorted_edges, validation_report
 from tessella.operators.sheets import clean_tab, is_empty
+from tessella.operators.snippets import RECORD, counted, first_of_each, fresh
 from tessella.tables import cut, read_or_empty
 
 QUADS = "graph string, s string, p string, o string"
@@ -50,11 +51,7 @@ def read_sheet(spark: SparkSession, path: str, row: str = "row") -> DataFrame:
     order: a record's number is its place after the first record of its file.
     """
     options = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    sheet = spark.read.options(**options).csv(path)
-    placed = sheet.select("*", F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__id"))
-    first = placed.groupBy("__file").agg(F.min("__id").alias("__first"))
-    numbered = placed.join(first, "__file")
-    return numbered.select(*[numbered[f"`{c}`"] for c in sheet.columns if c != row], (F.col("__id") - F.col("__first") + 2).alias(row))
+    return _numbered(spark.read.options(**options).csv(path), 2, row)
 
 
 def write_sheets(sheets: DataFrame, path: str, book: str, row: str = "row") -> None:
@@ -64,6 +61,32 @@ def write_sheets(sheets: DataFrame, path: str, book: str, row: str = "row") -> N
     ordered.write.mode("overwrite").options(**options).partitionBy(book).csv(path)
 
 
+def read_tab(spark: SparkSession, path: str, has_header: bool, row: str = "row") -> DataFrame:
+    """A tab's CSV as text columns with ``row``, the 1-based row in its file: named by its header, or by position (``c0``, ``c1``, ...) as a layout tab has none.
+
+    Rows of a layout tab may differ in width: the tab is as wide as its widest row, and
+    shorter rows are null beyond their end. An empty file has no columns but ``row``.
+    """
+    if has_header:
+        return read_sheet(spark, path, row)
+    # separators outside quotes, of the widest line; a quoted cell may hold separators and line ends
+    lines = F.split(F.regexp_replace("value", r'"[^"]*"', ""), r"\r\n|\n|\r")
+    separators = F.array_max(F.transform(lines, lambda x: F.when(x == "", -1).otherwise(F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))))))
+    width = (spark.read.text(path, wholetext=True).agg(F.max(separators)).first()[0] or 0) + 1
+    names = [f"c{i}" for i in range(width)]
+    options = {"multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxColumns": max(20480, width)}
+    tab = spark.read.schema(", ".join(f"{n} string" for n in [*names, "__rest"])).options(**options).csv(path).drop("__rest")
+    return _numbered(tab, 1, row)
+
+
+def _numbered(table: DataFrame, first_row: int, row: str) -> DataFrame:
+    """Rows of files that Spark reads each in one piece, with their number in their file."""
+    placed = table.select("*", F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__id"))
+    first = placed.groupBy("__file").agg(F.min("__id").alias("__first"))
+    numbered = placed.join(first, "__file")
+    return numbered.select(*[numbered[f"`{c}`"] for c in table.columns if c != row], (F.col("__id") - F.col("__first") + first_row).alias(row))
+
+
 def write_tabs(tabs: dict[str, tuple[DataFrame, bool]], folder: str) -> list[str]:
     """Each tab that is not empty as CSV under its slug; ``tabs``: name to (table, whether it has a header)."""
     written = []
@@ -76,17 +99,40 @@ def write_tabs(tabs: dict[str, tuple[DataFrame, bool]], folder: str) -> list[str
     return written
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    """JSON lines under ``run_id=/qid=`` folders; existing files are never touched."""
-    records.write.mode("append").partitionBy("run_id", "qid").json(path)
+#: Folders of a cache. Their names begin with a letter, so that an empty id is not a missing one; the records keep the ids themselves.
+_FOLDERS = {"run": "run_id", "question": "qid"}
+
+
+def _folder(value) -> Column:
+    return F.concat(F.lit("k"), value)
+
+
+def append_records(records: DataFrame, path: str) -> int:
+    """Add JSON lines under ``run=/question=`` folders and return their number, as the write itself counts it; existing files are never touched."""
+    rows, seen = counted(records)
+    placed = rows.withColumns({f: _folder(F.col(c)) for f, c in _FOLDERS.items()})
+    placed.write.mode("append").partitionBy(*_FOLDERS).json(path)
+    return seen.get["n"]
+
+
+def append_new(records: DataFrame, path: str, order: list[str]) -> dict[str, int]:
+    """Add the first record, in the given order, of each key that the cache does not have yet; ``offered`` and ``added`` are counted by the job that writes.
+
+    Appending the same records again adds nothing.
+    """
+    rows, offered = counted(records)
+    first = first_of_each(rows, order)
+    known = read_records(records.sparkSession, path)
+    added = append_records(fresh(first, known).select(*RECORD), path)
+    return {"offered": offered.get["n"], "added": added}
 
 
 def read_records(spark: SparkSession, path: str, run_id: str | None = None, qid: str | None = None) -> DataFrame:
-    """Cached records; blank lines are skipped, a malformed line is an error, a missing folder gives none."""
-    found = read_or_empty(spark, path, RECORDS, "json", mode="FAILFAST")
-    for column, value in (("run_id", run_id), ("qid", qid)):
-        found = found.where(F.col(column) == value) if value is not None else found
-    return found
+    """Cached records; blank lines are skipped, a malformed line is an error, a missing folder gives none. Of a run or question, only its folders are read."""
+    found = read_or_empty(spark, path, f"{RECORDS}, {', '.join(f'{f} string' for f in _FOLDERS)}", "json", mode="FAILFAST")
+    for folder, value in zip(_FOLDERS, (run_id, qid), strict=True):
+        found = found.where(F.col(folder) == _folder(F.lit(value))) if value is not None else found
+    return found.drop(*_FOLDERS)
 
 
 def write_manifests(questions: DataFrame, path: str) -> None:

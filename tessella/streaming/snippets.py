@@ -11,13 +11,14 @@ than the delay appears again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessella.operators.snippets import KEY, RECORD, first_of_each, flatten, fresh, items, keyed
+from tessella.operators.snippets import KEY, RECORD, counted, first_of_each, flatten, fresh, items, keyed
 from tessella.tables import read_or_empty
 
 ORDER = ["round", "batch", "pos"]
@@ -28,6 +29,58 @@ def records(responses: DataFrame) -> DataFrame:
     return flatten(items(responses), ("batch", "pos"))
 
 
+#: One line of an input file: a search's context and the response, as JSON text or as JSON itself.
+RESPONSES = "run_id string, qid string, round int, query string, source_seed string, followed string, batch long, response string, malformed string"
+
+
+def response_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON lines that arrive as files in a folder; a line that is not of the form :data:`RESPONSES` is kept as ``malformed``."""
+    return spark.readStream.schema(RESPONSES).option("columnNameOfCorruptRecord", "malformed").json(folder)
+
+
+def _unreadable() -> Column:
+    return F.col("malformed").isNotNull() | F.expr("try_parse_json(response)").isNull()
+
+
+def readable(responses: DataFrame) -> DataFrame:
+    """Responses whose line and payload are JSON; a payload of another shape is readable, and has no records."""
+    return responses.where(~_unreadable()).drop("malformed")
+
+
+def unreadable(responses: DataFrame) -> DataFrame:
+    """``run_id, qid, payload`` of the others: the line, or the payload, that is not JSON."""
+    return responses.where(_unreadable()).select("run_id", "qid", F.coalesce("malformed", "response").alias("payload"))
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB: keys seen may be more than an executor's memory holds."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def ingest_files(spark: SparkSession, folder: str, path: str) -> None:
+    """All files that have come to ``folder`` since the last call: records, each key once, to ``path/records``, and what is no JSON to ``path/malformed``.
+
+    Both are streams of their own, with checkpoints under ``path``, so that a restart goes on
+    with the files and the keys that it has not seen.
+    """
+    arrived = response_stream(spark, folder)
+    outputs = {"records": deduplicated(records(readable(arrived))), "malformed": unreadable(arrived)}
+    with state_on_disk(spark):
+        started = [
+            x.writeStream.format("parquet").option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/state/{name}").trigger(availableNow=True).start()
+            for name, x in outputs.items()
+        ]
+    for stream in started:
+        stream.awaitTermination()
+
+
 def deduplicated(stream: DataFrame) -> DataFrame:
     return keyed(stream).dropDuplicates(KEY).drop("start", "end")
 
@@ -45,9 +98,12 @@ def _part(run_id: str = "run_id", qid: str = "qid"):
     return F.pmod(F.xxhash64(run_id, qid), F.lit(PARTS)).cast("int")
 
 
-def appender(path: str, schema: str, writer: str | Callable[[SparkSession], str]) -> Callable[[DataFrame, int], None]:
+def appender(path: str, schema: str, writer: str | Callable[[SparkSession], str], report: Callable[[int, dict[str, int]], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A batch function that appends the records that the cache at ``path`` does not have yet.
 
+    ``report`` is given each batch's number and the counts of records ``offered`` and ``added``,
+    which the batch's own jobs have counted.
+
     A batch is written under its writer and its own number, so that running it again after
     a failure replaces what it had written and nothing else; numbers start again with each
     writer, which is the stream's id (or a function that gives it).
@@ -56,13 +112,16 @@ def appender(path: str, schema: str, writer: str | Callable[[SparkSession], str]
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = writer if isinstance(writer, str) else writer(spark)
-        first = first_of_each(batch, ORDER).withColumn("part", _part()).persist()
+        rows, offered = counted(batch)
+        first = first_of_each(rows, ORDER).withColumn("part", _part()).persist()
         parts = [r.part for r in first.select("part").distinct().collect()]  # at most PARTS numbers
         known = _cache(spark, path, schema).where(F.col("part").isin(parts)) if parts else _cache(spark, path, schema).where("false")
         known = known.where((F.col("writer") != own) | (F.col("batch_no") != number))
-        added = fresh(first, known).select(*RECORD, "part")
-        added.write.mode("overwrite").partitionBy("part").parquet(f"{path}/writer={own}/batch_no={number}")
+        new, added = counted(fresh(first, known).select(*RECORD, "part"))
+        new.write.mode("overwrite").partitionBy("part").parquet(f"{path}/writer={own}/batch_no={number}")
         first.unpersist()
+        if report:
+            report(number, {"offered": offered.get["n"], "added": added.get["n"]})
 
     return add
 
@@ -81,7 +140,7 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
-def append_stream(stream: DataFrame, path: str, checkpoint: str, schema: str) -> StreamingQuery:
+def append_stream(stream: DataFrame, path: str, checkpoint: str, schema: str, report: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
     """Appends all that is available, exactly once, first writer first; streams with other checkpoints may append to the same cache in turn."""
-    add = appender(path, schema, lambda spark: stream_id(spark, checkpoint))
+    add = appender(path, schema, lambda spark: stream_id(spark, checkpoint), report)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
