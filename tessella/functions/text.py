@@ -75,7 +75,9 @@ def cd_tokens(name: Column | str) -> Column:
 
 def for_match(text: Column | str) -> Column:
     """Lower case, dashes and quotation marks unified, runs of white space as one space, trimmed."""
-    unified = F.translate(F.lower(c(text)), "–—―‘’“”", "---''''")
+    unified = F.lower(c(text))
+    for sign, plain in zip("–—―‘’“”", "---''''", strict=True):  # whole texts are searched for a sign faster than translated
+        unified = F.replace(unified, F.lit(sign), F.lit(plain))
     return F.trim(F.regexp_replace(unified, rf"(?U){SPACE}+", " "))
 
 

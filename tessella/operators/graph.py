@@ -120,7 +120,7 @@ def entities(facts: DataFrame) -> DataFrame:
         return F.bool_or((F.col("p") == DEFINED_BY) & (F.col("o") == by))
 
     label = F.min(F.when((F.col("p") == LABEL) & (F.col("o") != ""), F.col("o")))
-    known = facts.where(F.col("p").isin(DEFINED_BY, LABEL))
+    known = facts.where(F.col("p").isin(DEFINED_BY, LABEL) & F.col("s").isNotNull())
     return known.groupBy("s").agg(defined(CELLS).alias("is_cell"), defined(TARGETS).alias("is_target"), label.alias("label"))
 
 

@@ -26,38 +26,61 @@ def with_segments(quoted: DataFrame, quote: str = "quote") -> DataFrame:
 
 
 def prepare(evidence: DataFrame, text: str = "text") -> DataFrame:
-    """Evidence with a text, normalised once as ``nt``."""
-    return evidence.where(F.col(text) != "").withColumn("nt", for_match(text))
+    """Evidence with a text, normalised once as ``nt``; never null, so that no filter for null needs it worked out a second time."""
+    return evidence.where(F.col(text) != "").withColumn("nt", F.coalesce(for_match(text), F.lit("")))
 
 
 def fits(nt: str = "nt") -> Column:
     return F.contains(F.col(nt), F.element_at("segments", 1)) & F.expr(f"{nt} LIKE pattern")
 
 
-#: Parts into which the evidence of one question is dealt.
-PARTS = 32
+#: Bytes of one question's evidence that one task searches.
+PART_BYTES = 1 << 24
 
 
-def found_in(quoted: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+def busy(evidence: DataFrame, keys: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """``keys, parts`` of the questions whose evidence is more than one part, by the sizes of their own texts; one for every ``part_bytes`` of evidence at most."""
+    sizes = evidence.groupBy(*keys).agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > part_bytes)
+    return sizes.select(*keys, F.ceil(F.col("bytes") / part_bytes).cast("int").alias("parts"))
+
+
+def dealt(evidence: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Evidence as ``__keys, __nt, __of``: its part of its question's, where ``parts`` (of :func:`busy`) says that there are several; else 0."""
+    of = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("text"), F.col("parts"))).otherwise(0).cast("int")
+    return evidence.join(parts, keys, "left").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("nt").alias("__nt"), of.alias("__of"))
+
+
+def found_in(quoted: DataFrame, evidence: DataFrame, keys: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
     """Distinct ``keys, pattern`` of the quotes that an evidence text with the same keys holds.
 
-    Each distinct quote meets the evidence in :data:`PARTS` parts, so that the texts of one busy question are not one task's.
+    A quote and its question's texts meet in one task, which stops at the first text that holds
+    the quote. The texts of a busy question are dealt into parts, as many as its own evidence
+    needs: a quote is looked for in the first of them, and only where it is not found
+    there in the others. ``evidence`` as of :func:`prepare`, with its ``text``.
     """
     asked = quoted.where(F.size("segments") > 0).select(*keys, "segments", "pattern").distinct()
-    asked = asked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    held = evidence.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("nt").alias("__nt"), F.pmod(F.xxhash64("nt"), F.lit(PARTS)).cast("int").alias("__of"))
-    condition = (F.col("__part") == F.col("__of")) & fits("__nt")
-    for k in keys:
-        condition = (F.col(k) == F.col(f"__{k}")) & condition
-    return asked.join(held, condition, "left_semi").select(*keys, "pattern").distinct()
+
+    def semi(asked: DataFrame, held: DataFrame, condition: Column) -> DataFrame:
+        for k in keys:
+            condition = (asked[k] == held[f"__{k}"]) & condition
+        return asked.join(held, condition & fits("__nt"), "left_semi").select(*keys, "pattern").distinct()
+
+    parts = cut(busy(evidence, keys, part_bytes), "busy")
+    if parts.isEmpty():
+        return semi(asked, evidence.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("nt").alias("__nt")), F.lit(True))
+    held = dealt(evidence, parts, keys)
+    first = cut(semi(asked, held.where("__of = 0"), F.lit(True)), "found")
+    rest = asked.join(parts, keys).join(first, [*keys, "pattern"], "left_anti")
+    rest = rest.withColumn("__part", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    return first.unionByName(semi(rest, held.where("__of > 0"), F.col("__part") == F.col("__of")))
 
 
-def missing(quoted: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+def missing(quoted: DataFrame, evidence: DataFrame, keys: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
     """Quotes that no evidence text with the same keys holds; a quote without segments is never missing.
 
     ``quoted`` as of :func:`with_segments`, ``evidence`` as of :func:`prepare`.
     """
-    return quoted.where(F.size("segments") > 0).join(found_in(quoted, evidence, keys), [*keys, "pattern"], "left_anti").select(*quoted.columns)
+    return quoted.where(F.size("segments") > 0).join(found_in(quoted, evidence, keys, part_bytes), [*keys, "pattern"], "left_anti").select(*quoted.columns)
 
 
 def message(quote: str = "quote") -> Column:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from tessella.functions import grammar
 from tessella.functions.text import OBO, first_bar, for_match, segments, slug, split_bar, utc_seconds
-from tessella.operators import annotate, edges, graph, markers, quotes, reports, sheets, snippets
+from tessella.operators import annotate, edges, graph, markers, quote_index, quotes, reports, sheets, snippets
 from tessella.plans.bindings import ctes, frame, marker_error
 from tessella.sources import files
 from tessella.sources.files import BINDINGS as RESULT_SCHEMA
 from tessella.sources.files import RECORDS, flatten_bindings
 from tessella.streaming import checks
 from tessella.streaming import snippets as streams
-from tessella.tables import cut, new_path, read
+from tessella.tables import cut, new_path, read, read_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -586,6 +586,14 @@ def _(t):
     return quotes.corpus_matches(quotes.with_segments(t.ellipses), quotes.prepare(t.documents.select("doc_id", "text")), "item_id", "doc_id")
 
 
+@query("quote_index_match", ORACLE_SQL["quote_corpus_match"])
+def _(t):
+    path, corpus = new_path(t.spark, "quote-index"), t.documents.select("doc_id", "text")
+    for texts in (corpus.where("doc_id % 3 > 0"), corpus):  # the second adds the others only
+        quote_index.extend(texts, path)
+    return quote_index.matches(quotes.with_segments(t.ellipses), path, "item_id")
+
+
 # ---------------------------------------------------------------- search responses
 
 
@@ -853,8 +861,9 @@ def _(t):
     "evidence", "asked",
 )
 def _(t):
-    found = checks.found_quotes(Streamed(t.spark, t.sf_dir).asked, quotes.prepare(t.evidence), ["run_id", "qid"])
-    return _to_table(found.select("item_id"), "stream-quotes")
+    path, arriving = new_path(t.spark, "stream-quotes"), Streamed(t.spark, t.sf_dir).asked
+    checks.find_quotes(arriving, quotes.prepare(t.evidence), ["run_id", "qid"], path, f"{path}-state").awaitTermination()
+    return read_or_empty(t.spark, path, "item_id long", "parquet").select("item_id")
 
 
 @query("marker_stream_validate", f'WITH {_CHECKED} SELECT row, "column", error FROM v WHERE error IS NOT NULL', "sheet")

@@ -99,19 +99,15 @@ def write_tabs(tabs: dict[str, tuple[DataFrame, bool]], folder: str) -> list[str
     return written
 
 
-#: Folders of a cache. Their names begin with a letter, so that an empty id is not a missing one; the records keep the ids themselves.
-_FOLDERS = {"run": "run_id", "question": "qid"}
-
-
-def _folder(value) -> Column:
-    return F.concat(F.lit("k"), value)
+def _named(value: Column) -> Column:
+    """An id as a folder's name: an empty one, which would read back as null, gets a sign before it, and so does one that begins with this sign."""
+    return F.when((value == "") | value.startswith("="), F.concat(F.lit("="), value)).otherwise(value)
 
 
 def append_records(records: DataFrame, path: str) -> int:
-    """Add JSON lines under ``run=/question=`` folders and return their number, as the write itself counts it; existing files are never touched."""
+    """Add JSON lines under ``run_id=/qid=`` folders and return their number, as the write itself counts it; existing files are never touched."""
     rows, seen = counted(records)
-    placed = rows.withColumns({f: _folder(F.col(c)) for f, c in _FOLDERS.items()})
-    placed.write.mode("append").partitionBy(*_FOLDERS).json(path)
+    rows.withColumns({c: _named(F.col(c)) for c in ("run_id", "qid")}).write.mode("append").partitionBy("run_id", "qid").json(path)
     return seen.get["n"]
 
 
@@ -129,10 +125,10 @@ def append_new(records: DataFrame, path: str, order: list[str]) -> dict[str, int
 
 def read_records(spark: SparkSession, path: str, run_id: str | None = None, qid: str | None = None) -> DataFrame:
     """Cached records; blank lines are skipped, a malformed line is an error, a missing folder gives none. Of a run or question, only its folders are read."""
-    found = read_or_empty(spark, path, f"{RECORDS}, {', '.join(f'{f} string' for f in _FOLDERS)}", "json", mode="FAILFAST")
-    for folder, value in zip(_FOLDERS, (run_id, qid), strict=True):
-        found = found.where(F.col(folder) == _folder(F.lit(value))) if value is not None else found
-    return found.drop(*_FOLDERS)
+    found = read_or_empty(spark, path, RECORDS, "json", mode="FAILFAST")
+    for column, value in (("run_id", run_id), ("qid", qid)):
+        found = found.where(F.col(column) == _named(F.lit(value))) if value is not None else found
+    return found.withColumns({c: F.regexp_replace(c, "^=", "") for c in ("run_id", "qid")})
 
 
 def write_manifests(questions: DataFrame, path: str) -> None:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from tessella.operators.markers import validate
-from tessella.operators.quotes import fits, with_segments
+from tessella.operators.quotes import PART_BYTES, fits, found_in, with_segments
 
 
 def invalid_cells(stream: DataFrame) -> DataFrame:
@@ -14,10 +15,25 @@ def invalid_cells(stream: DataFrame) -> DataFrame:
 
 
 def found_quotes(stream: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
-    """Quotes of a stream that a table of prepared evidence holds; stateless."""
+    """Quotes of a stream that a table of prepared evidence holds, as a stream; stateless. All texts of a question meet in one task: with busy questions, use :func:`find_quotes`."""
     held = evidence.selectExpr(*[f"{k} AS __{k}" for k in keys], "nt AS __nt")
     quoted = with_segments(stream)
     condition = fits("__nt")
     for k in keys:
         condition = (quoted[k] == held[f"__{k}"]) & condition
     return quoted.join(held, condition, "left_semi")
+
+
+def find_quotes(stream: DataFrame, evidence: DataFrame, keys: list[str], path: str, checkpoint: str, part_bytes: int = PART_BYTES) -> StreamingQuery:
+    """Quotes of a stream that a table of prepared evidence holds, to ``path``, a folder for each micro-batch, which a re-run batch replaces.
+
+    Each micro-batch is matched as a table is: a busy question's texts are dealt into parts, and
+    each of the stream's rows comes once, in however many parts it is found. No state is kept.
+    """
+
+    def find(batch: DataFrame, number: int) -> None:
+        quoted = with_segments(batch)
+        found = quoted.join(found_in(quoted, evidence, keys, part_bytes), [*keys, "pattern"], "left_semi").select(*batch.columns)
+        found.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    return stream.writeStream.foreachBatch(find).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
