@@ -31,8 +31,9 @@ With 32 bands of 4 registers, a pair at the threshold of 0.75 shares no band wit
 probability (1 - 0.75^4)^32 = 5e-6.
 
 Scale: a shingle costs one hash; signatures are 2 bytes a register; band rows are two
-longs; texts move for confirmation only, where the pairs are not few enough to be
-broadcast by Spark's own size check. Components are found by alternating large-star and
+longs; texts move for confirmation only: those of the pairs' second documents to their first
+ones, which are in as many parts as they have pairs for, each with its own copy of the
+text, so that the smallest document of a large bucket is not one task's. Components are found by alternating large-star and
 small-star joins on tables in the shared folder, in a number of rounds logarithmic in
 their diameter.
 
@@ -283,25 +284,46 @@ def across(batches: Iterator[pa.RecordBatch], percent: int, band: int = BAND) ->
 # ---------------------------------------------------------------- confirmation
 
 
+#: Pairs of one document that are confirmed together.
+GROUP = 512
+
+
 def confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts whose full sets have ``100 * intersection >= percent * union``."""
-    for batch in chunks(batches, "tb"):
-        sets = [shingles(batch.column(c), k) for c in ("ta", "tb")]
-        of = [np.repeat(np.arange(batch.num_rows), np.diff(first)) for _, first in sets]
-        value, of = np.concatenate([v for v, _ in sets]), np.concatenate(of)
-        order = np.lexsort((value, of))
-        value, of = value[order], of[order]
-        both = np.bincount(of[1:][(of[1:] == of[:-1]) & (value[1:] == value[:-1])], minlength=batch.num_rows)
-        union = sum(np.diff(first) for _, first in sets) - both
-        linked = (100 * both >= percent * union) & (union > 0)
-        yield record(a=batch.column("a").to_numpy()[linked], b=batch.column("b").to_numpy()[linked])
-
-
-def confirmed(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (a, part, b, text) sorted by (a, part, b), of which those without b come first and hold a's own text: the pairs whose full sets have ``100 * intersection >= percent * union``."""
+    own, sets = None, {}  # of the document a and part at hand; repeated rows of a have one set, different texts one each
+    for batch in chunks(batches):
+        values, first = shingles(batch.column(3), k)
+        linked = ([], [])
+        for i, (a, part, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            mine = values[first[i] : first[i + 1]]
+            if own != (a, part):
+                own, sets = (a, part), {}
+            if b is None:
+                sets[mine.tobytes()] = mine
+                continue
+            for other in sets.values():
+                both = len(np.intersect1d(mine, other, assume_unique=True)) if len(mine) and len(other) else 0
+                if both and 100 * both >= percent * (len(mine) + len(other) - both):
+                    linked[0].append(a)
+                    linked[1].append(b)
+                    break
+        yield record(a=pa.array(linked[0], pa.int64()), b=pa.array(linked[1], pa.int64()))
+
+
+def dealt_pairs(pairs: DataFrame, source: DataFrame, group: int = GROUP) -> DataFrame:
+    """``a, part, b, text``: the text of b of each pair, and of a once for each of its parts of about ``group`` pairs, however many it has."""
+    hubs = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")), "hubs")
+    members = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    members = members.join(source.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    own = hubs.join(source.select(F.col("doc_id").alias("a"), "text"), "a")
+    own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    return own.unionByName(members)
+
+
+def confirmed(pairs: DataFrame, source: DataFrame, k: int, percent: int, group: int = GROUP) -> DataFrame:
     """The pairs that are links; ``pairs`` is a written table, so that Spark knows its size when it plans the joins."""
-    left = pairs.join(source.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(source.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(lambda it: confirm(it, k, percent), "a long, b long").distinct()
+    dealt = dealt_pairs(pairs, source, group).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+    return dealt.mapInArrow(lambda it: confirm(it, k, percent), "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- components

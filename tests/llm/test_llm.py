@@ -680,6 +680,23 @@ def test_a_hot_bucket_meets_by_rare_shingles(spark):
     assert found == {d: {2 * n + 1: 0, 2 * n + 3: 2 * n - 2}.get(d, d) for d in texts}
 
 
+def test_the_pairs_of_one_document_are_spread(spark):
+    """3,000 pairs of one hub: its text is sent once for each part, and no task has more than a few parts."""
+    n, group = 3000, 64
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = {i: f"{words} x{i}" if i % 3 else words[:100] + f" {i} y z" * 40 for i in range(1, n + 1)} | {0: words, 5000: "other words of no hub at all"}
+    df = docs(spark, texts).unionByName(spark.createDataFrame([(0, words), (7, texts[7])], DOC))  # repeated rows, of the hub too
+    pairs = spark.createDataFrame([(0, i) for i in range(1, n + 1)] + [(1, 5000)], "a long, b long")
+    dealt = minhash.dealt_pairs(pairs, df, group)
+    parts = dealt.groupBy("a", "part").agg(F.count("*").alias("n"), F.count_if(F.col("b").isNull()).alias("own")).collect()
+    hub = [r for r in parts if r.a == 0]
+    assert len(hub) == 47 and max(r.n for r in hub) < 2.5 * group and all(r.own == 2 for r in hub)
+    placed = dealt.repartition(8, "a", "part").groupBy(F.spark_partition_id()).count().collect()
+    assert len(placed) == 8 and max(r["count"] for r in placed) < 0.3 * n
+    found = {(r.a, r.b) for r in minhash.confirmed(pairs, df, 5, 75, group).collect()}
+    assert found == {(0, i) for i in range(1, n + 1) if i % 3}
+
+
 def test_near_duplicates_of_long_texts(spark):
     rng = random.Random(12)
     long = [rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(20_000)]
