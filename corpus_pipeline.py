@@ -39,10 +39,21 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates, in one row.
+
+    Of rows with one id and one text, the one that is smallest in the other columns stays;
+    different texts under one id, and rows without an id, are not taken for repeated rows.
+    Only rows whose id is repeated are shuffled for this.
+    """
     copies = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__copy")).distinct()
     copies = cut(copies, "copies")
-    return docs.join(copies, docs["doc_id"].cast("long") == copies["__copy"], "left_anti")
+    kept = docs.join(copies, docs["doc_id"].cast("long") == copies["__copy"], "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    repeated = cut(repeated, "repeated")
+    once = kept.join(repeated, kept["doc_id"] == repeated["__id"], "left_anti")
+    rest = F.min(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])).alias("__rest")
+    of_each = kept.join(repeated, kept["doc_id"] == repeated["__id"], "left_semi").groupBy("doc_id", "text").agg(rest)
+    return once.unionByName(of_each.select(*[c if c in ("doc_id", "text") else F.col(f"__rest.{c}").alias(c) for c in docs.columns]))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
