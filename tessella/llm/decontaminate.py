@@ -12,8 +12,9 @@ of at most ``PIECE`` words, which overlap by a window less one word; each distin
 counts once, with the ids of its items, at most ``IDS`` of them in one entry. Entries are
 broadcast in blocks of about ``block_words`` words and ids, so that neither a huge text nor
 one that many items repeat makes a large block, and tables have room for their patterns.
-A benchmark beyond one block is searched block after block, the hits found so far
-travelling with their document, with the lineage cut between the blocks.
+A benchmark beyond one block is searched block after block: each reads the texts again and
+writes, without them, the stretches of words that it hits (the first block a row for every
+document, the others only for those hit); they meet by id and hash of the text at the end.
 
 Defined cases: a null text has no words; a null, empty or wordless benchmark text
 is no pattern; an item without an id still marks words but is never listed; repeated
@@ -26,19 +27,21 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import ALNUM, chunks, hash_words, lists, ranges, record, split_words, texts
+from tessella.llm._common import ALNUM, chunks, hash_words, lists, record, split_words, texts
 from tessella.tables import cut
 
 #: Words of one piece of a benchmark text, and item ids of one entry.
 PIECE, IDS = 2_000, 10_000
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>"
-_CARRIED = "doc_id long, text string, spans array<int>, items array<long>"
+#: What one of several blocks hits: stretches as first word and the word after the last, one after another.
+_HITS = "doc_id long, text_key long, n_words long, spans array<int>, items array<long>"
 
 
 class WuManber:
@@ -122,38 +125,52 @@ def entries_of(benchmark: DataFrame, width: int, piece: int = PIECE, ids: int =
     return parted.groupBy("piece", "part").agg(F.max("n_words").alias("n_words"), F.collect_set("item_id").alias("items"))
 
 
-def scan(batches: Iterator[pa.RecordBatch], searchers, ids: list[list[int]], last: bool) -> Iterator[pa.RecordBatch]:
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint intervals that cover the same places, in ascending order."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    new = np.flatnonzero(np.append(True, start[1:] >= np.maximum.accumulate(end)[:-1]))
+    return start[new], np.maximum.reduceat(end, new)
+
+
+def scan(batches: Iterator[pa.RecordBatch], searchers, ids: list[list[int]], only: bool) -> Iterator[pa.RecordBatch]:
+    """Documents with what a block's patterns hit: the number of words hit if it is the only block, else the stretches of them."""
     for batch in chunks(batches):
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         words = split_words(column["text"], ALNUM, lower=True)
         h, doc, n_docs = hash_words(words), words.doc_of(), batch.num_rows
-        starts, sizes, pairs = [np.empty(0, np.int64)], [np.empty(0, np.int64)], set()
-        if "spans" in column:  # what earlier blocks have found: first and last word, from the text's first
-            for i, (spans, items) in enumerate(zip(column["spans"].to_pylist(), column["items"].to_pylist(), strict=True)):
-                spans = np.array(spans or [], np.int64).reshape(-1, 2)
-                starts.append(spans[:, 0] + words.first[i])
-                sizes.append(spans[:, 1])
-                pairs.update((i, x) for x in items or [])
-        hits = set()
+        starts, ends, hits = [np.empty(0, np.int64)], [np.empty(0, np.int64)], set()
         for searcher, pieces in searchers:
             found = np.array(searcher.search(words, h), np.int64).reshape(-1, 2)
             found = found[doc[found[:, 0]] == doc[found[:, 0] + searcher.m - 1]] if len(found) else found
             starts.append(found[:, 0])
-            sizes.append(np.full(len(found), searcher.m))
+            ends.append(found[:, 0] + searcher.m)
             hits.update((d, number) for d, k in set(zip(doc[found[:, 0]].tolist(), found[:, 1].tolist(), strict=True)) for number in pieces[k])
-        pairs.update((d, x) for d, number in hits for x in ids[number])
-        start, size = np.concatenate(starts), np.concatenate(sizes)
-        pairs_sorted = sorted(pairs)
-        item_lists = lists(np.array([x for _, x in pairs_sorted], np.int64), np.bincount(np.array([i for i, _ in pairs_sorted], np.int64), minlength=n_docs))
-        if last:
-            hit = np.zeros(len(words), np.bool_)
-            hit[ranges(start, size)] = True
-            yield record(doc_id=column["doc_id"], n_words=words.counts.astype(np.int64), n_hit=np.bincount(doc[hit], minlength=n_docs).astype(np.int64), items=item_lists)
+        pairs = sorted({(d, x) for d, number in hits for x in ids[number]})
+        item_lists = lists(np.array([x for _, x in pairs], np.int64), np.bincount(np.array([i for i, _ in pairs], np.int64), minlength=n_docs))
+        start, end = merged(np.concatenate(starts), np.concatenate(ends))
+        of, n_words = doc[start], words.counts.astype(np.int64)
+        if only:
+            n_hit = np.bincount(of, end - start, n_docs).astype(np.int64)
+            yield record(doc_id=column["doc_id"], n_words=n_words, n_hit=n_hit, items=item_lists)
         else:
-            order = np.argsort(doc[start], kind="stable")
-            start, size = start[order], size[order]
-            spans = np.stack([start - words.first[doc[start]], size], 1).astype(np.int32).ravel()
-            yield record(doc_id=column["doc_id"], text=column["text"], spans=lists(spans, 2 * np.bincount(doc[start], minlength=n_docs)), items=item_lists)
+            spans = np.stack([start, end], 1) - words.first[of][:, None]  # counted from the text's first word
+            yield record(doc_id=column["doc_id"], text_key=column["text_key"], n_words=n_words, spans=lists(spans.astype(np.int32).ravel(), 2 * np.bincount(of, minlength=n_docs)), items=item_lists)
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of words hit, from the stretches that all blocks have found."""
+    for batch in batches:
+        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        n_words = column["n_words"].to_numpy()
+        spans = column["spans"].flatten().to_numpy().astype(np.int64).reshape(-1, 2)
+        of = np.repeat(np.arange(batch.num_rows), column["spans"].value_lengths().to_numpy() // 2)
+        base = np.cumsum(n_words) - n_words
+        start, end = merged(spans[:, 0] + base[of], spans[:, 1] + base[of])
+        n_hit = np.bincount(np.searchsorted(np.cumsum(n_words), start, "right"), end - start, batch.num_rows).astype(np.int64)
+        yield record(doc_id=column["doc_id"], n_words=n_words, n_hit=n_hit, items=column["items"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, block_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -162,12 +179,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, blo
     entries = cut(entries_of(texts(benchmark, item_col, item_text_col).where("text is not null"), width), "entries")
     size = entries.agg(F.sum(F.col("n_words") + F.size("items"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / block_words))
-    state = texts(docs, id_col, text_col)
+    source = texts(docs, id_col, text_col)
+    keyed = source.withColumn("text_key", F.xxhash64("text"))
+    found = []
     for k in range(n_blocks):
         block = entries.where(F.pmod(F.xxhash64("piece", "part"), F.lit(n_blocks)) == k).select("piece", "items").collect()
         shared = spark.sparkContext.broadcast((patterns_of([r["piece"] for r in block], width), [r["items"] for r in block]))
-        last = k == n_blocks - 1
-        state = state.mapInArrow(lambda it, b=shared, last=last: scan(it, *b.value, last), SCHEMA if last else _CARRIED)
-        if not last:
-            state = cut(state, "decontaminate")
-    return state
+        if n_blocks == 1:
+            return source.mapInArrow(lambda it: scan(it, *shared.value, True), SCHEMA)
+        hits = keyed.mapInArrow(lambda it, b=shared: scan(it, *b.value, False), _HITS)
+        found.append(cut(hits if k == 0 else hits.where("size(spans) > 0").drop("n_words").distinct(), "hits"))
+        shared.unpersist()
+    every, *others = found
+    later = reduce(DataFrame.unionByName, others).groupBy(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key"))
+    later = later.agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
+    both = every.join(later, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("text_key").eqNullSafe(F.col("__text_key")), "left")
+    joined = {c: F.concat(c, F.coalesce(f"__{c}", F.array().cast(every.schema[c].dataType))) for c in ("spans", "items")}
+    return both.select("doc_id", "n_words", joined["spans"].alias("spans"), F.array_sort(F.array_distinct(joined["items"])).alias("items")).mapInArrow(united, SCHEMA)

@@ -2,12 +2,11 @@
 
 A document's tokens (an end token counted) are cut into pieces of at most
 ``capacity``; a full piece is a bin of its own, the rest is packed. Within a shard,
-pieces are placed longest first. Open bins are kept ordered by their residual room and
-carry two bitmaps: the sources and the duplicate clusters that are in them. A piece's
-search starts at the successor of its length, the tightest bin that can hold it, and
-goes on to the next larger residual until a bin shares neither its source nor its
-duplicate cluster (bins are indexed by the sources they hold, so those with the piece's
-source are not visited one by one); if there is none, it opens a bin. So no sequence repeats a source
+pieces are placed longest first. Open bins are kept ordered by their residual room, with
+two sets of bitmaps: which bins hold each source, and which hold each duplicate cluster.
+A piece's search starts at the successor of its length, the tightest bin that can hold it,
+and goes on to the next larger residual until a bin has neither its source's bit nor its
+duplicate cluster's; if there is none, it opens a bin. So no sequence repeats a source
 or holds two copies of one text.
 
 A duplicate cluster is a set of documents with equal words, letter case aside.
@@ -15,7 +14,8 @@ A duplicate cluster is a set of documents with equal words, letter case aside.
 Scale: a scan counts tokens; then only five numbers a document move, spread by a hash of
 its id and its row into shards of about ``shard_docs`` rows, which are packed
 independently: a shard is one group, and the search in it is bounded by its size,
-whatever the sizes of sources and clusters, and however often an id or a text repeats.
+whatever the number and sizes of sources and clusters, and however often an id or a text
+repeats (bitmaps take at most the square of a shard's pieces in bits, 8 MB for 8,192).
 Shards are dealt to as many tasks as there are shards, since their rows are so few bytes
 that joining small tasks would put hundreds of shards in one. The loss is at most the few
 half-empty bins of each shard.
@@ -29,7 +29,6 @@ copies, spread over the shards.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,6 +42,8 @@ from tessella.llm._common import SOLID, chunks, hash_words, mix, odd_constants,
 from tessella.llm.token_file import encoder, vocabulary_path
 from tessella.tables import cut
 
+#: An open bin is one number: its residual, then 32 bits for its own number.
+_BIN = 0xFFFFFFFF
 OUT = "shard int, bin int, doc_id long, piece int, n_tokens long, bin_start long"
 
 
@@ -62,43 +63,55 @@ def measure(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
         yield record(doc_id=batch.column(0), source=batch.column(2), n_tokens=n + 1, cluster=signed(cluster))
 
 
+def compatible(order: np.ndarray, lowest: int, holders: list[np.ndarray]) -> int:
+    """The place in ``order`` of the first open bin from ``lowest`` on that no bitmap of ``holders`` has; -1 if there is none."""
+    i, step = int(np.searchsorted(order, lowest)), 64
+    if i == len(order):
+        return -1
+    if not any(held[(order[i] & _BIN) >> 3] >> (order[i] & 7) & 1 for held in holders):
+        return i
+    clash = np.unpackbits(np.bitwise_or.reduce(holders), bitorder="little")
+    while i < len(order):
+        of = clash[order[i : i + step] & _BIN]
+        k = int(of.argmin())
+        if not of[k]:
+            return i + k
+        i, step = i + step, 8 * step
+    return -1
+
+
 def best_fit(n_tokens: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[tuple[int, int]]:
-    """(bin, start) of each piece, in the order given; bitmaps: bit -1 is none.
+    """(bin, start) of each piece, in the order given; source or cluster -1 is none.
 
-    Open bins are kept in one ordered list for each set of sources that they hold, so
-    that a search looks at the lists without its own source only, in each of which the
-    successor of its length comes first; the tightest of their answers is the bin. Only
-    a bin with the piece's duplicate cluster makes a search go on within a list.
+    Open bins are kept in one list ordered by (residual, bin). A source, and a cluster, that
+    several pieces have keeps a bitmap of the bins that hold it, so that a search looks its two
+    bits up for one bin, then for 64, 512, ... bins at once: whatever conflicts there are, it takes
+    a few array operations on the open bins.
     """
-    bins, placed = 0, []
-    room: dict[int, list[tuple[int, int]]] = {}  # bitmap of sources: (residual, bin), ascending
-    has_cluster: list[int] = []
-    for n, source, cluster in zip(n_tokens, sources, clusters, strict=True):
-        s, c = (1 << source if source >= 0 else 0), (1 << cluster if cluster >= 0 else 0)
-        best: tuple[tuple[int, int], int] | None = None
-        for held, listed in room.items():
-            if held & s:
-                continue
-            i = bisect_left(listed, (n, -1))
-            while i < len(listed) and (best is None or listed[i] < best[0]):
-                if not has_cluster[listed[i][1]] & c:
-                    best = (listed[i], held)
-                    break
-                i += 1
-        if best:
-            (left, b), held = best
-            listed = room[held]
-            listed.pop(bisect_left(listed, (left, b)))
-            if not listed:
-                del room[held]
+    n_pieces = len(n_tokens)
+    several = [{k for k, n in Counter(kinds).items() if n > 1 and k >= 0} for kinds in (sources, clusters)]
+    held: tuple[dict[int, np.ndarray], ...] = ({}, {})
+    order, n_open, bins, placed = np.empty(n_pieces, np.int64), 0, 0, []
+    for n, *kinds in zip(n_tokens, sources, clusters, strict=True):
+        holders = [of[k] for of, k in zip(held, kinds, strict=True) if k in of]
+        i = compatible(order[:n_open], n << 32, holders)
+        if i < 0:
+            left, b, i = capacity, bins, n_open
+            bins, n_open = bins + 1, n_open + 1
         else:
-            left, b, held = capacity, bins, 0
-            bins += 1
-            has_cluster.append(0)
-        has_cluster[b] |= c
+            left, b = int(order[i]) >> 32, int(order[i]) & _BIN
+        for of, k, shared in zip(held, kinds, several, strict=True):
+            if k in shared:
+                of.setdefault(k, np.zeros(-(-n_pieces // 8), np.uint8))[b >> 3] |= 1 << (b & 7)
         placed.append((b, capacity - left))
         if left > n:
-            insort(room.setdefault(held | s, []), (left - n, b))
+            key = left - n << 32 | b
+            j = int(np.searchsorted(order[:i], key))
+            order[j + 1 : i + 1] = order[j:i]
+            order[j] = key
+        else:
+            order[i : n_open - 1] = order[i + 1 : n_open]
+            n_open -= 1
     return placed
 
 
