@@ -816,6 +816,15 @@ def _(t):
     return snippets.keyed(streams.read_cache(t.spark, f"{path}/cache", RECORDS)).select("run_id", "qid", "round", "corpus_id", F.col("start").alias("n_chars"), "text")
 
 
+@query("snippet_cache_compacted", f"WITH {_FIRST} SELECT run_id, qid, round, corpus_id, n_chars, text FROM fr", "searches")
+def _(t):
+    path = new_path(t.spark, "cache-compacted")
+    for state in ("first", "second"):  # the second stream finds all of it in the compacted cache
+        streams.append_stream(records(Streamed(t.spark, t.sf_dir)), f"{path}/cache", f"{path}/{state}", RECORDS).awaitTermination()
+        streams.compact(t.spark, f"{path}/cache", RECORDS)
+    return snippets.keyed(streams.read_cache(t.spark, f"{path}/cache", RECORDS)).select("run_id", "qid", "round", "corpus_id", F.col("start").alias("n_chars"), "text")
+
+
 @query("snippet_stream_counts", f"WITH {_OFFERS} SELECT 1 AS call, c AS offered, d AS added FROM ct UNION ALL SELECT 2, c, 0 FROM ct", "searches")
 def _(t):
     path, counts = new_path(t.spark, "stream-counts"), {}

@@ -239,3 +239,50 @@ def test_an_extension_that_failed_is_run_again(spark, tmp_path):
     assert quote_index.extend(corpus, path) == 2
     quoted = quotes.with_segments(spark.createDataFrame([(1, "two three"), (2, "one two three")], "item_id long, quote string"))
     assert sorted(rows(quote_index.matches(quoted, path, "item_id"))) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_compaction_leaves_the_cache_unchanged(spark, tmp_path):
+    """Batches read only the parts of their questions; a compaction changes no record, and none is added again after it."""
+    out, told = f"{tmp_path}/out", {}
+    add = lambda rows, n, writer="w": streams.appender(out, files.RECORDS, writer, told.__setitem__, part_rows=20)(streams.records(calls(spark, *rows)), n)
+    content = lambda: sorted(map(str, streams.read_cache(spark, out, files.RECORDS).collect()))
+    assert streams.compact(spark, out, files.RECORDS) == 0 and content() == []
+    batches = [[("r", f"q{k}", 1, f"c{i}") for k in range(n, n + 30) for i in range(2)] for n in (0, 10, 20)] + [[("r", "q0", 2, f"d{i}") for i in range(50)] + [(None, None, 1, "n"), ("", "", 1, "e")]]
+    for n, rows in enumerate(batches):
+        add(rows, n)
+    before = content()
+    assert len(before) == 30 * 2 + 10 * 2 + 10 * 2 + 52 and [told[n]["added"] for n in range(4)] == [60, 20, 20, 52]
+    small = len(list((tmp_path / "out" / "batches").rglob("*.parquet")))
+    assert streams.compact(spark, out, files.RECORDS, part_rows=20) == small
+    assert content() == before and not list((tmp_path / "out" / "batches").rglob("*.parquet"))
+    assert streams.compact(spark, out, files.RECORDS, part_rows=20) == 0 and content() == before
+    folders = {p.parent.name for p in (tmp_path / "out" / "compacted" / "records").rglob("*.parquet")}
+    assert folders == {f"part={k}" for k in range(8)}  # 152 records, 20 a part
+
+    compacted, _ = streams._tables(spark, out, files.RECORDS)
+    one = streams.records(calls(spark, ("r", "q7", 1, "c0")))
+    read = {r.file.split("/")[-2] for r in streams.of_questions(compacted, one).select(F.col("_metadata.file_path").alias("file")).distinct().collect()}
+    assert len(read) == 1 and streams.of_questions(compacted, one).where("qid = 'q7'").count() == 2
+
+    add(batches[3], 3)  # a batch that runs again after it was folded in
+    add([("r", "q7", 1, "c0"), ("r", "q7", 3, "new"), (None, None, 1, "n")], 0, "other")
+    assert told[3]["added"] == 0 and told[0] == {"offered": 3, "added": 1}
+    assert len(content()) == len(before) + 1
+    assert streams.compact(spark, out, files.RECORDS, part_rows=1000) == 1 and len(content()) == len(before) + 1
+    assert [p.name for p in (tmp_path / "out" / "compacted" / "records").iterdir()] == ["generation=2"]
+
+
+def test_an_interrupted_compaction_is_taken_up_again(spark, tmp_path, monkeypatch):
+    out = f"{tmp_path}/out"
+    for n in range(3):
+        streams.appender(out, files.RECORDS, "w")(streams.records(calls(spark, ("r", "q", n, f"c{n}"))), n)
+    content = lambda: sorted(map(str, streams.read_cache(spark, out, files.RECORDS).collect()))
+    before = content()
+    spark.range(1).write.parquet(f"{out}/compacted/records/generation=1")  # records were being written when it stopped
+    assert content() == before
+    with monkeypatch.context() as stopped:
+        stopped.setattr(streams, "_remove", lambda *_: None)  # committed, but nothing removed
+        assert streams.compact(spark, out, files.RECORDS) == 3
+    assert content() == before and len(list((tmp_path / "out" / "batches").rglob("*.parquet"))) == 3
+    assert streams.compact(spark, out, files.RECORDS) == 0
+    assert content() == before and not list((tmp_path / "out" / "batches").rglob("*.parquet"))
