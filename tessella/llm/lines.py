@@ -1,28 +1,37 @@
 """Line deduplication with a log-template tree.
 
 Every line is parsed down a tree of fixed depth: by its number of tokens, then by its
-two leading tokens, then by its tail. Tokens with a digit are variable fields, ``<*>``,
-from the start. Other fields are found by what recurs, not by how often a name does, so
-the rule is the same at every size of corpus. A line has these templates:
-
-* itself, which must recur in ``min_docs`` (2) documents, whatever its length where it
-  has no variable field;
-* with both leading tokens generalised;
-* with one of its (at most ``SEGMENTS``) equal segments generalised: in a line of up to
-  eight tokens one token, in a longer one up to an eighth of it;
-* with all its capitalised words but the first generalised (names, places, titles).
-
-The latter three must recur in ``FIELD_DOCS`` (3) documents. A template with variable
-fields needs ``min_constants`` constant tokens that make up half of it. A line goes if
-any of its templates recurs and is in a document with a smaller id (``keep_first``, so
-that no content leaves the corpus altogether; without it, the line goes everywhere).
-
-Scale: a line is at most eleven hashes, whatever its length. A task compares what it
-holds before it shuffles: of a template that recurs within the task, only the rows of its
-smallest document go on under its hash, all others are decided. So the commonest line
-reaches the shuffle about once a task; the rest is spread by hash, sorted by Spark (which
-spills) and streamed, and no join comes back. Texts are shuffled once, to meet the
-numbers of their dropped lines.
+leading tokens, each of which may be a variable field, to a leaf of the lines that may be
+one template. Tokens with a digit are variable fields, ``<*>``, from the start. In a leaf,
+lines merge by the share of equal positions: a line of n tokens has ``min(n, SEGMENTS)``
+(12) segments, which are single tokens up to twelve, and a template of it leaves
+``fields(segments)`` of them open, wherever they are: two fifths of them, at most three.
+A line goes if
+
+* the line itself recurs in ``min_docs`` (2) documents, whatever its length where it has no
+  variable field;
+* or a template that leaves segments open is that of lines in ``FIELD_DOCS`` (3) documents;
+* or so is the line with all its capitalised words but the first generalised (names, places,
+  titles), however many they are.
+
+A template with variable fields needs ``min_constants`` constant tokens that make up half
+of it. What recurs decides, not how often a name does, so the rule is the same at every size
+of corpus. The document with the smallest id keeps its line (``keep_first``, so that no
+content leaves the corpus altogether; without it, the line goes everywhere).
+
+Scale: the choices of segments are not made for every line. Of four quarters of a line's
+segments, at most three hold open ones, so lines that merge share a whole quarter (token
+count, place and tokens). First, each line sends the hash of itself, of its generalised names
+and of its quarters. Only lines with a quarter that another, different line has go to the
+leaves: one row for each distinct line, however often it is copied, with the three smallest
+of its documents (which say all that a template needs of them). There each makes its
+templates, at most 220, which meet by a last shuffle.
+
+At each step, a task compares what it holds before it shuffles: of a template or quarter that
+recurs within the task, only one row goes on under its hash, all others are decided. So the
+commonest line reaches the shuffle about once a task, and the rest is spread by hash, sorted
+by Spark (which spills) and streamed. Texts are shuffled once, to meet the numbers of their
+dropped lines.
 
 Defined cases: null and empty texts have no lines; blank lines are kept and belong to
 no template; rows without an id come back unchanged and are not counted; rows
@@ -33,6 +42,7 @@ that goes in one goes in all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +50,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessella.llm._common import SOLID, by_key, chunks, hash_of, hash_words, mix, odd_constants, ranges, raw_bytes, record, runs, signed, split_words, texts
+from tessella.llm._common import SOLID, by_key, chunks, hash_of, hash_words, mix, odd_constants, raw_bytes, record, runs, signed, split_words, texts
+from tessella.tables import cut
 
 WILD = np.uint64(hash_of("<*>"))
 _B = odd_constants(1, 61)[0]
 _B_INVERSE = np.uint64(pow(int(_B), -1, 2**64))
-#: Segments of a line, one of which may be a variable field.
-SEGMENTS = 8
+#: Segments of a line, and quarters of them of which one is equal in lines that merge.
+SEGMENTS, QUARTERS = 12, 4
 #: Documents in which a template with a word for a variable field recurs.
 FIELD_DOCS = 3
 #: Templates that a task compares with each other before the shuffle.
 BUFFER = 1_500_000
-#: What a row says: decided already; a template that needs min_docs or FIELD_DOCS documents; the same, known to recur.
-GONE, SAME, FIELD, SAME_RECURS, FIELD_RECURS = 0, 1, 2, 3, 4
+#: What a row says: decided already; the hash of a line, of its generalised names, of a quarter; the same, known to recur; a line that has a shared quarter.
+GONE, SAME, FIELD, QUARTER, KNOWN, SHARED = 0, 1, 2, 3, 3, 7
+_N = odd_constants(1, 62)[0]
+#: What tells places of segments and quarters apart.
+_AT = odd_constants(SEGMENTS + QUARTERS, 64)
+#: What stands for each segment that a template leaves open.
+_OPEN = odd_constants(SEGMENTS, 63)
+
+
+def fields(segments: int) -> int:
+    """How many of a line's segments its templates leave open; fewer than QUARTERS."""
+    return min(QUARTERS - 1, 2 * segments // 5)
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -65,69 +86,98 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
 
 
-def templates(batches: Iterator[pa.RecordBatch], min_constants: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, document, line, kind) of every template of every line with tokens, a chunk at a time."""
-    for batch in chunks(batches):
-        ids = batch.column(0)
-        batch = batch.filter(ids.is_valid()) if ids.null_count else batch
-        words = split_words(batch.column(1), SOLID)
-        if not len(words):
-            continue
+class Lines:
+    """The lines with tokens of some texts: ``doc`` (its row), ``line`` (its number), ``n`` tokens, ``constants`` among them, and ``key``, a hash of the line."""
+
+    def __init__(self, column: pa.Array):
+        self.words = words = split_words(column, SOLID)
         h = hash_words(words)
         digits = _sums(((words.data >= 0x30) & (words.data <= 0x39)).astype(np.int64))
         h[digits[words.end] > digits[words.start]] = WILD
         breaks = _sums((words.data == 0x0A).astype(np.int64))
         doc, line = words.doc_of(), breaks[words.start]
-        first = np.flatnonzero(runs(doc, line))
-        end = np.append(first[1:], len(h))
-        n = end - first
-        doc, line = doc[first], line[first]
-        line = line - breaks[raw_bytes(batch.column(1))[1][doc]]
-
-        power, inverse = _powers(len(h), _B), _powers(len(h), _B_INVERSE)
-        own, loss, constant = _sums(h * power), _sums((h - WILD) * power), _sums((h != WILD).astype(np.int64))
+        self.hash, self.first = h, np.flatnonzero(runs(doc, line)) if len(h) else np.empty(0, np.int64)
+        self.end = np.append(self.first[1:], len(h)).astype(np.int64)[: len(self.first)]
+        self.n = self.end - self.first
+        self.doc = doc[self.first]
+        self.line = (line[self.first] - breaks[raw_bytes(column)[1][self.doc]]).astype(np.int64)
+        self.power, self.inverse = _powers(len(h), _B), _powers(len(h) + 1, _B_INVERSE)
+        self._own, self._constant = _sums(h * self.power), _sums((h != WILD).astype(np.int64))
+        self.whole, self.constants = self._own[self.end] - self._own[self.first], self.constants_of(self.first, self.end)
+        self.key = mix(self.whole * self.inverse[self.first] + self.n.astype(np.uint64) * _N)
+
+    def content(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A hash of the tokens from ``a`` up to ``b``, wherever they stand."""
+        return (self._own[b] - self._own[a]) * self.inverse[a]
+
+    def constants_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._constant[b] - self._constant[a]
+
+    def bounds(self, of: np.ndarray, part: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last token of segments ``part // parts`` of lines; ``parts`` may differ by line."""
+        n, first = self.n[of], self.first[of]
+        return first + part * n // parts, first + (part + 1) * n // parts
+
+    def mergeable(self, min_constants: int) -> np.ndarray:
+        """Lines that have segments to leave open, and constants enough besides."""
+        return np.flatnonzero((self.n >= QUARTERS) & enough(self.constants, self.n, min_constants))
+
+
+def enough(constants: np.ndarray, n: np.ndarray, min_constants: int) -> np.ndarray:
+    return (constants >= min_constants) & (2 * constants >= n)
+
+
+def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Lines]]:
+    for batch in chunks(batches):
+        ids = batch.column(0)
+        batch = batch.filter(ids.is_valid()) if ids.null_count else batch
+        found = Lines(batch.column(1))
+        if len(found.n):
+            yield batch.column(0).to_numpy()[found.doc], found
+
+
+def templates(batches: Iterator[pa.RecordBatch], min_constants: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, document, line, kind) of every line, its names generalised, and its quarters (the line's key in place of the document), a chunk at a time."""
+    for ids, of in _with_ids(batches):
         rows = []
 
-        def add(of: np.ndarray, total: np.ndarray, constants: np.ndarray, kind: int, use: np.ndarray, rows=rows, n=n, inverse=inverse, first=first):
-            """Templates of the lines ``of`` by the sum of their tokens; those that hold a field and too few constants are left out."""
-            enough = (constants >= min_constants) & (2 * constants >= n[of])
-            keep = use & (enough | (constants == n[of]) if kind == SAME else enough)
-            of, total = of[keep], total[keep]
-            rows.append((mix(total * inverse[first[of]] + n[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)), of, np.full(len(of), kind, np.int8)))
-
-        every, always = np.arange(len(first)), np.ones(len(first), np.bool_)
-        whole, constants = own[end] - own[first], constant[end] - constant[first]
-        add(every, whole, constants, SAME, always)
-        lead = np.minimum(first + 2, end)
-        add(every, whole - (loss[lead] - loss[first]), constants - (constant[lead] - constant[first]), FIELD, always)
-        capital = (words.data[words.start] >= 0x41) & (words.data[words.start] <= 0x5A) & (h != WILD)
-        capital[first] = False
-        names, shed = _sums(capital.astype(np.int64)), _sums(np.where(capital, (h - WILD) * power, np.uint64(0)))
-        add(every, whole - (shed[end] - shed[first]), constants - (names[end] - names[first]), FIELD, names[end] > names[first])
-        size = -(-n // SEGMENTS)
-        parts = -(-n // size)
-        of = np.repeat(every, parts)
-        a = first[of] + ranges(np.zeros(len(n), np.int64), parts) * size[of]
-        b = np.minimum(a + size[of], end[of])
-        inside = constant[b] - constant[a]
-        add(of, whole[of] - (loss[b] - loss[a]), constants[of] - inside, FIELD, inside > 0)
+        def add(key: np.ndarray, owner: np.ndarray, line: np.ndarray, kind: int, rows=rows):
+            rows.append((mix(key + np.uint64(kind)), owner, line, np.full(len(key), kind, np.int8)))
 
-        key, of, kind = (np.concatenate(x) for x in zip(*rows, strict=True))
-        yield key, batch.column(0).to_numpy()[doc[of]], line[of].astype(np.int64), kind
+        use = enough(of.constants, of.n, min_constants) | (of.constants == of.n)
+        add(of.key[use], ids[use], of.line[use], SAME)
+        words, h = of.words, of.hash
+        capital = (words.data[words.start] >= 0x41) & (words.data[words.start] <= 0x5A) & (h != WILD)
+        capital[of.first] = False
+        names, shed = _sums(capital.astype(np.int64)), _sums(np.where(capital, (h - WILD) * of.power, np.uint64(0)))
+        names, shed = names[of.end] - names[of.first], shed[of.end] - shed[of.first]
+        use = (names > 0) & enough(of.constants - names, of.n, min_constants)
+        add(((of.whole - shed) * of.inverse[of.first] + of.n.astype(np.uint64) * _N)[use], ids[use], of.line[use], FIELD)
+        some = of.mergeable(min_constants)
+        segments = np.minimum(of.n[some], SEGMENTS)
+        for k in range(QUARTERS):
+            a, b = (of.first[some] + (i * segments // QUARTERS) * of.n[some] // segments for i in (k, k + 1))
+            add(of.content(a, b) + of.n[some].astype(np.uint64) * _N + _AT[SEGMENTS + k], signed(of.key[some]), np.zeros(len(some), np.int64), QUARTER)
+        yield tuple(np.concatenate(x) for x in zip(*rows, strict=True))
 
 
 def decide(key: np.ndarray, doc: np.ndarray, line: np.ndarray, kind: np.ndarray, min_docs: int, keep_first: bool) -> tuple[np.ndarray, ...]:
-    """Rows sorted by (key, doc): their columns, whether their template recurs among them, whether their line goes, whether they are of the template's first document."""
+    """Distinct rows sorted by (key, doc): their columns, whether their template recurs among them, whether their line goes, whether they are of the template's first document."""
     order = np.lexsort((line, doc, key))
     key, doc, line, kind = key[order], doc[order], line[order], kind[order]
+    at = np.flatnonzero(runs(key))
+    known = np.maximum.reduceat(kind, at) > KNOWN if len(at) else np.empty(0, np.bool_)
+    size = np.diff(np.append(at, len(key)))
+    known, once = np.repeat(known, size), runs(key, doc, line)
+    key, doc, line, kind, known = key[once], doc[once], line[once], kind[once], known[once]
     new = runs(key)
     group, at = np.cumsum(new) - 1, np.flatnonzero(new)
     docs = np.add.reduceat(runs(key, doc).astype(np.int64), at) if len(at) else np.empty(0, np.int64)
-    known = np.maximum.reduceat(kind, at) >= SAME_RECURS if len(at) else np.empty(0, np.bool_)
-    need = np.where((kind[at] == SAME) | (kind[at] == SAME_RECURS), min_docs, FIELD_DOCS)
-    recurs = ((docs >= need) | known)[group]
+    base = np.where(kind > KNOWN, kind - KNOWN, kind)
+    need = np.array([0, min_docs, FIELD_DOCS, 2])[base]
+    recurs = known | (docs[group] >= need)
     is_first = doc == doc[at][group]
-    return key, doc, line, kind, recurs, recurs & (~is_first if keep_first else np.ones(len(key), np.bool_)), is_first
+    return key, doc, line, base, recurs, recurs & (~is_first | (base == QUARTER) if keep_first else np.ones(len(key), np.bool_)), is_first
 
 
 def seed(batches: Iterator[pa.RecordBatch], min_docs: int, min_constants: int, keep_first: bool, buffer: int) -> Iterator[pa.RecordBatch]:
@@ -141,10 +191,11 @@ def seed(batches: Iterator[pa.RecordBatch], min_docs: int, min_constants: int, k
         held.clear()
         key, doc, line, kind, recurs, gone, is_first = decide(*joined, min_docs, keep_first)
         open_ = ~recurs | is_first
-        key, to, at, kind = key[open_], doc[open_], line[open_], np.where(recurs & (kind <= FIELD), kind + 2, kind)[open_]
-        done = np.unique(np.stack([doc[gone], line[gone]], 1), axis=0) if gone.any() else np.empty((0, 2), np.int64)
-        spread = mix(done[:, 0].astype(np.uint64) + done[:, 1].astype(np.uint64))
-        rows = (np.concatenate([key, spread]), np.concatenate([to, done[:, 0]]), np.concatenate([at, done[:, 1]]), np.concatenate([kind, np.full(len(done), GONE, np.int8)]))
+        rows = [(key[open_], doc[open_], line[open_], np.where(recurs, kind + KNOWN, kind)[open_])]
+        for how, which in ((GONE, gone & (kind != QUARTER)), (SHARED, gone & (kind == QUARTER))):
+            done = np.unique(np.stack([doc[which], line[which]], 1), axis=0) if which.any() else np.empty((0, 2), np.int64)
+            rows.append((mix(done[:, 0].astype(np.uint64) + done[:, 1].astype(np.uint64)), done[:, 0], done[:, 1], np.full(len(done), how)))
+        rows = [np.concatenate(x) for x in zip(*rows, strict=True)]
         for a in range(0, len(rows[0]), 500_000):
             k, d, n, how = (x[a : a + 500_000] for x in rows)
             yield record(key=signed(k), doc_id=d, line=n, kind=how.astype(np.int32))
@@ -157,12 +208,125 @@ def seed(batches: Iterator[pa.RecordBatch], min_docs: int, min_constants: int, k
 
 
 def settle(rows: list[np.ndarray], min_docs: int, keep_first: bool) -> pa.RecordBatch:
-    """(doc_id, line) of the lines that go, of all rows under some keys."""
+    """Of all rows under some keys: (doc_id, line) of the lines that go; the keys of lines with a shared quarter, as ``doc_id``."""
     key, doc, line, kind = rows
+    done = (kind == GONE) | (kind == SHARED)
+    _, own, at, base, _, goes, _ = decide(key[~done], doc[~done], line[~done], kind[~done], min_docs, keep_first)
+    shared = np.concatenate([kind[done] == SHARED, base[goes] == QUARTER])
+    return record(doc_id=np.concatenate([doc[done], own[goes]]), line=np.concatenate([line[done], at[goes]]), shared=shared)
+
+
+# ---------------------------------------------------------------- leaves
+
+
+def _smallest(key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of (key, doc, line), each once, and the rank of their document under their key, from 0; those of the first document and one of the second and third."""
+    order = np.lexsort((line, doc, key))
+    key, doc, line = key[order], doc[order], line[order]
+    new_doc, new_key = runs(key, doc), runs(key)
+    count = np.cumsum(new_doc)
+    rank = count - np.repeat(count[new_key], np.diff(np.append(np.flatnonzero(new_key), len(key))))
+    keep = runs(key, doc, line) & ((rank == 0) | ((rank < FIELD_DOCS) & new_doc))
+    return order[keep], rank[keep]
+
+
+def to_leaves(batches: Iterator[pa.RecordBatch], min_constants: int, buffer: int) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, line, n, segments, constants) of the lines that may merge: hashes of their segments, and how many constants each has."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush():
+        if held:
+            key, doc, line, n, hashes, constants = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            keep, _ = _smallest(key, doc, line)
+            for a in range(0, len(keep), 50_000):
+                i = keep[a : a + 50_000]
+                packed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(w), len(i), [None, pa.py_buffer(np.ascontiguousarray(x[i]).tobytes())]).cast(pa.binary()) for w, x in ((8 * SEGMENTS, hashes), (4 * SEGMENTS, constants))]
+                yield record(key=key[i], doc_id=doc[i], line=line[i], n=n[i], segments=packed[0], constants=packed[1])
+
+    for ids, of in _with_ids(batches):
+        some = of.mergeable(min_constants)
+        parts = np.minimum(of.n[some], SEGMENTS)
+        hashes, constants = np.zeros((len(some), SEGMENTS), np.uint64), np.zeros((len(some), SEGMENTS), np.int32)
+        for k in range(SEGMENTS):
+            has = np.flatnonzero(k < parts)
+            a, b = of.bounds(some[has], k, parts[has])
+            hashes[has, k] = mix(of.content(a, b) + _AT[k])
+            constants[has, k] = of.constants_of(a, b)
+        held.append((signed(of.key[some]), ids[some], of.line[some], of.n[some], hashes, constants))
+        if SEGMENTS * sum(len(x[0]) for x in held) >= buffer:
+            yield from flush()
+    yield from flush()
+
+
+def merge(key: np.ndarray, doc: np.ndarray, line: np.ndarray, second: np.ndarray, third: np.ndarray, known: np.ndarray, keep_first: bool) -> tuple[np.ndarray, ...]:
+    """The order of rows by (key, doc); in it, whether their template is of lines in FIELD_DOCS documents, whether their line goes, whether they are of its first document."""
+    order = np.lexsort((line, doc, key))
+    key, doc = key[order], doc[order]
+    new = runs(key)
+    at, group = np.flatnonzero(new), np.cumsum(new) - 1
+    docs = np.concatenate([doc, second[order], third[order]])
+    of = np.concatenate([group] * 3)
+    by = np.lexsort((docs, of))
+    count = np.bincount(of[by][runs(of[by], docs[by])], minlength=len(at))
+    known = np.logical_or.reduceat(known[order], at) if len(at) else np.empty(0, np.bool_)
+    recurs = ((count >= FIELD_DOCS) | known)[group]
+    is_first = doc == doc[at][group]
+    return order, recurs, recurs & ~is_first if keep_first else recurs, is_first
+
+
+def in_leaves(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """(doc_id, line, n, second, third, segments, constants): the distinct lines under some keys that have a shared quarter, where their first document has them."""
+    key, doc, line, n, hashes, constants = rows
+    marked = n == 0
+    here = ~marked & np.isin(key, key[marked])
+    key, doc, line, n, hashes, constants = (x[here] for x in (key, doc, line, n, hashes, constants))
+    keep, rank = _smallest(key, doc, line)
+    own, new = keep[rank == 0], runs(key[keep])
+    number = np.cumsum(new) - 1
+    docs = np.repeat(doc[keep][new][:, None], FIELD_DOCS, 1)
+    docs[number, rank] = doc[keep]
+    docs = docs[number[rank == 0]]
+    return record(doc_id=doc[own], line=line[own], n=n[own], second=docs[:, 1], third=docs[:, 2], segments=pa.array(hashes[own], pa.binary()), constants=pa.array(constants[own], pa.binary()))
+
+
+def leaves(batches: Iterator[pa.RecordBatch], min_constants: int, keep_first: bool, size: int = 3000) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, line, second, third, kind): the templates of lines; what recurs among those of ``size`` lines is decided."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            doc, line, n, second, third, hashes, constants = (c.to_numpy(zero_copy_only=False) for c in batch.slice(start, size).columns)
+            hashes = np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, SEGMENTS)
+            constants = np.frombuffer(b"".join(constants), np.int32).reshape(-1, SEGMENTS)
+            found = []
+            segments = np.minimum(n, SEGMENTS)
+            for s in np.unique(segments).tolist():
+                i = np.flatnonzero(segments == s)
+                total, rest = hashes[i].sum(1, dtype=np.uint64) + n[i].astype(np.uint64) * _N, constants[i].sum(1)
+                for chosen in combinations(range(s), fields(s)):
+                    c = list(chosen)
+                    use = enough(rest - constants[i][:, c].sum(1), n[i], min_constants)
+                    template = total + _OPEN[c].sum(dtype=np.uint64) - hashes[i][:, c].sum(1, dtype=np.uint64)
+                    found.append((mix(template[use]), i[use]))
+            key, i = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, recurs, goes, is_first = merge(key, doc[i], line[i], second[i], third[i], np.zeros(len(i), np.bool_), keep_first)
+            key, i = key[order], i[order]
+            on, gone = ~recurs | is_first, np.unique(i[goes])
+            at = np.concatenate([i[on], gone])
+            spread = mix(doc[gone].astype(np.uint64) + line[gone].astype(np.uint64))
+            kind = np.concatenate([np.where(recurs, FIELD + KNOWN, FIELD)[on], np.full(len(gone), GONE)]).astype(np.int32)
+            yield record(key=signed(np.concatenate([key[on], spread])), doc_id=doc[at], line=line[at], second=second[at], third=third[at], kind=kind)
+
+
+def settle_leaves(rows: list[np.ndarray], keep_first: bool) -> pa.RecordBatch:
+    """(doc_id, line) of the lines that go, of all templates under some keys."""
+    key, doc, line, second, third, kind = rows
     gone = kind == GONE
-    open_ = ~gone
-    _, own, at, _, _, goes, _ = decide(key[open_], doc[open_], line[open_], kind[open_], min_docs, keep_first)
-    return record(doc_id=np.concatenate([doc[gone], own[goes]]), line=np.concatenate([line[gone], at[goes]]))
+    key, own, at, second, third, kind = (x[~gone] for x in (key, doc, line, second, third, kind))
+    order, _, goes, _ = merge(key, own, at, second, third, kind > KNOWN, keep_first)
+    return record(doc_id=np.concatenate([doc[gone], own[order][goes]]), line=np.concatenate([line[gone], at[order][goes]]))
+
+
+# ---------------------------------------------------------------- the operator
 
 
 def rebuild(batches: Iterator[pa.RecordBatch], text: str, gone: str) -> Iterator[pa.RecordBatch]:
@@ -186,7 +350,15 @@ def rebuild(batches: Iterator[pa.RecordBatch], text: str, gone: str) -> Iterator
 def repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_constants: int = 3, keep_first: bool = True, buffer: int = BUFFER) -> DataFrame:
     """``(doc_id, lines)``: numbers, from 0, of the lines to drop; ``docs``: (doc_id, text)."""
     rows = docs.mapInArrow(lambda it: seed(it, min_docs, min_constants, keep_first, buffer), "key long, doc_id long, line long, kind int")
-    gone = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda x: settle(x, min_docs, keep_first)), "doc_id long, line long")
+    first = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda x: settle(x, min_docs, keep_first)), "doc_id long, line long, shared boolean")
+    first = cut(first, "recurring")
+    empty = F.lit(b"")
+    marks = first.where("shared").select(F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("n"), empty.alias("segments"), empty.alias("constants")).distinct()
+    found = docs.mapInArrow(lambda it: to_leaves(it, min_constants, buffer), "key long, doc_id long, line long, n long, segments binary, constants binary")
+    parsed = found.unionByName(marks).repartition("key").sortWithinPartitions("key")
+    merged = parsed.mapInArrow(lambda it: leaves(by_key(it, in_leaves), min_constants, keep_first), "key long, doc_id long, line long, second long, third long, kind int")
+    second = merged.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda x: settle_leaves(x, keep_first)), "doc_id long, line long")
+    gone = first.where("not shared").select("doc_id", "line").unionByName(second)
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 

@@ -133,16 +133,26 @@ OP6_SQL = r"""
 WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, unnest(ls) AS t, unnest(range(len(ls))) AS line FROM l),
 y AS (SELECT doc_id, line, list_transform(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), lambda k: CASE WHEN regexp_matches(k, '[0-9]') THEN '<*>' ELSE k END) AS w FROM x),
-z AS (SELECT doc_id, line, w, len(w) AS n, cast(ceil(len(w) / 8) AS BIGINT) AS size FROM y WHERE len(w) > 0),
-seg AS (SELECT *, unnest(range(0, n, size)) AS a FROM z),
+z AS (SELECT doc_id, line, w, len(w) AS n FROM y WHERE len(w) > 0),
 v AS (
   SELECT doc_id, line, 2 AS need, w AS m FROM z
-  UNION ALL SELECT doc_id, line, 3, list_transform(w, lambda k, i: CASE WHEN i <= 2 THEN '<*>' ELSE k END) FROM z
-  UNION ALL SELECT doc_id, line, 3, list_transform(w, lambda k, i: CASE WHEN i > 1 AND regexp_matches(k, '^[A-Z]') THEN '<*>' ELSE k END) FROM z WHERE len(list_filter(w[2:], lambda k: regexp_matches(k, '^[A-Z]'))) > 0
-  UNION ALL SELECT doc_id, line, 3, list_transform(w, lambda k, i: CASE WHEN i > a AND i <= a + size THEN '<*>' ELSE k END) FROM seg WHERE len(list_filter(w[a + 1 : a + size], lambda k: k <> '<*>')) > 0),
+  UNION ALL SELECT doc_id, line, 3, list_transform(w, lambda k, i: CASE WHEN i > 1 AND regexp_matches(k, '^[A-Z]') THEN '<*>' ELSE k END) FROM z WHERE len(list_filter(w[2:], lambda k: regexp_matches(k, '^[A-Z]'))) > 0),
 c AS (SELECT *, len(list_filter(m, lambda k: k <> '<*>')) AS c FROM v),
 tm AS (SELECT need, m, min(doc_id) AS first FROM c WHERE (c >= 3 AND 2 * c >= len(m)) OR (need = 2 AND c = len(m)) GROUP BY need, m HAVING count(DISTINCT doc_id) >= need),
-gone AS (SELECT DISTINCT doc_id, line FROM v JOIN tm USING (need, m) WHERE doc_id > first),
+-- distinct lines, their first documents, their segments and how many constants each has
+d AS (SELECT w, len(w) AS n, least(len(w), 12) AS s, least(3, 2 * least(len(w), 12) // 5) AS f, list_sort(list(DISTINCT doc_id))[1:3] AS ds FROM z WHERE len(w) >= 4 AND doc_id IS NOT NULL GROUP BY w),
+e AS (SELECT *, row_number() OVER () AS id, list_transform(range(s), lambda i: w[i * n // s + 1 : (i + 1) * n // s]) AS g FROM d),
+g AS (SELECT *, list_transform(g, lambda q: len(list_filter(q, lambda k: k <> '<*>'))) AS cs FROM e),
+-- lines that differ in at most f segments, and which those are
+p AS (SELECT a.id, b.ds, list_filter(range(a.s), lambda i: a.g[i + 1] <> b.g[i + 1]) AS o FROM g a JOIN g b ON a.n = b.n AND len(list_filter(range(a.s), lambda i: a.g[i + 1] <> b.g[i + 1])) <= a.f),
+-- a line with one or two others: three documents, f open segments that hold all differences, constants enough in the rest
+t AS (SELECT id, p.ds || q.ds AS ds, list_distinct(p.o || q.o) AS o FROM p JOIN p q USING (id)),
+u AS (SELECT id, w, n, list_min(g.ds || t.ds) AS low,
+             list_sum(cs) - coalesce(list_sum(list_transform(o, lambda i: cs[i + 1])), 0)
+               - coalesce(list_sum(list_sort(list_transform(list_filter(range(s), lambda i: NOT list_contains(o, i)), lambda i: cs[i + 1]))[1 : f - len(o)]), 0) AS c
+      FROM t JOIN g USING (id) WHERE len(o) <= f AND len(list_distinct(g.ds || t.ds)) >= 3),
+merged AS (SELECT w, min(low) AS first FROM u WHERE c >= 3 AND 2 * c >= n GROUP BY w),
+gone AS (SELECT doc_id, line FROM v JOIN tm USING (need, m) WHERE doc_id > first UNION SELECT doc_id, line FROM z JOIN merged USING (w) WHERE doc_id > first),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(t, chr(10) ORDER BY line) AS t FROM x ANTI JOIN gone USING (doc_id, line) GROUP BY 1)
 SELECT doc_id, cast(CASE WHEN text = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines,
        cast(CASE WHEN text = '' THEN 0 ELSE len(ls) - coalesce(kept.n, 0) END AS BIGINT) AS n_dropped, sha256(coalesce(kept.t, '')) AS kept_sha256
