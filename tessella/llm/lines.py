@@ -19,15 +19,16 @@ of it. What recurs decides, not how often a name does, so the rule is the same a
 of corpus. The document with the smallest id keeps its line (``keep_first``, so that no
 content leaves the corpus altogether; without it, the line goes everywhere).
 
-Scale: the choices of segments are not made for every line. Of four quarters of a line's
-segments, at most three hold open ones, so lines that merge share a whole quarter (token
+Scale: the choices of segments are not made for every line. A line's segments are cut into
+one part more than a template leaves open, so lines that merge share a whole part (token
 count, place and tokens). First, each line sends the hash of itself, of its generalised names
-and of its quarters. Only lines with a quarter that another, different line has go to the
-leaves: one row for each distinct line, however often it is copied, with the three smallest
-of its documents (which say all that a template needs of them). There each makes its
-templates, at most 220, which meet by a last shuffle.
+and of its (two to four) parts. Only lines with a part that another, different line has go to
+the leaves: one row for each distinct line, however often it is copied, with the three
+smallest of its documents (which say all that a template needs of them). There each makes its
+templates (at most 220; a part that no other line has is open in all of them), which meet
+by a last shuffle.
 
-At each step, a task compares what it holds before it shuffles: of a template or quarter that
+At each step, a task compares what it holds before it shuffles: of a template or part that
 recurs within the task, only one row goes on under its hash, all others are decided. So the
 commonest line reaches the shuffle about once a task, and the rest is spread by hash, sorted
 by Spark (which spills) and streamed. Texts are shuffled once, to meet the numbers of their
@@ -56,24 +57,24 @@ from tessella.tables import cut
 WILD = np.uint64(hash_of("<*>"))
 _B = odd_constants(1, 61)[0]
 _B_INVERSE = np.uint64(pow(int(_B), -1, 2**64))
-#: Segments of a line, and quarters of them of which one is equal in lines that merge.
-SEGMENTS, QUARTERS = 12, 4
+#: Segments of a line, and how many of them a template leaves open at most.
+SEGMENTS, OPEN = 12, 3
 #: Documents in which a template with a word for a variable field recurs.
 FIELD_DOCS = 3
 #: Templates that a task compares with each other before the shuffle.
 BUFFER = 1_500_000
-#: What a row says: decided already; the hash of a line, of its generalised names, of a quarter; the same, known to recur; a line that has a shared quarter.
-GONE, SAME, FIELD, QUARTER, KNOWN, SHARED = 0, 1, 2, 3, 3, 7
+#: What a row says: decided already; the hash of a line, of its generalised names, of a part; the same, known to recur; a line that has a shared part.
+GONE, SAME, FIELD, PART, KNOWN, SHARED = 0, 1, 2, 3, 3, 7
 _N = odd_constants(1, 62)[0]
-#: What tells places of segments and quarters apart.
-_AT = odd_constants(SEGMENTS + QUARTERS, 64)
+#: What tells places of segments and parts apart.
+_AT = odd_constants(SEGMENTS + OPEN + 1, 64)
 #: What stands for each segment that a template leaves open.
 _OPEN = odd_constants(SEGMENTS, 63)
 
 
-def fields(segments: int) -> int:
-    """How many of a line's segments its templates leave open; fewer than QUARTERS."""
-    return min(QUARTERS - 1, 2 * segments // 5)
+def fields(segments):
+    """How many of a line's segments its templates leave open, of a number or an array."""
+    return np.minimum(OPEN, 2 * segments // 5)
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -120,7 +121,7 @@ class Lines:
 
     def mergeable(self, min_constants: int) -> np.ndarray:
         """Lines that have segments to leave open, and constants enough besides."""
-        return np.flatnonzero((self.n >= QUARTERS) & enough(self.constants, self.n, min_constants))
+        return np.flatnonzero((self.n > OPEN) & enough(self.constants, self.n, min_constants))
 
 
 def enough(constants: np.ndarray, n: np.ndarray, min_constants: int) -> np.ndarray:
@@ -137,7 +138,7 @@ def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, L
 
 
 def templates(batches: Iterator[pa.RecordBatch], min_constants: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, document, line, kind) of every line, its names generalised, and its quarters (the line's key in place of the document), a chunk at a time."""
+    """(key, document, line, kind) of every line, its names generalised, and its parts (the line's key and the part's number in place of document and line), a chunk at a time."""
     for ids, of in _with_ids(batches):
         rows = []
 
@@ -155,9 +156,11 @@ def templates(batches: Iterator[pa.RecordBatch], min_constants: int) -> Iterator
         add(((of.whole - shed) * of.inverse[of.first] + of.n.astype(np.uint64) * _N)[use], ids[use], of.line[use], FIELD)
         some = of.mergeable(min_constants)
         segments = np.minimum(of.n[some], SEGMENTS)
-        for k in range(QUARTERS):
-            a, b = (of.first[some] + (i * segments // QUARTERS) * of.n[some] // segments for i in (k, k + 1))
-            add(of.content(a, b) + of.n[some].astype(np.uint64) * _N + _AT[SEGMENTS + k], signed(of.key[some]), np.zeros(len(some), np.int64), QUARTER)
+        for k in range(OPEN + 1):
+            has = np.flatnonzero(k <= fields(segments))
+            i, s = some[has], segments[has]
+            a, b = (of.first[i] + (j * s // (fields(s) + 1)) * of.n[i] // s for j in (k, k + 1))
+            add(of.content(a, b) + of.n[i].astype(np.uint64) * _N + _AT[SEGMENTS + k], signed(of.key[i]), np.full(len(i), k), PART)
         yield tuple(np.concatenate(x) for x in zip(*rows, strict=True))
 
 
@@ -177,7 +180,7 @@ def decide(key: np.ndarray, doc: np.ndarray, line: np.ndarray, kind: np.ndarray,
     need = np.array([0, min_docs, FIELD_DOCS, 2])[base]
     recurs = known | (docs[group] >= need)
     is_first = doc == doc[at][group]
-    return key, doc, line, base, recurs, recurs & (~is_first | (base == QUARTER) if keep_first else np.ones(len(key), np.bool_)), is_first
+    return key, doc, line, base, recurs, recurs & (~is_first | (base == PART) if keep_first else np.ones(len(key), np.bool_)), is_first
 
 
 def seed(batches: Iterator[pa.RecordBatch], min_docs: int, min_constants: int, keep_first: bool, buffer: int) -> Iterator[pa.RecordBatch]:
@@ -192,7 +195,7 @@ def seed(batches: Iterator[pa.RecordBatch], min_docs: int, min_constants: int, k
         key, doc, line, kind, recurs, gone, is_first = decide(*joined, min_docs, keep_first)
         open_ = ~recurs | is_first
         rows = [(key[open_], doc[open_], line[open_], np.where(recurs, kind + KNOWN, kind)[open_])]
-        for how, which in ((GONE, gone & (kind != QUARTER)), (SHARED, gone & (kind == QUARTER))):
+        for how, which in ((GONE, gone & (kind != PART)), (SHARED, gone & (kind == PART))):
             done = np.unique(np.stack([doc[which], line[which]], 1), axis=0) if which.any() else np.empty((0, 2), np.int64)
             rows.append((mix(done[:, 0].astype(np.uint64) + done[:, 1].astype(np.uint64)), done[:, 0], done[:, 1], np.full(len(done), how)))
         rows = [np.concatenate(x) for x in zip(*rows, strict=True)]
@@ -208,11 +211,11 @@ def seed(batches: Iterator[pa.RecordBatch], min_docs: int, min_constants: int, k
 
 
 def settle(rows: list[np.ndarray], min_docs: int, keep_first: bool) -> pa.RecordBatch:
-    """Of all rows under some keys: (doc_id, line) of the lines that go; the keys of lines with a shared quarter, as ``doc_id``."""
+    """Of all rows under some keys: (doc_id, line) of the lines that go; the keys of lines with a shared part, as ``doc_id``, and the part."""
     key, doc, line, kind = rows
     done = (kind == GONE) | (kind == SHARED)
     _, own, at, base, _, goes, _ = decide(key[~done], doc[~done], line[~done], kind[~done], min_docs, keep_first)
-    shared = np.concatenate([kind[done] == SHARED, base[goes] == QUARTER])
+    shared = np.concatenate([kind[done] == SHARED, base[goes] == PART])
     return record(doc_id=np.concatenate([doc[done], own[goes]]), line=np.concatenate([line[done], at[goes]]), shared=shared)
 
 
@@ -276,37 +279,42 @@ def merge(key: np.ndarray, doc: np.ndarray, line: np.ndarray, second: np.ndarray
 
 
 def in_leaves(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """(doc_id, line, n, second, third, segments, constants): the distinct lines under some keys that have a shared quarter, where their first document has them."""
+    """(doc_id, line, n, second, third, shared, segments, constants): the distinct lines under some keys that have shared parts, where their first document has them."""
     key, doc, line, n, hashes, constants = rows
     marked = n == 0
-    here = ~marked & np.isin(key, key[marked])
-    key, doc, line, n, hashes, constants = (x[here] for x in (key, doc, line, n, hashes, constants))
+    new = runs(key)
+    shared = np.bitwise_or.reduceat(np.where(marked, line, 0), np.flatnonzero(new))[np.cumsum(new) - 1] if len(key) else line
+    here = ~marked & (shared > 0)
+    key, doc, line, n, shared, hashes, constants = (x[here] for x in (key, doc, line, n, shared, hashes, constants))
     keep, rank = _smallest(key, doc, line)
     own, new = keep[rank == 0], runs(key[keep])
     number = np.cumsum(new) - 1
     docs = np.repeat(doc[keep][new][:, None], FIELD_DOCS, 1)
     docs[number, rank] = doc[keep]
     docs = docs[number[rank == 0]]
-    return record(doc_id=doc[own], line=line[own], n=n[own], second=docs[:, 1], third=docs[:, 2], segments=pa.array(hashes[own], pa.binary()), constants=pa.array(constants[own], pa.binary()))
+    return record(doc_id=doc[own], line=line[own], n=n[own], second=docs[:, 1], third=docs[:, 2], shared=shared[own], segments=pa.array(hashes[own], pa.binary()), constants=pa.array(constants[own], pa.binary()))
 
 
 def leaves(batches: Iterator[pa.RecordBatch], min_constants: int, keep_first: bool, size: int = 3000) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, line, second, third, kind): the templates of lines; what recurs among those of ``size`` lines is decided."""
     for batch in batches:
         for start in range(0, batch.num_rows, size):
-            doc, line, n, second, third, hashes, constants = (c.to_numpy(zero_copy_only=False) for c in batch.slice(start, size).columns)
+            doc, line, n, second, third, shared, hashes, constants = (c.to_numpy(zero_copy_only=False) for c in batch.slice(start, size).columns)
             hashes = np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, SEGMENTS)
             constants = np.frombuffer(b"".join(constants), np.int32).reshape(-1, SEGMENTS)
             found = []
             segments = np.minimum(n, SEGMENTS)
             for s in np.unique(segments).tolist():
-                i = np.flatnonzero(segments == s)
-                total, rest = hashes[i].sum(1, dtype=np.uint64) + n[i].astype(np.uint64) * _N, constants[i].sum(1)
-                for chosen in combinations(range(s), fields(s)):
-                    c = list(chosen)
-                    use = enough(rest - constants[i][:, c].sum(1), n[i], min_constants)
-                    template = total + _OPEN[c].sum(dtype=np.uint64) - hashes[i][:, c].sum(1, dtype=np.uint64)
-                    found.append((mix(template[use]), i[use]))
+                these = np.flatnonzero(segments == s)
+                total, rest = hashes[these].sum(1, dtype=np.uint64) + n[these].astype(np.uint64) * _N, constants[these].sum(1)
+                parts = int(fields(s)) + 1
+                part_of = [max(k for k in range(parts) if k * s // parts <= i) for i in range(s)]
+                for chosen in combinations(range(s), parts - 1):
+                    c, closed = list(chosen), sum(1 << k for k in range(parts) if k not in {part_of[i] for i in chosen})
+                    use = np.flatnonzero((closed & ~shared[these] == 0) & enough(rest - constants[these][:, c].sum(1), n[these], min_constants))
+                    i = these[use]
+                    template = total[use] + _OPEN[c].sum(dtype=np.uint64) - hashes[i][:, c].sum(1, dtype=np.uint64)
+                    found.append((mix(template), i))
             key, i = (np.concatenate(x) for x in zip(*found, strict=True))
             order, recurs, goes, is_first = merge(key, doc[i], line[i], second[i], third[i], np.zeros(len(i), np.bool_), keep_first)
             key, i = key[order], i[order]
@@ -353,7 +361,8 @@ def repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_constants: int = 3
     first = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda x: settle(x, min_docs, keep_first)), "doc_id long, line long, shared boolean")
     first = cut(first, "recurring")
     empty = F.lit(b"")
-    marks = first.where("shared").select(F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("n"), empty.alias("segments"), empty.alias("constants")).distinct()
+    marks = first.where("shared").select(F.col("doc_id").alias("key"), F.expr("shiftleft(1L, int(line))").alias("part")).groupBy("key").agg(F.bit_or("part").alias("line"))
+    marks = marks.select("key", F.lit(0).cast("long").alias("doc_id"), "line", F.lit(0).cast("long").alias("n"), empty.alias("segments"), empty.alias("constants"))
     found = docs.mapInArrow(lambda it: to_leaves(it, min_constants, buffer), "key long, doc_id long, line long, n long, segments binary, constants binary")
     parsed = found.unionByName(marks).repartition("key").sortWithinPartitions("key")
     merged = parsed.mapInArrow(lambda it: leaves(by_key(it, in_leaves), min_constants, keep_first), "key long, doc_id long, line long, second long, third long, kind int")
