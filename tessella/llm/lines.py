@@ -77,14 +77,22 @@ def fields(segments):
     return np.minimum(OPEN, 2 * segments // 5)
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """``base`` to the power of 0, 1, ...; kept, as long as the longest chunk needs."""
+    if len(_tables.get(int(base), ())) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[0] = 1
+        _tables[int(base)] = np.multiply.accumulate(out)
+    return _tables[int(base)][:n]
 
 
-def _sums(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
+def _sums(x: np.ndarray, kind: type = np.int64) -> np.ndarray:
+    out = np.zeros(len(x) + 1, kind)
+    np.cumsum(x, dtype=kind, out=out[1:])
+    return out
 
 
 class Lines:
@@ -93,17 +101,16 @@ class Lines:
     def __init__(self, column: pa.Array):
         self.words = words = split_words(column, SOLID)
         h = hash_words(words)
-        digits = _sums(((words.data >= 0x30) & (words.data <= 0x39)).astype(np.int64))
-        h[digits[words.end] > digits[words.start]] = WILD
-        breaks = _sums((words.data == 0x0A).astype(np.int64))
-        doc, line = words.doc_of(), breaks[words.start]
+        digits, breaks = np.flatnonzero((words.data >= 0x30) & (words.data <= 0x39)), np.flatnonzero(words.data == 0x0A)
+        h[np.searchsorted(words.start, digits, "right") - 1] = WILD
+        doc, line = words.doc_of(), np.searchsorted(breaks, words.start)
         self.hash, self.first = h, np.flatnonzero(runs(doc, line)) if len(h) else np.empty(0, np.int64)
         self.end = np.append(self.first[1:], len(h)).astype(np.int64)[: len(self.first)]
         self.n = self.end - self.first
         self.doc = doc[self.first]
-        self.line = (line[self.first] - breaks[raw_bytes(column)[1][self.doc]]).astype(np.int64)
+        self.line = line[self.first] - np.searchsorted(breaks, raw_bytes(column)[1][self.doc])
         self.power, self.inverse = _powers(len(h), _B), _powers(len(h) + 1, _B_INVERSE)
-        self._own, self._constant = _sums(h * self.power), _sums((h != WILD).astype(np.int64))
+        self._own, self._constant = _sums(h * self.power, np.uint64), _sums(h != WILD)
         self.whole, self.constants = self._own[self.end] - self._own[self.first], self.constants_of(self.first, self.end)
         self.key = mix(self.whole * self.inverse[self.first] + self.n.astype(np.uint64) * _N)
 
@@ -150,7 +157,7 @@ def templates(batches: Iterator[pa.RecordBatch], min_constants: int) -> Iterator
         words, h = of.words, of.hash
         capital = (words.data[words.start] >= 0x41) & (words.data[words.start] <= 0x5A) & (h != WILD)
         capital[of.first] = False
-        names, shed = _sums(capital.astype(np.int64)), _sums(np.where(capital, (h - WILD) * of.power, np.uint64(0)))
+        names, shed = _sums(capital), _sums(np.where(capital, (h - WILD) * of.power, np.uint64(0)), np.uint64)
         names, shed = names[of.end] - names[of.first], shed[of.end] - shed[of.first]
         use = (names > 0) & enough(of.constants - names, of.n, min_constants)
         add(((of.whole - shed) * of.inverse[of.first] + of.n.astype(np.uint64) * _N)[use], ids[use], of.line[use], FIELD)
