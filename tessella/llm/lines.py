@@ -82,7 +82,7 @@ _tables: dict[int, np.ndarray] = {}
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
     """``base`` to the power of 0, 1, ...; kept, as long as the longest chunk needs."""
-    if len(_tables.get(int(base), ())) < n:
+    if len(_tables.get(int(base), ())) < max(n, 1):
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         _tables[int(base)] = np.multiply.accumulate(out)
