@@ -9,6 +9,8 @@ own size check for broadcasting.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +47,50 @@ def typed(edges: DataFrame, cells: DataFrame, targets: DataFrame) -> DataFrame:
     return edges.join(cells.select("cell").distinct(), "cell", "left_semi").join(targets.select("pr").distinct(), "pr", "left_semi")
 
 
+def _targets(asserted: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``pr``: targets that some cell asserts by any relation, without the excluded ones."""
+    return asserted.select("pr").distinct().join(excluded.select("pr"), "pr", "left_anti")
+
+
+def _bit(relations: list[str]):
+    """The bit of a row's relation in ``relations``, of which there are at most 62."""
+    bits = F.create_map(*[F.lit(x) for i, r in enumerate(relations) for x in (r, 1 << i)])
+    return F.element_at(bits, F.col("relation")).cast("long")
+
+
+def _pairs(inferred: DataFrame, asserted: DataFrame | None, relations: list[str]) -> DataFrame:
+    """``cell, pr, held, said``: one row for each inferred pair, with the bits of the relations by which it is inferred, and asserted.
+
+    The rows are dealt by cell, once: what is made of a pair afterwards, and the labels of
+    cells, need no other shuffle of them.
+    """
+
+    def rows(edges: DataFrame, held: bool) -> DataFrame:
+        bits = [(_bit(relations) if own else F.lit(0).cast("long")).alias(name) for name, own in (("held", held), ("said", not held))]
+        return edges.where(F.col("relation").isin(relations)).select("cell", "pr", *bits)
+
+    both = rows(inferred, True)
+    if asserted is not None:
+        both = both.unionByName(rows(asserted.where("cell is not null"), False))  # without a cell nothing is the same edge
+    return both.repartition("cell").groupBy("cell", "pr").agg(F.bit_or("held").alias("held"), F.bit_or("said").alias("said")).where("held <> 0")
+
+
+def _has(bits: str, i: int):
+    return F.col(bits).bitwiseAND(F.lit(1 << i).cast("long")) != 0
+
+
+def _edges_of(pairs: DataFrame, relations: list[str]) -> DataFrame:
+    """The other columns of ``pairs`` with ``relation, asserted``: a row for each relation held."""
+    each = F.array(*[F.when(_has("held", i), F.struct(F.lit(r).alias("relation"), _has("said", i).alias("asserted"))) for i, r in enumerate(relations)])
+    return pairs.select(*[c for c in pairs.columns if c not in ("held", "said")], F.inline(F.filter(each, lambda x: x.isNotNull())))
+
+
 def kept_edges(inferred: DataFrame, asserted: DataFrame, excluded: DataFrame, relations: list[str] | None = None) -> DataFrame:
     """Distinct inferred edges whose relation is listed, whose target some cell asserts by any relation, and is not excluded."""
-    listed = inferred.where(F.col("relation").isin(relations if relations is not None else list(SENSES)))
-    keep = asserted.select("pr").distinct()
-    return listed.select(*KEY).distinct().join(keep, "pr", "left_semi").join(excluded.select("pr"), "pr", "left_anti").select(*KEY)
+    listed = list(dict.fromkeys(relations)) if relations is not None else list(SENSES)
+    blocks = [listed[i : i + 62] for i in range(0, len(listed), 62)] or [[]]
+    kept = [_edges_of(_pairs(inferred, None, b).join(_targets(asserted, excluded), "pr", "left_semi"), b).select(*KEY) if b else inferred.select(*KEY).where("false") for b in blocks]
+    return reduce(DataFrame.unionByName, kept)
 
 
 def flag_asserted(edges: DataFrame, asserted: DataFrame) -> DataFrame:
@@ -118,11 +159,42 @@ def label_edges(edges: DataFrame, cell_labels: DataFrame, relation_labels: DataF
     )
 
 
+def _without_entailed(pairs: DataFrame, ancestors: DataFrame, relations: list[str]) -> DataFrame:
+    """``pairs`` whose ``held`` lacks the relations that are ancestors of another one held; a pair without a cell keeps all."""
+    listed = ancestors.where(F.col("sub").isin(relations) & F.col("super").isin(relations) & (F.col("sub") != F.col("super")))
+    entails = [0] * len(relations)
+    for sub, above in listed.select("sub", "super").distinct().collect():  # at most one for each two of the few relations
+        entails[relations.index(sub)] |= 1 << relations.index(above)
+    bits = [F.when(_has("held", i), F.lit(x).cast("long")).otherwise(F.lit(0).cast("long")) for i, x in enumerate(entails) if x]
+    if not bits:
+        return pairs
+    entailed = F.when(F.col("cell").isNull(), F.lit(0).cast("long")).otherwise(reduce(lambda x, y: x.bitwiseOR(y), bits))
+    return pairs.withColumn("held", F.col("held").bitwiseAND(F.bitwise_not(entailed))).where("held <> 0")
+
+
+def reduced_keys(inferred: DataFrame, asserted: DataFrame, ancestors: DataFrame, excluded: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """``cell, relation, pr, asserted`` of the kept edges, flagged and pruned; with ``cells`` (one row a cell) also its other columns.
+
+    The marker relations are few, so a pair's relations are bits of one number: edges are
+    made distinct, flagged and pruned in one aggregate by pair, and are dealt only twice, by cell
+    (where cells are labelled too) and by target. The results are those of :func:`kept_edges`,
+    :func:`flag_asserted` and :func:`most_specific`, which take any relations.
+    """
+    relations = list(SENSES)
+    pairs = _without_entailed(_pairs(inferred, asserted, relations), ancestors, relations)
+    if cells is not None:
+        pairs = pairs.join(cells, "cell", "left")
+    found = _edges_of(pairs.join(_targets(asserted, excluded), "pr", "left_semi"), relations)
+    return found.select(*KEY, "asserted", *([x for x in cells.columns if x != "cell"] if cells is not None else []))
+
+
 def reduce_edges(inferred: DataFrame, asserted: DataFrame, ancestors: DataFrame, cell_labels: DataFrame, relation_labels: DataFrame, excluded: DataFrame) -> DataFrame:
     """``cell, cell_label, relation, relation_label, sense, asserted, pr``: all steps in order."""
-    kept = flag_asserted(kept_edges(inferred, asserted, excluded), asserted)
-    labelled = label_edges(most_specific(kept, ancestors), cell_labels, relation_labels).withColumn("sense", sense())
-    return labelled.select("cell", "cell_label", "relation", "relation_label", "sense", "asserted", "pr")
+    named = F.broadcast(one_label(relation_labels.where(F.col("relation").isin(*SENSES)), "relation", "relation_label"))  # a row for each marker relation at most
+    kept = reduced_keys(inferred, asserted, ancestors, excluded, one_label(cell_labels, "cell", "cell_label")).join(named, "relation", "left")
+    return kept.select(
+        "cell", F.coalesce("cell_label", F.lit("")).alias("cell_label"), "relation", F.coalesce("relation_label", curie("relation")).alias("relation_label"), sense().alias("sense"), "asserted", "pr",
+    )
 
 
 def excluded_targets(spark: SparkSession, targets: tuple[str, ...] = EXCLUDED) -> DataFrame:
