@@ -74,12 +74,23 @@ def edge_table(wide: DataFrame) -> DataFrame:
     )
 
 
-def sorted_edges(wide: DataFrame) -> DataFrame:
-    return edge_table(wide.orderBy("cell", "sense", "pr", "relation"))
+#: Annotated edges that one task sorts; with their texts they take about 1 KB each.
+PART_ROWS = 1 << 18
 
 
-def marker_lines(wide: DataFrame) -> DataFrame:
-    """``cell, sense, position, line``: one bullet for each edge, numbered within its cell by sense, label and target."""
+def parts(wide: DataFrame, part_rows: int = PART_ROWS) -> int:
+    """Tasks for sorting a written table, by its rows: their texts compress too differently to tell it from bytes."""
+    return max(1, -(-wide.count() // part_rows))
+
+
+def sorted_edges(wide: DataFrame, n_parts: int | None = None) -> DataFrame:
+    """The edge export in its order, in ``n_parts`` ranges of cells, or as many as Spark makes."""
+    order = ("cell", "sense", "pr", "relation")
+    return edge_table(wide.orderBy(*order) if n_parts is None else wide.repartitionByRange(n_parts, *order).sortWithinPartitions(*order))
+
+
+def marker_lines(wide: DataFrame, n_parts: int | None = None) -> DataFrame:
+    """``cell, sense, position, line``: one bullet for each edge, numbered within its cell by sense, label and target; with ``n_parts`` in that many ranges of cells."""
     shown = F.when(F.col("label") != "", F.col("label"))
     line = F.concat(
         F.lit("- "),
@@ -90,8 +101,10 @@ def marker_lines(wide: DataFrame) -> DataFrame:
             F.when(~F.col("asserted"), F.lit("_(inferred only)_")),
         ),
     )
-    order = Window.partitionBy("cell").orderBy(sense_position(), F.coalesce(shown, F.col("pr")), "pr", "relation")
-    return wide.select("cell", "cell_label", "sense", F.row_number().over(order).alias("position"), line.alias("line"))
+    # the line is made first, so that not all the texts of which it is made are shuffled with it
+    made = wide.select("cell", "cell_label", "sense", sense_position().alias("o"), F.coalesce(shown, F.col("pr")).alias("shown"), "pr", "relation", line.alias("line"))
+    order = Window.partitionBy("cell").orderBy("o", "shown", "pr", "relation")
+    return (made if n_parts is None else made.repartitionByRange(n_parts, "cell")).select("cell", "cell_label", "sense", F.row_number().over(order).alias("position"), "line")
 
 
 def cell_sections(lines: DataFrame) -> DataFrame:

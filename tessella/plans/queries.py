@@ -72,7 +72,7 @@ def kept(t: Tables) -> DataFrame:
 
 
 def pruned(t: Tables) -> DataFrame:
-    return edges.most_specific(edges.flag_asserted(kept(t), t.asserted), edges.closure(t.parents))
+    return edges.reduced_keys(t.inferred, t.asserted, edges.closure(t.parents), t.excluded)
 
 
 def reduced(t: Tables) -> DataFrame:
@@ -127,7 +127,7 @@ def _(t):
 
 @query("edge_labels", f"WITH {_REDUCED} SELECT cell, cell_label, relation, relation_label, pr FROM r", *_EDGE)
 def _(t):
-    return edges.label_edges(pruned(t), t.cell_labels, t.relation_labels).select("cell", "cell_label", "relation", "relation_label", "pr")
+    return reduced(t).select("cell", "cell_label", "relation", "relation_label", "pr")
 
 
 @query("edge_sense_counts", f"WITH {_REDUCED} SELECT cell, {', '.join(f'''count(*) FILTER (sense = '{s}') AS {s}''' for s in edges.SENSE_ORDER)} FROM r GROUP BY cell", *_EDGE)
@@ -219,13 +219,15 @@ def wide(t: Tables) -> DataFrame:
     *_ALL,
 )
 def _(t):
-    return reports.sorted_edges(cut(wide(t), "annotated"))  # sorting samples its input first
+    once = cut(wide(t), "annotated")  # sorting samples its input first
+    return reports.sorted_edges(once, reports.parts(once))
 
 
 @query("edge_export_file", ORACLE_SQL["edge_export"])
 def _(t):
     path = new_path(t.spark, "tsv")
-    files.write_tsv(reports.sorted_edges(cut(wide(t), "annotated")), path)
+    once = cut(wide(t), "annotated")
+    files.write_tsv(reports.sorted_edges(once, reports.parts(once)), path, "gzip")
     schema = ", ".join(f"{c} string" for c in reports.COLUMNS)
     back = t.spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").csv(path)
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in reports.COLUMNS])
@@ -262,7 +264,7 @@ def _(t):
 )
 def _(t):
     path = new_path(t.spark, "reports")
-    files.write_edge_reports(wide(t), path)
+    files.write_edge_reports(wide(t), path, compression="gzip")
     return t.spark.read.text(f"{path}/edges_md").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import slug
 from tessella.operators.edges import summary
-from tessella.operators.reports import cell_sections, edge_report_head, marker_lines, sorted_edges, validation_report
+from tessella.operators.reports import cell_sections, edge_report_head, marker_lines, parts, sorted_edges, validation_report
 from tessella.operators.sheets import clean_tab, is_empty
 from tessella.operators.snippets import RECORD, counted, first_of_each, fresh
 from tessella.tables import cut, read_or_empty
@@ -157,18 +157,23 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report_id"), F.col("value").alias("md"))
 
 
-def write_tsv(table: DataFrame, path: str) -> None:
-    """A tab-separated table with a header; values must hold no tabs or line ends."""
-    table.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+def write_tsv(table: DataFrame, path: str, compression: str = "none") -> None:
+    """A tab-separated table with a header; values must hold no tabs or line ends. Large ones are to be compressed: an edge repeats all its target's texts."""
+    table.write.mode("overwrite").options(sep="\t", header=True, quote="", emptyValue="", compression=compression).csv(path)
 
 
-def write_edge_reports(wide: DataFrame, folder: str, generated: str = "from the given tables") -> None:
-    """Both reports of one run, the export and the markdown with its head, from annotated edges that are worked out once."""
+def write_edge_reports(wide: DataFrame, folder: str, generated: str = "from the given tables", compression: str = "none") -> None:
+    """Both reports of one run, the export and the markdown with its head, from annotated edges that are worked out once.
+
+    Both are made in ranges of cells that hold about equally many edges; lines of the
+    markdown are dealt by these ranges once, and a cell's section is made where its lines are.
+    """
     once = cut(wide, "annotated")
-    write_tsv(sorted_edges(once), f"{folder}/edges_tsv")
-    head = edge_report_head(summary(once), generated).select(F.lit("").alias("cell"), "position", F.col("line").alias("section"))
-    sections = cell_sections(marker_lines(once)).select("cell", F.lit(0).alias("position"), "section")
-    write_lines(head.unionByName(sections), f"{folder}/edges_md", "section", ["cell", "position"])
+    n_parts = parts(once)
+    write_tsv(sorted_edges(once, n_parts), f"{folder}/edges_tsv", compression)
+    head = edge_report_head(summary(once), generated).repartition(1).sortWithinPartitions("position").select(F.col("line").alias("section"))
+    sections = cell_sections(marker_lines(once, n_parts)).sortWithinPartitions("cell").select("section")
+    head.unionByName(sections).write.mode("overwrite").option("compression", compression).text(f"{folder}/edges_md")
 
 
 def write_validation_report(failures: DataFrame, totals: DataFrame, source: str, path: str, grammar: str = "see `tessella.functions.grammar`") -> None:
