@@ -29,9 +29,21 @@ def cells(sheet: DataFrame, row: str = "row") -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.col("value").isin(*MISSING)).select("row", "subset", "column", order.alias("col_ord"), "value")
 
 
+def by_value(checked: DataFrame, **found) -> DataFrame:
+    """``checked`` with columns that are worked out from ``value`` only, once for each distinct value.
+
+    What is worked out takes far longer than a cell takes to read: many cells are few bytes,
+    which Spark reads in few tasks. Values are dealt to many tasks as they are made distinct,
+    and cells as they meet them; a null value has nulls.
+    """
+    values = checked.select("value").where("value is not null").distinct()
+    worked_out = values.select("value", F.inline(F.array(F.struct(*[c.alias(k) for k, c in found.items()]))))  # not again for a filter
+    return checked.join(worked_out, "value", "left").select(*[F.col(c) for c in checked.columns if c not in found], *found)
+
+
 def validate(checked: DataFrame) -> DataFrame:
     """Cells with ``error``, null where valid; the value is judged as it is."""
-    return checked.withColumn("error", grammar.error("value"))
+    return by_value(checked, error=grammar.error("value"))
 
 
 def failures(validated: DataFrame) -> DataFrame:
@@ -191,15 +203,19 @@ _OF_CELL = {
 }
 
 
-def _found(checked: DataFrame, more: dict | None = None, only: str | None = None) -> DataFrame:
-    """``row, subset, column, lint, detail`` of all lints of single cells (or one), and of ``more``, in one pass over the cells."""
+def _details(more: dict | None = None, only: str | None = None):
+    """``lint, detail`` of all lints of single cells (or one), and of ``more``, as an array over the columns of :func:`_parsed`."""
 
     def named(lint: str, details):
         return F.transform(details, lambda d: F.struct(F.lit(lint).alias("lint"), d.alias("detail")))
 
     lints = {k: f for k, f in _OF_CELL.items() if only in (None, k)} | (more or {})
-    told = [named(k, f()) for k, f in lints.items()]
-    return _parsed(checked).select("row", "subset", "column", F.inline(F.concat(*told)))
+    return F.concat(*[named(k, f()) for k, f in lints.items()])
+
+
+def _found(checked: DataFrame, only: str | None = None) -> DataFrame:
+    """``row, subset, column, lint, detail`` of all lints of single cells (or one), in one pass over the cells."""
+    return _parsed(checked).select("row", "subset", "column", F.inline(_details(only=only)))
 
 
 def cell_issues(checked: DataFrame) -> DataFrame:
@@ -277,24 +293,37 @@ def negated_and_not(checked: DataFrame) -> DataFrame:
 def lint_summary(checked: DataFrame, aliases: DataFrame) -> DataFrame:
     """``lint, severity, n, cells``: findings of each class that has any, and the distinct cells that they affect.
 
-    The cells are read and parsed once. What the lints over the whole sheet compare, the names
-    of markers and the groups, comes out of the same pass; it is written, and each of the
-    three looks for its few names or groups and then for the cells that have one of them.
+    Each distinct value is parsed once, and what is found in it is written. What the lints over
+    the whole sheet compare, the names of markers and the groups, comes out of the same
+    pass: each of the three looks for its few names or groups and then for the values that
+    have one of them. Findings are counted by value, and only then are the cells, of which a
+    value has any number, counted for each lint.
     """
     more = {"marker": lambda: F.transform(F.filter("words", lambda w: w["marker"] != ""), lambda w: w["marker"]), "group": lambda: F.regexp_extract_all("value", F.lit(_GROUP), 1)}
-    found = cut(_found(checked, more).select("row", "column", "lint", "detail"), "issues")
-    cell = F.struct("row", "column")
-    single = found.where(~F.col("lint").isin(*more)).groupBy("lint").agg(F.count("*").alias("n"), F.count_distinct(cell).alias("cells"))
+    values = checked.select(F.lit(0).alias("row"), F.lit("").alias("subset"), F.lit("").alias("column"), "value").distinct()
+    found = cut(_parsed(values).select("value", F.inline(_details(more))), "issues")
+    single = found.where(~F.col("lint").isin(*more)).groupBy("lint", "value").agg(F.count("*").alias("k"))
 
-    named = found.where(F.col("lint") == "marker").select("row", "column", F.col("detail").alias("marker"))
+    named = found.where(F.col("lint") == "marker").select("value", F.col("detail").alias("marker")).distinct()
     names = canonical(named.select("marker").distinct(), aliases).select("marker", "canonical", F.lower("marker").alias("folded"))
-    out = single
+    n, affected = None, single
     for lint, key in (("several_names", "canonical"), ("casing", "folded")):
         several = names.groupBy(key).agg(F.count_distinct("marker").alias("k")).where("k > 1").select(key)
-        affected = named.join(names.join(several, key, "left_semi").select("marker", F.col(key).alias("of")), "marker")
-        out = out.unionByName(affected.agg(F.count_distinct("of").alias("n"), F.count_distinct(cell).alias("cells")).select(F.lit(lint).alias("lint"), "n", "cells"))
-    groups = found.where(F.col("lint") == "group").withColumn("group", F.regexp_replace("detail", "-$", ""))
-    affected = groups.join(_both_ways(groups), "group", "left_semi")
-    out = out.unionByName(affected.agg(F.count_distinct("group").alias("n"), F.count_distinct(cell).alias("cells")).select(F.lit("negated_and_not").alias("lint"), "n", "cells"))
+        of = named.join(names.join(several, key, "left_semi").select("marker"), "marker", "left_semi")
+        affected = affected.unionByName(of.select(F.lit(lint).alias("lint"), "value").distinct().withColumn("k", F.lit(0)))
+        count = several.agg(F.count("*").alias("whole")).select(F.lit(lint).alias("lint"), "whole")
+        n = count if n is None else n.unionByName(count)
+    groups = found.where(F.col("lint") == "group").select("value", "detail").distinct().withColumn("group", F.regexp_replace("detail", "-$", ""))
+    both = _both_ways(groups)
+    of = groups.join(both, "group", "left_semi")
+    affected = affected.unionByName(of.select(F.lit("negated_and_not").alias("lint"), "value").distinct().withColumn("k", F.lit(0)))
+    n = n.unionByName(both.agg(F.count("*").alias("whole")).select(F.lit("negated_and_not").alias("lint"), "whole"))
+
+    # a row for each value: how often each lint is found in it; cells that are stated twice are found twice, but are one cell
+    listed = affected.groupBy("value").agg(F.collect_list(F.struct("lint", "k")).alias("lints"))  # at most one for each lint
+    cells_ = checked.groupBy("row", "column", "value").agg(F.count("*").alias("times"))
+    told = cells_.join(listed, "value").select("row", "column", "times", F.inline("lints"))
+    one_cell = told.groupBy("row", "column", "lint").agg(F.sum(F.col("times") * F.col("k")).alias("k"))
+    out = one_cell.groupBy("lint").agg(F.sum("k").alias("n"), F.count("*").alias("cells")).join(F.broadcast(n), "lint", "left").select("lint", F.coalesce("whole", "n").alias("n"), "cells")
     severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
     return out.where("n > 0").select("lint", F.element_at(severity, F.col("lint")).alias("severity"), "n", "cells")

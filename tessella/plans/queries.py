@@ -414,7 +414,7 @@ def _(t):
     "sheet",
 )
 def _(t):
-    return reports.failure_lines(markers.failures(validated(t))).orderBy("row", "col_ord")
+    return reports.failure_lines(markers.failures(validated(t)).orderBy("row", "col_ord"))
 
 
 _SHEET_REPORT = f"""WITH {_CHECKED}, bad AS (SELECT * FROM v WHERE error IS NOT NULL), n AS (SELECT (SELECT count(*) FROM v) AS checked, (SELECT count(*) FROM bad) AS invalid),

@@ -63,3 +63,26 @@ def test_lines_are_made_before_they_are_dealt(spark):
     wide = _wide(spark, 2)
     plan = reports.marker_lines(wide)._jdf.queryExecution().optimizedPlan().toString()
     assert "human_line" not in plan.split("Window")[1].split("Project")[0], plan
+
+
+def _cells(spark, values):
+    return spark.createDataFrame([(i, "s", "Required exclusion", 1, v) for i, v in enumerate(values)], "row int, subset string, column string, col_ord int, value string")
+
+
+def test_each_value_is_judged_once(spark):
+    from tessella.operators import markers
+
+    found = markers.validate(_cells(spark, ["CD4+", "CD4+", None, "   ", "CD4+ )", "   "]))
+    assert [r.error for r in found.orderBy("row").collect()] == [None, None, None, "empty expression", "expected marker or group, found ')'", "empty expression"]
+    assert found.columns == ["row", "subset", "column", "col_ord", "value", "error"]
+    plan = markers.failures(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and "Aggregate [value" in plan, plan  # it was worked out in the filter and again in the column
+
+
+def test_lint_summary_counts_cells_stated_twice(spark):
+    from tessella.operators import markers
+
+    once = _cells(spark, ["CD4", "cd4+", "CD4 CD4", " (CD4+ CD8-)-", "(CD4+ CD8-)", "CCR40+ CD60+"])
+    aliases = spark.createDataFrame([("CCR40", "CD60")], "alias string, canonical string")
+    found = {r.lint: (r.n, r.cells) for r in markers.lint_summary(once.unionByName(once.where("row = 2")), aliases).collect()}
+    assert found == {"bare": (5, 2), "stray_space": (1, 1), "casing": (1, 5), "several_names": (1, 1), "negated_and_not": (1, 2)}
