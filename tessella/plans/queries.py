@@ -98,7 +98,7 @@ def _(t):
 def _(t):
     path = new_path(t.spark, "quads")
     graphs = [x.select(F.lit(g).alias("graph"), F.col("cell").alias("s"), F.col("relation").alias("p"), F.col("pr").alias("o")).distinct() for g, x in (("redundant", t.inferred), ("nonredundant", t.asserted))]
-    files.write_quads(graphs[0].unionByName(graphs[1]), path)
+    files.write_quads(graphs[0].unionByName(graphs[1]), path, ("redundant", "nonredundant"))
     return files.read_graph(t.spark, path, "nonredundant")
 
 
@@ -291,7 +291,7 @@ def _of_quads(sql: str) -> str:
 
 def read_quads(t: Tables) -> graph.Ontology:
     path = new_path(t.spark, "quads")
-    files.write_quads(t.quads, path)
+    files.write_quads(t.quads, path, ("ontology", "redundant", "nonredundant"))
     return graph.read_ontology(t.spark, path)
 
 

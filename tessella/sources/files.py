@@ -22,9 +22,16 @@ RECORDS = (
 MANIFEST = "run_id string, created string, questions array<struct<qid: string, text: string, seeds: array<string>>>"
 
 
-def write_quads(quads: DataFrame, path: str) -> None:
-    """One folder for each named graph, so that reading a graph reads nothing else."""
-    quads.write.mode("overwrite").partitionBy("graph").parquet(path)
+def write_quads(quads: DataFrame, path: str, graphs: tuple[str, ...] = ()) -> None:
+    """One folder for each named graph, so that reading a graph reads nothing else.
+
+    Those of ``graphs`` are written one by one, each from its own quads, and need not be sorted
+    by graph in the memory of a task; the others, if there are any, are written together.
+    """
+    others = quads.where(~F.coalesce(F.col("graph").isin(*graphs), F.lit(False))) if graphs else quads
+    others.write.mode("overwrite").partitionBy("graph").parquet(path)
+    for g in graphs:
+        quads.where(F.col("graph") == g).select("s", "p", "o").write.mode("overwrite").parquet(f"{path}/graph={g}")
 
 
 def read_graph(spark: SparkSession, path: str, graph: str, predicates: list[str] | None = None) -> DataFrame:

@@ -86,3 +86,14 @@ def test_lint_summary_counts_cells_stated_twice(spark):
     aliases = spark.createDataFrame([("CCR40", "CD60")], "alias string, canonical string")
     found = {r.lint: (r.n, r.cells) for r in markers.lint_summary(once.unionByName(once.where("row = 2")), aliases).collect()}
     assert found == {"bare": (5, 2), "stray_space": (1, 1), "casing": (1, 5), "several_names": (1, 1), "negated_and_not": (1, 2)}
+
+
+def test_graphs_are_written_one_by_one(spark, tmp_path):
+    quads = [(g, "s", "p", f"o{i}") for g in ("ontology", "redundant", "elsewhere", None) for i in range(3)]
+    frame = spark.createDataFrame(quads, files.QUADS)
+    files.write_quads(frame, f"{tmp_path}/q", ("ontology", "redundant", "none of these"))
+    for g in ("ontology", "redundant", "elsewhere"):
+        assert sorted(map(tuple, files.read_graph(spark, f"{tmp_path}/q", g).collect())) == [("s", "p", f"o{i}") for i in range(3)]
+    assert spark.read.parquet(f"{tmp_path}/q").count() == 12 and files.read_graph(spark, f"{tmp_path}/q", "none of these").count() == 0
+    files.write_quads(frame.limit(0), f"{tmp_path}/q", ("ontology",))
+    assert not [p for p in (tmp_path / "q").iterdir() if p.name in ("graph=redundant", "graph=elsewhere")]
