@@ -75,7 +75,7 @@ def edge_table(wide: DataFrame) -> DataFrame:
 
 
 #: Annotated edges that one task sorts; with their texts they take about 1 KB each.
-PART_ROWS = 1 << 18
+PART_ROWS = 1 << 16
 
 
 def parts(wide: DataFrame, part_rows: int = PART_ROWS) -> int:
