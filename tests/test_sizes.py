@@ -97,3 +97,34 @@ def test_graphs_are_written_one_by_one(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/q").count() == 12 and files.read_graph(spark, f"{tmp_path}/q", "none of these").count() == 0
     files.write_quads(frame.limit(0), f"{tmp_path}/q", ("ontology",))
     assert not [p for p in (tmp_path / "q").iterdir() if p.name in ("graph=redundant", "graph=elsewhere")]
+
+
+def test_quote_index_grows_by_what_is_new(spark, tmp_path):
+    """Words of a text go to their folders together, and a word's runs are written once, three characters from each position."""
+    from tessella.operators import quote_index
+
+    vocabulary = [f"w{i:03d}x" for i in range(400)]
+    corpus = spark.createDataFrame([(i, " ".join(vocabulary)) for i in range(9)], "doc_id long, text string")
+    path = f"{tmp_path}/index"
+    table = lambda name: spark.read.parquet(f"{path}/{name}")
+    assert quote_index.extend(corpus.where("doc_id < 4"), path) == 4
+    n_runs = table("runs").count()
+    assert n_runs <= sum(map(len, vocabulary))
+    assert quote_index.extend(corpus, path) == 5
+    assert table("runs").count() == n_runs  # no new word
+    assert table("tokens").count() <= 9 * quote_index.FOLDERS
+    assert [r.n for r in table("words").groupBy("token").agg(F.sum("n").alias("n")).select("n").distinct().collect()] == [9]
+
+
+def test_quote_index_by_pieces_of_every_length(spark, tmp_path):
+    from tessella.operators import quote_index, quotes
+
+    texts = [(1, "alphabet 𝒳𝒴zeta soup"), (2, "bet"), (3, "a"), (3, "ab"), (4, "t"), (5, "é𝒴"), (6, "   "), (7, None), (None, "alphabet")]
+    corpus = spark.createDataFrame(texts, "doc_id long, text string")
+    pieces = ["a", "t", "al", "et", "alp", "pha", "bet", "abet", "alphabet", "𝒳", "𝒴", "𝒳𝒴", "𝒴z", "𝒳𝒴zeta", "eta", "zet sou", "phabet 𝒳𝒴", "soup", "oupe", "b", "alphabet 𝒳𝒴zeta soup", "é"]
+    quoted = quotes.with_segments(spark.createDataFrame(list(enumerate(pieces)), "item_id long, quote string"))
+    path = f"{tmp_path}/index"
+    assert quote_index.extend(corpus.where("doc_id <> 2"), path) == 5 and quote_index.extend(corpus, path) == 1
+    held = {1: "alphabet 𝒳𝒴zeta soup", 2: "bet", 3: "a", 4: "t", 5: "é𝒴"}  # of the rows with key 3, the smaller text
+    found = sorted(map(tuple, quote_index.matches(quoted, path, "item_id").collect()))
+    assert found == sorted((i, d) for i, p in enumerate(pieces) for d, text in held.items() if p in text)
