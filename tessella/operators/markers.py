@@ -34,11 +34,16 @@ def by_value(checked: DataFrame, **found) -> DataFrame:
 
     What is worked out takes far longer than a cell takes to read: many cells are few bytes,
     which Spark reads in few tasks. Values are dealt to many tasks as they are made distinct,
-    and cells as they meet them; a null value has nulls.
+    and cells as they meet them; a null value has nulls. A stream's cells are worked out one by
+    one instead, as they arrive: which values it had before would be a state without end.
     """
+    checked = checked.drop(*found)
+    if checked.isStreaming:
+        each = F.struct(*[F.when(F.col("value").isNotNull(), c).alias(k) for k, c in found.items()])
+        return checked.select("*", F.inline(F.array(each)))  # not again for a filter
     values = checked.select("value").where("value is not null").distinct()
     worked_out = values.select("value", F.inline(F.array(F.struct(*[c.alias(k) for k, c in found.items()]))))  # not again for a filter
-    return checked.join(worked_out, "value", "left").select(*[F.col(c) for c in checked.columns if c not in found], *found)
+    return checked.join(worked_out, "value", "left").select(*[F.col(c) for c in checked.columns], *found)
 
 
 def validate(checked: DataFrame) -> DataFrame:

@@ -879,5 +879,6 @@ def _(t):
 
 @query("marker_stream_validate", f'WITH {_CHECKED} SELECT row, "column", error FROM v WHERE error IS NOT NULL', "sheet")
 def _(t):
-    found = checks.invalid_cells(checked(Streamed(t.spark, t.sf_dir))).select("row", "column", "error")
-    return _to_table(found, "stream-cells")
+    path = new_path(t.spark, "stream-cells")
+    checks.find_invalid_cells(checked(Streamed(t.spark, t.sf_dir)), path, f"{path}-state").awaitTermination()
+    return read_or_empty(t.spark, path, "row long, column string, error string", "parquet").select("row", "column", "error")

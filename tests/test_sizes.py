@@ -79,6 +79,23 @@ def test_each_value_is_judged_once(spark):
     assert plan.count("aggregate(") == 1 and "Aggregate [value" in plan, plan  # it was worked out in the filter and again in the column
 
 
+def test_cells_of_a_stream_are_judged_as_those_of_a_table(spark, tmp_path):
+    from tessella.operators import markers
+    from tessella.streaming import checks
+
+    values = ["CD4+", None, "CD4+ )", "   ", "CD4+|CD8+", "CD4+ )"]
+    for part in (values[:3], values[3:]):
+        _cells(spark, part).withColumn("error", F.lit("of before")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    want = sorted(map(str, markers.validate(spark.read.parquet(f"{tmp_path}/in")).where("error is not null").select("row", "value", "error").collect()))
+    checks.invalid_cells(stream).writeStream.format("memory").queryName("judged").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("judged").columns == markers.validate(_cells(spark, [])).columns
+    assert sorted(map(str, spark.table("judged").select("row", "value", "error").collect())) == want and len(want) == 4
+    checks.find_invalid_cells(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(str, found.select("row", "value", "error").collect())) == want and found.select("batch_no").distinct().count() == 2
+
+
 def test_lint_summary_counts_cells_stated_twice(spark):
     from tessella.operators import markers
 
