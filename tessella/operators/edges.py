@@ -42,12 +42,12 @@ def sense_position(column: str = "sense"):
     return F.array_position(F.array(*[F.lit(s) for s in SENSE_ORDER]), F.col(column))
 
 
-def typed(edges: DataFrame, cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """Edges from known cells to known targets (``cells (cell)``, ``targets (pr)``)."""
-    return edges.join(cells.select("cell").distinct(), "cell", "left_semi").join(targets.select("pr").distinct(), "pr", "left_semi")
+def typed(edges: DataFrame, cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges from known cells to known targets (``cells (cell)``, ``known (pr)``)."""
+    return edges.join(cells.select("cell").distinct(), "cell", "left_semi").join(known.select("pr").distinct(), "pr", "left_semi")
 
 
-def _targets(asserted: DataFrame, excluded: DataFrame) -> DataFrame:
+def targets(asserted: DataFrame, excluded: DataFrame) -> DataFrame:
     """``pr``: targets that some cell asserts by any relation, without the excluded ones."""
     return asserted.select("pr").distinct().join(excluded.select("pr"), "pr", "left_anti")
 
@@ -89,7 +89,7 @@ def kept_edges(inferred: DataFrame, asserted: DataFrame, excluded: DataFrame, re
     """Distinct inferred edges whose relation is listed, whose target some cell asserts by any relation, and is not excluded."""
     listed = list(dict.fromkeys(relations)) if relations is not None else list(SENSES)
     blocks = [listed[i : i + 62] for i in range(0, len(listed), 62)] or [[]]
-    kept = [_edges_of(_pairs(inferred, None, b).join(_targets(asserted, excluded), "pr", "left_semi"), b).select(*KEY) if b else inferred.select(*KEY).where("false") for b in blocks]
+    kept = [_edges_of(_pairs(inferred, None, b).join(targets(asserted, excluded), "pr", "left_semi"), b).select(*KEY) if b else inferred.select(*KEY).where("false") for b in blocks]
     return reduce(DataFrame.unionByName, kept)
 
 
@@ -172,6 +172,13 @@ def _without_entailed(pairs: DataFrame, ancestors: DataFrame, relations: list[st
     return pairs.withColumn("held", F.col("held").bitwiseAND(F.bitwise_not(entailed))).where("held <> 0")
 
 
+def reduced_pairs(inferred: DataFrame, asserted: DataFrame, ancestors: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """``cell, pr, held, said``: pairs with the bits of their marker relations, pruned, to any target; with ``cells`` (one row a cell) also its other columns."""
+    relations = list(SENSES)
+    pairs = _without_entailed(_pairs(inferred, asserted, relations), ancestors, relations)
+    return pairs if cells is None else pairs.join(cells, "cell", "left")
+
+
 def reduced_keys(inferred: DataFrame, asserted: DataFrame, ancestors: DataFrame, excluded: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """``cell, relation, pr, asserted`` of the kept edges, flagged and pruned; with ``cells`` (one row a cell) also its other columns.
 
@@ -180,23 +187,33 @@ def reduced_keys(inferred: DataFrame, asserted: DataFrame, ancestors: DataFrame,
     (where cells are labelled too) and by target. The results are those of :func:`kept_edges`,
     :func:`flag_asserted` and :func:`most_specific`, which take any relations.
     """
-    relations = list(SENSES)
-    pairs = _without_entailed(_pairs(inferred, asserted, relations), ancestors, relations)
-    if cells is not None:
-        pairs = pairs.join(cells, "cell", "left")
-    found = _edges_of(pairs.join(_targets(asserted, excluded), "pr", "left_semi"), relations)
+    pairs = reduced_pairs(inferred, asserted, ancestors, cells)
+    found = _edges_of(pairs.join(targets(asserted, excluded), "pr", "left_semi"), list(SENSES))
     return found.select(*KEY, "asserted", *([x for x in cells.columns if x != "cell"] if cells is not None else []))
 
 
-def reduce_edges(inferred: DataFrame, asserted: DataFrame, ancestors: DataFrame, cell_labels: DataFrame, relation_labels: DataFrame, excluded: DataFrame) -> DataFrame:
-    """``cell, cell_label, relation, relation_label, sense, asserted, pr``: all steps in order."""
+def _described(kept: DataFrame, relation_labels: DataFrame) -> DataFrame:
+    """Reduced edges with the labels that their cells have; columns of theirs that are not an edge's stay behind it."""
     named = F.broadcast(one_label(relation_labels.where(F.col("relation").isin(*SENSES)), "relation", "relation_label"))  # a row for each marker relation at most
-    kept = reduced_keys(inferred, asserted, ancestors, excluded, one_label(cell_labels, "cell", "cell_label")).join(named, "relation", "left")
-    return kept.select(
-        "cell", F.coalesce("cell_label", F.lit("")).alias("cell_label"), "relation", F.coalesce("relation_label", curie("relation")).alias("relation_label"), sense().alias("sense"), "asserted", "pr",
+    more = [c for c in kept.columns if c not in (*KEY, "cell_label", "asserted")]
+    return kept.join(named, "relation", "left").select(
+        "cell", F.coalesce("cell_label", F.lit("")).alias("cell_label"), "relation", F.coalesce("relation_label", curie("relation")).alias("relation_label"), sense().alias("sense"), "asserted", "pr", *more,
     )
 
 
+def reduce_edges(inferred: DataFrame, asserted: DataFrame, ancestors: DataFrame, cell_labels: DataFrame, relation_labels: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``cell, cell_label, relation, relation_label, sense, asserted, pr``: all steps in order."""
+    return _described(reduced_keys(inferred, asserted, ancestors, excluded, one_label(cell_labels, "cell", "cell_label")), relation_labels)
+
+
+def edges_of(pairs: DataFrame, known: DataFrame, relation_labels: DataFrame) -> DataFrame:
+    """The edges of :func:`reduce_edges` from its pairs (:func:`reduced_pairs`, with ``cell_label``) to ``known (pr, ...)``, with the other columns of this.
+
+    Pairs are dealt by target, also to few targets, so that those of one target, which repeat what is known of it, stand together.
+    """
+    return _described(_edges_of(pairs.join(known.hint("merge"), "pr"), list(SENSES)), relation_labels)
+
+
 def excluded_targets(spark: SparkSession, targets: tuple[str, ...] = EXCLUDED) -> DataFrame:
     return spark.createDataFrame([(t,) for t in targets], "pr string")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import clean_tsv, curie, escape_bar, yes_no
 from tessella.operators.edges import SENSE_ORDER, sense_position
+from tessella.tables import cut
 
 COLUMNS = ("cell", "cell_label", "relation", "relation_label", "sense", "asserted", "pr", "pr_label", "cd_synonym", "uniprot_human", "uniprot_mouse", "xrefs")
 # Headings of the senses.
@@ -50,10 +51,17 @@ def target_texts(meta: DataFrame, cd: DataFrame, species: DataFrame) -> DataFram
     )
 
 
+_TEXTS = ("label", "xrefs", "cd", "cd_line", "human", "human_line", "mouse", "mouse_line")
+
+
+def with_texts(table: DataFrame, texts: DataFrame) -> DataFrame:
+    """``table (pr, ...)`` with the texts of its targets (:func:`target_texts`); missing ones empty."""
+    return table.join(texts, "pr", "left").withColumns({k: F.coalesce(k, F.lit("")) for k in _TEXTS})
+
+
 def annotated(edges: DataFrame, meta: DataFrame, cd: DataFrame, species: DataFrame) -> DataFrame:
-    """Edges with the texts of their target (:func:`target_texts`); missing ones empty."""
-    wide = edges.join(target_texts(meta, cd, species), "pr", "left")
-    return wide.withColumns({k: F.coalesce(k, F.lit("")) for k in ("label", "xrefs", "cd", "cd_line", "human", "human_line", "mouse", "mouse_line")})
+    """Edges with the texts of their target; missing ones empty."""
+    return with_texts(edges, target_texts(meta, cd, species))
 
 
 def edge_table(wide: DataFrame) -> DataFrame:
@@ -83,10 +91,35 @@ def parts(wide: DataFrame, part_rows: int = PART_ROWS) -> int:
     return max(1, -(-wide.count() // part_rows))
 
 
+#: Rounds in which a large export is made, and the parts that each has at least.
+ROUNDS, ROUND_PARTS = 8, 32
+
+
+def in_rounds(pairs: DataFrame, n_parts: int, rounds: int | None = None) -> list[tuple[DataFrame, int]]:
+    """``pairs`` with their ``part``, of ``n_parts`` ranges of cells, in rounds: each the next parts, with the number of the part after its last.
+
+    ``pairs`` are read twice. What is shuffled for an export grows with the edges that are made at
+    a time: of a large table, no more than an eighth is.
+    """
+    dealt = cut(pairs.repartitionByRange(n_parts, "cell").withColumn("part", F.spark_partition_id()), "dealt")
+    rounds = max(1, min(ROUNDS, n_parts // ROUND_PARTS)) if rounds is None else rounds
+    ends = [n_parts * i // rounds for i in range(rounds + 1)]
+    return [(dealt.where((F.col("part") >= a) & (F.col("part") < b)), b) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def after_parts(table: DataFrame, n: int) -> DataFrame:
+    """``table`` behind ``n`` parts without rows, at least two, as Spark unites two single parts to one: its files' names follow those of ``n`` parts that are written by themselves."""
+    none = table.sparkSession.range(0, n, 1, n).where("id < 0").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema])
+    return none.unionAll(table)
+
+
 def sorted_edges(wide: DataFrame, n_parts: int | None = None) -> DataFrame:
-    """The edge export in its order, in ``n_parts`` ranges of cells, or as many as Spark makes."""
+    """The edge export in its order, in ``n_parts`` ranges of cells, or as many as Spark makes; edges that have a ``part`` (:func:`in_rounds`) are dealt by it."""
     order = ("cell", "sense", "pr", "relation")
-    return edge_table(wide.orderBy(*order) if n_parts is None else wide.repartitionByRange(n_parts, *order).sortWithinPartitions(*order))
+    if n_parts is None:
+        return edge_table(wide.orderBy(*order))
+    dealt = wide.repartitionById(n_parts, F.col("part")) if "part" in wide.columns else wide.repartitionByRange(n_parts, *order)
+    return edge_table(dealt.sortWithinPartitions(*order))
 
 
 def marker_lines(wide: DataFrame, n_parts: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from tessella.sources.files import BINDINGS as RESULT_SCHEMA
 from tessella.sources.files import RECORDS, flatten_bindings
 from tessella.streaming import checks
 from tessella.streaming import snippets as streams
-from tessella.tables import cut, new_path, read, read_or_empty
+from tessella.tables import cut, new_path, read, read_or_empty, shuffles_removed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,12 +173,12 @@ _MERGED = f"""{_SPECIES}, {_META}, w AS (SELECT pr, array_to_string(list_sort(li
     FROM m FULL JOIN w ON m.pr = w.pr)"""
 
 
-def species(t: Tables) -> DataFrame:
-    return annotate.species_ids(t.asserted, t.subclasses, t.taxa, t.xrefs, t.species)
+def species(t: Tables, used: DataFrame | None = None) -> DataFrame:
+    return annotate.species_ids(t.asserted if used is None else used, t.subclasses, t.taxa, t.xrefs, t.species)
 
 
-def merged(t: Tables, meta: DataFrame) -> DataFrame:
-    return annotate.merge_species(meta, annotate.species_table(species(t)))
+def merged(t: Tables, meta: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    return annotate.merge_species(meta, annotate.species_table(species(t, used)))
 
 
 @query("entity_metadata", f"WITH {_META} SELECT {', '.join(f'''coalesce({c}, '') AS {c}''' for c in _META_COLUMNS)} FROM m", "statements", "species")
@@ -207,9 +207,22 @@ _WIDE = f"""{_REDUCED}, {_MERGED}, {_CD}, cdl AS (SELECT pr, string_agg(token ||
     FROM r LEFT JOIN m ON m.pr = r.pr LEFT JOIN cdl ON cdl.pr = r.pr LEFT JOIN mg ON mg.pr = r.pr)"""
 
 
-def wide(t: Tables) -> DataFrame:
+def texts(t: Tables, used: DataFrame | None = None) -> DataFrame:
     meta = cut(annotate.metadata(t.statements), "metadata")  # three parts of the plan read it
-    return reports.annotated(reduced(t), meta, annotate.cd_lists(annotate.cd_names(annotate.names(meta))), merged(t, meta))
+    return reports.target_texts(meta, annotate.cd_lists(annotate.cd_names(annotate.names(meta))), merged(t, meta, used))
+
+
+def wide(t: Tables) -> DataFrame:
+    return reports.with_texts(reduced(t), texts(t))
+
+
+def wide_in_rounds(t: Tables, rounds: int | None = None) -> list[tuple[DataFrame, int]]:
+    """:func:`wide` for files, of which no more is shuffled at a time than a round; pairs and texts are written first, and what was shuffled for them is removed."""
+    with shuffles_removed(t.spark):
+        pairs = cut(edges.reduced_pairs(t.inferred, t.asserted, edges.closure(t.parents), edges.one_label(t.cell_labels, "cell", "cell_label")), "pairs")
+        said = cut(t.asserted.select("pr").distinct(), "targets")
+        known = cut(reports.with_texts(edges.targets(said, t.excluded), texts(t, said)), "texts")
+        return [(edges.edges_of(x, known, t.relation_labels), end) for x, end in reports.in_rounds(pairs, reports.parts(pairs), rounds)]
 
 
 @query(
@@ -226,8 +239,7 @@ def _(t):
 @query("edge_export_file", ORACLE_SQL["edge_export"])
 def _(t):
     path = new_path(t.spark, "tsv")
-    once = cut(wide(t), "annotated")
-    files.write_tsv(reports.sorted_edges(once, reports.parts(once)), path, "gzip")
+    files.write_edge_export(wide_in_rounds(t), path, "gzip")
     schema = ", ".join(f"{c} string" for c in reports.COLUMNS)
     back = t.spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").csv(path)
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in reports.COLUMNS])
@@ -264,7 +276,7 @@ def _(t):
 )
 def _(t):
     path = new_path(t.spark, "reports")
-    files.write_edge_reports(wide(t), path, compression="gzip")
+    files.write_edge_reports(wide_in_rounds(t), path, compression="gzip")
     return t.spark.read.text(f"{path}/edges_md").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import slug
 from tessella.operators.edges import summary
-from tessella.operators.reports import cell_sections, edge_report_head, marker_lines, parts, sorted_edges, validation_report
+from tessella.operators.reports import after_parts, cell_sections, edge_report_head, marker_lines, parts, sorted_edges, validation_report
 from tessella.operators.sheets import clean_tab, is_empty
 from tessella.operators.snippets import RECORD, counted, first_of_each, fresh
-from tessella.tables import cut, read_or_empty
+from tessella.tables import cut, read_or_empty, shuffles_removed
 
 QUADS = "graph string, s string, p string, o string"
 BINDINGS = "results struct<bindings: array<map<string, struct<type: string, value: string>>>>"
@@ -164,23 +167,40 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report_id"), F.col("value").alias("md"))
 
 
-def write_tsv(table: DataFrame, path: str, compression: str = "none") -> None:
+def write_tsv(table: DataFrame, path: str, compression: str = "none", mode: str = "overwrite") -> None:
     """A tab-separated table with a header; values must hold no tabs or line ends. Large ones are to be compressed: an edge repeats all its target's texts."""
-    table.write.mode("overwrite").options(sep="\t", header=True, quote="", emptyValue="", compression=compression).csv(path)
+    table.write.mode(mode).options(sep="\t", header=True, quote="", emptyValue="", compression=compression).csv(path)
+
+
+def write_edge_export(rounds: Iterable[tuple[DataFrame, int]], path: str, compression: str = "none") -> None:
+    """The export of annotated edges with their ``part``, made and shuffled round by round (:func:`tessella.operators.reports.in_rounds`).
+
+    Files are named after their parts, and so are in order; the first file of a later round has a header only.
+    """
+    for i, (wide, end) in enumerate(rounds):
+        with shuffles_removed(wide.sparkSession):
+            write_tsv(sorted_edges(wide, end), path, compression, "append" if i else "overwrite")
 
 
-def write_edge_reports(wide: DataFrame, folder: str, generated: str = "from the given tables", compression: str = "none") -> None:
-    """Both reports of one run, the export and the markdown with its head, from annotated edges that are worked out once.
+def write_edge_reports(wide: DataFrame | Iterable[tuple[DataFrame, int]], folder: str, generated: str = "from the given tables", compression: str = "none") -> None:
+    """Both reports of one run, the export and the markdown with its head, from annotated edges, whole or in rounds as for :func:`write_edge_export`, that are worked out once.
 
     Both are made in ranges of cells that hold about equally many edges; lines of the
     markdown are dealt by these ranges once, and a cell's section is made where its lines are.
     """
-    once = cut(wide, "annotated")
-    n_parts = parts(once)
-    write_tsv(sorted_edges(once, n_parts), f"{folder}/edges_tsv", compression)
-    head = edge_report_head(summary(once), generated).repartition(1).sortWithinPartitions("position").select(F.col("line").alias("section"))
-    sections = cell_sections(marker_lines(once, n_parts)).sortWithinPartitions("cell").select("section")
-    head.unionByName(sections).write.mode("overwrite").option("compression", compression).text(f"{folder}/edges_md")
+    written, before = [], 0
+    for each, end in [(wide, None)] if isinstance(wide, DataFrame) else wide:
+        mode = "append" if written else "overwrite"
+        with shuffles_removed(each.sparkSession):
+            once = cut(each, "annotated")
+            n_parts = parts(once)
+            write_tsv(sorted_edges(once, end or n_parts), f"{folder}/edges_tsv", compression, mode)
+            sections = cell_sections(marker_lines(once, n_parts)).sortWithinPartitions("cell").select("section")
+            after_parts(sections, before + 2).write.mode(mode).option("compression", compression).text(f"{folder}/edges_md")  # the head is the first part of all
+        written.append(once)
+        before += n_parts
+    head = edge_report_head(summary(reduce(DataFrame.unionByName, written)), generated).repartition(1).sortWithinPartitions("position").select(F.col("line").alias("section"))
+    head.write.mode("append").option("compression", compression).text(f"{folder}/edges_md")
 
 
 def write_validation_report(failures: DataFrame, totals: DataFrame, source: str, path: str, grammar: str = "see `tessella.functions.grammar`") -> None:

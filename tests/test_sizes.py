@@ -1,7 +1,10 @@
 """What a size asks of the operators: each input dealt few times, files that do not repeat texts, tasks by rows."""
 
+import functools
 import gzip
 import itertools
+import pathlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -145,3 +148,52 @@ def test_quote_index_by_pieces_of_every_length(spark, tmp_path):
     held = {1: "alphabet 𝒳𝒴zeta soup", 2: "bet", 3: "a", 4: "t", 5: "é𝒴"}  # of the rows with key 3, the smaller text
     found = sorted(map(tuple, quote_index.matches(quoted, path, "item_id").collect()))
     assert found == sorted((i, d) for i, p in enumerate(pieces) for d, text in held.items() if p in text)
+
+
+def _shuffled(spark) -> int:
+    """Shuffle files on the disks of this session's only executor."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(1 for d in folders for _ in pathlib.Path(d).glob("*/shuffle_*.data"))
+
+
+def test_a_written_step_leaves_no_shuffle(spark, tmp_path):
+    from tessella.tables import shuffles_removed
+
+    key, df = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark.range(1000).repartition(3)
+    held, before = spark.conf.get(key), _shuffled(spark)
+    with shuffles_removed(spark):
+        df.write.parquet(f"{tmp_path}/a")
+    end = time.time() + 20
+    while _shuffled(spark) > before and time.time() < end:  # files are removed behind the statement
+        time.sleep(0.2)
+    assert _shuffled(spark) <= before and spark.conf.get(key) == held and spark.read.parquet(f"{tmp_path}/a").count() == 1000
+
+
+def test_an_export_in_rounds_is_the_whole_export(spark, tmp_path):
+    wide = _wide(spark, 60).unionByName(_wide(spark, 1).withColumn("cell", F.lit(None).cast("string")))
+    rounds = reports.in_rounds(wide, 9, 3)
+    held = [{r.cell for r in x.select("cell").collect()} for x, _ in rounds]
+    assert [end for _, end in rounds] == [3, 6, 9] and sum(map(len, held)) == 61 == len(set.union(*held))  # a cell is in one round
+    assert None in held[0] and all(max(x or "" for x in a) < min(b) for a, b in itertools.pairwise(held))
+    files.write_edge_export(rounds, f"{tmp_path}/export", "gzip")
+    files.write_edge_reports(rounds, f"{tmp_path}/rounds")
+    files.write_edge_reports(wide, f"{tmp_path}/whole")
+
+    def rows(folder):
+        texts = [(gzip.open(p, "rt") if p.suffix == ".gz" else p.open()).read() for p in sorted((tmp_path / folder).glob("part-*"))]
+        return [x for t in texts for x in t.splitlines()[folder != "rounds/edges_md" and folder != "whole/edges_md" :]]
+
+    assert rows("export") == rows("rounds/edges_tsv") == rows("whole/edges_tsv") and len(rows("export")) == 427
+    assert sorted(rows("rounds/edges_md")) == sorted(rows("whole/edges_md")) and len(list((tmp_path / "export").glob("part-*"))) > 6
+    md = [x for x in rows("rounds/edges_md") if x.startswith("## ")]
+    assert rows("rounds/edges_md")[0] == reports.EDGE_TITLE and md[-60:] == [f"## CL:{c:04d} — cell {c}" for c in range(60)]
+    assert [x for x, n in ((x, reports.in_rounds(wide, x)) for x in (1, 63, 64)) if len(n) == 2] == [64]  # a round has 32 parts at least
+
+
+def test_rounds_hold_the_edges_of_one_plan(spark):
+    from tessella.plans import queries
+
+    t = queries.Tables(spark, "/root/testdata/sf0.001")
+    whole = queries.wide(t)
+    rounds = [x.select(whole.columns) for x, _ in queries.wide_in_rounds(t, 1)]
+    assert sorted(map(str, functools.reduce(lambda a, b: a.unionByName(b), rounds).collect())) == sorted(map(str, whole.collect()))
